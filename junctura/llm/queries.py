@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import op8_mixing, op9_sharding, op10_chat
+from junctura.llm import op2_lz_fingerprint, op7_pii, op8_mixing, op9_sharding, op10_chat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lz_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_lz_fingerprint.edit_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = [F.size(op7_pii.of_kinds(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in op7_pii.BASE_KINDS]
+    base = op7_pii.told(op7_pii.of_kinds(F.col("spans"), *op7_pii.BASE_KINDS))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), op7_pii.told(F.col("spans")).alias("spans"))
+
+
 def op8_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_mixing.mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("source")
 
@@ -41,6 +52,8 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lz_fingerprint": op2_lz_fingerprint_query,
+    "op7_pii": op7_pii_query,
     "op8_mixing": op8_mixing_query,
     "op9_sharding": op9_sharding_query,
     "op10_chat": op10_chat_query,
