@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import op2_lz_fingerprint, op7_pii, op8_mixing, op9_sharding, op10_chat
+from junctura.llm import op2_lz_fingerprint, op4_language_id, op7_pii, op8_mixing, op9_sharding, op10_chat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op2_lz_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lz_fingerprint.edit_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = op4_language_id.fit(docs, "doc_id", "text", "lang")
+    return op4_language_id.predict_languages(docs, "doc_id", "text", net)
+
+
 def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7_pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
     counts = [F.size(op7_pii.of_kinds(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in op7_pii.BASE_KINDS]
@@ -53,6 +59,7 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lz_fingerprint": op2_lz_fingerprint_query,
+    "op4_language_id": op4_language_id_query,
     "op7_pii": op7_pii_query,
     "op8_mixing": op8_mixing_query,
     "op9_sharding": op9_sharding_query,
