@@ -70,8 +70,8 @@ def permuted(index: Column, n: int, seed: int) -> Column:
         # after an even number of rounds the sides have their own ranges again
         return F.aggregate(rounds, pair, one, lambda at: at["l"] + at["r"] * a)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.lit(-1).cast("long"), lambda at, k: F.when(k == 1, step(index)).when(at < n, at).otherwise(step(at)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    lost = F.raise_error(F.lit("cycle walk did not end")).cast("long")
+    return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), step(index), lambda at, _: F.when(at < n, at).otherwise(step(at)), lambda at: F.when(at < n, at).otherwise(lost))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> tuple[DataFrame, int]:

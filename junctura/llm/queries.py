@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import op2_lz_fingerprint, op4_language_id, op7_pii, op8_mixing, op9_sharding, op10_chat
+from junctura.llm import op1_quality, op2_lz_fingerprint, op4_language_id, op6_sentencepiece, op7_pii, op8_mixing, op9_sharding, op10_chat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = op1_quality.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return op1_quality.score_quality(docs, "doc_id", "text", net)
+
+
 def op2_lz_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lz_fingerprint.edit_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -23,6 +29,10 @@ def op4_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_language_id.predict_languages(docs, "doc_id", "text", net)
 
 
+def op6_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_sentencepiece.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7_pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
     counts = [F.size(op7_pii.of_kinds(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in op7_pii.BASE_KINDS]
@@ -58,8 +68,10 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality_query,
     "op2_lz_fingerprint": op2_lz_fingerprint_query,
     "op4_language_id": op4_language_id_query,
+    "op6_sentencepiece": op6_sentencepiece_query,
     "op7_pii": op7_pii_query,
     "op8_mixing": op8_mixing_query,
     "op9_sharding": op9_sharding_query,
