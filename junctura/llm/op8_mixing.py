@@ -111,16 +111,20 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return group[["absent", "source", "size", "rounds", "more"]]
 
 
-def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """``key, size, source_size, target, taken`` of each row; ``source`` keeps its column too.
+def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap: float, weights: tuple[int, ...], seed: int, carry: list[str]) -> DataFrame:
+    """Every row with ``absent, source, size, source_size, target, copies``, and ``row``, a struct of the columns to carry.
 
-    ``taken`` is the number of the document's words in the mix: a multiple of its
-    size, at most ``ceil(cap)`` times. Selection: within a source and length the
-    documents are cut into hash cells; cells are taken whole in order as long
-    as their counts fit and documents are ranked in the one cell that is cut.
+    Within a source and length the documents are cut into hash cells; cells are
+    taken whole in order as long as their counts fit, and documents are
+    ranked in the one cell that is cut.
     """
-    base = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(source).isNull().alias("absent"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)).alias("luck"))
-    base = base.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("cell", F.pmod("luck", F.lit(CELLS)))
+    base = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+        F.col(source).isNull().alias("absent"),
+        F.coalesce(F.col(source), F.lit("")).alias("source"),
+        word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)).alias("luck"),
+    ).withColumn("cell", F.pmod("luck", F.lit(CELLS)))
     cells = base.groupBy("absent", "source", "size", "cell").agg(F.count("*").alias("n"))
     counts = cells.groupBy("absent", "source", "size").agg(F.sum("n").alias("docs"))
     sizes = counts.groupBy("absent", "source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
@@ -132,10 +136,23 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float =
     cuts = cuts.select("absent", "source", "size", "cell", "rounds", (F.col("more") - F.col("before")).alias("room"), "n")
     rows = base.join(cuts, ["absent", "source", "size", "cell"], "left")
     split = (F.col("room") > 0) & (F.col("room") < F.col("n"))
-    whole = rows.filter(~F.coalesce(split, F.lit(False))).withColumn("extra", F.coalesce((F.col("room") >= F.col("n")).cast("int"), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("absent", "source", "size", "cell").orderBy("luck", "key"))
+    rank = F.row_number().over(W.partitionBy("absent", "source", "size", "cell").orderBy("luck"))
     cut = rows.filter(split).withColumn("extra", (rank <= F.col("room")).cast("int"))
-    out = whole.unionByName(cut).join(targets, ["absent", "source"])
-    return out.select(
-        F.col("key").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * (F.coalesce("rounds", F.lit(0)) + F.col("extra"))).cast("long").alias("taken")
-    )
+    whole = rows.filter(~F.coalesce(split, F.lit(False))).withColumn("extra", F.coalesce((F.col("room") >= F.col("n")).cast("int"), F.lit(0)))
+    return whole.unionByName(cut).withColumn("copies", F.coalesce("rounds", F.lit(0)) + F.col("extra")).join(targets, ["absent", "source"])
+
+
+def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """``key, source, size, source_size, target, taken`` of each row.
+
+    ``taken`` is the number of the document's words in the mix: a multiple of its
+    size, at most ``ceil(cap)`` times.
+    """
+    rows = _decided(df, key, text, source, share, cap, weights, seed, [key])
+    return rows.select(F.col(f"row.`{key}`").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix itself: the columns of ``df``, each row as often as it is taken."""
+    rows = _decided(df, key, text, source, share, cap, weights, seed, df.columns)
+    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import op1_quality, op2_lz_fingerprint, op4_language_id, op6_sentencepiece, op7_pii, op8_mixing, op9_sharding, op10_chat
+from junctura.llm import op1_quality, op2_lz_fingerprint, op3_jaccard_join, op4_language_id, op5_embedding_dedup, op6_sentencepiece, op7_pii, op8_mixing, op9_sharding, op10_chat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,20 @@ def op2_lz_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lz_fingerprint.edit_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op3_jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = op4_language_id.fit(docs, "doc_id", "text", "lang")
     return op4_language_id.predict_languages(docs, "doc_id", "text", net)
 
 
+def op5_embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op6_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_sentencepiece.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -70,7 +78,9 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality_query,
     "op2_lz_fingerprint": op2_lz_fingerprint_query,
+    "op3_jaccard_join": op3_jaccard_join_query,
     "op4_language_id": op4_language_id_query,
+    "op5_embedding_dedup": op5_embedding_dedup_query,
     "op6_sentencepiece": op6_sentencepiece_query,
     "op7_pii": op7_pii_query,
     "op8_mixing": op8_mixing_query,
@@ -96,4 +106,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shaped GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op10_chat": OP10_SQL}
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d
+), g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') || ' ' || len(ws)
+         ELSE array_to_string(ws[i:i+4], ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT doc_id, doc_id AS c FROM d
+  UNION SELECT b, c FROM r JOIN both_ways ON r.doc_id = both_ways.a
+)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+    AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.93
+), r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON r.vec_id = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op10_chat": OP10_SQL}
