@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -24,3 +25,20 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
         context._junctura_checkpoints = folder
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_parquet(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read back.
+
+    For tables that several later jobs read by column, and that would be large as
+    uncompressed checkpoint rows. The folder is left to whoever clears the
+    checkpoint folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_junctura_checkpoints", None)
+    if folder is None:
+        folder = spark.sparkContext._junctura_checkpoints = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
