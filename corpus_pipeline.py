@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from junctura.functions.checkpoints import shared_parquet
+from junctura.functions.checkpoints import shared_table
 from junctura.llm import op3_jaccard_join, op4_language_id, op6_sentencepiece, op7_pii, op8_mixing
 
 
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; documents without an id are kept."""
     found = op3_jaccard_join.jaccard_components(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull())
-    verdicts = shared_parquet(found.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("first"), F.count("*").alias("times")))
+    verdicts = shared_table(found.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("first"), F.count("*").alias("times")))
     dropped = verdicts.filter(F.col("first") < F.col("doc_id")).select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = verdicts.filter(F.col("times") > 1).select("doc_id")
@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = shared_parquet(stage(spark, docs, sf_dir))
+        docs = shared_table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

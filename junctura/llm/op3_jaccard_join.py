@@ -6,19 +6,23 @@ heavy ones (classes of hashes that ``HEAVY`` documents or more hold) come last,
 count. Two sets with a Jaccard likeness of 80 % or more share one of the first
 n - ceil(0.8 n) + 1 shingles of each, so only these meet:
 
-* fragments of the hash range count the classes, each fragment by itself;
+* fragments of the hash range count the classes, each fragment by itself; a filter of fixed size
+  tells which shingles only one document holds, and these are never sent;
 * each light shingle's documents are paired; a pair's partial overlap and its last
   shared places are summed over all shingles, and bound the difference of the sets
   from below, which drops most pairs that share a passage only;
-* a heavy shingle's documents are linked to its first document of like size, not
-  paired;
+* documents in the list of a heavy shingle have all their light ones among their first, so two of
+  them that share none differ by all of these, which drops most pairs of loose copies;
 * what is left is verified: sets are cut into ``FRAGMENTS`` hash ranges, overlaps are
   counted range by range and summed per pair.
 
-Verification first takes one partner for each document, then only pairs whose documents
-are still in different components, among them all pairs of like size that a heavy
-shingle holds across components: copies by the thousand are never paired with each other,
-and no link between components is lost. Exact copies of a text are one node.
+Verification first takes one partner for each document, where a heavy shingle's documents meet only
+its pivots, drawn by hash. Then only pairs are verified whose documents are still in
+different components: other candidates, further pivots where much is still apart, and at last all pairs that a
+heavy shingle holds and the bound leaves. Where these are many, no pair is made: what is outside the
+largest component is sent to blocks of the texts that share such shingles, and counted there against an
+inverted index of each fragment. Copies by the thousand are so not paired with each other, and no link between
+components is lost. Exact copies of a text are one node.
 
 Edge cases: null and wordless texts have no shingles and are linked with nothing, not even with each other; fewer
 than five words are one shingle; texts of any length are taken whole; rows with a
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
-from junctura.functions.checkpoints import shared_checkpoint, shared_parquet
+from junctura.functions.checkpoints import shared_table
 from junctura.operators.graph import connected_components
 
 WORDS = 5
@@ -49,6 +53,11 @@ FRAGMENTS = 8
 #: Bits of the filter over verified documents, and the most documents it serves; beyond, a join does.
 FILTER_BITS = 1 << 24
 FILTER_NODES = 1 << 21
+#: Bits (as a power of two) of the filter over shingle classes that two documents or more hold: 32 MB.
+SEEN_BITS = 28
+PIVOTS = 4
+#: Rounds of pivots; and the pairs across components above which a shingle's texts are counted by block.
+ROUNDS, LARGE, BLOCK = 2, 20_000, 512
 _TIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _EMPTY = np.empty(0, np.uint64)
 
@@ -78,15 +87,17 @@ def _classes(values: np.ndarray) -> np.ndarray:
     return values >> np.uint64(64 - CLASS_BITS)
 
 
-def heavy_classes(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes held ``HEAVY`` times or more, and their counts; the ``HEAVY_TABLE`` largest, sorted by class.
 
+    Third, a filter with the bit of each class that is held twice or more.
+
     Tasks send sorted classes as differences in byte planes, cut into fragments of the
     class range; each fragment is counted by itself. A class that the table has no
     room for counts as light: the order stays one order, and results the same.
     """
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = max(6, (int(total) >> 26).bit_length())
+    bits = max(8, (int(total) >> 24).bit_length())
     rest = CLASS_BITS - bits
 
     def cut(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -103,10 +114,11 @@ def heavy_classes(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(shingles(t))
-                size += len(held[-1])
-                if size > 4_000_000:
+            for at in range(0, batch.num_rows, 512):
+                for t in batch.column(0).slice(at, 512).to_pylist():
+                    held.append(shingles(t))
+                    size += len(held[-1])
+                if size > 2_000_000:
                     yield cut(held)
                     held, size = [], 0
         if size:
@@ -124,38 +136,47 @@ def heavy_classes(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         counts = np.diff(np.append(starts, len(values)))
         many = counts >= HEAVY
-        return pd.DataFrame({"class": values[starts[many]].astype(np.int64), "n": counts[many].astype(np.int64)})
+        seen = np.zeros(1 << (SEEN_BITS - bits), bool)
+        seen[(values[starts[counts > 1]] - base) >> np.uint64(CLASS_BITS - SEEN_BITS)] = True
+        row = {"fragment": int(group["fragment"].iloc[0]), "class": values[starts[many]].astype(np.int64), "n": counts[many].astype(np.int64), "seen": np.packbits(seen, bitorder="little").tobytes()}
+        return pd.DataFrame([row])
 
     blobs = df.select(text).mapInArrow(collect, "fragment int, steps binary")
-    counts = blobs.groupBy("fragment").applyInPandas(count, "class long, n long")
-    table = counts.orderBy(F.desc("n"), "class").limit(HEAVY_TABLE).toPandas().sort_values("class")
-    return table["class"].to_numpy(np.uint64), table["n"].to_numpy(np.int64)
+    counts = shared_table(blobs.groupBy("fragment").applyInPandas(count, "fragment int, class array<bigint>, n array<bigint>, seen binary"))
+    pairs = counts.select(F.explode(F.arrays_zip("class", "n")).alias("p")).select("p.class", "p.n")
+    table = pairs.orderBy(F.desc("n"), "class").limit(HEAVY_TABLE).toPandas().sort_values("class")
+    filter_ = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+    width = len(filter_) >> bits
+    for row in counts.select("fragment", "seen").collect():
+        filter_[row["fragment"] * width : (row["fragment"] + 1) * width] = np.frombuffer(bytes(row["seen"]), np.uint8)
+    return table["class"].to_numpy(np.uint64), table["n"].to_numpy(np.int64), filter_
 
 
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _firsts(batches: Iterator[pa.RecordBatch], heavy: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, salt, node, n, place`` of each text's first shingles, once per task and text.
+def _firsts(batches: Iterator[pa.RecordBatch], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, salt, node, n, place, light`` of those of each text's first shingles that another text may hold.
 
-    salt: 0 for light shingles, above it for heavy ones, -1 for a row that tells a text's count.
+    Once per task and text. salt: 0 for light shingles, above it for heavy ones, -1 for a row that
+    tells a text's count. light: how many of the text's first shingles are light.
     """
-    classes, counts = heavy
+    classes, counts, seen = table
     done: set[int] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
             sets, nodes = [], []
             for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if node not in done:
                     done.add(node)
                     sets.append(shingles(text))
                     nodes.append(node)
-            keys, salts, owners, places, sizes = [], [], [], [], []
+            keys, salts, owners, places, sizes, lights = [], [], [], [], [], []
             for node, s in zip(nodes, sets):
                 n, p = len(s), prefix_length(len(s))
-                first, salt = s[:0], np.zeros(p, np.int32)
+                first, salt, place, most = s[:0], np.zeros(p, np.int32), np.arange(p, dtype=np.int32), 0
                 if n:
                     mine = _classes(s)
                     where = np.searchsorted(classes, mine)
@@ -163,42 +184,47 @@ def _firsts(batches: Iterator[pa.RecordBatch], heavy: tuple[np.ndarray, np.ndarr
                     held = classes[where] == mine if len(classes) else np.zeros(n, bool)
                     light = s[~held]
                     first = light[:p]
-                    if len(first) < p:
+                    most = len(first)
+                    if most < p:
                         often = counts[where[held]]
-                        order = np.lexsort((s[held], often))[: p - len(first)]
-                        salt[len(first) :] = 1 + node % (1 + often[order] // 2000)
+                        order = np.lexsort((s[held], often))[: p - most]
+                        salt[most:] = 1 + node % (1 + often[order] // 2000)
                         first = np.concatenate([first, s[held][order]])
+                    slot = first >> np.uint64(64 - SEEN_BITS)
+                    sent = (seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    first, salt, place = first[sent], salt[sent], place[sent]
                 keys += [first.view(np.int64), np.array([node], np.int64)]
                 salts += [salt, np.array([-1], np.int32)]
-                places.append(np.arange(p + 1, dtype=np.int32))
-                owners.append(np.full(p + 1, node, np.int64))
-                sizes.append(np.full(p + 1, n, np.int32))
+                places += [place, np.zeros(1, np.int32)]
+                owners.append(np.full(len(first) + 1, node, np.int64))
+                sizes.append(np.full(len(first) + 1, n, np.int32))
+                lights.append(np.full(len(first) + 1, most, np.int32))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, salts, owners, sizes, places)], names=["key", "salt", "node", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, salts, owners, sizes, places, lights)], names=["key", "salt", "node", "n", "place", "light"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks rows sorted by key, salt and node. Emits ``kind, a, b, na, nb, pa, pb``:
+    """Walks rows sorted by key, salt and node. Emits ``kind, a, b, na, nb, pa, pb, la, lb``:
 
-    kind 0: text a has na shingles; 1: a and b share a light shingle at places pa and pb;
-    2: the heavy shingle a is held by text b, of na shingles.
+    kind 0: text a has na shingles; 1: a and b share a light shingle at places pa and pb, of la and lb light ones;
+    2: the heavy shingle a is held by text b, of na shingles and la light ones.
     """
-    names = ["key", "salt", "node", "n", "place"]
+    names = ["key", "salt", "node", "n", "place", "light"]
     held = None
 
     def emit(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, salt, node, n, place = rows
+        key, salt, node, n, place, most = rows
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
-        key, salt, node, n, place = (x[fresh] for x in (key, salt, node, n, place))
+        key, salt, node, n, place, most = (x[fresh] for x in (key, salt, node, n, place, most))
         out = []
         told = salt < 0
         zero = lambda k: np.zeros(k, np.int32)
         k = int(told.sum())
-        out.append((zero(k), node[told], node[told], n[told], zero(k), zero(k), zero(k)))
+        out.append((zero(k), node[told], node[told], n[told], *[zero(k)] * 5))
         often = salt > 0
         k = int(often.sum())
-        out.append((zero(k) + 2, key[often], node[often], n[often], zero(k), zero(k), zero(k)))
+        out.append((zero(k) + 2, key[often], node[often], n[often], zero(k), zero(k), zero(k), most[often], zero(k)))
         light = np.flatnonzero(salt == 0)
         if len(light):
             lk = key[light]
@@ -207,16 +233,16 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m in np.unique(sizes[sizes > 1]):
                 one, two = np.triu_indices(m, 1)
                 heads = starts[sizes == m]
-                step = max(1, 2_000_000 // len(one))
+                step = max(1, 300_000 // len(one))
                 for at in range(0, len(heads), step):
                     i = light[(heads[at : at + step, None] + one).ravel()]
                     j = light[(heads[at : at + step, None] + two).ravel()]
                     near = 5 * np.minimum(n[i], n[j]).astype(np.int64) >= 4 * np.maximum(n[i], n[j]).astype(np.int64)
                     i, j = i[near], j[near]
-                    out.append((zero(len(i)) + 1, node[i], node[j], n[i], n[j], place[i], place[j]))
+                    out.append((zero(len(i)) + 1, node[i], node[j], n[i], n[j], place[i], place[j], most[i], most[j]))
         for part in out:
             if len(part[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["kind", "a", "b", "na", "nb", "pa", "pb"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["kind", "a", "b", "na", "nb", "pa", "pb", "la", "lb"])
 
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
@@ -233,7 +259,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """``node, fragment, segment``: sets cut by the hashes' first bits, once per task and text."""
+    """``node, segments``: sets cut by the hashes' first bits, five bytes a shingle, once per task and text."""
     done: set[int] = set()
     bits = FRAGMENTS.bit_length() - 1
     edges = (np.arange(1, FRAGMENTS, dtype=np.uint64)) << np.uint64(64 - bits)
@@ -241,29 +267,44 @@ def _segments(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Ite
         ids = batch.column(0).to_numpy()
         wanted = np.ones(len(ids), bool)
         if mask is not None:
-            bit = ids.astype(np.int64) & (FILTER_BITS - 1)
+            bit = ids & (FILTER_BITS - 1)
             wanted = (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-        nodes, fragments, parts = [], [], []
+        nodes, parts = [], []
         for k in np.flatnonzero(wanted):
             if ids[k] in done:
                 continue
             done.add(ids[k])
-            for f, part in enumerate(np.split(s := shingles(batch.column(1)[int(k)].as_py()), np.searchsorted(s, edges))):
-                nodes.append(int(ids[k]))
-                fragments.append(f)
-                parts.append(part.tobytes())
+            s = shingles(batch.column(1)[int(k)].as_py())
+            packed = ((s << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+            nodes.append(int(ids[k]))
+            parts.append([p.tobytes() for p in np.split(packed, np.searchsorted(s, edges))])
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(parts, pa.binary())], names=["node", "fragment", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["node", "segments"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each node of a partition."""
+    done: set[int] = set()
+    for batch in batches:
+        fresh = [k for k, v in enumerate(batch.column(0).to_pylist()) if not (v in done or done.add(v))]
+        yield batch.take(pa.array(fresh, pa.int64()))
+
+
+def _unpacked(segment: bytes) -> np.ndarray:
+    out = np.zeros((len(segment) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(segment, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64)[:, 0]
 
 
 @F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two segments."""
-    return pd.Series([len(x) // 8 + len(y) // 8 - len(np.unique(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))) for x, y in zip(a, b)], dtype="int64")
+    return pd.Series([(len(x) + len(y)) // 5 - len(np.unique(np.concatenate([_unpacked(x), _unpacked(y)]))) for x, y in zip(a, b)], dtype="int64")
 
 
 def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Segments of the sets of ``nodes`` (column ``node``), from ``texts`` (``node, text``)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = nodes.count()
     mask = None
     if count <= FILTER_NODES:
@@ -277,57 +318,169 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     else:
         texts = texts.join(nodes, "node", "left_semi")
     shared = texts.sparkSession.sparkContext.broadcast(mask)
-    return shared_parquet(texts.mapInArrow(lambda batches: _segments(batches, shared.value), "node long, fragment int, segment binary"))
+    kind = "node long, segments array<binary>"
+    return shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(parts, "node").mapInArrow(_once, kind))
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (``a, b, na, nb``) that reach 80 %: overlaps are counted by fragment and summed."""
-    one = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa"))
-    two = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
-    parts = pairs.join(one, "a").join(two, ["b", "fragment"])
-    shared = parts.select("a", "b", "na", "nb", "fragment", _overlap("sa", "sb").alias("o")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("o").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    one = segments.select(F.col("node").alias("a"), F.col("segments").alias("sa"))
+    two = segments.select(F.col("node").alias("b"), F.col("segments").alias("sb"))
+    parts = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.explode(F.arrays_zip("sa", "sb")).alias("s"))
+    shared = parts.select("a", "b", "na", "nb", _overlap("s.sa", "s.sb").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return shared.filter(100 * F.col("o") >= 80 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _pivot_pairs(held: DataFrame, turn: int, pivots: int) -> DataFrame:
+    """Pairs of each heavy shingle's texts (``shingle, class, node, n, l, c``) with pivots of like size in other components ``c``.
+
+    Pivots have the least hashes, so shingles with much the same texts have much the same
+    pivots. Least values are found by partial aggregation; no list is gathered.
+    """
+    luck = lambda k: F.xxhash64(F.lit(1000 * turn + k), "node").alias("luck")
+    heads = held.groupBy("shingle", "class").agg(*[F.min(F.struct(luck(k), "node", "n", "l", "c")).alias(f"h{k}") for k in range(pivots)])
+    around = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    heads = heads.select("shingle", "class", F.explode(F.array(*[f"h{k}" for k in range(pivots)])).alias("h"))
+    heads = heads.select("shingle", around.alias("class"), F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.l").alias("la"), F.col("h.c").alias("ca")).distinct()
+    rows = held.select("shingle", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
+    return _ordered(rows.join(heads, ["shingle", "class"]).filter((F.col("ca") != F.col("cb")) & _may_link()))
+
+
+def _across(held: DataFrame) -> DataFrame:
+    """All pairs of texts that share a heavy shingle, may link and are in different components ``c``."""
+    one = held.select("shingle", "class", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
+    two = held.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    return _ordered(one.join(two, ["shingle", "class"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link()))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    swap = F.col("a") > F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+
+
+def _may_link() -> Column:
+    """Sizes are alike, and the light shingles, of which none is shared, don't make too many differences.
+
+    Pairs that share a light shingle are found by it.
+    """
+    return _like_size() & (9 * (F.col("la") + F.col("lb")) <= F.col("na") + F.col("nb"))
+
+
+def _like_size() -> Column:
+    return 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the component of ``node`` as ``name``: itself if it has none."""
+    return pairs.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _apart(often: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of heavy shingles that hold several components: with few pairs across them, and with more than ``LARGE``."""
+    rows = _labelled(often, labels, "node", "c")
+    parts = rows.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    mixed = parts.select("shingle", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("across")).filter("across > 0")
+    rows = shared_table(rows.join(mixed, "shingle"))
+    return rows.filter(F.col("across") <= LARGE), rows.filter(F.col("across") > LARGE)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a block's texts (role 0) and those sent to it (role 1), one for each component that is met."""
+    key, members, index, out = None, [], None, []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        for k, (group, block, role, node, n, c, segments) in enumerate(zip(*columns)):
+            if (group, block) != key:
+                key, members, index = (group, block), [], None
+            if role == 0:
+                members.append((node, n, c, segments))
+                continue
+            if not members:
+                continue
+            if index is None:
+                index = []
+                for f in range(FRAGMENTS):
+                    parts = [_unpacked(m[3][f]) for m in members]
+                    owners = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                    values = np.concatenate(parts)
+                    order = np.argsort(values, kind="stable")
+                    index.append((values[order], owners[order]))
+                nodes, sizes, comps = (np.array([m[i] for m in members]) for i in range(3))
+            overlap = np.zeros(len(members), np.int64)
+            for f, (values, owners) in enumerate(index):
+                own = _unpacked(segments[f])
+                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                spans = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+                overlap += np.bincount(owners[at], minlength=len(members))
+            linked = np.flatnonzero((100 * overlap >= 80 * (sizes + n - overlap)) & (comps != c))
+            for first in np.unique(comps[linked], return_index=True)[1]:
+                out.append((node, int(nodes[linked[first]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out = []
+
+
+def _counted_by_block(large: DataFrame, segments: DataFrame) -> DataFrame:
+    """Links across components among the texts of ``large`` shingles.
+
+    Texts that such shingles connect are a group. A group's texts are cut into blocks; those outside its largest
+    component go to every block. A task holds one block and streams through what is sent to it.
+    """
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = large.groupBy("shingle").agg(F.min("node").alias("head"))
+    groups = connected_components(large.join(heads, "shingle").select("node", "head"), "node", "head")
+    texts = large.select("node", "n", "c").distinct().join(groups, "node")
+    sizes = texts.groupBy("component", "c").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"))
+    texts = texts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(segments, "node")
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
+    home = F.array(F.struct(own.alias("block"), F.lit(0).alias("role")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
+    sent = texts.withColumn("to", F.explode(F.when(F.col("c") == F.col("main"), home).otherwise(F.concat(home, everywhere))))
+    sent = sent.select("component", "to.block", "to.role", "node", "n", "c", "segments")
+    return sent.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "role", "node").mapInArrow(_block_links, "a long, b long").distinct()
+
+
 def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, n_shingles, component_id`` of every row; links are pairs with 100 * intersection >= 80 * union."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(_text_hash(text).alias("node"), F.col(text).alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_classes(df.select(F.col(text).alias("text")), "text"))
+    classes = spark.sparkContext.broadcast(class_table(df.select(F.col(text).alias("text")), "text"))
     all_texts = df.select(_text_hash(text).alias("node"), F.col(text).alias("text"))
-    firsts = all_texts.mapInArrow(lambda batches: _firsts(batches, heavy.value), "key long, salt int, node long, n int, place int")
+    firsts = all_texts.mapInArrow(lambda batches: _firsts(batches, classes.value), "key long, salt int, node long, n int, place int, light int")
     firsts = firsts.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
-    lists = shared_parquet(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int"))
+    lists = shared_table(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"))
     counts = lists.filter("kind = 0").select(F.col("a").alias("node"), F.col("na").alias("n")).distinct()
 
-    # a pair's difference is at least that of the parts up to its last shared light shingle
-    light = lists.filter("kind = 1").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    light = light.filter(9 * (F.col("pa") + F.col("pb") + 2 - 2 * F.col("c")) <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
-    often = lists.filter("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.floor(F.log("na") / F.log(F.lit(1.25))).alias("class"))
-    heads = often.groupBy("shingle", "class").agg(F.min(F.struct("node", "n")).alias("head"))
-    star = often.join(heads, ["shingle", "class"]).filter(F.col("node") != F.col("head.node")).select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).distinct()
-    near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
-    candidates = shared_parquet(light.unionByName(star.filter(near)).distinct())
+    # of the text whose light first shingles end earlier, all that aren't shared are missing in the other
+    # one; of the other, those up to the last shared one
+    light = lists.filter("kind = 1").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    least = F.least(F.col("la") + F.col("pb"), F.col("lb") + F.col("pa")) + 1 - 2 * F.col("c")
+    light = light.filter(9 * least <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+    often = lists.filter("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.floor(F.log("na") / F.log(F.lit(1.25))).alias("class")).filter("n > 0")
+    candidates = shared_table(light.unionByName(_pivot_pairs(often.withColumn("c", F.col("node")), 0, 1)).distinct())
 
-    first = candidates.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("m")).select("m.a", "b", "m.na", "nb")
     nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(often.select("node")).distinct()
     segments = segments_of(texts, nodes)
-    found = shared_checkpoint(verified(first, segments))
-    labels = connected_components(found, "a", "b")
-
-    # whatever is still apart: remaining candidates, and pairs of like size under one heavy shingle
-    def labelled(pairs: DataFrame, node: str, name: str) -> DataFrame:
-        return pairs.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    apart = labelled(labelled(candidates, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b", "na", "nb")
-    grouped = labelled(often, "node", "c")
-    mixed = grouped.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("shingle")
-    left = shared_checkpoint(grouped.join(mixed, "shingle"))
-    other = left.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
-    across = left.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "class").join(other, ["shingle", "class"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb").distinct()
-    rest = shared_checkpoint(apart.unionByName(across).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    links = shared_checkpoint(found.unionByName(verified(rest, segments)))
+    tested = candidates.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("m")).select("m.a", "b", "m.na", "nb")
+    links = shared_table(verified(tested, segments))
+    labels = connected_components(links, "a", "b")
+
+    few, many = _apart(often, labels)
+    for turn in range(1, ROUNDS + 1):
+        if many.isEmpty():
+            break
+        links = links.unionByName(shared_table(verified(_pivot_pairs(many, turn, PIVOTS), segments)))
+        labels = connected_components(links, "a", "b")
+        few, many = _apart(often, labels)
+
+    # whatever is still apart: remaining candidates, and pairs that a heavy shingle holds
+    still = _labelled(_labelled(candidates, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b", "na", "nb")
+    rest = shared_table(still.unionByName(_across(few)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    if not many.isEmpty():
+        links = links.unionByName(shared_table(_counted_by_block(many, segments)))
+    links = shared_table(links.unionByName(verified(rest, segments)))
     joined = connected_components(links, "a", "b")
 
     ids = df.select(F.col(key).alias("id"), _text_hash(text).alias("node"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from junctura.functions.checkpoints import shared_checkpoint, shared_parquet
+from junctura.functions.checkpoints import shared_table
 from junctura.operators.graph import connected_components
 
 THRESHOLD = 0.93
@@ -144,12 +144,12 @@ def near_duplicates(df: DataFrame, key: str, vector: str, label: str, threshold:
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     rows = rows.withColumn("node", F.when(usable(F.col("vector"), F.col("label")), F.xxhash64("label", F.size("vector"), "vector")))
     groups = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("size"))
-    groups = shared_parquet(groups.withColumn("label", F.xxhash64("label")))
+    groups = shared_table(groups.withColumn("label", F.xxhash64("label")))
     keyed = groups.select("node", "label", "vector").mapInArrow(lambda b: _keys(b, passes, seed), f"node long, label long, {_field(groups, 'vector')}, keys array<bigint>")
     keyed = keyed.select("node", "label", "vector", F.posexplode("keys").alias("pass", "key"))
     order = ["pass", "label", "key", "node"]
     walked = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("pass", "label", "node", "vector")
-    links = shared_checkpoint(walked.mapInArrow(lambda b: _windows(b, window, threshold), "a long, b long").distinct())
+    links = shared_table(walked.mapInArrow(lambda b: _windows(b, window, threshold), "a long, b long").distinct())
     labels = connected_components(links, "a", "b")
 
     members = groups.select("node", "least", "size", "vector").join(labels, "node")

@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from junctura.functions.checkpoints import shared_checkpoint
+from junctura.functions.checkpoints import shared_table
 
 ROUNDS = 6
 WALK = 16
@@ -83,7 +83,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> tuple[
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in order]
-    held = shared_checkpoint(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__local": F.monotonically_increasing_id()}))
+    held = shared_table(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__local": F.monotonically_increasing_id()}))
     sizes = held.groupBy("__part").agg(F.count("*").alias("__rows"), F.min("__local").alias("__first")).orderBy("__part").collect()
     starts, total = [], 0
     for r in sizes:
