@@ -5,40 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in ``spark.checkpoint.dir``.
-
-    The setting is read from the session. Only where it is unset, as in tests,
-    a temporary folder of this machine is used. Blocks on the write, so later
-    jobs all see the same rows even if executors are lost meanwhile.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder of this machine only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not getattr(context, "_junctura_checkpoints", None):
-        context._junctura_checkpoints = folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        context.setCheckpointDir(folder)
-    elif folder is not None and getattr(context, "_junctura_checkpoints", None) != folder:
-        context._junctura_checkpoints = folder
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if folder is None:
+        context = spark.sparkContext
+        folder = getattr(context, "_junctura_folder", None)
+        if folder is None:
+            folder = context._junctura_folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    return folder.rstrip("/")
 
 
-def shared_parquet(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read back.
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
 
-    For tables that several later jobs read by column, and that would be large as
-    uncompressed checkpoint rows. The folder is left to whoever clears the
-    checkpoint folder.
+    Blocks on the write, so later jobs all see the same rows even if executors are lost meanwhile. A written
+    table is used rather than ``checkpoint()`` for two reasons: it is columnar and compressed, and it
+    starts a fresh plan, while a checkpoint keeps the constraints of the plan it was made from, which
+    grow with each round of an iteration. The folder is left to whoever clears the checkpoint folder.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_junctura_checkpoints", None)
-    if folder is None:
-        folder = spark.sparkContext._junctura_checkpoints = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

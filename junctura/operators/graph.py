@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from junctura.functions.checkpoints import shared_checkpoint
+from junctura.functions.checkpoints import shared_table
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
     """``node, component``: the smallest node of each component, for nodes that have an edge.
 
-    Minimum labels spread over the edges and are then shortened by looking up the label's
-    label, so a path of n nodes takes about log n rounds. Each round is checkpointed, and only
+    Minimum labels spread over the edges, to the ends and to the nodes that label them, and are then
+    shortened by looking up the label's label, so a path of n nodes takes about log n rounds. Each round is written and read again, and only
     the number of changed labels reaches the driver. Edges with a null end are ignored;
     loops make a node of its own component; direction and repeats don't matter.
     """
     ends = edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).filter(F.col("node").isNotNull() & F.col("other").isNotNull())
-    both = shared_checkpoint(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = shared_checkpoint(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
+    both = shared_table(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = shared_table(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
     for _ in range(max_rounds):
-        around = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        spread = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        # each end of an edge hears of the other's label, and so does its own label's node
+        told = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        heard = labels.join(told, "node").select("node", "component", "near")
+        hooks = heard.groupBy(F.col("component").alias("node")).agg(F.min("near").alias("hook"))
+        spread = heard.join(hooks, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near", F.coalesce("hook", "near")).alias("component"))
         of_label = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
         shortened = spread.join(of_label, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        held = shared_checkpoint(shortened)
+        held = shared_table(shortened)
         labels = held.select("node", "component")
         if held.filter(F.col("component") != F.col("old")).isEmpty():
             return labels
