@@ -53,11 +53,11 @@ FRAGMENTS = 8
 #: Bits of the filter over verified documents, and the most documents it serves; beyond, a join does.
 FILTER_BITS = 1 << 24
 FILTER_NODES = 1 << 21
-#: Bits (as a power of two) of the filter over shingle classes that two documents or more hold: 32 MB.
-SEEN_BITS = 28
-PIVOTS = 4
+#: Bits (as a power of two) of the filter over shingle classes that two documents or more hold: 8 MB.
+SEEN_BITS = 26
+PIVOTS = 8
 #: Rounds of pivots; and the pairs across components above which a shingle's texts are counted by block.
-ROUNDS, LARGE, BLOCK = 2, 20_000, 512
+ROUNDS, LARGE, BLOCK = 1, 20_000, 512
 _TIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _EMPTY = np.empty(0, np.uint64)
 
@@ -319,11 +319,15 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         texts = texts.join(nodes, "node", "left_semi")
     shared = texts.sparkSession.sparkContext.broadcast(mask)
     kind = "node long, segments array<binary>"
-    return shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(parts, "node").mapInArrow(_once, kind))
+    held = shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(parts, "node").mapInArrow(_once, kind))
+    shared.destroy()
+    return held
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (``a, b, na, nb``) that reach 80 %: overlaps are counted by fragment and summed."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    segments = segments.join(needed, "node", "left_semi")
     one = segments.select(F.col("node").alias("a"), F.col("segments").alias("sa"))
     two = segments.select(F.col("node").alias("b"), F.col("segments").alias("sb"))
     parts = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.explode(F.arrays_zip("sa", "sb")).alias("s"))
@@ -424,13 +428,12 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted_by_block(large: DataFrame, segments: DataFrame) -> DataFrame:
     """Links across components among the texts of ``large`` shingles.
 
-    Texts that such shingles connect are a group. A group's texts are cut into blocks; those outside its largest
+    The texts of shingles with one least text are a group: shingles with much the same texts mostly share it. A group's texts are cut into blocks; those outside its largest
     component go to every block. A task holds one block and streams through what is sent to it.
     """
     parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = large.groupBy("shingle").agg(F.min("node").alias("head"))
-    groups = connected_components(large.join(heads, "shingle").select("node", "head"), "node", "head")
-    texts = large.select("node", "n", "c").distinct().join(groups, "node")
+    heads = large.groupBy("shingle").agg(F.min("node").alias("component"))
+    texts = large.join(heads, "shingle").select("component", "node", "n", "c").distinct()
     sizes = texts.groupBy("component", "c").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"))
     texts = texts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(segments, "node")
     own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
@@ -451,6 +454,7 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     firsts = all_texts.mapInArrow(lambda batches: _firsts(batches, classes.value), "key long, salt int, node long, n int, place int, light int")
     firsts = firsts.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
     lists = shared_table(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"))
+    classes.destroy()
     counts = lists.filter("kind = 0").select(F.col("a").alias("node"), F.col("na").alias("n")).distinct()
 
     # of the text whose light first shingles end earlier, all that aren't shared are missing in the other
