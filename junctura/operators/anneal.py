@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -47,22 +49,29 @@ def anneal(positions: np.ndarray, near: list[np.ndarray], start: float, end: flo
 def anneal_designs(primers: DataFrame, design: str, position: str, start: float, end: float, forward: bool, d: float, rho: float, min_apart: float, grid: list[tuple[float, float, int]], steps: int) -> DataFrame:
     """One annealing run per design and member of ``grid`` (slope, intercept, seed).
 
-    Primers of a design closer than ``min_apart`` are incompatible. A run is one group; its input is the
-    design's candidate positions, and runs of all designs go in parallel.
+    Primers of a design closer than ``min_apart`` are incompatible. The input of a run is the array of
+    its design's candidate positions, and runs of all designs go in parallel.
     Returns ``design, slope, intercept, seed, first_cost, cost, chosen``.
     """
     kind = primers.schema[design].dataType.simpleString()
-    keys = [design, "slope", "intercept", "seed"]
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.unique(group[position].to_numpy(float))
-        near = [np.flatnonzero((np.abs(x - v) < min_apart) & (x != v)) for v in x]
-        first, cost, held = anneal(x, near, start, end, forward, d, rho, key[1], key[2], steps, int(key[3]))
-        return pd.DataFrame({design: [key[0]], "slope": [key[1]], "intercept": [key[2]], "seed": [key[3]], "first_cost": [first], "cost": [cost], "chosen": [x[held].tolist()]})
+    names = [design, "slope", "intercept", "seed", "first_cost", "cost", "chosen"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, at, slope, intercept, seed in zip(*[batch[c] for c in (design, "__at", "slope", "intercept", "seed")]):
+                x = np.unique(np.asarray(at, float))
+                near = [np.flatnonzero((np.abs(x - v) < min_apart) & (x != v)) for v in x]
+                first, cost, held = anneal(x, near, start, end, forward, d, rho, slope, intercept, steps, int(seed))
+                out.append((name, slope, intercept, seed, first, cost, x[held].tolist()))
+            yield pd.DataFrame(out, columns=names)
 
     schedules = F.array(*[F.struct(F.lit(float(m)).alias("slope"), F.lit(float(b)).alias("intercept"), F.lit(seed).cast("long").alias("seed")) for m, b, seed in grid])
-    runs = primers.select(design, position, F.explode(schedules).alias("g")).select(design, position, "g.*")
-    return runs.groupBy(*keys).applyInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
+    designs = primers.groupBy(design).agg(F.collect_set(F.col(position).cast("double")).alias("__at"))
+    # runs are long and their rows small: spread them evenly
+    parts = int(primers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = designs.select(design, "__at", F.explode(schedules).alias("g")).select(design, "__at", "g.*").repartition(parts, design, "seed")
+    return runs.mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
 
 
 def average_traces(traces: DataFrame) -> DataFrame:

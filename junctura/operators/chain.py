@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from junctura.operators.intervals import drop_contained
 
@@ -80,16 +82,21 @@ def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str
     """``fragment, row, first, last, score, chain_score`` of the segments of each fragment's best chain.
 
     ``cigar`` is an array of struct<n, op> of each segment's operations. Contained segments are dropped by
-    window functions first; what is left of a fragment, a few rows, is one group.
+    window functions first; what is left of a fragment, a few rows, becomes one array, and many
+    fragments go to Python in one batch.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([first, last])
-        segments = [(int(a), int(b), [(int(o["n"]), o["op"]) for o in ops]) for a, b, ops in zip(group[first], group[last], group[cigar])]
-        total, pieces = best_chain(segments)
-        rows = group.iloc[[p[0] for p in pieces]]
-        return pd.DataFrame({fragment: rows[fragment].to_numpy(), row: rows[row].to_numpy(), first: [p[1] for p in pieces], last: [p[2] for p in pieces], "score": [p[3] for p in pieces], "chain_score": total})
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, items in zip(batch[fragment], batch["__all"]):
+                segments = [(int(x["first"]), int(x["last"]), [(int(o["n"]), o["op"]) for o in x["ops"]]) for x in items]
+                total, pieces = best_chain(segments)
+                out += [(name, items[j]["row"], a, b, gain, total) for j, a, b, gain in pieces]
+            yield pd.DataFrame(out, columns=[fragment, row, first, last, "score", "chain_score"])
 
     survivors = drop_contained(df.select(fragment, row, first, last, cigar), fragment, first, last)
-    return survivors.groupBy(fragment).applyInPandas(best, f"`{fragment}` {kinds[fragment]}, `{row}` {kinds[row]}, `{first}` long, `{last}` long, score double, chain_score long")
+    item = F.struct(F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"), F.col(row).alias("row"), F.col(cigar).alias("ops"))
+    grouped = survivors.groupBy(fragment).agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    return grouped.mapInPandas(best, f"`{fragment}` {kinds[fragment]}, `{row}` {kinds[row]}, `{first}` long, `{last}` long, score double, chain_score long")

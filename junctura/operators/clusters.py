@@ -42,7 +42,7 @@ def triangle_edges(df: DataFrame, node: str, a: str, b: str, d: str, mode: str =
     t = df.select(F.col(node).alias("node"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(d).cast("long").alias("d"))
     t = t.withColumn("tier", F.when(F.col("d") > 0, F.ceil(F.log2("d"))).otherwise(0).cast("int"))
     tiers = t.select("tier").distinct()
-    side = lambda k: F.shiftleft(F.lit(1).cast("long"), k)
+    side = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
     big = t.select(*[F.col(c).alias(f"{c}_1") for c in t.columns], F.col("tier").alias("grid"), F.floor(F.col("a") / side(F.col("tier"))).alias("x"), F.floor(F.col("b") / side(F.col("tier"))).alias("y"))
     # the number of tiers is at most the bits of d, so this spread is bounded
     small = t.join(F.broadcast(tiers.select(F.col("tier").alias("grid"))), F.col("tier") <= F.col("grid"))

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from junctura.functions.checkpoints import shared_table
 
 
+ROWS_PER_TASK = 100_000
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
     """``node, component``: the smallest node of each component, for nodes that have an edge.
 
@@ -17,15 +20,17 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     ends = edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).filter(F.col("node").isNotNull() & F.col("other").isNotNull())
     both = shared_table(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = shared_table(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
+    # small edge tables go through few tasks, however many shuffle partitions the session has
+    tasks = max(1, -(-both.count() // ROWS_PER_TASK))
+    labels = shared_table(both.groupBy("node").agg(F.min("other").alias("least")).coalesce(tasks).select("node", F.least("node", "least").alias("component")))
     for _ in range(max_rounds):
         # each end of an edge hears of the other's label, and so does its own label's node
-        told = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        heard = labels.join(told, "node").select("node", "component", "near")
+        told = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").coalesce(tasks).groupBy("node").agg(F.min("near").alias("near"))
+        heard = labels.join(told, "node").coalesce(tasks).select("node", "component", "near")
         hooks = heard.groupBy(F.col("component").alias("node")).agg(F.min("near").alias("hook"))
-        spread = heard.join(hooks, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near", F.coalesce("hook", "near")).alias("component"))
+        spread = heard.join(hooks, "node", "left").coalesce(tasks).select("node", F.col("component").alias("old"), F.least("component", "near", F.coalesce("hook", "near")).alias("component"))
         of_label = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        shortened = spread.join(of_label, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
+        shortened = spread.join(of_label, "component", "left").coalesce(tasks).select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         held = shared_table(shortened)
         labels = held.select("node", "component")
         if held.filter(F.col("component") != F.col("old")).isEmpty():
