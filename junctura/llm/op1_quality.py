@@ -28,6 +28,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from junctura.llm.batches import bounded
+
 BUCKETS = 8192
 DIMENSIONS = 48
 REACH = 2
@@ -108,7 +110,7 @@ def word_vectors(df: DataFrame, text: str) -> WordVectors:
     """Random indexing over all texts. A row per bucket and task is shuffled; a table of fixed size reaches the driver."""
     columns = [f"d{i}" for i in range(DIMENSIONS)]
     schema = ", ".join(["bucket long", "n long", *[f"{c} long" for c in columns]])
-    sums = df.select(text).mapInArrow(_cooccur, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
+    sums = bounded(df).select(text).mapInArrow(_cooccur, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
     table = sums.toPandas()
     ids, counts = table["bucket"].to_numpy(int), np.zeros(BUCKETS)
     counts[ids] = table["n"].to_numpy(float)
@@ -213,5 +215,5 @@ def score_quality(df: DataFrame, key: str, text: str, net: Classifier, threshold
             x = np.array([model.words.pool(buckets_of(t, memo)) for t in texts], float).reshape(len(texts), DIMENSIONS + MORE)
             yield pd.Series(model.scores(x))
 
-    rows = df.select(F.col(key), score(F.col(text)).alias("score"))
+    rows = bounded(df).select(F.col(key), score(F.col(text)).alias("score"))
     return rows.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from junctura.llm.batches import bounded
+
 SIGNATURE = 64
 EMPTY = np.full(SIGNATURE, 0xFFFFFFFF, np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -105,7 +107,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     def hexed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: as_hex(signature(t)))
 
-    return df.select(F.col(key), hexed(F.col(text)).alias("fingerprint"))
+    return bounded(df).select(F.col(key), hexed(F.col(text)).alias("fingerprint"))
 
 
 def block_of(value: Column, bounds: list[int]) -> Column:
@@ -182,7 +184,7 @@ def edit_likeness(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = 2**63 - 1
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("place"))
+    rows = bounded(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("place"))
     shares = [i / parts for i in range(1, parts)]
     bounds = sorted(set(rows.agg(F.percentile_approx("place", shares, max(10_000, 100 * parts))).first()[0] or [])) if shares else []
     rows = rows.withColumn("block", block_of(F.col("place"), bounds))

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from junctura.functions.checkpoints import shared_table
+from junctura.llm.batches import bounded
 from junctura.operators.graph import connected_components
 
 WORDS = 5
@@ -56,6 +57,7 @@ FILTER_NODES = 1 << 21
 #: Bits (as a power of two) of the filter over shingle classes that two documents or more hold: 8 MB.
 SEEN_BITS = 26
 PIVOTS = 8
+BROADCAST_PAIRS = 500_000
 #: Rounds of pivots; and the pairs across components above which a shingle's texts are counted by block.
 ROUNDS, LARGE, BLOCK = 1, 20_000, 512
 _TIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -325,12 +327,16 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (``a, b, na, nb``) that reach 80 %: overlaps are counted by fragment and summed."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    segments = segments.join(needed, "node", "left_semi")
-    one = segments.select(F.col("node").alias("a"), F.col("segments").alias("sa"))
-    two = segments.select(F.col("node").alias("b"), F.col("segments").alias("sb"))
-    parts = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.explode(F.arrays_zip("sa", "sb")).alias("s"))
+    """The pairs (``a, b, na, nb``) that reach 80 %: overlaps are counted by fragment and summed.
+
+    Up to ``BROADCAST_PAIRS`` pairs (32 bytes each) are broadcast, so that only segments that have a
+    pair move; more pairs are joined by shuffles.
+    """
+    pairs = shared_table(pairs)
+    hint = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
+    one = segments.withColumnRenamed("node", "a").withColumnRenamed("segments", "sa").join(hint(pairs), "a")
+    two = segments.withColumnRenamed("node", "b").withColumnRenamed("segments", "sb").join(hint(pairs.select("b").distinct()), "b", "left_semi")
+    parts = one.join(two, "b").select("a", "b", "na", "nb", F.explode(F.arrays_zip("sa", "sb")).alias("s"))
     shared = parts.select("a", "b", "na", "nb", _overlap("s.sa", "s.sb").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return shared.filter(100 * F.col("o") >= 80 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
@@ -446,7 +452,7 @@ def _counted_by_block(large: DataFrame, segments: DataFrame) -> DataFrame:
 
 def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, n_shingles, component_id`` of every row; links are pairs with 100 * intersection >= 80 * union."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(_text_hash(text).alias("node"), F.col(text).alias("text"))
     classes = spark.sparkContext.broadcast(class_table(df.select(F.col(text).alias("text")), "text"))
@@ -481,7 +487,7 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
 
     # whatever is still apart: remaining candidates, and pairs that a heavy shingle holds
     still = _labelled(_labelled(candidates, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b", "na", "nb")
-    rest = shared_table(still.unionByName(_across(few)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = still.unionByName(_across(few)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     if not many.isEmpty():
         links = links.unionByName(shared_table(_counted_by_block(many, segments)))
     links = shared_table(links.unionByName(verified(rest, segments)))

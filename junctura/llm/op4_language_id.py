@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from junctura.llm.batches import bounded
+
 WINDOW = 256
 WIDTH = 8  # of the byte embedding
 FILTERS = 16  # of each width
@@ -185,7 +187,7 @@ def language_of(df: DataFrame, text: str, net: Network | None) -> Column:
     """A struct ``language, score`` for each text."""
     if net is None:
         return F.struct(F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("score"))
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = bounded(df).sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("language string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -24,6 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from junctura.llm.batches import bounded
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("account", "secret", "url")
 KINDS = BASE_KINDS + MORE_KINDS
@@ -128,7 +130,7 @@ def find_pii(df: DataFrame, key: str, text: str) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], fields=list(struct))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[key, "spans"])
 
-    return df.select(key, text).mapInArrow(scan, f"`{key}` {field.dataType.simpleString()}, spans {SPANS}")
+    return bounded(df).select(key, text).mapInArrow(scan, f"`{key}` {field.dataType.simpleString()}, spans {SPANS}")
 
 
 def told(spans: Column) -> Column:
@@ -160,4 +162,4 @@ def redact_pii(df: DataFrame, text: str) -> DataFrame:
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(redacted, na_action="ignore")
 
-    return df.withColumn(text, mask(F.col(text)))
+    return bounded(df).withColumn(text, mask(F.col(text)))
