@@ -16,10 +16,10 @@ def off_target_hits(psl: DataFrame, min_length: int = 15) -> DataFrame:
     Names are ``LEFT:pos`` and ``RIGHT:pos``. Returns ``primer, contig, pos, forward``.
     """
     side = F.split("qseqid", ":")
-    left = (side[0] == "LEFT") & (F.col("strand") == "+") & (F.col("qlen") - F.col("qend") <= 1)
-    right = (side[0] == "RIGHT") & (F.col("strand") == "-") & (F.col("qstart") <= 1)
+    left = (F.get(side, F.lit(0)) == "LEFT") & (F.col("strand") == "+") & (F.col("qlen") - F.col("qend") <= 1)
+    right = (F.get(side, F.lit(0)) == "RIGHT") & (F.col("strand") == "-") & (F.col("qstart") <= 1)
     rows = psl.filter((F.col("send") - F.col("sstart") >= min_length) & (left | right))
-    return rows.select(side[1].cast("long").alias("primer"), F.col("sseqid").alias("contig"), F.col("sstart").alias("pos"), (F.col("strand") == "+").alias("forward"))
+    return rows.select(F.get(side, F.lit(1)).try_cast("long").alias("primer"), F.col("sseqid").alias("contig"), F.col("sstart").alias("pos"), (F.col("strand") == "+").alias("forward"))
 
 
 def at_most(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -33,7 +33,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("value", "\t")
     rows = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     typed = {"flags": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
-    return rows.select(*[part[i].cast(typed.get(c, "string")).alias(c) for i, c in enumerate(SAM_COLUMNS)])
+    return rows.select(*[F.get(part, F.lit(i)).try_cast(typed.get(c, "string")).alias(c) for i, c in enumerate(SAM_COLUMNS)])
 
 
 def has_flag(flags: Column, name: str) -> Column:

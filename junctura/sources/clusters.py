@@ -9,12 +9,12 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """A row per support: ``cluster`` (place of the block), header fields, and ``frag_idx, bp_idx, left, right, d``."""
     blocks = spark.read.text(path, lineSep="=\n").filter(F.trim("value") != "")
     blocks = blocks.withColumn("cluster", F.monotonically_increasing_id()).withColumn("lines", F.filter(F.split("value", "\n"), lambda x: x != ""))
-    head = F.split(F.regexp_replace(F.col("lines")[0], "^#", ""), "\t", -1)
+    head = F.split(F.regexp_replace(F.get("lines", F.lit(0)), "^#", ""), "\t", -1)
     rows = blocks.select("cluster", head.alias("h"), F.posexplode(F.filter("lines", lambda x: ~x.startswith("#"))).alias("place", "row")).withColumn("p", F.split("row", "\t"))
     names = ["frag_idx", "bp_idx", "left", "right", "d"]
     header = ["name", "left_contig", "right_contig"]
     return rows.select(
-        "cluster", "place", *[F.col("h")[i].alias(c) for i, c in enumerate(header)], *[F.col("h")[i + 3].cast("double").alias(c) for i, c in enumerate(("mode_left", "mode_right", "mode_d"))], *[F.col("p")[i].cast("long").alias(c) for i, c in enumerate(names)]
+        "cluster", "place", *[F.get("h", F.lit(i)).alias(c) for i, c in enumerate(header)], *[F.get("h", F.lit(i + 3)).try_cast("double").alias(c) for i, c in enumerate(("mode_left", "mode_right", "mode_d"))], *[F.get("p", F.lit(i)).try_cast("long").alias(c) for i, c in enumerate(names)]
     )
 
 

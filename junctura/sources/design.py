@@ -14,7 +14,7 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """``key, value`` of key=value lines; lines without exactly one ``=`` are skipped."""
     part = F.split("value", "=", -1)
-    return spark.read.text(path).filter(F.size(part) == 2).select(F.trim(part[0]).alias("key"), F.trim(part[1]).alias("value"))
+    return spark.read.text(path).filter(F.size(part) == 2).select(F.trim(F.get(part, F.lit(0))).alias("key"), F.trim(F.get(part, F.lit(1))).alias("value"))
 
 
 def settings(rows: list[tuple[str, str]]) -> dict[str, dict[str, str]]:
@@ -33,7 +33,7 @@ def candidate_records(lines: DataFrame) -> DataFrame:
     pattern = r"^PRIMER_(LEFT|RIGHT)_(\d+)(?:_([^=]+))?=(.*)$"
     rows = lines.filter(F.col("value").rlike(pattern) & ~F.col("value").contains("RETURNED"))
     key = F.regexp_extract("value", pattern, 3)
-    return rows.select(F.regexp_extract("value", pattern, 1).alias("side"), F.regexp_extract("value", pattern, 2).cast("int").alias("idx"), F.when(key == "", "POSITION").otherwise(key).alias("key"), F.regexp_extract("value", pattern, 4).alias("value"))
+    return rows.select(F.regexp_extract("value", pattern, 1).alias("side"), F.regexp_extract("value", pattern, 2).try_cast("int").alias("idx"), F.when(key == "", "POSITION").otherwise(key).alias("key"), F.regexp_extract("value", pattern, 4).alias("value"))
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +42,7 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     wide = records.groupBy("side", "idx").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     get = lambda k: F.col("m")[k]
     at = F.split(get("POSITION"), ",")
-    return wide.select("side", "idx", at[0].cast("long").alias("pos"), at[1].cast("int").alias("len"), get("PENALTY").cast("double").alias("penalty"), get("SEQUENCE").alias("sequence"), F.col("m").alias("values"))
+    return wide.select("side", "idx", F.get(at, F.lit(0)).try_cast("long").alias("pos"), F.get(at, F.lit(1)).try_cast("int").alias("len"), get("PENALTY").try_cast("double").alias("penalty"), get("SEQUENCE").alias("sequence"), F.col("m").alias("values"))
 
 
 def pivot_records(records: DataFrame, by: list[str], key: str, value: str, keys: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 def read_solutions(spark: SparkSession, path: str) -> DataFrame:
     """``params, cost, seconds, primers``: an array of positions per region."""
     rows = spark.read.csv(path, sep="\t", schema="params string, cost long, seconds double, chosen string")
-    per_region = F.transform(F.split("chosen", ":"), lambda r: F.transform(F.filter(F.split(r, ","), lambda x: x != ""), lambda x: x.cast("long")))
+    per_region = F.transform(F.split("chosen", ":"), lambda r: F.transform(F.filter(F.split(r, ","), lambda x: x != ""), lambda x: x.try_cast("long")))
     return rows.select("params", "cost", "seconds", per_region.alias("primers"))
 
 
@@ -119,7 +119,7 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     name = F.split(F.input_file_name(), r"\.")
     rows = spark.read.text(path).filter(F.col("value").startswith("Iterations"))
     return rows.select(
-        F.element_at(name, -3).alias("m"), F.element_at(name, -2).alias("b"), F.element_at(name, -1).alias("run"), part[1].cast("long").alias("iteration"), part[2].cast("double").alias("seconds"), part[3].cast("double").alias("min_cost"), part[4].cast("double").alias("curr_cost")
+        F.element_at(name, -3).alias("m"), F.element_at(name, -2).alias("b"), F.element_at(name, -1).alias("run"), F.get(part, F.lit(1)).try_cast("long").alias("iteration"), F.get(part, F.lit(2)).try_cast("double").alias("seconds"), F.get(part, F.lit(3)).try_cast("double").alias("min_cost"), F.get(part, F.lit(4)).try_cast("double").alias("curr_cost")
     )
 
 
@@ -127,7 +127,7 @@ def solution_names(df: DataFrame, name: str) -> DataFrame:
     """Adds ``solution, row, contig, position, forward`` from names like ``sln-01-02_contig_pos_True``."""
     pattern = r"^>?sln-(\d+)-(\d+)_(.+)_(\d+)_(True|False)$"
     part = lambda i: F.regexp_extract(F.col(name), pattern, i)
-    return df.withColumns({"solution": part(1).cast("int"), "row": part(2).cast("int"), "contig": part(3), "position": part(4).cast("long"), "forward": part(5) == "True"})
+    return df.withColumns({"solution": part(1).try_cast("int"), "row": part(2).try_cast("int"), "contig": part(3), "position": part(4).try_cast("long"), "forward": part(5) == "True"})
 
 
 def deletion_breakpoints(df: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def variant_samples(lines: DataFrame) -> DataFrame:
     """``pos, length, sample`` of VCF lines: samples are listed in the INFO column as SAMPLES=a,b."""
     part = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("#"))
-    return rows.select(part[1].cast("long").alias("pos"), F.length(part[3]).cast("long").alias("length"), F.explode(F.split(F.regexp_extract(part[7], "SAMPLES=([^;]*)", 1), ",")).alias("sample"))
+    return rows.select(F.get(part, F.lit(1)).try_cast("long").alias("pos"), F.length(F.get(part, F.lit(3))).cast("long").alias("length"), F.explode(F.split(F.regexp_extract(F.get(part, F.lit(7)), "SAMPLES=([^;]*)", 1), ",")).alias("sample"))
 
 
 def population_ratios(carriers: DataFrame, panel: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def population_ratios(carriers: DataFrame, panel: DataFrame) -> DataFrame:
 
 def block_values(text: Column) -> Column:
     """Numbers of a comma-separated list with a trailing comma."""
-    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast("long"))
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.try_cast("long"))
 
 
 def exon_regions(df: DataFrame, starts: str, sizes: str, forward: str, width: int) -> DataFrame:
