@@ -144,7 +144,7 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
         return pd.DataFrame([row])
 
     blobs = df.select(text).mapInArrow(collect, "fragment int, steps binary")
-    counts = shared_table(blobs.groupBy("fragment").applyInPandas(count, "fragment int, class array<bigint>, n array<bigint>, seen binary"))
+    counts = shared_table(blobs.groupBy("fragment").applyInPandas(count, "fragment int, class array<bigint>, n array<bigint>, seen binary"), files=2)
     pairs = counts.select(F.explode(F.arrays_zip("class", "n")).alias("p")).select("p.class", "p.n")
     table = pairs.orderBy(F.desc("n"), "class").limit(HEAVY_TABLE).toPandas().sort_values("class")
     filter_ = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
@@ -321,7 +321,7 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         texts = texts.join(nodes, "node", "left_semi")
     shared = texts.sparkSession.sparkContext.broadcast(mask)
     kind = "node long, segments array<binary>"
-    held = shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(parts, "node").mapInArrow(_once, kind))
+    held = shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(-(-parts // 4), "node").mapInArrow(_once, kind))
     shared.destroy()
     return held
 
@@ -459,7 +459,7 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     all_texts = df.select(_text_hash(text).alias("node"), F.col(text).alias("text"))
     firsts = all_texts.mapInArrow(lambda batches: _firsts(batches, classes.value), "key long, salt int, node long, n int, place int, light int")
     firsts = firsts.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
-    lists = shared_table(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"))
+    lists = shared_table(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"), files=-(-parts // 8))
     classes.destroy()
     counts = lists.filter("kind = 0").select(F.col("a").alias("node"), F.col("na").alias("n")).distinct()
 
