@@ -19,9 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def shared_table(df: DataFrame) -> DataFrame:
+def shared_table(df: DataFrame, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
+    ``files`` gathers a table that is small against the work that made it, which many tasks
+    have a bit of, into so many files by a last exchange.
+
     Blocks on the write, so later jobs all see the same rows even if executors are lost meanwhile. A written
     table is used rather than ``checkpoint()`` for two reasons: it is columnar and compressed, and it
     starts a fresh plan, while a checkpoint keeps the constraints of the plan it was made from, which
@@ -29,5 +32,5 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.repartition(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
