@@ -120,7 +120,7 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
                 for t in batch.column(0).slice(at, 512).to_pylist():
                     held.append(shingles(t))
                     size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield cut(held)
                     held, size = [], 0
         if size:

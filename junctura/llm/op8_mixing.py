@@ -111,8 +111,8 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return group[["absent", "source", "size", "rounds", "more"]]
 
 
-def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap: float, weights: tuple[int, ...], seed: int, carry: list[str]) -> DataFrame:
-    """Every row with ``absent, source, size, source_size, target, copies``, and ``row``, a struct of the columns to carry.
+def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap: float, weights: tuple[int, ...], seed: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Every row with ``absent, source, size, copies``, and ``row``, a struct of the columns to carry; and the sources' targets.
 
     Within a source and length the documents are cut into hash cells; cells are
     taken whole in order as long as their counts fit, and documents are
@@ -139,7 +139,7 @@ def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap:
     rank = F.row_number().over(W.partitionBy("absent", "source", "size", "cell").orderBy("luck"))
     cut = rows.filter(split).withColumn("extra", (rank <= F.col("room")).cast("int"))
     whole = rows.filter(~F.coalesce(split, F.lit(False))).withColumn("extra", F.coalesce((F.col("room") >= F.col("n")).cast("int"), F.lit(0)))
-    return whole.unionByName(cut).withColumn("copies", F.coalesce("rounds", F.lit(0)) + F.col("extra")).join(targets, ["absent", "source"])
+    return whole.unionByName(cut).withColumn("copies", F.coalesce("rounds", F.lit(0)) + F.col("extra")), targets
 
 
 def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
@@ -148,11 +148,11 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float =
     ``taken`` is the number of the document's words in the mix: a multiple of its
     size, at most ``ceil(cap)`` times.
     """
-    rows = _decided(df, key, text, source, share, cap, weights, seed, [key])
-    return rows.select(F.col(f"row.`{key}`").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows, targets = _decided(df, key, text, source, share, cap, weights, seed, [key])
+    return rows.join(targets, ["absent", "source"]).select(F.col(f"row.`{key}`").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mix itself: the columns of ``df``, each row as often as it is taken."""
-    rows = _decided(df, key, text, source, share, cap, weights, seed, df.columns)
+    rows, _ = _decided(df, key, text, source, share, cap, weights, seed, df.columns)
     return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
