@@ -77,7 +77,7 @@ def permuted(index: Column, n: int, seed: int) -> Column:
 def numbered(df: DataFrame, order: list[str], name: str = "row_index") -> tuple[DataFrame, int]:
     """``df`` with gapless row numbers from 0 in the order of ``order`` (nulls first), and the count.
 
-    One range exchange; the numbered rows are checkpointed, for a second run of
+    One range exchange; the numbered rows are written as a table, for a second run of
     the exchange might cut the ranges elsewhere. Offsets are sums over a row per
     partition, whose number is a setting and not the data's.
     """
