@@ -135,11 +135,11 @@ def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap:
     cuts = cells.withColumn("before", F.coalesce(F.sum("n").over(by_cell), F.lit(0))).join(plan, ["absent", "source", "size"])
     cuts = cuts.select("absent", "source", "size", "cell", "rounds", (F.col("more") - F.col("before")).alias("room"), "n")
     rows = base.join(cuts, ["absent", "source", "size", "cell"], "left")
-    split = (F.col("room") > 0) & (F.col("room") < F.col("n"))
+    # ranks matter in the cells that are cut only, but one window over all cells keeps to one exchange of the rows
     rank = F.row_number().over(W.partitionBy("absent", "source", "size", "cell").orderBy("luck"))
-    cut = rows.filter(split).withColumn("extra", (rank <= F.col("room")).cast("int"))
-    whole = rows.filter(~F.coalesce(split, F.lit(False))).withColumn("extra", F.coalesce((F.col("room") >= F.col("n")).cast("int"), F.lit(0)))
-    return whole.unionByName(cut).withColumn("copies", F.coalesce("rounds", F.lit(0)) + F.col("extra")), targets
+    extra = F.when(F.col("room") >= F.col("n"), 1).when(F.col("rank") <= F.col("room"), 1).otherwise(0)
+    rows = rows.withColumn("rank", rank).withColumn("copies", F.coalesce("rounds", F.lit(0)) + extra)
+    return rows.select("row", "absent", "source", "size", "copies"), targets
 
 
 def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
