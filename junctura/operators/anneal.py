@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+#: Most moves of a run, and least, as the reference has them.
+CAP = 100_000_000
+FLOOR = 1_000_000
 
 
 def tiling(points: np.ndarray, start: float, end: float, forward: bool, d: float, rho: float) -> float:
@@ -16,41 +22,110 @@ def tiling(points: np.ndarray, start: float, end: float, forward: bool, d: float
     return float(gaps[gaps > 0].sum() + np.maximum(0, -gaps[gaps <= 0] - d * rho).sum())
 
 
-def iterations(cap: int, slope: float, intercept: float, floor: int = 1_000_000) -> int:
+def iterations(cap: int, slope: float, intercept: float, floor: int = FLOOR) -> int:
     """Length of a run whose temperature falls from ``intercept`` by ``slope`` a step."""
     return int(max(min(cap, 2 * intercept + abs(round(intercept / slope))), floor))
 
 
-def anneal(positions: np.ndarray, near: list[np.ndarray], start: float, end: float, forward: bool, d: float, rho: float, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000) -> tuple[float, float, list[int]]:
-    """Initial cost, best cost and best set. Starts from one random primer.
+Region = tuple[float, float, bool]
+
 
-    A move takes a random primer: a member leaves; another one enters and drives out what it is
-    incompatible with. Better sets are taken, worse ones with a chance by temperature max(slope * i + intercept, 1).
+def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, d: float, rho: float, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000) -> tuple[float, float, list[int]]:
+    """Initial cost, best cost and best set of ``spots``, (region, position) pairs in order.
+
+    Starts from a random primer in each region, in six of them at most, drawn again until they are compatible.
+    A move takes a random primer: a member leaves; another one enters and drives out what it is incompatible with,
+    that is its ``near`` ones and those of its region at another position less than ``apart`` away. Better
+    or equal sets are taken, worse ones with a chance by temperature max(slope * i + intercept, 1).
     After ``patience`` steps without a better set the search goes back to the best.
+
+    A set's cost and the sets its moves lead to are kept while the set is in a bounded memory: a cooled run tries the same moves over and over.
     """
     draw = np.random.default_rng(seed)
-    chosen = {int(draw.integers(len(positions)))}
-    cost = best = tiling(positions[list(chosen)], start, end, forward, d, rho)
-    first, held, age = cost, set(chosen), 0
-    for i in range(steps):
-        u = int(draw.integers(len(positions)))
-        fresh = chosen - {u} if u in chosen else (chosen - set(near[u].tolist())) | {u}
-        now = tiling(positions[sorted(fresh)], start, end, forward, d, rho)
-        if now <= cost or draw.random() < np.exp((cost - now) / max(slope * i + intercept, 1.0)):
-            chosen, cost = fresh, now
-        age += 1
-        if cost < best:
-            best, held, age = cost, set(chosen), 0
-        if age > patience:
-            chosen, cost, age = set(held), best, 0
-    return first, best, sorted(held)
-
-
-def anneal_designs(primers: DataFrame, design: str, position: str, start: float, end: float, forward: bool, d: float, rho: float, min_apart: float, grid: list[tuple[float, float, int]], steps: int) -> DataFrame:
-    """One annealing run per design and member of ``grid`` (slope, intercept, seed).
+    none: set[int] = set()
+
+    def clash(u: int, v: int) -> bool:
+        return v in near.get(u, none) or spots[u][0] == spots[v][0] and 0 < abs(spots[u][1] - spots[v][1]) < apart
+
+    def cost_of(chosen: tuple[int, ...]) -> float:
+        total, k = 0.0, 0
+        for r, (start, end, forward) in enumerate(regions):
+            before, outer = start, forward
+            while k < len(chosen) and spots[chosen[k]][0] == r:
+                at = spots[chosen[k]][1]
+                gap = at - before if outer else at - before - d
+                total += gap if gap > 0 else max(0.0, -gap - d * rho)
+                before, outer, k = at, False, k + 1
+            gap = end - before if outer or not forward else end - before - d
+            total += gap if gap > 0 else max(0.0, -gap - d * rho)
+        return total
+
+    within: dict[int, list[int]] = {}
+    for u, (r, _) in enumerate(spots):
+        within.setdefault(r, []).append(u)
+    first: list[int] = []
+    for _ in range(1000):
+        used = sorted(within) if len(within) <= 6 else sorted(draw.choice(sorted(within), 6, replace=False).tolist())
+        first = [within[r][int(draw.integers(len(within[r])))] for r in used]
+        if not any(clash(u, v) for u in first for v in first if u < v):
+            break
+    else:  # hardly any compatible ones: what goes with those before it
+        first = [u for k, u in enumerate(first) if not any(clash(u, v) for v in first[:k])]
+
+    known: dict[tuple[int, ...], list] = {}
+    room = 0
+
+    def state(chosen: tuple[int, ...]) -> list:
+        nonlocal room
+        if chosen not in known:
+            known[chosen] = [cost_of(chosen), chosen, {}]
+            room += len(chosen) + 16
+        return known[chosen]
+
+    held = best = state(tuple(sorted(first)))
+    begun = cost = held[0]
+    age, i, block = 0, 0, 1 << 16
+    while i < steps:
+        n = min(block, steps - i)
+        for u, chance in zip(draw.integers(len(spots), size=n).tolist(), draw.random(n).tolist()):
+            fresh = held[2].get(u)
+            if fresh is None:
+                if room > 1_000_000:
+                    for kept in (held, best):
+                        kept[2].clear()
+                    known.clear()
+                    room = 0
+                chosen = held[1]
+                moved = [v for v in chosen if v != u] if u in chosen else sorted([v for v in chosen if not clash(u, v)] + [u])
+                fresh = state(tuple(moved))
+                held[2][u] = fresh
+                room += 2
+            worse = fresh[0] - cost
+            if worse <= 0 or chance < math.exp(-worse / max(slope * i + intercept, 1.0)):
+                held, cost = fresh, fresh[0]
+            age += 1
+            if cost < best[0]:
+                best, age = held, 0
+            if age > patience:
+                held, cost, age = best, best[0], 0
+            i += 1
+    return begun, best[0], list(best[1])
+
+
+def _schedules(grid: list[tuple[float, float, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(float(m)).alias("slope"), F.lit(float(b)).alias("intercept"), F.lit(seed).cast("long").alias("seed")) for m, b, seed in grid]))
+
+
+def _spread(runs: DataFrame, design: str) -> DataFrame:
+    """Runs are long and their rows small: spread them evenly."""
+    return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), design, "seed", "slope", "intercept")
+
+
+def anneal_designs(primers: DataFrame, design: str, position: str, start: float, end: float, forward: bool, d: float, rho: float, min_apart: float, grid: list[tuple[float, float, int]], steps: int | None = None) -> DataFrame:
+    """One annealing run per design and member of ``grid`` (slope, intercept, seed), of designs that have one region and no graph.
 
     Primers of a design closer than ``min_apart`` are incompatible. The input of a run is the array of
-    its design's candidate positions, and runs of all designs go in parallel.
+    its design's candidate positions, and runs of all designs go in parallel. Runs have ``iterations`` moves unless ``steps`` is given.
     Returns ``design, slope, intercept, seed, first_cost, cost, chosen``.
     """
     kind = primers.schema[design].dataType.simpleString()
@@ -60,18 +135,55 @@ def anneal_designs(primers: DataFrame, design: str, position: str, start: float,
         for batch in batches:
             out = []
             for name, at, slope, intercept, seed in zip(*[batch[c] for c in (design, "__at", "slope", "intercept", "seed")]):
-                x = np.unique(np.asarray(at, float))
-                near = [np.flatnonzero((np.abs(x - v) < min_apart) & (x != v)) for v in x]
-                first, cost, held = anneal(x, near, start, end, forward, d, rho, slope, intercept, steps, int(seed))
-                out.append((name, slope, intercept, seed, first, cost, x[held].tolist()))
+                x = np.unique(np.asarray(at, float)).tolist()
+                moves = iterations(CAP, slope, intercept) if steps is None else steps
+                first, cost, held = anneal([(0, v) for v in x], [(start, end, forward)], {}, min_apart, d, rho, slope, intercept, moves, int(seed))
+                out.append((name, slope, intercept, seed, first, cost, [x[k] for k in held]))
             yield pd.DataFrame(out, columns=names)
 
-    schedules = F.array(*[F.struct(F.lit(float(m)).alias("slope"), F.lit(float(b)).alias("intercept"), F.lit(seed).cast("long").alias("seed")) for m, b, seed in grid])
     designs = primers.groupBy(design).agg(F.collect_set(F.col(position).cast("double")).alias("__at"))
-    # runs are long and their rows small: spread them evenly
-    parts = int(primers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = designs.select(design, "__at", F.explode(schedules).alias("g")).select(design, "__at", "g.*").repartition(parts, design, "seed")
-    return runs.mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
+    runs = designs.select(design, "__at", _schedules(grid).alias("g")).select(design, "__at", "g.*")
+    return _spread(runs, design).mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
+
+
+def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000) -> DataFrame:
+    """One annealing run per design and member of ``grid`` (slope, intercept, seed), over its regions and its incompatible pairs.
+
+    ``primers`` has a design's primers, each once, with region and position; ``regions`` its regions; ``edges`` pairs of
+    primers that no set may hold together, for all designs alike. A primer that is incompatible with itself is no candidate. A run
+    has ``iterations(cap, slope, intercept, floor)`` moves; the reference's ``floor`` is a million. A design
+    is the unit of work: its primers, and its pairs out of ``edges``, meet in one task.
+    Returns ``design, slope, intercept, seed, steps, first_cost, cost, chosen``; ``chosen`` are primers.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in primers.schema}
+    names = [design, "slope", "intercept", "seed", "steps", "first_cost", "cost", "chosen"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, of, at, pairs, slope, intercept, seed in zip(*[batch[c] for c in (design, "__regions", "__primers", "__pairs", "slope", "intercept", "seed")]):
+                place = {r["r"]: k for k, r in enumerate(of)}
+                found = sorted(((place[p["r"]], p["x"], p["p"]) for p in at if p["r"] in place))
+                index = {p: k for k, (_, _, p) in enumerate(found)}
+                near: dict[int, set[int]] = {}
+                for e in [] if pairs is None else pairs:
+                    if e["p"] in index and e["q"] in index:
+                        near.setdefault(index[e["p"]], set()).add(index[e["q"]])
+                        near.setdefault(index[e["q"]], set()).add(index[e["p"]])
+                if found:
+                    steps = iterations(cap, slope, intercept, floor)
+                    first, cost, held = anneal([f[:2] for f in found], [(r["a"], r["b"], bool(r["f"])) for r in of], near, 0.0, d, rho, slope, intercept, steps, int(seed), patience)
+                    yield pd.DataFrame([(name, slope, intercept, seed, steps, first, cost, [found[k][2] for k in held])], columns=names)
+
+    alone = edges.filter(F.col(src) == F.col(dst)).select(F.col(src).alias(primer)).distinct()
+    able = primers.join(alone, primer, "left_anti").select(design, primer, region, F.col(position).cast("double").alias("__x"))
+    side = lambda c: able.select(design, F.col(primer).alias(c))
+    pairs = edges.select(F.least(src, dst).alias("p"), F.greatest(src, dst).alias("q")).filter("p < q").distinct().join(side("p"), "p").join(side("q"), [design, "q"])
+    pairs = pairs.groupBy(design).agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("__pairs"))
+    of = regions.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), F.col(forward).alias("f")))).alias("__regions"))
+    designs = able.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col("__x").alias("x"), F.col(primer).alias("p")))).alias("__primers"))
+    designs = designs.join(of, design).join(pairs, design, "left")
+    runs = designs.select("*", _schedules(grid).alias("g")).select(design, "__regions", "__primers", "__pairs", "g.*")
+    return _spread(runs, design).mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>")
 
 
 def average_traces(traces: DataFrame) -> DataFrame:

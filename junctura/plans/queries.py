@@ -387,8 +387,11 @@ def q35(spark, d):
 
 @query("q36_anneal")
 def q36(spark, d):
-    found = ordered(spark, d).select("o_custkey", "day")
-    runs = anneal.anneal_designs(found, "o_custkey", "day", 0.0, 2500.0, True, 300.0, 0.1, 30.0, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], 150)
+    """Suppliers are designs, their parts primers at their first hit, each strand a region over all of the supplier's days; q13 has the incompatible parts."""
+    found = hits(spark, d)
+    parts = found.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("pos", "f")).alias("m")).select("l_suppkey", "l_partkey", "m.pos", "m.f")
+    regions = found.groupBy("l_suppkey").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("f")).withColumn("forward", F.col("f"))
+    runs = anneal.anneal_graphs(parts, regions, q13(spark, d), "l_suppkey", "l_partkey", "f", "pos", "a", "b", "forward", "p", "q", 300.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)])
     return runs.drop("chosen")
 
 

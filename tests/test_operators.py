@@ -170,6 +170,35 @@ def test_anneal_is_seeded_and_compatible(spark):
         assert all(abs(a - b) >= 20 for a, b in itertools.combinations(row[6], 2))
 
 
+def test_anneal_runs_the_whole_schedule_over_graph_and_regions(spark):
+    import numpy as np
+
+    draw = random.Random(9)
+    rows = [(k, 100 * k + i, i % 2 == 0, draw.randrange(2000)) for k in range(2) for i in range(40)]
+    bad = [(100 * k + a, 100 * k + b) for k in range(2) for a in range(40) for b in range(a, 40) if draw.random() < 0.1]
+    regions = spark.createDataFrame([(k, f, 0, 2000, f) for k in range(2) for f in (True, False)], "k int, r boolean, a int, b int, f boolean")
+    primers_, edges = spark.createDataFrame(rows, "k int, p int, r boolean, x int"), spark.createDataFrame(bad, "s int, t int")
+    run = lambda **more: anneal.anneal_graphs(primers_, regions, edges, "k", "p", "r", "x", "a", "b", "f", "s", "t", 200.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], **more).collect()
+    assert sorted((r.k, r.slope, r.steps) for r in run(floor=1)) == [(0, -2.0, 1000), (0, -0.5, 400), (1, -2.0, 1000), (1, -0.5, 400)]
+    found, again = run(floor=100_000, patience=2000), run(floor=100_000, patience=2000)
+    assert sorted(map(str, found)) == sorted(map(str, again)) and {r.steps for r in found} == {100_000}
+    at, forbidden = {p: (r, x) for _, p, r, x in rows}, set(bad)
+    for r in found:
+        assert not [(a, b) for a in r.chosen for b in r.chosen if (a, b) in forbidden]
+        cost = sum(anneal.tiling(np.array([at[p][1] for p in r.chosen if at[p][0] == f], float), 0, 2000, f, 200.0, 0.1) for f in (True, False))
+        assert r.cost == cost <= r.first_cost
+
+
+def test_anneal_query_has_the_reference_budget(spark, monkeypatch):
+    from junctura.plans import queries
+
+    asked = []
+    monkeypatch.setattr(anneal, "anneal_graphs", lambda *a, **k: asked.append((a, k)) or spark.range(1).withColumnRenamed("id", "chosen"))
+    queries.q36(spark, "/root/testdata/sf0.001")
+    assert asked and not asked[0][1]  # no floor, cap or patience below the reference's
+    assert (anneal.FLOOR, anneal.CAP) == (1_000_000, 100_000_000) and anneal.iterations(anneal.CAP, -0.5, 100.0) == 1_000_000
+
+
 def test_search_labels(spark):
     def walk(n, depth=1, path=""):
         if n == 1:
