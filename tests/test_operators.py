@@ -199,6 +199,17 @@ def test_anneal_query_has_the_reference_budget(spark, monkeypatch):
     assert (anneal.FLOOR, anneal.CAP) == (1_000_000, 100_000_000) and anneal.iterations(anneal.CAP, -0.5, 100.0) == 1_000_000
 
 
+def test_components_over_all_links(spark, tmp_path):
+    from junctura.plans import queries
+
+    lines = [(1, 7, 1.0, 0.0), (1, 8, 50.0, 0.1), (2, 8, 3.0, 0.02), (3, 9, 4.0, 0.1), (4, 10, 50.0, 0.1), (5, 10, 2.0, 0.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.node: r.component for r in queries.q44_all(spark, str(tmp_path)).collect()}
+    far = 1_000_000_000
+    assert got == {1: 1, 2: 1, far + 7: 1, far + 8: 1, 3: 3, far + 9: 3, 4: 4, 5: 4, far + 10: 4}
+
+
 def test_search_labels(spark):
     def walk(n, depth=1, path=""):
         if n == 1:
