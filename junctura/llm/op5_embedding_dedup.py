@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each of ``PASSES`` passes every vector gets 64 bits, the signs of random projections, and the
+In each pass every vector gets 64 bits, the signs of random projections, and the
 vectors of a label are ordered by them, the first bit first. Each vector is compared
 with the ``WINDOW`` before it; pairs of cosine ``THRESHOLD`` or more in double precision
 are linked, and the links of all passes are united. A second look makes the
@@ -9,7 +9,9 @@ so a vector's links to its component are counted exactly and no pair is ever emi
 Exact copies of one label are one node with a multiplicity.
 
 Windows are a feature of the method: a pair is found if any pass, or any chain of found
-pairs, brings its vectors together. Recall against brute force is measured in the tests.
+pairs, brings its vectors together. The number of passes is ``PASSES`` at least and grows with the largest label,
+so that a pair just at the threshold is expected to be met with a chance of ``RECALL``, whatever the size.
+Recall against brute force is measured in the tests.
 
 Edge cases: a null label or vector, a zero vector, one with null or non-finite components
 is linked with nothing and is its own component; vectors of different lengths aren't compared; a
@@ -19,6 +21,7 @@ with the component's id are kept; an empty table gives no rows. Extra columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ from junctura.operators.graph import connected_components
 
 THRESHOLD = 0.93
 PASSES = 12
+RECALL = 0.99
 WINDOW = 32
 BLOCK = 1024
 
@@ -56,6 +60,16 @@ def _by_length(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.
         yield rows, _matrix(batch.column(at).take(pa.array(rows)))
 
 
+def passes_for(size: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, least: int = PASSES) -> int:
+    """Passes after which a pair at the threshold was met with chance ``recall`` in a label of ``size`` vectors.
+
+    One sign agrees with chance 1 - angle / pi, and a pass meets a pair if about log2(size / window) leading signs agree.
+    """
+    agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    met = agree ** max(0.0, math.log2(max(1, size) / window))
+    return least if met >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def _keys(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Adds the key of each pass: 64 signs, as a long that sorts like the bits."""
     planes: dict[int, np.ndarray] = {}
@@ -138,13 +152,15 @@ def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield told([count(held)])
 
 
-def near_duplicates(df: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 17) -> DataFrame:
-    """``key, n_links, component_id, kept`` of every row."""
+def near_duplicates(df: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 17, recall: float = RECALL) -> DataFrame:
+    """``key, n_links, component_id, kept`` of every row. ``passes`` is the least number of passes."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     rows = rows.withColumn("node", F.when(usable(F.col("vector"), F.col("label")), F.xxhash64("label", F.size("vector"), "vector")))
     groups = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("size"))
     groups = shared_table(groups.withColumn("label", F.xxhash64("label")))
+    largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    passes = passes_for(largest, threshold, window, recall, passes)
     keyed = groups.select("node", "label", "vector").mapInArrow(lambda b: _keys(b, passes, seed), f"node long, label long, {_field(groups, 'vector')}, keys array<bigint>")
     keyed = keyed.select("node", "label", "vector", F.posexplode("keys").alias("pass", "key"))
     order = ["pass", "label", "key", "node"]

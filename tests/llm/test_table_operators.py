@@ -128,6 +128,19 @@ def test_embeddings_against_brute_force(spark):
     assert op5_embedding_dedup.near_duplicates(df.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_passes_follow_the_largest_label(spark):
+    assert [op5_embedding_dedup.passes_for(n) for n in (0, 1, 500, 10**5, 10**6, 10**7)] == [12, 12, 12, 18, 29, 45]
+    draw = np.random.default_rng(4)
+    a, b = draw.normal(size=(2, 2000, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    both = np.stack([a, 0.932 * a + np.sqrt(1 - 0.932**2) * b], axis=1).reshape(4000, 24)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = op5_embedding_dedup.near_duplicates(df, "vec_id", "embedding", "label", window=1).filter("n_links > 0").count()
+    assert got >= 0.98 * 4000
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
