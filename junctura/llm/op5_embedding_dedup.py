@@ -2,7 +2,7 @@
 
 In each pass every vector gets 64 bits, the signs of random projections, and the
 vectors of a label are ordered by them, the first bit first. Each vector is compared
-with the ``WINDOW`` before it; pairs of cosine ``THRESHOLD`` or more in double precision
+with the ``WINDOW`` before it, across the borders of ranges too: each range borrows the last rows before it; pairs of cosine ``THRESHOLD`` or more in double precision
 are linked, and the links of all passes are united. A second look makes the
 counts whole: within a united component every pair is compared, block against block,
 so a vector's links to its component are counted exactly and no pair is ever emitted.
@@ -21,6 +21,7 @@ with the component's id are kept; an empty table gives no rows. Extra columns ar
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -85,19 +86,72 @@ def _keys(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node", "label", "vector", "keys"])
 
 
+def _sorts_like(*columns: np.ndarray) -> np.ndarray:
+    """Byte strings that sort like rows of longs."""
+    words = np.stack([c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns], axis=1)
+    return np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * len(columns)}").ravel()
+
+
+def _borders(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The first and the last ``window`` rows of a sorted range: ``pass, label, key, node, first``."""
+    begin, held = None, None
+    for batch in batches:
+        if batch.num_rows:
+            begin = batch.slice(0, 1) if begin is None else begin
+            whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            held = whole.slice(max(0, whole.num_rows - window))
+    for part, first in ((begin, True), (held, False)):
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([first] * part.num_rows)], names=["pass", "label", "key", "node", "first"])
+
+
+def _lent(borders: list[tuple[int, int, int, int, bool]], window: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """First rows of the ranges, and the (pass, range) that each node is lent to: the ``window`` rows of one pass and label before a range."""
+    firsts = sorted(b[:4] for b in borders if b[4])
+    ends = sorted(b[:4] for b in borders if not b[4])
+    lent: dict[int, list[tuple[int, int]]] = {}
+    for r, first in enumerate(firsts):
+        at = bisect.bisect_left(ends, first)
+        for k in range(max(0, at - window), at):
+            if ends[k][:2] == first[:2]:
+                lent.setdefault(ends[k][3], []).append((ends[k][0], r))
+    starts = _sorts_like(*np.array(firsts, np.int64).reshape(-1, 4).T) if firsts else np.zeros(0, "S32")
+    return starts, lent
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], starts: np.ndarray, lent: dict[int, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Adds to keyed rows the places of each vector: its own range in each pass, and those it is lent to."""
+    names = ["pass", "key", "range", "lent"]
+    for batch in batches:
+        nodes, labels = (batch.column(k).to_numpy() for k in (0, 1))
+        n = batch.num_rows
+        keys = batch.column(3).flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+        rows, passes = (x.ravel() for x in np.indices(keys.shape))
+        own = np.searchsorted(starts, _sorts_like(passes, labels[rows], keys.ravel(), nodes[rows]), side="right") - 1 if n else rows
+        own = np.maximum(own, 0)
+        more = np.array([(i, p, r) for i, node in enumerate(nodes.tolist()) for p, r in lent.get(node, ())], np.int64).reshape(-1, 3)
+        rows, passes = np.concatenate([rows, more[:, 0]]), np.concatenate([passes, more[:, 1]])
+        ranges, borrowed = np.concatenate([own, more[:, 2]]), np.arange(len(rows)) >= len(own)
+        order = np.argsort(rows, kind="stable")
+        rows, passes = rows[order], passes[order]
+        fields = [pa.array(passes.astype(np.int32)), pa.array(keys[rows, passes]), pa.array(ranges[order].astype(np.int32)), pa.array(borrowed[order])]
+        spots = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=names))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], spots], names=["node", "label", "vector", "spots"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between rows at most ``window`` apart in order; of links that close a circle within a batch none is told."""
+    """Links between rows at most ``window`` apart in order, the later one not a borrowed one; of links that close a circle within a batch none is told."""
     held = None
     for batch in batches:
         batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None and held.num_rows else batch
         found_a, found_b = [], []
-        group = [batch.column(i).to_numpy() for i in (0, 1)]
-        nodes = batch.column(2).to_numpy()
+        group = [batch.column(i).to_numpy() for i in (0, 1, 4)]
+        nodes, lent = batch.column(2).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
         fresh = 0 if held is None else held.num_rows
         for rows, x in _by_length(batch, 3):
             for gap in range(1, min(window, len(rows) - 1) + 1):
                 a, b = rows[:-gap], rows[gap:]
-                near = (group[0][a] == group[0][b]) & (group[1][a] == group[1][b]) & (b >= fresh)
+                near = np.all([g[a] == g[b] for g in group], axis=0) & (b >= fresh) & ~lent[b]
                 near[near] = np.einsum("ij,ij->i", x[:-gap][near], x[gap:][near]) >= threshold
                 found_a.append(nodes[a[near]])
                 found_b.append(nodes[b[near]])
@@ -158,13 +212,20 @@ def near_duplicates(df: DataFrame, key: str, vector: str, label: str, threshold:
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     rows = rows.withColumn("node", F.when(usable(F.col("vector"), F.col("label")), F.xxhash64("label", F.size("vector"), "vector")))
     groups = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("size"))
-    groups = shared_table(groups.withColumn("label", F.xxhash64("label")))
+    groups = shared_table(groups.withColumn("label", F.xxhash64("label", F.size("vector"))))
     largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes = passes_for(largest, threshold, window, recall, passes)
     keyed = groups.select("node", "label", "vector").mapInArrow(lambda b: _keys(b, passes, seed), f"node long, label long, {_field(groups, 'vector')}, keys array<bigint>")
-    keyed = keyed.select("node", "label", "vector", F.posexplode("keys").alias("pass", "key"))
+    # ranges first, over rows without vectors: where they start and what they lend to the next ones
     order = ["pass", "label", "key", "node"]
-    walked = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("pass", "label", "node", "vector")
+    light = keyed.select("node", "label", F.posexplode("keys").alias("pass", "key")).select(*[F.col(c).cast("long").alias(c) for c in order])
+    light = light.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    borders = light.mapInArrow(lambda b: _borders(b, window), "pass long, label long, key long, node long, first boolean").collect()
+    starts, lent = _lent([tuple(r) for r in borders], window)
+    spots = "spots array<struct<pass:int,key:bigint,range:int,lent:boolean>>"
+    dealt = keyed.mapInArrow(lambda b: _dealt(b, starts, lent), f"node long, label long, {_field(groups, 'vector')}, {spots}")
+    dealt = dealt.select("node", "label", "vector", F.explode("spots").alias("s")).select("node", "label", "vector", "s.*")
+    walked = dealt.repartitionById(max(1, len(starts)), F.col("range")).sortWithinPartitions("range", *order).select("pass", "label", "node", "vector", "range", "lent")
     links = shared_table(walked.mapInArrow(lambda b: _windows(b, window, threshold), "a long, b long").distinct())
     labels = connected_components(links, "a", "b")
 

@@ -141,6 +141,21 @@ def test_passes_follow_the_largest_label(spark):
     assert got >= 0.98 * 4000
 
 
+def test_windows_cross_the_borders_of_ranges(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, (draw.normal(size=24) if i % 2 else np.full(24, 1.0) + 0.3 * draw.normal(size=24)).tolist(), 1) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    held, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = op5_embedding_dedup.near_duplicates(df, "vec_id", "embedding", "label", passes=1, window=8, recall=0.0)
+            found.append(sorted(map(tuple, out.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1] and any(r[1] for r in found[0])
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
