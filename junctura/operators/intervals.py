@@ -6,6 +6,9 @@ add bin columns and so become equi joins with a residual predicate: no cross joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -90,22 +93,36 @@ def nearest_exon(df: DataFrame, position: str, starts: str, ends: str) -> DataFr
 def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8) -> DataFrame:
     """Ordered merging: sorted by (lo, hi), an interval joins the one before if their overlap exceeds ``ratio`` of the longer.
 
-    The merged end feeds the next test, so a key is one fold over its sorted array:
-    ``key, lo, hi, members``. Keys are the unit of work and their intervals must fit one array.
+    The merged end feeds the next test, so a key is one fold in order: ``key, lo, hi, members``. Rows stream
+    sorted through it, and only the last interval is held; a key is still folded by one task.
     """
-    item = "struct<lo:bigint,hi:bigint,members:bigint>"
-    sorted_ = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi")))).alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.lit(1).cast("long").alias("members"))
-        longer = F.greatest(last["hi"] - last["lo"], x["hi"] - x["lo"])
-        joins = (F.size(acc) > 0) & (longer > 0) & ((F.least(last["hi"], x["hi"]) - x["lo"]) > longer * F.lit(ratio))
-        merged = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"), (last["members"] + 1).alias("members"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(fresh)))
-
-    folded = sorted_.select(key, F.explode(F.aggregate("all", F.array().cast(f"array<{item}>"), step)).alias("m"))
-    return folded.select(key, F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), F.col("m.members").alias("members"))
+    rows = df.select(F.col(key), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kind = None, None
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for k, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                if last is not None and k == last[0] and None not in (x, y, last[1], last[2]):
+                    longer = max(last[2] - last[1], y - x)
+                    if longer > 0 and min(last[2], y) - x > longer * ratio:
+                        last = (k, last[1], max(last[2], y), last[3] + 1)
+                        continue
+                if last is not None:
+                    out.append(last)
+                last = (k, x, y, 1)
+            if out:
+                yield _pieces(out, kind, key)
+        if last is not None:
+            yield _pieces([last], kind, key)
+
+    sorted_ = rows.repartition(F.col(key)).sortWithinPartitions(key, "lo", "hi")
+    return sorted_.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long")
+
+
+def _pieces(rows: list[tuple], kind: pa.DataType, key: str) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, "lo", "hi", "members"])
 
 
 def longest_run(text: Column, stop: str) -> tuple[Column, Column, Column]:

@@ -210,6 +210,13 @@ def test_components_over_all_links(spark, tmp_path):
     assert got == {1: 1, 2: 1, far + 7: 1, far + 8: 1, 3: 3, far + 9: 3, 4: 4, 5: 4, far + 10: 4}
 
 
+def test_merge_similar_holds_no_array_of_a_key(spark):
+    df = spark.range(60_000).selectExpr("1 as k", "20 * (id div 2) + id % 2 as lo", "20 * (id div 2) + 15 as hi")
+    merged = intervals.merge_similar(df, "k", "lo", "hi")
+    assert "collect_list" not in merged._jdf.queryExecution().toString()
+    assert merged.filter("members = 2 and hi - lo = 15").count() == 30_000
+
+
 def test_search_labels(spark):
     def walk(n, depth=1, path=""):
         if n == 1:
