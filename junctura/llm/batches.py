@@ -1,8 +1,8 @@
-"""Bounded batches between Spark and Python workers."""
+"""Bounds on what meets in one place: batches between Spark and Python workers, and broadcasts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 ROWS = 2000
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -18,3 +18,12 @@ def bounded(df: DataFrame) -> DataFrame:
     if not 0 < int(spark.conf.get(_SETTING)) <= ROWS:
         spark.conf.set(_SETTING, ROWS)
     return df
+
+
+#: Most rows of a few longs or short strings that are broadcast; more are joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are ``BROADCAST_ROWS`` at most by a count."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -16,13 +16,22 @@ n - ceil(0.8 n) + 1 shingles of each, so only these meet:
 * what is left is verified: sets are cut into ``FRAGMENTS`` hash ranges, overlaps are
   counted range by range and summed per pair.
 
-Verification first takes one partner for each document, where a heavy shingle's documents meet only
-its pivots, drawn by hash. Then only pairs are verified whose documents are still in
-different components: other candidates, further pivots where much is still apart, and at last all pairs that a
-heavy shingle holds and the bound leaves. Where these are many, no pair is made: what is outside the
-largest component is sent to blocks of the texts that share such shingles, and counted there against an
-inverted index of each fragment. Copies by the thousand are so not paired with each other, and no link between
-components is lost. Exact copies of a text are one node.
+Heavy shingles whose lists have the same least text mostly have the same texts. They make one group, in which each
+text stands once, so what follows costs a row for each text and group, not for each shingle. No pair is made within a group:
+
+* a text first meets the group's pivots of like size, drawn by hash, one at first and then ``PIVOTS`` where texts of
+  different components are left;
+* then each group that still holds several components is counted by block: what is outside its largest component is sent
+  to blocks of its texts, and counted there against an inverted index of each fragment.
+
+Pairs are verified once in ``EARLY`` of the ``FRAGMENTS``, and in the others only if the rest could still reach 80 %; overlaps are
+summed per pair. Only pairs whose texts are in different components are verified after the first round, so copies by the
+thousand aren't paired with each other, and no link between components is lost. Exact copies of a text are one node.
+
+Sizes: the table of heavy classes holds ``HEAVY_TABLE`` of them (16 MB). A class that it has no room for stays light in the
+order, and its lists of ``HEAVY`` texts or more are groups like those of heavy ones, without the bound by light shingles. The filter has a
+bit for every 8 bytes of text, ``MOST_BITS`` (32 MB) at most; beyond 2 GB of text it fills up slowly, and at worst all first
+shingles are sent, a fifth of all. Neither changes a result.
 
 Edge cases: null and wordless texts have no shingles and are linked with nothing, not even with each other; fewer
 than five words are one shingle; texts of any length are taken whole; rows with a
@@ -42,7 +51,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from junctura.functions.checkpoints import shared_table
-from junctura.llm.batches import bounded
+from junctura.llm.batches import bounded, small
 from junctura.operators.graph import connected_components
 
 WORDS = 5
@@ -51,15 +60,20 @@ HEAVY = 16
 HEAVY_TABLE = 1 << 20
 CLASS_BITS = 44
 FRAGMENTS = 8
+#: Bytes of a shingle in a segment.
+WIDTH = 5
+SEGMENTS = [f"s{f}" for f in range(FRAGMENTS)]
 #: Bits of the filter over verified documents, and the most documents it serves; beyond, a join does.
 FILTER_BITS = 1 << 24
 FILTER_NODES = 1 << 21
-#: Bits (as a power of two) of the filter over shingle classes that two documents or more hold: 8 MB.
-SEEN_BITS = 26
+#: Most bits (as a power of two) of the filter over shingle classes that two documents or more hold: 32 MB.
+MOST_BITS = 28
+#: Most fragments (as a power of two) in which classes are counted.
+MOST_FRAGMENTS = 20
 PIVOTS = 8
-BROADCAST_PAIRS = 500_000
-#: Rounds of pivots; and the pairs across components above which a shingle's texts are counted by block.
-ROUNDS, LARGE, BLOCK = 1, 20_000, 512
+#: Fragments in which a pair is counted first.
+EARLY = 2
+BLOCK = 512
 _TIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _EMPTY = np.empty(0, np.uint64)
 
@@ -96,11 +110,13 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
 
     Tasks send sorted classes as differences in byte planes, cut into fragments of the
     class range; each fragment is counted by itself. A class that the table has no
-    room for counts as light: the order stays one order, and results the same.
+    room for counts as light: the order stays one order, and ``_lists`` deals with its long lists.
     """
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = max(8, (int(total) >> 24).bit_length())
+    total = int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    filter_bits = min(MOST_BITS, max(16, (total >> 3).bit_length()))
+    bits = min(MOST_FRAGMENTS, filter_bits - 3, max(8, (total >> 24).bit_length()))
     rest = CLASS_BITS - bits
+    most = max(1_000_000, 4 << bits)
 
     def cut(held: list[np.ndarray]) -> pa.RecordBatch:
         classes = _classes(np.sort(np.concatenate(held)))
@@ -120,7 +136,7 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
                 for t in batch.column(0).slice(at, 512).to_pylist():
                     held.append(shingles(t))
                     size += len(held[-1])
-                if size > 1_000_000:
+                if size > most:
                     yield cut(held)
                     held, size = [], 0
         if size:
@@ -138,8 +154,8 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         counts = np.diff(np.append(starts, len(values)))
         many = counts >= HEAVY
-        seen = np.zeros(1 << (SEEN_BITS - bits), bool)
-        seen[(values[starts[counts > 1]] - base) >> np.uint64(CLASS_BITS - SEEN_BITS)] = True
+        seen = np.zeros(1 << (filter_bits - bits), bool)
+        seen[(values[starts[counts > 1]] - base) >> np.uint64(CLASS_BITS - filter_bits)] = True
         row = {"fragment": int(group["fragment"].iloc[0]), "class": values[starts[many]].astype(np.int64), "n": counts[many].astype(np.int64), "seen": np.packbits(seen, bitorder="little").tobytes()}
         return pd.DataFrame([row])
 
@@ -147,7 +163,7 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
     counts = shared_table(blobs.groupBy("fragment").applyInPandas(count, "fragment int, class array<bigint>, n array<bigint>, seen binary"), files=2)
     pairs = counts.select(F.explode(F.arrays_zip("class", "n")).alias("p")).select("p.class", "p.n")
     table = pairs.orderBy(F.desc("n"), "class").limit(HEAVY_TABLE).toPandas().sort_values("class")
-    filter_ = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+    filter_ = np.zeros(1 << (filter_bits - 3), np.uint8)
     width = len(filter_) >> bits
     for row in counts.select("fragment", "seen").collect():
         filter_[row["fragment"] * width : (row["fragment"] + 1) * width] = np.frombuffer(bytes(row["seen"]), np.uint8)
@@ -165,6 +181,7 @@ def _firsts(batches: Iterator[pa.RecordBatch], table: tuple[np.ndarray, np.ndarr
     tells a text's count. light: how many of the text's first shingles are light.
     """
     classes, counts, seen = table
+    filter_bits = len(seen).bit_length() + 2
     done: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -192,7 +209,7 @@ def _firsts(batches: Iterator[pa.RecordBatch], table: tuple[np.ndarray, np.ndarr
                         order = np.lexsort((s[held], often))[: p - most]
                         salt[most:] = 1 + node % (1 + often[order] // 2000)
                         first = np.concatenate([first, s[held][order]])
-                    slot = first >> np.uint64(64 - SEEN_BITS)
+                    slot = first >> np.uint64(64 - filter_bits)
                     sent = (seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     first, salt, place = first[sent], salt[sent], place[sent]
                 keys += [first.view(np.int64), np.array([node], np.int64)]
@@ -209,7 +226,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks rows sorted by key, salt and node. Emits ``kind, a, b, na, nb, pa, pb, la, lb``:
 
     kind 0: text a has na shingles; 1: a and b share a light shingle at places pa and pb, of la and lb light ones;
-    2: the heavy shingle a is held by text b, of na shingles and la light ones.
+    2: the heavy shingle a is held by text b, of na shingles and la light ones; or a light shingle that ``HEAVY`` texts
+    or more hold, and 0 for la, as these texts do share a light shingle.
     """
     names = ["key", "salt", "node", "n", "place", "light"]
     held = None
@@ -232,7 +250,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lk = key[light]
             starts = np.flatnonzero(np.concatenate([[True], lk[1:] != lk[:-1]]))
             sizes = np.diff(np.append(starts, len(lk)))
-            for m in np.unique(sizes[sizes > 1]):
+            long = np.repeat(sizes >= HEAVY, sizes)
+            k = int(long.sum())
+            out.append((zero(k) + 2, lk[long], node[light[long]], n[light[long]], *[zero(k)] * 5))
+            for m in np.unique(sizes[(sizes > 1) & (sizes < HEAVY)]):
                 one, two = np.triu_indices(m, 1)
                 heads = starts[sizes == m]
                 step = max(1, 300_000 // len(one))
@@ -261,7 +282,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """``node, segments``: sets cut by the hashes' first bits, five bytes a shingle, once per task and text."""
+    """``node`` and a column for each fragment: sets cut by the hashes' first bits, five bytes a shingle, once per task and text."""
     done: set[int] = set()
     bits = FRAGMENTS.bit_length() - 1
     edges = (np.arange(1, FRAGMENTS, dtype=np.uint64)) << np.uint64(64 - bits)
@@ -277,11 +298,11 @@ def _segments(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Ite
                 continue
             done.add(ids[k])
             s = shingles(batch.column(1)[int(k)].as_py())
-            packed = ((s << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+            packed = ((s << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
             nodes.append(int(ids[k]))
             parts.append([p.tobytes() for p in np.split(packed, np.searchsorted(s, edges))])
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["node", "segments"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *[pa.array(x, pa.binary()) for x in zip(*parts)]], names=["node", *SEGMENTS])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,15 +314,15 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(segment: bytes) -> np.ndarray:
-    out = np.zeros((len(segment) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(segment, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(segment) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(segment, np.uint8).reshape(-1, WIDTH)
     return out.view(np.uint64)[:, 0]
 
 
 @F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two segments."""
-    return pd.Series([(len(x) + len(y)) // 5 - len(np.unique(np.concatenate([_unpacked(x), _unpacked(y)]))) for x, y in zip(a, b)], dtype="int64")
+    return pd.Series([(len(x) + len(y)) // WIDTH - len(np.unique(np.concatenate([_unpacked(x), _unpacked(y)]))) for x, y in zip(a, b)], dtype="int64")
 
 
 def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -320,47 +341,59 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     else:
         texts = texts.join(nodes, "node", "left_semi")
     shared = texts.sparkSession.sparkContext.broadcast(mask)
-    kind = "node long, segments array<binary>"
+    kind = ", ".join(["node long", *[f"{x} binary" for x in SEGMENTS]])
     held = shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(-(-parts // 4), "node").mapInArrow(_once, kind))
     shared.destroy()
     return held
 
 
+def _counted(pairs: DataFrame, segments: DataFrame, names: list[str]) -> DataFrame:
+    """``pairs`` with the overlap ``o`` and the sizes ``ka, kb`` of both sets, summed over the fragments ``names``."""
+    one = segments.select(F.col("node").alias("a"), *[F.col(x).alias(f"a_{x}") for x in names])
+    two = segments.select(F.col("node").alias("b"), *[F.col(x).alias(f"b_{x}") for x in names])
+    held = small(pairs)
+    both = one.join(held, "a").join(two.join(small(pairs.select("b").distinct()), "b", "left_semi"), "b")
+    of = lambda side: sum((F.octet_length(f"{side}_{x}") for x in names), F.lit(0)) / WIDTH
+    overlaps = [_overlap(f"a_{x}", f"b_{x}") for x in names]
+    return both.select(*pairs.columns, sum(overlaps, F.lit(0)).alias("o"), of("a").alias("ka"), of("b").alias("kb"))
+
+
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (``a, b, na, nb``) that reach 80 %: overlaps are counted by fragment and summed.
 
-    Up to ``BROADCAST_PAIRS`` pairs (32 bytes each) are broadcast, so that only segments that have a
-    pair move; more pairs are joined by shuffles.
+    Pairs that can't reach it after the first fragments don't meet in the others. 100 o >= 80 (na + nb - o) is 9 o >= 4 (na + nb).
     """
-    pairs = shared_table(pairs)
-    hint = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
-    one = segments.withColumnRenamed("node", "a").withColumnRenamed("segments", "sa").join(hint(pairs), "a")
-    two = segments.withColumnRenamed("node", "b").withColumnRenamed("segments", "sb").join(hint(pairs.select("b").distinct()), "b", "left_semi")
-    parts = one.join(two, "b").select("a", "b", "na", "nb", F.explode(F.arrays_zip("sa", "sb")).alias("s"))
-    shared = parts.select("a", "b", "na", "nb", _overlap("s.sa", "s.sb").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return shared.filter(100 * F.col("o") >= 80 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    pairs = shared_table(pairs.select("a", "b", "na", "nb"))
+    early = _counted(pairs, segments, SEGMENTS[:EARLY])
+    reach = F.col("o") + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    left = shared_table(early.filter(9 * reach >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", F.col("o").alias("before")))
+    late = _counted(left, segments, SEGMENTS[EARLY:])
+    return late.filter(9 * (F.col("o") + F.col("before")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _groups(often: DataFrame) -> DataFrame:
+    """``head, class, node, n, l`` from the texts of heavy shingles (``shingle, node, n, l``): shingles with one least text are a group."""
+    heads = often.groupBy("shingle").agg(F.min("node").alias("head"))
+    rows = often.join(heads, "shingle").groupBy("head", "node", "n").agg(F.min("l").alias("l"))
+    return shared_table(rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25)))))
+
+
+def _around(column: str = "class") -> Column:
+    """A size class and its neighbours: sets that are 80 % alike are in one class or in adjacent ones."""
+    return F.explode(F.array(F.col(column) - 1, F.col(column), F.col(column) + 1))
 
 
 def _pivot_pairs(held: DataFrame, turn: int, pivots: int) -> DataFrame:
-    """Pairs of each heavy shingle's texts (``shingle, class, node, n, l, c``) with pivots of like size in other components ``c``.
+    """Pairs of each group's texts (``head, class, node, n, l, c``) with pivots of like size in other components ``c``.
 
-    Pivots have the least hashes, so shingles with much the same texts have much the same
-    pivots. Least values are found by partial aggregation; no list is gathered.
+    Pivots have the least hashes. They are found by partial aggregation; no list is gathered.
     """
     luck = lambda k: F.xxhash64(F.lit(1000 * turn + k), "node").alias("luck")
-    heads = held.groupBy("shingle", "class").agg(*[F.min(F.struct(luck(k), "node", "n", "l", "c")).alias(f"h{k}") for k in range(pivots)])
-    around = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
-    heads = heads.select("shingle", "class", F.explode(F.array(*[f"h{k}" for k in range(pivots)])).alias("h"))
-    heads = heads.select("shingle", around.alias("class"), F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.l").alias("la"), F.col("h.c").alias("ca")).distinct()
-    rows = held.select("shingle", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
-    return _ordered(rows.join(heads, ["shingle", "class"]).filter((F.col("ca") != F.col("cb")) & _may_link()))
-
-
-def _across(held: DataFrame) -> DataFrame:
-    """All pairs of texts that share a heavy shingle, may link and are in different components ``c``."""
-    one = held.select("shingle", "class", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
-    two = held.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
-    return _ordered(one.join(two, ["shingle", "class"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link()))
+    drawn = held.groupBy("head", "class").agg(*[F.min(F.struct(luck(k), "node", "n", "l", "c")).alias(f"h{k}") for k in range(pivots)])
+    drawn = drawn.select("head", "class", F.explode(F.array(*[f"h{k}" for k in range(pivots)])).alias("h"))
+    drawn = drawn.select("head", _around().alias("class"), F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.l").alias("la"), F.col("h.c").alias("ca")).distinct()
+    rows = held.select("head", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
+    return _ordered(rows.join(drawn, ["head", "class"]).filter((F.col("ca") != F.col("cb")) & _may_link()))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -385,21 +418,22 @@ def _labelled(pairs: DataFrame, labels: DataFrame, node: str, name: str) -> Data
     return pairs.join(labels.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _apart(often: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of heavy shingles that hold several components: with few pairs across them, and with more than ``LARGE``."""
-    rows = _labelled(often, labels, "node", "c")
-    parts = rows.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    mixed = parts.select("shingle", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("across")).filter("across > 0")
-    rows = shared_table(rows.join(mixed, "shingle"))
-    return rows.filter(F.col("across") <= LARGE), rows.filter(F.col("across") > LARGE)
+def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``groups`` with their component ``c``, where a text of like size and another component is left that they may link with."""
+    rows = shared_table(_labelled(groups, labels, "node", "c"))
+    spare = 9 * F.col("l") - F.col("n")
+    near = rows.groupBy("head", "class").agg(F.min(spare).alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    near = near.select("head", _around().alias("class"), "least", "c0", "c1").groupBy("head", "class").agg(F.min("least").alias("least"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    near = near.filter("c0 != c1").select("head", "class", "least")
+    return shared_table(rows.join(near, ["head", "class"]).filter(spare + F.col("least") <= 0).drop("least"))
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between a block's texts (role 0) and those sent to it (role 1), one for each component that is met."""
     key, members, index, out = None, [], None, []
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(7)]
-        for k, (group, block, role, node, n, c, segments) in enumerate(zip(*columns)):
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for group, block, role, node, n, c, *segments in zip(*columns):
             if (group, block) != key:
                 key, members, index = (group, block), [], None
             if role == 0:
@@ -431,27 +465,28 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
 
 
-def _counted_by_block(large: DataFrame, segments: DataFrame) -> DataFrame:
-    """Links across components among the texts of ``large`` shingles.
+def _counted_by_block(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Links across components within the groups of ``rows``.
 
-    The texts of shingles with one least text are a group: shingles with much the same texts mostly share it. A group's texts are cut into blocks; those outside its largest
+    A group's texts are cut into blocks; those outside its largest
     component go to every block. A task holds one block and streams through what is sent to it.
     """
-    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = large.groupBy("shingle").agg(F.min("node").alias("component"))
-    texts = large.join(heads, "shingle").select("component", "node", "n", "c").distinct()
-    sizes = texts.groupBy("component", "c").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"))
-    texts = texts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(segments, "node")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("head", "c").agg(F.count("*").alias("k")).groupBy("head").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"))
+    texts = shared_table(rows.join(sizes, "head").select("head", "node", "n", "c", "main", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int")
     home = F.array(F.struct(own.alias("block"), F.lit(0).alias("role")))
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
-    sent = texts.withColumn("to", F.explode(F.when(F.col("c") == F.col("main"), home).otherwise(F.concat(home, everywhere))))
-    sent = sent.select("component", "to.block", "to.role", "node", "n", "c", "segments")
-    return sent.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "role", "node").mapInArrow(_block_links, "a long, b long").distinct()
+    sent = segments.join(small(texts), "node").withColumn("to", F.explode(F.when(F.col("c") == F.col("main"), home).otherwise(F.concat(home, everywhere))))
+    sent = sent.select("head", "to.block", "to.role", "node", "n", "c", *SEGMENTS)
+    return sent.repartition(parts, "head", "block").sortWithinPartitions("head", "block", "role", "node").mapInArrow(_block_links, "a long, b long").distinct()
 
 
-def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row; links are pairs with 100 * intersection >= 80 * union."""
+def _components(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, n, least, times, rows, component_id, first`` of each text.
+
+    least: its least id, which ``times`` of its ``rows`` rows with an id have; first: the text of its component that has the least id.
+    """
     spark = bounded(df).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(_text_hash(text).alias("node"), F.col(text).alias("text"))
@@ -468,35 +503,51 @@ def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
     light = lists.filter("kind = 1").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     least = F.least(F.col("la") + F.col("pb"), F.col("lb") + F.col("pa")) + 1 - 2 * F.col("c")
     light = light.filter(9 * least <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
-    often = lists.filter("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("la").alias("l"), F.floor(F.log("na") / F.log(F.lit(1.25))).alias("class")).filter("n > 0")
-    candidates = shared_table(light.unionByName(_pivot_pairs(often.withColumn("c", F.col("node")), 0, 1)).distinct())
+    groups = _groups(lists.filter("kind = 2 AND na > 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("la").alias("l")))
+    candidates = shared_table(light.unionByName(_pivot_pairs(groups.withColumn("c", F.col("node")), 0, 1)).distinct())
 
-    nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(often.select("node")).distinct()
+    nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).union(groups.select("node")).distinct()
     segments = segments_of(texts, nodes)
+    # one partner for each text, then what is still apart
     tested = candidates.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("m")).select("m.a", "b", "m.na", "nb")
     links = shared_table(verified(tested, segments))
     labels = connected_components(links, "a", "b")
-
-    few, many = _apart(often, labels)
-    for turn in range(1, ROUNDS + 1):
-        if many.isEmpty():
-            break
-        links = links.unionByName(shared_table(verified(_pivot_pairs(many, turn, PIVOTS), segments)))
-        labels = connected_components(links, "a", "b")
-        few, many = _apart(often, labels)
-
-    # whatever is still apart: remaining candidates, and pairs that a heavy shingle holds
     still = _labelled(_labelled(candidates, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b", "na", "nb")
-    rest = still.unionByName(_across(few)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    if not many.isEmpty():
-        links = links.unionByName(shared_table(_counted_by_block(many, segments)))
-    links = shared_table(links.unionByName(verified(rest, segments)))
+    more = still.unionByName(_pivot_pairs(_apart(groups, labels), 1, PIVOTS)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(shared_table(verified(more, segments)))
+    left = _apart(groups, connected_components(links, "a", "b"))
+    if not left.isEmpty():
+        links = shared_table(links.unionByName(_counted_by_block(left, segments)))
     joined = connected_components(links, "a", "b")
 
     ids = df.select(F.col(key).alias("id"), _text_hash(text).alias("node"))
-    groups = ids.groupBy("node").agg(F.min("id").alias("least")).join(counts, "node", "left").join(joined, "node", "left")
-    least = groups.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("of_component"))
-    groups = groups.join(least, "component", "left").select("node", "n", F.coalesce("of_component", "least").alias("component_id"))
-    out = ids.join(groups, "node", "left").withColumn("n_shingles", F.coalesce("n", F.lit(0)).cast("long"))
+    known = ids.groupBy("node", "id").agg(F.count("*").alias("times")).filter("id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "times")).alias("l"), F.sum("times").alias("rows"))
+    known = ids.select("node").distinct().join(known, "node", "left").select("node", F.col("l.id").alias("least"), F.col("l.times").alias("times"), "rows").join(counts, "node", "left").join(joined, "node", "left")
+    firsts = known.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("least", "node")).alias("of_component"))
+    known = known.join(firsts, "component", "left")
+    return known.select("node", "n", "least", "times", "rows", F.coalesce("of_component.least", "least").alias("component_id"), F.coalesce("of_component.node", "node").alias("first"))
+
+
+def jaccard_components(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n_shingles, component_id`` of every row; links are pairs with 100 * intersection >= 80 * union."""
+    ids = df.select(F.col(key).alias("id"), _text_hash(text).alias("node"))
+    out = ids.join(_components(df, key, text), "node", "left").withColumn("n_shingles", F.coalesce("n", F.lit(0)).cast("long"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
+
+
+def first_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the text with the least id stays, in one row.
+
+    Rows without an id and texts without words stay, all of them; so do different texts that share an id and aren't linked. Of
+    rows with one id and one text one stays. Texts aren't shuffled while the nodes of copies are ``batches.BROADCAST_ROWS`` at most; beyond that they are joined once.
+    """
+    known = _components(df, key, text).filter("n > 0 AND least IS NOT NULL AND (rows > 1 OR first != node)")
+    mine = F.col("first") == F.col("node")
+    copies = shared_table(known.select(F.col("node").alias("__node"), F.when(mine, F.col("least")).alias("__stays"), (mine & (F.col("times") > 1)).alias("__repeated")))
+    rows = df.withColumn("__node", _text_hash(text)).join(small(copies), "__node", "left")
+    rows = rows.filter(F.col("__repeated").isNull() | F.col(key).isNull() | (F.col(key) == F.col("__stays")))
+    if copies.filter("__repeated").isEmpty():
+        return rows.select(*df.columns)
+    repeated = F.coalesce("__repeated", F.lit(False)) & F.col(key).isNotNull()
+    return rows.filter(~repeated).unionByName(rows.filter(repeated).dropDuplicates(["__node"])).select(*df.columns)
