@@ -4,11 +4,11 @@ One Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs,
 digits, schemes and identifier cues. Local parsers expand from each anchor to
 both sides and validate: email, ip, card (16 to 19 digits, Luhn) and phone (8 to
 15 digits) as the base kinds, leftmost and non-overlapping per kind, without
-retries; then account (IBAN after a cue, modulo 97), secret (value after a
+retries; then account (IBAN after a cue, modulo 97, of its country's length), secret (value after a
 credential cue) and url (only with user data before its host).
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole
-in one pass; rows with equal ids are independent; an empty table gives no rows.
+in one pass, in time that grows in proportion to them; rows with equal ids are independent; an empty table gives no rows.
 ``find_pii`` carries only the key; ``redact_pii`` keeps all columns of its input
 and their order. Offsets are code points, ends exclusive.
 """
@@ -37,10 +37,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ACCOUNT = re.compile(r"[ :#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+DIGITS = re.compile(r"[0-9]+")
+ACCOUNT = re.compile(r"[ :#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: The lengths of account numbers by country code. Others are taken at any length.
+ACCOUNT_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 SECRET = re.compile(r"[A-Za-z_-]{0,8}\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})")
 USERINFO = re.compile(r"[^\s/?#@\"'<>]+@[^\s\"'<>]+")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+LETTER = re.compile(r"[A-Za-z]")
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +76,20 @@ def iban(value: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def account_end(text: str, start: int, end: int) -> int:
+    """End of the account number at ``start``, which reaches ``end`` at most: the longest valid one, before no letter or digit; -1 if there is none."""
+    size = len(text[start:end].replace(" ", ""))
+    while size >= 15:
+        inside = text[end : end + 1].isascii() and text[end : end + 1].isalnum()
+        if not inside and ACCOUNT_LENGTHS.get(text[start : start + 2], size) == size and iban(text[start:end]):
+            return end
+        end -= 1
+        size -= 1
+        while text[end - 1] == " ":
+            end -= 1
+    return -1
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as listed in ``KINDS``, then start."""
     if not text:
@@ -87,8 +105,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     for last, (what, width) in anchors().iter(text):
         at = last + 1 - width
         if what == "digit":
-            if at >= after["ip"] and (m := IP.match(text, at)):
-                keep("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+            if at >= after["ip"]:
+                if m := IP.match(text, at):
+                    keep("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+                else:  # what fails from a run's first digit fails from all of them
+                    after["ip"] = DIGITS.match(text, at).end()
             if at >= after["card"] and (m := CARD.match(text, at)):
                 digits = m[0].replace(" ", "").replace("-", "")
                 keep("card", at, m.end(), 16 <= len(digits) <= 19 and luhn(digits))
@@ -102,12 +123,16 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             if at >= after["phone"] and (m := PHONE.match(text, at)):
                 keep("phone", at, m.end(), 8 <= sum(c in "0123456789" for c in m[0]) <= 15)
         elif what == "scheme":
-            head = SCHEME.search(text[max(0, at - 32) : at])
-            if head and at >= after["url"] and (m := USERINFO.match(text, at + 3)):
-                keep("url", at - len(head[0]), m.end(), True)
+            start = at
+            while start > after["url"] and text[start - 1] in SCHEME:
+                start -= 1
+            head = LETTER.search(text, start, at)
+            if head and (m := USERINFO.match(text, at + 3)):
+                keep("url", head.start(), m.end(), True)
         elif what == "account":
             if last + 1 >= after["account"] and (m := ACCOUNT.match(text, last + 1)):
-                keep("account", m.start(1), m.end(1), iban(m[1]))
+                end = account_end(text, m.start(1), m.end(1))
+                keep("account", m.start(1), end if end >= 0 else m.start(1), end >= 0)
         elif last + 1 >= after["secret"] and (m := SECRET.match(text, last + 1)):
             keep("secret", m.start(1), m.end(1), True)
     return [(kind, s, e) for kind in KINDS for s, e in found.get(kind, ())]
