@@ -65,3 +65,10 @@ def dissociation(gibbs_energy: Column, celsius: float) -> Column:
 
 def fraction_bound(concentration: Column, constant: Column) -> Column:
     return concentration / (concentration + constant)
+
+
+def report(primer: Column, concentration: Column, celsius: float = 37.0) -> Column:
+    """``struct<enthalpy, entropy, gibbs, dissociation, bound>`` of a primer at a temperature and concentration."""
+    energy = gibbs(primer, celsius)
+    constant = dissociation(energy, celsius)
+    return F.struct(enthalpy(primer).alias("enthalpy"), entropy(primer).alias("entropy"), energy.alias("gibbs"), constant.alias("dissociation"), fraction_bound(concentration, constant).alias("bound"))

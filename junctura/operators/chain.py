@@ -78,25 +78,74 @@ def best_chain(segments: list[tuple[int, int, list[tuple[int, str]]]]) -> tuple[
         at = previous
 
 
-def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str, cigar: str) -> DataFrame:
-    """``fragment, row, first, last, score, chain_score`` of the segments of each fragment's best chain.
+def _cut(ops: list[tuple[int, str]], lo: int, hi: int) -> list[tuple[int, str]]:
+    """Operations of the query bases [lo, hi), with deletions after one of them."""
+    at, out = 0, []
+    for n, op in ops:
+        if op == "D":
+            if lo < at <= hi:
+                out.append((n, op))
+            continue
+        inside = min(hi, at + n) - max(lo, at)
+        if inside > 0:
+            out.append((inside, op))
+        at += n
+    return out
+
+
+def _walked(ops: list[tuple[int, str]], offset: int) -> int:
+    """Reference bases of the first ``offset`` query bases."""
+    return sum(n for n, op in _cut(ops, 0, offset) if op in "MD")
+
+
+def _inner(ops: list[tuple[int, str]], reverse: bool) -> list[tuple[int, str]]:
+    """Operations in the order of the fragment, without one clip at each end."""
+    if ops and ops[0][1] in "HS":
+        ops = ops[1:]
+    if ops and ops[-1][1] in "HS":
+        ops = ops[:-1]
+    return ops[::-1] if reverse else ops
+
+
+def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str, cigar: str, ref_start: str | None = None, ref_end: str | None = None, reverse: str | None = None) -> DataFrame:
+    """``fragment, row, first, last, score, chain_score, ref_start, ref_end, align_str`` of the segments of each fragment's best chain.
 
-    ``cigar`` is an array of struct<n, op> of each segment's operations. Contained segments are dropped by
+    ``cigar`` is an array of struct<n, op> of each segment's operations as aligned, clips included. A piece is told in the context
+    of the fragment: its operations in that order, and the reference ends from the first base of it to the last, so they fall on the
+    reverse strand. Without ``ref_start`` and ``ref_end`` they count from 0. A fragment with one segment gives it whole, with
+    its clips as aligned. Contained segments are dropped by
     window functions first; what is left of a fragment, a few rows, becomes one array, and many
     fragments go to Python in one batch.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = [fragment, row, first, last, "score", "chain_score", "ref_start", "ref_end", "align_str"]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, items in zip(batch[fragment], batch["__all"]):
-                segments = [(int(x["first"]), int(x["last"]), [(int(o["n"]), o["op"]) for o in x["ops"]]) for x in items]
-                total, pieces = best_chain(segments)
-                out += [(name, items[j]["row"], a, b, gain, total) for j, a, b, gain in pieces]
-            yield pd.DataFrame(out, columns=[fragment, row, first, last, "score", "chain_score"])
+                raw = [[(int(o["n"]), o["op"]) for o in x["ops"]] for x in items]
+                inner = [_inner(ops, bool(x["reverse"])) for ops, x in zip(raw, items)]
+                total, pieces = best_chain([(int(x["first"]), int(x["last"]), ops) for x, ops in zip(items, inner)])
+                for j, a, b, gain in pieces:
+                    x, ops = items[j], inner[j]
+                    lo, hi = a - int(x["first"]), b + 1 - int(x["first"])
+                    if x["reverse"]:
+                        ends = (x["ref_end"] - _walked(ops, lo), x["ref_end"] - _walked(ops, hi))
+                    else:
+                        ends = (x["ref_start"] + _walked(ops, lo), x["ref_start"] + _walked(ops, hi))
+                    own = raw[j] if len(items) == 1 else _cut(ops, lo, hi)
+                    if len(items) == 1:
+                        ends = (x["ref_end"], x["ref_start"]) if x["reverse"] else (x["ref_start"], x["ref_end"])
+                    out.append((name, x["row"], a, b, gain, total, *ends, "".join(f"{n}{op}" for n, op in own)))
+            yield pd.DataFrame(out, columns=names)
 
-    survivors = drop_contained(df.select(fragment, row, first, last, cigar), fragment, first, last)
-    item = F.struct(F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"), F.col(row).alias("row"), F.col(cigar).alias("ops"))
+    zero = F.lit(0).cast("long")
+    rows = df.select(
+        fragment, row, first, last, cigar,
+        (F.col(ref_start).cast("long") if ref_start else zero).alias("__from"), (F.col(ref_end).cast("long") if ref_end else zero).alias("__to"), (F.col(reverse) if reverse else F.lit(False)).alias("__reverse"),
+    )
+    survivors = drop_contained(rows, fragment, first, last)
+    item = F.struct(F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"), F.col(row).alias("row"), F.col(cigar).alias("ops"), F.col("__from").alias("ref_start"), F.col("__to").alias("ref_end"), F.col("__reverse").alias("reverse"))
     grouped = survivors.groupBy(fragment).agg(F.array_sort(F.collect_list(item)).alias("__all"))
-    return grouped.mapInPandas(best, f"`{fragment}` {kinds[fragment]}, `{row}` {kinds[row]}, `{first}` long, `{last}` long, score double, chain_score long")
+    return grouped.mapInPandas(best, f"`{fragment}` {kinds[fragment]}, `{row}` {kinds[row]}, `{first}` long, `{last}` long, score double, chain_score long, ref_start long, ref_end long, align_str string")

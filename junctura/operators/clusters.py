@@ -93,3 +93,20 @@ def cluster_stats(df: DataFrame, cluster: str, values: list[str], min_size: int
     for v in values:
         aggs += [F.min(v).alias(f"min_{v}"), F.avg(v).alias(f"avg_{v}")]
     return df.groupBy(cluster).agg(*aggs).filter(F.col("n") >= min_size)
+
+
+def largest_first(df: DataFrame, cluster: str) -> DataFrame:
+    """``cluster, n, rank`` from 0: by size, of equal ones by the cluster's own order. A row per cluster is sorted, not its members."""
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
+    return sizes.withColumn("rank", (F.row_number().over(W.orderBy(F.desc("n"), F.col(cluster))) - 1).cast("long"))
+
+
+def lowest_scores(df: DataFrame, fragment: str, score: str, order: list[str], top: int) -> DataFrame:
+    """The ``top`` rows of each fragment with the lowest scores; ties by ``order``."""
+    rank = F.row_number().over(W.partitionBy(fragment).orderBy(score, *order))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= top).drop("__rank")
+
+
+def members(df: DataFrame, *columns: str, row: str) -> DataFrame:
+    """Distinct points with multiplicity ``n`` and their sorted rows. For points whose multiplicity is large, ``unique_points`` and a join keep rows apart."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("members"))

@@ -90,39 +90,62 @@ def nearest_exon(df: DataFrame, position: str, starts: str, ends: str) -> DataFr
     return df.withColumn("start_exon", first(starts)).withColumn("end_exon", first(ends))
 
 
-def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8) -> DataFrame:
-    """Ordered merging: sorted by (lo, hi), an interval joins the one before if their overlap exceeds ``ratio`` of the longer.
+def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8, samples: str | None = None) -> DataFrame:
+    """Ordered merging: sorted by (lo, hi), an interval joins the one before if (its end - lo) / (the longer length) exceeds ``ratio``.
 
-    The merged end feeds the next test, so a key is one fold in order: ``key, lo, hi, members``. Rows stream
-    sorted through it, and only the last interval is held; a key is still folded by one task.
+    The end before isn't cut at the new one, so an interval nested in the one before is measured by what is left of that one. The merged
+    end feeds the next test, so a key is one fold in order: ``key, lo, hi, members``, and with ``samples``, a column of arrays of strings,
+    their union over the members, sorted. Rows stream sorted through it, and only the last interval is held; a key is still folded by one task.
     """
-    rows = df.select(F.col(key), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+    rows = df.select(F.col(key), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), (F.col(samples) if samples else F.lit(None)).cast("array<string>").alias("samples"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kind = None, None
         for batch in batches:
             kind, out = batch.schema.field(0).type, []
-            for k, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            for k, x, y, names in zip(*[c.to_pylist() for c in batch.columns]):
                 if last is not None and k == last[0] and None not in (x, y, last[1], last[2]):
                     longer = max(last[2] - last[1], y - x)
-                    if longer > 0 and min(last[2], y) - x > longer * ratio:
-                        last = (k, last[1], max(last[2], y), last[3] + 1)
+                    if longer > 0 and (last[2] - x) / longer > ratio:
+                        last = (k, last[1], max(last[2], y), last[3] + 1, last[4] | set(names or ()))
                         continue
                 if last is not None:
                     out.append(last)
-                last = (k, x, y, 1)
+                last = (k, x, y, 1, set(names or ()))
             if out:
                 yield _pieces(out, kind, key)
         if last is not None:
             yield _pieces([last], kind, key)
 
     sorted_ = rows.repartition(F.col(key)).sortWithinPartitions(key, "lo", "hi")
-    return sorted_.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long")
+    merged = sorted_.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long, samples array<string>")
+    return merged if samples else merged.drop("samples")
 
 
 def _pieces(rows: list[tuple], kind: pa.DataType, key: str) -> pa.RecordBatch:
-    kinds = (kind, pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, "lo", "hi", "members"])
+    kinds = (kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    rows = [(*r[:4], sorted(r[4])) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, "lo", "hi", "members", "samples"])
+
+
+def overlap_counts(df: DataFrame, key: str, row: str, lo: str, hi: str, width: int) -> DataFrame:
+    """Diagnostics of a key's closed intervals: ``key, n, overlaps, containments, contained``.
+
+    overlaps counts ordered pairs of different rows that share a point, containments those of which the first
+    lies in the second, contained the rows that lie in any other. Ends are compared as they are: of two equal intervals each lies in the other.
+    """
+    side = lambda s: df.select(F.col(key), F.col(row).alias(f"row_{s}"), F.col(lo).alias(f"lo_{s}"), F.col(hi).alias(f"hi_{s}"), (F.col(hi) + 1).alias(f"end_{s}"))
+    pairs = range_join(side("a"), side("b"), [key], "lo_a", "end_a", "lo_b", "end_b", width, F.col("row_a") != F.col("row_b"))
+    inside = (F.col("lo_b") <= F.col("lo_a")) & (F.col("hi_a") <= F.col("hi_b"))
+    per_row = pairs.groupBy(key, "row_a").agg(F.count("*").alias("o"), F.count_if(inside).alias("c"))
+    counts = per_row.groupBy(key).agg(F.sum("o").alias("overlaps"), F.sum("c").alias("containments"), F.count_if(F.col("c") > 0).alias("contained"))
+    zero = F.lit(0).cast("long")
+    return df.groupBy(key).agg(F.count("*").alias("n")).join(counts, key, "left").select(key, "n", *[F.coalesce(c, zero).alias(c) for c in ("overlaps", "containments", "contained")])
+
+
+def rounded_out(lo: Column, hi: Column, step: int = 10_000) -> tuple[Column, Column]:
+    """An interval widened by ``step`` at both ends and rounded out to whole steps."""
+    return (F.floor((lo - step) / step) * step).cast("long"), (F.ceil((hi + step) / step) * step).cast("long")
 
 
 def longest_run(text: Column, stop: str) -> tuple[Column, Column, Column]:

@@ -210,3 +210,70 @@ def search_labels(index: Column, depth: int) -> tuple[Column, Column]:
     level = F.lit(depth) - zeros
     turns = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda k: F.when(k >= level, "").when(F.getbit(index, F.lit(depth) - k) == 1, "R").otherwise("L"))
     return level.cast("long"), F.array_join(turns, "")
+
+
+def primers_per_region(primers: DataFrame, regions: DataFrame, region: str) -> DataFrame:
+    """``region, n`` of every region, those without a primer with 0."""
+    counts = primers.groupBy(region).agg(F.count("*").alias("n"))
+    return regions.select(region).distinct().join(counts, region, "left").select(region, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def require_primers(counts: DataFrame, region: str) -> DataFrame:
+    """The same rows; an error for a region that has none to choose from."""
+    return counts.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("no primers to choose from in region "), F.col(region).cast("string"))).cast("long")))
+
+
+def spacings(primers: DataFrame, bounds: DataFrame, keys: list[str], position: str, bound: str) -> DataFrame:
+    """``keys, at, spacing``: gaps between neighbouring primers and the inner boundary of their region, sorted together."""
+    points = primers.select(*keys, F.col(position).cast("long").alias("at")).unionByName(bounds.select(*keys, F.col(bound).cast("long").alias("at")))
+    return points.withColumn("spacing", F.lead("at").over(W.partitionBy(*keys).orderBy("at")) - F.col("at")).filter("spacing is not null")
+
+
+def target_cost(primers: DataFrame, regions: DataFrame, region: str, position: str, start: str, end: str, forward: str) -> DataFrame:
+    """Multi-target cost ``region, cost``: the distances of all its primers to a region's inner end, or its length if it has none."""
+    r = regions.select(region, F.col(start).alias("__a"), F.col(end).alias("__b"), F.col(forward).alias("__f"))
+    far = F.when(F.col("__f"), F.col("__b") - F.col("__x")).otherwise(F.col("__x") - F.col("__a"))
+    joined = r.join(primers.select(region, F.col(position).alias("__x")), region, "left")
+    return joined.groupBy(region).agg(F.sum(F.when(F.col("__x").isNull(), F.col("__b") - F.col("__a")).otherwise(far)).cast("double").alias("cost"))
+
+
+def gap_cost(primers: DataFrame, regions: DataFrame, region: str, position: str, start: str, end: str, forward: str, d: float) -> DataFrame:
+    """Cost ``region, cost`` of what primers leave uncovered alone: the tiling cost without that of crowding."""
+    return tiling_cost(primers, regions, region, position, start, end, forward, d, float("inf"))
+
+
+def linked_amplicons(primers: DataFrame, regions: DataFrame, links: DataFrame, region: str, position: str, start: str, end: str, forward: str) -> DataFrame:
+    """``region_i, region_j, product``: least amplicon of linked regions, of the innermost primers, or the whole length of a region without one."""
+    inner = primers.groupBy(region).agg(F.max(position).alias("__last"), F.min(position).alias("__first"))
+    own = F.when(F.col("__last").isNull(), F.col(end) - F.col(start)).when(F.col(forward), F.col(end) - F.col("__last")).otherwise(F.col("__first") - F.col(start))
+    return product_lengths(links, regions.join(inner, region, "left").select(region, own.cast("long").alias("__own")), region, "__own")
+
+
+#: Costs of a set of primers by name: each takes primers, regions and the names of their columns, and gives ``region, cost``.
+COSTS = {"tiling": tiling_cost, "targets": target_cost, "gaps": gap_cost}
+
+
+def edges_from_scores(scores: DataFrame, rule=incompatible) -> DataFrame:
+    """``p, q`` (p <= q) of the pairs whose last score row ``rule``, a function of the three scores, finds incompatible.
+
+    Score rows come in the order of ``seq``; the last one of a pair, in either direction, decides.
+    """
+    pairs = scores.select(F.least("p1", "p2").alias("p"), F.greatest("p1", "p2").alias("q"), "seq", "s1", "s2", "s3")
+    return last_wins(pairs, ["p", "q"], "seq").filter(rule(F.col("s1"), F.col("s2"), F.col("s3"))).select("p", "q")
+
+
+def surviving_pairs(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
+    """Pair numbers whose left and right primers both survive."""
+    return left.select(index).distinct().join(right.select(index).distinct(), index)
+
+
+def read_pairs(df: DataFrame, order: str, position: str, reverse: str) -> DataFrame:
+    """``pair, x, y, x_reverse, y_reverse`` of reads that follow each other two by two in the order ``order`` (0, 1, ...), the lower position first; an odd last one is left out."""
+    rows = df.select(F.call_function("div", F.col(order).cast("long"), F.lit(2).cast("long")).alias("pair"), F.struct(F.col(position).alias("at"), (F.col(order) % 2).alias("k"), F.col(reverse).alias("r")).alias("m"))
+    both = rows.groupBy("pair").agg(F.min("m").alias("a"), F.max("m").alias("b"), F.count("*").alias("__n")).filter("__n = 2")
+    return both.select("pair", F.col("a.at").alias("x"), F.col("b.at").alias("y"), F.col("a.r").alias("x_reverse"), F.col("b.r").alias("y_reverse"))
+
+
+def length_mismatches(transcripts: DataFrame, contigs: DataFrame, name: str, length: str) -> DataFrame:
+    """Transcripts whose contig is missing or has another length: ``name, length, found``."""
+    return transcripts.select(name, length).distinct().join(contigs.select(F.col("name").alias(name), F.col("length").alias("found")), name, "left").filter(~F.col(length).eqNullSafe(F.col("found")))

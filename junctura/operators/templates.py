@@ -73,3 +73,8 @@ def chained_templates(df: DataFrame, name: str, a: str, b: str, d: str, sequence
     parts = rows.select("__group", name, F.concat(first, spacer(F.col(d), offset), middle).alias("__part"))
     joined = parts.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct(name, "__part"))).alias("p"))
     return joined.select(F.col("__group").alias("name"), F.array_join(F.transform("p", lambda x: x["__part"]), "").alias("template"))
+
+
+def named_noise_filter(name: Column, a: Column, b: Column, d: Column, max_d: int = 100, min_distance: int = 10) -> Column:
+    """The noise filter of templates over several breaks: a junction without a name isn't kept either."""
+    return noise_filter(a, b, d, max_d, min_distance) & (F.coalesce(name, F.lit("")) != "")

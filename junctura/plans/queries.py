@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from junctura.functions import cigar, sequence, thermo
-from junctura.operators import anneal, chain, clusters, intervals, junctions, primers, templates
+from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
 from junctura.operators.graph import connected_components
 from junctura.sources import design
 
@@ -255,16 +255,16 @@ def cigars(spark, d):
   t AS (SELECT l_orderkey, cigar, reverse, k[1] + k[2] + k[3] + k[4] + k[6] + k[7] AS length, k[2] + k[4] + k[5] + k[6] AS span, k[1] AS lead, k[7] AS tail, (k[2] + k[4] + k[6]) AS m, k[3] AS i, k[5] AS d FROM z)
   SELECT l_orderkey, cigar, length, span, CASE WHEN reverse THEN length - lead ELSE 1 + lead END AS first, CASE WHEN reverse THEN 1 + tail ELSE length - tail END AS last, CAST(92 * m - 200 - 20 * i - 20 * d AS BIGINT) AS score_100 FROM t""")
 def q21(spark, d):
-    rows = cigars(spark, d).withColumn("ops", cigar.parse(F.col("cigar")))
+    rows = cigar.with_ops(cigars(spark, d), F.col("cigar"), "ops")
     first, last = cigar.fragment_interval(F.col("ops"), F.col("reverse"))
     return rows.select("l_orderkey", "cigar", cigar.fragment_length(F.col("ops")).alias("length"), cigar.reference_span(F.col("ops")).alias("span"), first.alias("first"), last.alias("last"), F.round(cigar.score(F.col("ops")) * 100).cast("long").alias("score_100"))
 
 
 @query("q21_cigar_slice", f"""WITH c AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_suppkey % 7 + 1 AS dl FROM lineitem)
   SELECT l_orderkey, concat(least(a, 10), 'M', CASE WHEN a < 10 THEN concat(least(i, 10 - a), 'I') ELSE '' END, CASE WHEN a + i < 10 THEN concat(least(10 - a - i, a + 3), 'M') ELSE '' END,
-    CASE WHEN 2 * a + i + 3 < 10 THEN concat(dl, 'D', least(4, 10 - 2 * a - i - 3), 'M') ELSE '' END) AS head FROM c""")
+    CASE WHEN 2 * a + i + 3 <= 10 THEN concat(dl, 'D') ELSE '' END, CASE WHEN 2 * a + i + 3 < 10 THEN concat(least(4, 10 - 2 * a - i - 3), 'M') ELSE '' END) AS head FROM c""")
 def q21_slice(spark, d):
-    rows = cigars(spark, d).withColumn("ops", cigar.parse(F.col("cigar")))
+    rows = cigar.with_ops(cigars(spark, d), F.col("cigar"), "ops")
     return rows.select("l_orderkey", cigar.told(cigar.slice_by_query(F.col("ops"), F.lit(0), F.lit(10))).alias("head"))
 
 
@@ -373,16 +373,22 @@ def q33_shares(spark, d):
     return primers.region_shares(supplier_regions(spark, d), "l_suppkey", "n_regionkey")
 
 
-@query("q34_merge_80pct")
+@query("q34_merge_80pct", f"""WITH RECURSIVE {IV}, s AS (SELECT l_suppkey, lo, hi, row_number() OVER (PARTITION BY l_suppkey ORDER BY lo, hi) AS k FROM iv),
+  f AS (SELECT l_suppkey, k, 1 AS piece, lo, hi, 1 AS members FROM s WHERE k = 1
+    UNION ALL SELECT l_suppkey, k, piece + CAST(NOT m AS INT), CASE WHEN m THEN lo0 ELSE lo END, CASE WHEN m THEN greatest(hi0, hi) ELSE hi END, CASE WHEN m THEN members + 1 ELSE 1 END
+      FROM (SELECT s.l_suppkey, s.k, f.piece, f.members, f.lo AS lo0, f.hi AS hi0, s.lo, s.hi, CAST(f.hi - s.lo AS DOUBLE) / greatest(f.hi - f.lo, s.hi - s.lo) > CAST(0.8 AS DOUBLE) AS m FROM f JOIN s ON s.l_suppkey = f.l_suppkey AND s.k = f.k + 1))
+  SELECT l_suppkey, max(lo) AS lo, max(hi) AS hi, CAST(max(members) AS BIGINT) AS members FROM f GROUP BY l_suppkey, piece""")
 def q34(spark, d):
     return intervals.merge_similar(shipped(spark, d).select("l_suppkey", "lo", "hi"), "l_suppkey", "lo", "hi")
 
 
 @query("q35_chain_dp")
 def q35(spark, d):
-    rows = shipped(spark, d).withColumn("row", F.xxhash64("*")).withColumn("last", F.col("hi") - 1)
-    ops = F.array(F.struct(F.col("l_quantity").cast("int").alias("n"), F.lit("M").alias("op")))
-    return chain.chain_segments(rows.withColumn("ops", ops), "l_orderkey", "row", "lo", "last", "ops")
+    """Lines are segments of their order with clips, an insertion and a deletion, on both strands."""
+    rows = shipped(spark, d).withColumn("row", F.xxhash64("*")).withColumn("hi", F.col("lo") + 2 * F.col("l_quantity").cast("long") + F.col("l_partkey") % 5 + 8).withColumn("last", F.col("hi") - 1)
+    rows = cigar.with_ops(rows, F.expr(CIGAR.replace("BIGINT", "LONG")), "ops").withColumn("from", F.col("l_partkey") * 100).withColumn("reverse", F.col("l_returnflag") == "R")
+    rows = rows.withColumn("to", F.col("from") + cigar.reference_span(F.col("ops")))
+    return chain.chain_segments(rows, "l_orderkey", "row", "lo", "last", "ops", "from", "to", "reverse")
 
 
 @query("q36_anneal")
@@ -445,18 +451,262 @@ def q43(spark, d):
     return table(spark, d, "documents").select("doc_id", sequence.n_rich(F.translate("text", "n", "N"), 0.08).alias("rich"))
 
 
-@query("q44_independent_components", """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0.1),
-  both_ways AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), r AS (SELECT a AS node, a AS c FROM both_ways UNION SELECT w.b, r.c FROM r JOIN both_ways w ON w.a = r.node)
-  SELECT node, min(c) AS component FROM r GROUP BY 1""")
+COMPONENTS = """WITH RECURSIVE o AS (SELECT DISTINCT {links}), both_ways AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+  r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways
+    UNION SELECT w.b, min(r.component) FROM r JOIN both_ways w ON w.a = r.node JOIN recurring.r AS held ON held.node = w.b WHERE r.component < held.component GROUP BY w.b)
+  SELECT node, component FROM r"""
+
+
+@query("q44_independent_components", COMPONENTS.format(links="o_custkey AS a, 1000000000 + o_orderkey // 7 AS b FROM orders"))
 def q44(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_quantity = 50 and l_discount = 0.1").select("l_orderkey", (F.col("l_suppkey") + 1_000_000_000).alias("b"))
-    edges = lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("a")), "l_orderkey")
+    """Customers and runs of seven order numbers."""
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_orderkey") / 7) + 1_000_000_000).alias("b"))
     return connected_components(edges, "a", "b")
 
 
-@query("q44_all_components")
+@query("q44_all_components", COMPONENTS.format(links="o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey"))
 def q44_all(spark, d):
-    """Components over the links of all lines; q44_independent_components has those of a few lines, for which its SQL is quick enough."""
+    """Customers and suppliers over the links of all lines."""
     lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") + 1_000_000_000).alias("b"))
     edges = lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("a")), "l_orderkey")
     return connected_components(edges, "a", "b")
+
+
+@query("q32_solution_rows", """WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS cost, o_custkey, row_number() OVER (ORDER BY floor(o_totalprice), CAST(o_orderkey AS VARCHAR)) - 1 AS rank FROM orders)
+  SELECT CAST(rank AS INT) AS rank, cost, 0 AS region, o_custkey AS position FROM s WHERE rank < 30 UNION ALL SELECT CAST(rank AS INT), cost, 1, o_orderkey FROM s WHERE rank < 30""")
+def q32_rows(spark, d):
+    orders = table(spark, d, "orders")
+    solutions = orders.select(F.col("o_orderkey").cast("string").alias("params"), F.floor("o_totalprice").alias("cost"), F.array(F.array("o_custkey"), F.array("o_orderkey")).alias("primers"))
+    return design.solution_rows(solutions, 30)
+
+
+@query("q45_primers_per_region", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def q45(spark, d):
+    return primers.primers_per_region(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, d, "customer"), "c_custkey")
+
+
+@query("q46_sample_report", f"""WITH {IV}, p AS (SELECT DISTINCT l_suppkey, hi AS at, l_returnflag = 'A' AS f FROM iv),
+  n AS (SELECT s.rid, min(abs(s.lo - p.at)) AS m FROM iv s JOIN p ON p.l_suppkey = s.l_suppkey AND p.f = (s.l_linestatus = 'O') AND CASE WHEN p.f THEN s.lo - p.at ELSE p.at - s.lo END BETWEEN 1 AND 19 GROUP BY 1),
+  t AS (SELECT l_suppkey, l_linestatus = 'O' AS f, coalesce(m, 20) AS m FROM iv LEFT JOIN n USING (rid))
+  SELECT l_suppkey, count(*) FILTER (m < 10) AS covered, count(*) AS total, CAST(coalesce(min(m) FILTER (f) + min(m) FILTER (NOT f), 0) AS BIGINT) AS least, CAST(coalesce(max(m) FILTER (f) + max(m) FILTER (NOT f), 0) AS BIGINT) AS greatest FROM t GROUP BY 1""")
+def q46(spark, d):
+    lines = shipped(spark, d)
+    points = lines.select("l_suppkey", F.col("lo").alias("breakpoint"), (F.col("l_linestatus") == "O").alias("forward"))
+    found = lines.select("l_suppkey", F.col("hi").alias("position"), (F.col("l_returnflag") == "A").alias("forward"))
+    return deletions.sample_report(deletions.primer_distances(points, found, ["l_suppkey"], "breakpoint", "position", "forward", 10), "l_suppkey", "forward")
+
+
+@query("q47_strand_coverage", f"""WITH {IV}, w AS (SELECT l_suppkey, l_returnflag = 'A' AS forward, lo - CASE WHEN l_returnflag = 'A' THEN 0 ELSE 5 END AS a FROM iv),
+  g AS (SELECT *, max(a + 5) OVER (PARTITION BY l_suppkey, forward ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+  c AS (SELECT l_suppkey, forward, CAST(sum(greatest(0, a + 5 - greatest(a, coalesce(reach, a)))) AS BIGINT) AS covered, max(a) - min(a) + 6 AS total FROM g GROUP BY 1, 2)
+  SELECT *, covered / total AS share, total - covered AS uncovered FROM c""")
+def q47(spark, d):
+    rows = shipped(spark, d).select("l_suppkey", "lo", (F.col("l_returnflag") == "A").alias("forward"))
+    return deletions.strand_coverage(rows, ["l_suppkey"], "lo", "forward", 5)
+
+
+@query("q48_penalty_layers", """WITH b AS (SELECT l_suppkey, l_orderkey // 2000 * 2000 AS bin, l_discount AS p FROM lineitem), t(threshold, before) AS (VALUES (CAST(0.02 AS DOUBLE), CAST(-1 AS DOUBLE)), (0.05, 0.02), (0.08, 0.05))
+  SELECT l_suppkey, threshold, bin, count(*) FILTER (p < threshold) AS n, count(*) FILTER (p < threshold) - count(*) FILTER (p < before) AS added FROM b, t GROUP BY 1, 2, 3 HAVING count(*) FILTER (p < threshold) > 0""")
+def q48(spark, d):
+    return design.penalty_layers(table(spark, d, "lineitem"), ["l_suppkey"], "l_orderkey", "l_discount", [0.02, 0.05, 0.08])
+
+
+@query("q49_longest_per_position", "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY l_quantity = max(l_quantity) OVER (PARTITION BY l_partkey)")
+def q49(spark, d):
+    return design.longest_per_position(table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), ["l_partkey"], "l_quantity")
+
+
+@query("q50_penalty_sums", "SELECT o_custkey, count(*) AS primers, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS penalty FROM orders GROUP BY 1")
+def q50(spark, d):
+    return links.penalty_sums(table(spark, d, "orders").select("o_custkey", F.floor("o_totalprice").alias("p")), "o_custkey", "p")
+
+
+@query("q51_spacings", f"""WITH {OD}, p AS (SELECT o_custkey, day AS x FROM od UNION ALL SELECT c_custkey, 2500 FROM customer), s AS (SELECT o_custkey, x AS "at", lead(x) OVER (PARTITION BY o_custkey ORDER BY x) - x AS spacing FROM p) SELECT * FROM s WHERE spacing IS NOT NULL""")
+def q51(spark, d):
+    bounds = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(2500).alias("end"))
+    return primers.spacings(ordered(spark, d), bounds, ["o_custkey"], "day", "end")
+
+
+@query("q52_surviving_pairs", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def q52(spark, d):
+    return primers.surviving_pairs(table(spark, d, "customer").filter("c_acctbal > 0"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("q53_overlap_counts", f"""WITH {IV}, p AS (SELECT a.l_orderkey, a.rid, count(*) AS o, count(*) FILTER (b.lo <= a.lo AND a.hi <= b.hi) AS c FROM iv a JOIN iv b ON a.l_orderkey = b.l_orderkey AND a.rid <> b.rid AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1, 2),
+  t AS (SELECT l_orderkey, sum(o) AS o, sum(c) AS c, count(*) FILTER (c > 0) AS k FROM p GROUP BY 1)
+  SELECT iv.l_orderkey, count(*) AS n, CAST(coalesce(any_value(o), 0) AS BIGINT) AS overlaps, CAST(coalesce(any_value(c), 0) AS BIGINT) AS containments, coalesce(any_value(k), 0) AS contained FROM iv LEFT JOIN t ON t.l_orderkey = iv.l_orderkey GROUP BY 1""")
+def q53(spark, d):
+    return intervals.overlap_counts(shipped(spark, d).withColumn("row", F.xxhash64("*")), "l_orderkey", "row", "lo", "hi", 64)
+
+
+@query("q54_target_cost", f"""WITH {OD} SELECT c_custkey, CAST(sum(CASE WHEN day IS NULL THEN 2500 WHEN c_custkey % 2 = 0 THEN 2500 - day ELSE day END) AS DOUBLE) AS cost FROM customer LEFT JOIN od ON o_custkey = c_custkey GROUP BY 1""")
+def q54(spark, d):
+    return primers.COSTS["targets"](_days(spark, d), _regions(spark, d), "c_custkey", "day", "start", "end", "forward")
+
+
+def _regions(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.lit(0).cast("long").alias("start"), F.lit(2500).cast("long").alias("end"), (F.col("c_custkey") % 2 == 0).alias("forward"))
+
+
+def _days(spark, d):
+    return ordered(spark, d).select(F.col("o_custkey").alias("c_custkey"), "day")
+
+
+@query("q55_gap_cost", f"""WITH {OD}, p AS (SELECT c_custkey AS k, 0 AS kind, 0 AS x FROM customer UNION ALL SELECT c_custkey, 2, 2500 FROM customer UNION ALL SELECT o_custkey, 1, day FROM od JOIN customer ON c_custkey = o_custkey),
+  g AS (SELECT k, kind, x - lag(x) OVER w AS gap, lag(kind) OVER w AS before FROM p WINDOW w AS (PARTITION BY k ORDER BY kind, x))
+  SELECT k AS c_custkey, CAST(sum(greatest(0, gap - CASE WHEN (k % 2 = 0 AND before = 0) OR (k % 2 <> 0 AND kind = 2) THEN 0 ELSE 300 END)) AS DOUBLE) AS cost FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+def q55(spark, d):
+    return primers.COSTS["gaps"](_days(spark, d), _regions(spark, d), "c_custkey", "day", "start", "end", "forward", 300.0)
+
+
+@query("q56_linked_amplicons", f"""WITH {OD}, r AS (SELECT c_custkey AS k, CASE WHEN min(day) IS NULL THEN 2500 WHEN c_custkey % 2 = 0 THEN 2500 - max(day) ELSE min(day) END AS n FROM customer LEFT JOIN od ON o_custkey = c_custkey GROUP BY 1)
+  SELECT a.k AS region_i, b.k AS region_j, CAST(a.n + b.n AS BIGINT) AS product FROM r a JOIN r b ON b.k = a.k + 1""")
+def q56(spark, d):
+    pairs = table(spark, d, "customer").select(F.col("c_custkey").alias("region_i"), (F.col("c_custkey") + 1).alias("region_j"))
+    return primers.linked_amplicons(_days(spark, d), _regions(spark, d), pairs, "c_custkey", "day", "start", "end", "forward")
+
+
+SOLUTIONS = f"""p AS (SELECT l_suppkey AS solution, n_regionkey AS region, CASE WHEN c_custkey % 50 = 0 THEN 'x' ELSE 'c' END AS contig, {DAY} AS position, n_regionkey % 2 = 0 AS forward, l_orderkey * 10 + l_linenumber AS seq
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+  i AS (SELECT solution, region, forward, arg_max({{'contig': contig, 'position': position, 'seq': seq}}, {{'t': CASE WHEN forward THEN position ELSE -position END, 'seq': seq}}) AS m FROM p GROUP BY 1, 2, 3),
+  v AS (SELECT solution, region, forward, m.contig AS contig, m.position AS position, m.seq AS seq, m.contig = 'c' AND m.position >= 2 * region AND m.position < 2 * region + 2490 AS valid FROM i),
+  w AS (SELECT *, count(*) OVER (PARTITION BY solution) = (SELECT count(*) FROM region) AND bool_and(valid) OVER (PARTITION BY solution) AS complete FROM v)"""
+
+
+def solutions(spark, d):
+    rows = shipped(spark, d).select("l_orderkey", "l_suppkey", "lo", "l_linenumber").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    rows = rows.join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey").join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    found = rows.select(
+        F.col("l_suppkey").alias("solution"), F.col("n_regionkey").alias("region"), F.when(F.col("c_custkey") % 50 == 0, "x").otherwise("c").alias("contig"), F.col("lo").alias("position"), (F.col("n_regionkey") % 2 == 0).alias("forward"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    )
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.lit("c").alias("contig"), (F.col("r_regionkey") * 2).cast("long").alias("start"), F.lit(2490).cast("long").alias("length"), (F.col("r_regionkey") % 2 == 0).alias("forward"))
+    return links.verified_solutions(found, regions, "solution", "seq"), regions
+
+
+@query("q57_verified_solutions", f"WITH {SOLUTIONS} SELECT * FROM w")
+def q57(spark, d):
+    return solutions(spark, d)[0]
+
+
+@query("q58_first_complete", f"WITH {SOLUTIONS} SELECT * FROM w WHERE solution = (SELECT min(solution) FROM w WHERE complete)")
+def q58(spark, d):
+    return links.first_complete(solutions(spark, d)[0], "solution")
+
+
+@query("q59_read_pairs", f"""WITH {OD}, r AS (SELECT o_orderkey // 2 AS pair, {{'at': day, 'k': o_orderkey % 2, 'r': o_orderstatus = 'F'}} AS m FROM od JOIN orders USING (o_custkey, o_orderkey))
+  SELECT pair, min(m).at AS x, max(m).at AS y, min(m).r AS x_reverse, max(m).r AS y_reverse FROM r GROUP BY 1 HAVING count(*) = 2""")
+def q59(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", _day("o_orderdate").alias("day"), (F.col("o_orderstatus") == "F").alias("reverse"))
+    return primers.read_pairs(rows, "o_orderkey", "day", "reverse")
+
+
+@query("q60_cigar_expansion", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_suppkey % 7 + 1 AS dl FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CAST(2 * a + 7 + i AS BIGINT) AS bases, CAST(i AS BIGINT) AS inserted, CAST(dl AS BIGINT) AS deleted, CAST(a + 2 * i + 3 * (a + 3) + 5 * 4 AS BIGINT) AS numbers FROM c""")
+def q60(spark, d):
+    rows = cigar.with_ops(table(spark, d, "lineitem"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
+    rows = rows.select("l_orderkey", "l_linenumber", F.explode(F.array(cigar.expanded(F.col("ops")))).alias("e"))
+    add = lambda f: F.aggregate("e", F.lit(0).cast("long"), lambda n, x: n + f(x))
+    return rows.select("l_orderkey", "l_linenumber", F.size("e").cast("long").alias("bases"), add(lambda x: (x["base"] == "-").cast("long")).alias("inserted"), add(lambda x: x["deleted"]).alias("deleted"), add(lambda x: x["op"]).alias("numbers"))
+
+
+@query("q61_reference_positions", """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS reverse, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_suppkey % 7 + 1 AS dl, CAST(least(10 + l_linenumber, 2 * l_quantity + 7) AS BIGINT) AS o FROM lineitem),
+  f AS (SELECT *, CASE WHEN reverse THEN least(4, o) + CASE WHEN o >= 4 THEN dl ELSE 0 END + greatest(0, least(a + 3, o - 4)) + greatest(0, least(a, o - 7 - a - i))
+    ELSE least(a, o) + greatest(0, least(a + 3, o - a - i)) + CASE WHEN o >= 2 * a + i + 3 THEN dl ELSE 0 END + greatest(0, least(4, o - 2 * a - i - 3)) END AS far FROM c)
+  SELECT l_orderkey, l_linenumber, CAST(CASE WHEN reverse THEN l_orderkey - far ELSE l_orderkey + far END AS BIGINT) AS at FROM f""")
+def q61(spark, d):
+    rows = cigar.with_ops(table(spark, d, "lineitem").withColumn("reverse", F.col("l_returnflag") == "R"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
+    ops = cigar.in_fragment_order(F.col("ops"), F.col("reverse"))
+    offset = F.least(F.lit(10) + F.col("l_linenumber"), 2 * F.col("l_quantity").cast("long") + 7).cast("long")
+    return rows.select("l_orderkey", "l_linenumber", cigar.reference_at(ops, offset, F.col("l_orderkey"), F.col("reverse")).alias("at"))
+
+
+@query("q62_sub_interval", """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS reverse, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_linenumber AS h, l_linenumber % 3 + 1 AS s FROM lineitem),
+  n AS (SELECT *, h + 2 * a + 7 + i + s AS n FROM c)
+  SELECT l_orderkey, l_linenumber, CAST(CASE WHEN reverse THEN n - h ELSE h END AS BIGINT) AS first, CAST(CASE WHEN reverse THEN n - h - a - i ELSE h + a + i END AS BIGINT) AS last FROM n""")
+def q62(spark, d):
+    rows = cigar.with_ops(table(spark, d, "lineitem"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
+    first, last = cigar.sub_interval(F.col("ops"), F.lit(1), F.lit(3), F.col("l_returnflag") == "R")
+    return rows.select("l_orderkey", "l_linenumber", first.alias("first"), last.alias("last"))
+
+
+@query("q63_population_ratios", f"""WITH {IV}, dl AS (SELECT l_orderkey AS k, min(lo) AS lo, max(hi) AS hi FROM iv GROUP BY 1), c AS (SELECT DISTINCT dl.k, dl.lo, dl.hi, CAST(l_partkey % 50 AS VARCHAR) AS sample FROM iv JOIN dl ON dl.k = iv.l_orderkey),
+  p AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS sample, any_value(p_partkey % 50 % 4) AS population FROM part WHERE p_partkey % 50 < 45 GROUP BY 1), z AS (SELECT population, count(*) AS size FROM p GROUP BY 1),
+  n AS (SELECT lo, hi, population, count(*) AS n FROM c LEFT JOIN p USING (sample) GROUP BY 1, 2, 3)
+  SELECT lo, hi, population, n, n / size AS ratio FROM n LEFT JOIN z USING (population)""")
+def q63(spark, d):
+    found = shipped(spark, d).groupBy("l_orderkey").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set((F.col("l_partkey") % 50).cast("string")).alias("samples"))
+    number = (F.col("p_partkey") % 50).alias("k")
+    panel = table(spark, d, "part").select(number).distinct().filter("k < 45").select(F.col("k").cast("string").alias("sample"), (F.col("k") % 4).alias("population"))
+    return design.population_ratios(found, panel)
+
+
+@query("q64_alignment_regions", f"""WITH r AS (SELECT l_partkey, CAST(l_quantity AS INT) AS m, l_returnflag AS contig, {DAY} AS a, {DAY} + 20 AS b FROM lineitem WHERE l_linenumber - 1 < 2 AND l_returnflag IN ('A', 'R'))
+  SELECT min({{'m': -m, 'c': contig, 'a': a, 'b': b}}).c AS contig, min({{'m': -m, 'c': contig, 'a': a, 'b': b}}).a + 1 AS first, min({{'m': -m, 'c': contig, 'a': a, 'b': b}}).b + 1 AS last, CAST(l_partkey AS VARCHAR) AS primer FROM r GROUP BY l_partkey""")
+def q64(spark, d):
+    psl = shipped(spark, d).select(F.col("l_quantity").cast("int").alias("match"), (F.col("l_linenumber") - 1).alias("tgap_bases"), F.col("l_returnflag").alias("sseqid"), F.col("l_partkey").cast("string").alias("qseqid"), F.col("lo").alias("sstart"), (F.col("lo") + 20).alias("send"))
+    return design.alignments_as_regions(psl, ["A", "R"])
+
+
+@query("q65_scored_positions", "SELECT p_partkey, p_size FROM part WHERE p_partkey IN (SELECT l_suppkey FROM lineitem UNION SELECT l_orderkey FROM lineitem)")
+def q65(spark, d):
+    scores = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("p1"), F.col("l_orderkey").alias("p2"))
+    return design.scored_positions(table(spark, d, "part").select("p_partkey", "p_size"), scores, "p_partkey")
+
+
+@query("q66_candidate_subsets", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 30 AND (p_brand, p_type) IN (SELECT p_brand, p_type FROM part WHERE p_size > 40)")
+def q66(spark, d):
+    parts = table(spark, d, "part")
+    return design.subset_by_sequence(design.subset_by_window(parts, "p_size", 10, 30), parts.filter("p_size > 40"), ["p_brand", "p_type"]).select("p_partkey")
+
+
+@query("q67_lowest_scores", "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 3")
+def q67(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return clusters.lowest_scores(rows, "l_suppkey", "l_extendedprice", ["l_orderkey", "l_linenumber"], 3)
+
+
+@query("q68_largest_clusters", "SELECT l_partkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_partkey) - 1 AS rank FROM lineitem GROUP BY 1")
+def q68(spark, d):
+    return clusters.largest_first(table(spark, d, "lineitem"), "l_partkey")
+
+
+@query("q69_thermo_report", f"""WITH s AS (SELECT p_partkey, {BASES.format('p_name', ", 'g'")} AS q FROM part), v(pair, h, e, g) AS (VALUES {_SQL_PAIRS}),
+  p AS (SELECT p_partkey, substr(q, i, 2) AS pair FROM (SELECT p_partkey, q, unnest(range(1, length(q))) AS i FROM s)),
+  t AS (SELECT p_partkey, sum(h) AS h, sum(e) AS e FROM p JOIN v USING (pair) GROUP BY 1), a AS (SELECT p_partkey, CAST(left(q, 1) IN ('A', 'T') AS INT) + CAST(right(q, 1) IN ('A', 'T') AS INT) AS ends FROM s),
+  x AS (SELECT p_partkey, 0.2 + t.h + 2.2 * ends AS h, -5.7 + t.e + 6.9 * ends AS e FROM t JOIN a USING (p_partkey)), y AS (SELECT *, CAST(h AS DOUBLE) - 323.15 * e / 1000 AS g FROM x)
+  SELECT p_partkey, CAST(round(1000 * g) AS BIGINT) AS gibbs, CAST(round(1000 * (-1000 * g / (323.15 * 1.9872041))) AS BIGINT) AS dissociation FROM y""")
+def q69(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.expr(BASES.format("p_name", "")).alias("q")).withColumn("r", thermo.report(F.col("q"), F.lit(1e-6), 50.0))
+    return rows.select("p_partkey", F.round(F.col("r.gibbs") * 1000).cast("long").alias("gibbs"), F.round(F.log("r.dissociation") * 1000).cast("long").alias("dissociation"))
+
+
+@query("q70_rounding", """SELECT c_custkey, c_custkey * 777 // 10000 * 10000 - 10000 AS first, CAST(ceil((c_custkey * 999 + 10000) / 10000.0) AS BIGINT) * 10000 AS last, format('{:,}', c_custkey * 777) AS told,
+  CAST(CASE WHEN c_custkey * 7 > 1000 THEN (c_custkey * 7 + 500) // 1000 * 1000 ELSE (c_custkey * 7 + 50) // 100 * 100 END AS BIGINT) AS nice FROM customer""")
+def q70(spark, d):
+    k = F.col("c_custkey")
+    first, last = intervals.rounded_out(k * 777, k * 999)
+    return table(spark, d, "customer").select("c_custkey", first.alias("first"), last.alias("last"), design.thousands(k * 777).alias("told"), design.round_nicely(k * 7).cast("long").alias("nice"))
+
+
+@query("q71_edges_from_scores", """WITH s AS (SELECT least(l_partkey, l_suppkey) AS p, greatest(l_partkey, l_suppkey) AS q, arg_max({'a': -100 * l_tax, 'b': -100 * l_discount, 'c': -l_quantity / 10}, {'s': l_orderkey * 10 + l_linenumber, 'a': -100 * l_tax, 'b': -100 * l_discount, 'c': -l_quantity / 10}) AS m FROM lineitem GROUP BY 1, 2)
+  SELECT p, q FROM s WHERE m.a < -7.5 OR m.b < -9.5 OR m.c < -4.5""")
+def q71(spark, d):
+    scores = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p1"), F.col("l_suppkey").alias("p2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (-100 * F.col("l_tax")).alias("s1"), (-100 * F.col("l_discount")).alias("s2"), (-F.col("l_quantity") / 10).alias("s3"))
+    return primers.edges_from_scores(scores, lambda a, b, c: (a < -7.5) | (b < -9.5) | (c < -4.5))
+
+
+@query("q72_sample_names", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def q72(spark, d):
+    return deletions.sample_names(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("q73_named_noise", f"""SELECT l_orderkey AS a, {DAY} AS b, CAST(l_quantity AS BIGINT) AS d, nullif(l_linestatus, 'F') AS name FROM lineitem WHERE l_quantity <= 30 AND abs(abs(l_orderkey) - abs({DAY})) >= 10 AND l_linestatus <> 'F'""")
+def q73(spark, d):
+    rows = shipped(spark, d).select(F.col("l_orderkey").alias("a"), F.col("lo").alias("b"), F.col("l_quantity").cast("long").alias("d"), F.expr("nullif(l_linestatus, 'F')").alias("name"))
+    return rows.filter(templates.named_noise_filter(F.col("name"), F.col("a"), F.col("b"), F.col("d"), 30))
+
+
+@query("q74_length_mismatches", "SELECT o_custkey AS name, length, c_nationkey AS found FROM (SELECT DISTINCT o_custkey, o_custkey % 25 AS length FROM orders) LEFT JOIN customer ON c_custkey = o_custkey WHERE length IS DISTINCT FROM c_nationkey")
+def q74(spark, d):
+    contigs = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").cast("long").alias("length"))
+    return primers.length_mismatches(table(spark, d, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_custkey") % 25).alias("length")), contigs, "name", "length")

@@ -28,22 +28,30 @@ PSL = (
 )
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The first eleven columns of alignment rows; header rows are skipped."""
+def sam_rows(lines: DataFrame) -> DataFrame:
+    """The first eleven columns of alignment rows out of text lines (``value``); header rows and empty lines are skipped."""
     part = F.split("value", "\t")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    rows = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     typed = {"flags": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
     return rows.select(*[F.get(part, F.lit(i)).try_cast(typed.get(c, "string")).alias(c) for i, c in enumerate(SAM_COLUMNS)])
 
 
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    return sam_rows(spark.read.text(path))
+
+
+def sam_of_text(texts: DataFrame, column: str) -> DataFrame:
+    """Alignment rows of whole SAM texts, one in each row; what follows a text's last line feed is dropped."""
+    return sam_rows(texts.select(F.explode(F.split(F.regexp_replace(F.col(column), r"[^\n]*\z", ""), "\n")).alias("value")))
+
+
 def has_flag(flags: Column, name: str) -> Column:
     return flags.bitwiseAND(1 << SAM_FLAGS[name]) != 0
 
 
 def alignments(sam: DataFrame) -> DataFrame:
     """Mapped alignments with their operations, interval on the fragment and strand: the fields of a segment."""
-    ops = cigar.parse(F.col("cigar"))
-    rows = sam.filter(~has_flag(F.col("flags"), "unmapped")).withColumn("ops", ops).withColumn("reverse", has_flag(F.col("flags"), "rev_strand_of_query"))
+    rows = cigar.with_ops(sam.filter(~has_flag(F.col("flags"), "unmapped")), F.col("cigar"), "ops").withColumn("reverse", has_flag(F.col("flags"), "rev_strand_of_query"))
     start, end = cigar.fragment_interval(F.col("ops"), F.col("reverse"))
     rows = rows.select("qname", "rname", F.col("pos").alias("ref_start"), (F.col("pos") + F.col("tlen")).alias("ref_end"), F.least(start, end).alias("frag_start"), F.greatest(start, end).alias("frag_end"), cigar.fragment_length(F.col("ops")).alias("frag_len"), "ops", "reverse")
     return rows.filter("frag_start <> frag_end")
@@ -66,5 +74,11 @@ def write_segments(df: DataFrame, path: str) -> None:
 
 
 def read_psl(spark: SparkSession, path: str) -> DataFrame:
-    """PSL rows of 21 columns; rows that don't parse are dropped."""
-    return spark.read.csv(path, sep="\t", schema=PSL, mode="DROPMALFORMED")
+    """PSL rows of 21 columns; rows with another number of columns or a number that doesn't parse are dropped.
+
+    Rows are checked here, as the CSV reader's own check only sees the columns that a query asks for.
+    """
+    part = F.split("value", "\t", -1)
+    fields = [c.split() for c in PSL.split(", ")]
+    typed = spark.read.text(path).filter(F.size(part) == len(fields)).select(*[F.get(part, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+    return typed.dropna(subset=[name for name, kind in fields if kind != "string"])

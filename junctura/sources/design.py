@@ -59,15 +59,16 @@ def longest_by_sequence(candidates: DataFrame, sequence: str, position: str) ->
     return candidates.groupBy(sequence).agg(F.max(F.struct(position, F.struct("*").alias("__row"))).alias("m")).select("m.__row.*")
 
 
-def designer_input(regions: DataFrame, contig: str, seq: str, start: str, length: str, forward: str, per_kbp: int = 50) -> DataFrame:
-    """``name, value``: the designer's input text of each region."""
-    n = F.floor(F.col(length) * per_kbp / 1000)
-    whole = F.concat_ws(",", F.lit("0"), F.col(length).cast("string"))
-    ok = F.when(F.col(forward), F.concat(whole, F.lit(",,"))).otherwise(F.concat(F.lit(",,"), whole))
-    name = F.concat_ws("_", contig, F.col(start).cast("string"), F.col(length).cast("string"))
+def designer_input(regions: DataFrame, seq: str, start: str, length: str, forward: str, per_kbp: int = 50) -> DataFrame:
+    """``value``: the designer's input text of each region of the whole sequence ``seq``.
+
+    The pair must have its right primer in the last five bases of a forward region, its left one in the first five of a reverse one.
+    """
     bases = F.substr(F.col(seq), (F.col(start) + 1).cast("int"), F.col(length).cast("int"))
-    text = F.concat(F.lit("SEQUENCE_ID="), name, F.lit("\nSEQUENCE_TEMPLATE="), bases, F.lit("\nPRIMER_NUM_RETURN="), n.cast("string"), F.lit("\nSEQUENCE_PRIMER_PAIR_OK_REGION_LIST="), ok, F.lit("\n="))
-    return regions.select(name.alias("name"), text.alias("value"))
+    n = F.call_function("div", F.length(bases) * F.lit(per_kbp), F.lit(1000))
+    ok = F.when(F.col(forward), F.concat(F.lit(",,"), (F.length(bases) - 5).cast("string"), F.lit(",5"))).otherwise("0,5,,")
+    text = F.concat(F.lit("PRIMER_NUM_RETURN="), n.cast("string"), F.lit("\nSEQUENCE_ID=pamp_workflow\nSEQUENCE_TEMPLATE="), bases, F.lit("\nSEQUENCE_PRIMER_PAIR_OK_REGION_LIST="), ok, F.lit("\n="))
+    return regions.select(text.alias("value"))
 
 
 def candidate_fasta(candidates: DataFrame) -> DataFrame:
@@ -144,11 +145,15 @@ def variant_samples(lines: DataFrame) -> DataFrame:
     return rows.select(F.get(part, F.lit(1)).try_cast("long").alias("pos"), F.length(F.get(part, F.lit(3))).cast("long").alias("length"), F.explode(F.split(F.regexp_extract(F.get(part, F.lit(7)), "SAMPLES=([^;]*)", 1), ",")).alias("sample"))
 
 
-def population_ratios(carriers: DataFrame, panel: DataFrame) -> DataFrame:
-    """``pos, population, n, ratio``: carriers of each deletion of 500 bases or more by population, against its size; unknown samples fall under null."""
+def population_ratios(deletions: DataFrame, panel: DataFrame, lo: str = "lo", hi: str = "hi", samples: str = "samples") -> DataFrame:
+    """``lo, hi, population, n, ratio``: carriers of each (merged) deletion by population, against its size; samples that aren't in the panel fall under null.
+
+    ``deletions`` holds an array of samples for each deletion; ``panel`` has ``sample, population``.
+    """
     sizes = panel.groupBy("population").agg(F.count_distinct("sample").alias("size"))
-    known = carriers.filter("length >= 500").join(panel, "sample", "left")
-    return known.groupBy("pos", "population").agg(F.count_distinct("sample").alias("n")).join(sizes, "population", "left").select("pos", "population", "n", (F.col("n") / F.col("size")).alias("ratio"))
+    carriers = deletions.select(F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.explode(F.array_distinct(samples)).alias("sample"))
+    counts = carriers.join(panel, "sample", "left").groupBy("lo", "hi", "population").agg(F.count("*").alias("n"))
+    return counts.join(sizes, "population", "left").select("lo", "hi", "population", "n", (F.col("n") / F.col("size")).alias("ratio"))
 
 
 def block_values(text: Column) -> Column:
@@ -163,3 +168,73 @@ def exon_regions(df: DataFrame, starts: str, sizes: str, forward: str, width: in
     rows = df.select("*", F.posexplode(ordered).alias("exon", "x"))
     end = F.col("x.s") + F.col("x.n")
     return rows.withColumns({"start": F.greatest(F.col("x.s"), end - width), "end": end}).drop("x")
+
+
+def read_primers(spark: SparkSession, path: str) -> DataFrame:
+    """``contig, pos, forward, sequence, penalty`` of a table of primers whose first line is a heading."""
+    rows = spark.read.csv(path, sep="\t", schema="contig string, pos long, orient string, sequence string, penalty double", header=True, enforceSchema=True)
+    return rows.select("contig", "pos", (F.col("orient") == "True").alias("forward"), "sequence", "penalty")
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of a tab-separated transcript alignment table with a heading, as strings."""
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+def overlaid(*layers: dict[str, dict[str, str]]) -> dict[str, dict[str, str]]:
+    """Settings of several files by kind, later ones over earlier ones."""
+    out: dict[str, dict[str, str]] = {}
+    for layer in layers:
+        for kind, values in layer.items():
+            out.setdefault(kind, {}).update(values)
+    return out
+
+
+def subset_by_window(candidates: DataFrame, position: str, first: int, last: int) -> DataFrame:
+    """Candidates within a window of positions, both ends included."""
+    return candidates.filter(F.col(position).between(first, last))
+
+
+def subset_by_sequence(candidates: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates whose ``keys``, such as side and sequence, are among the chosen ones."""
+    return candidates.join(chosen.select(*keys).distinct(), keys, "left_semi")
+
+
+def alignments_as_regions(psl: DataFrame, contigs: list[str], max_gap: int = 2) -> DataFrame:
+    """``contig, first, last, primer`` of alignments to some contigs whose gaps in the target have fewer than ``max_gap`` bases; starts count from 1.
+
+    One row a primer: that with the most matches, then the first by contig and place.
+    """
+    rows = psl.filter((F.col("tgap_bases") < max_gap) & F.col("sseqid").isin(*contigs))
+    best = rows.groupBy("qseqid").agg(F.min(F.struct((-F.col("match")).alias("m"), "sseqid", "sstart", "send")).alias("b"))
+    return best.select(F.col("b.sseqid").alias("contig"), (F.col("b.sstart") + 1).alias("first"), (F.col("b.send") + 1).alias("last"), F.col("qseqid").alias("primer"))
+
+
+def penalty_layers(candidates: DataFrame, keys: list[str], position: str, penalty: str, thresholds: list[float], width: int = 2000) -> DataFrame:
+    """Histogram of positions in bins of ``width``, in layers: ``keys, threshold, bin, n, added``; n has the penalty below the threshold, ``added`` only what the threshold before hasn't."""
+    at = (F.floor(F.col(position) / width) * width).cast("long")
+    counts = candidates.groupBy(*keys, at.alias("bin")).agg(*[F.count_if(F.col(penalty) < t).alias(f"__{i}") for i, t in enumerate(thresholds)])
+    layers = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"__{i}").alias("n"), (F.col(f"__{i}") - (F.col(f"__{i - 1}") if i else F.lit(0))).alias("added")) for i, t in enumerate(thresholds)]
+    return counts.select(*keys, "bin", F.explode(F.array(*layers)).alias("l")).select(*keys, "l.threshold", "bin", "l.n", "l.added").filter("n > 0")
+
+
+def longest_per_position(candidates: DataFrame, keys: list[str], length: str) -> DataFrame:
+    """Candidates that no longer one shares a position (``keys``) with; equally long ones all stay."""
+    longest = candidates.groupBy(*keys).agg(F.max(length).alias("__longest"))
+    return candidates.join(longest, keys).filter(F.col(length) == F.col("__longest")).drop("__longest")
+
+
+def scored_positions(candidates: DataFrame, scores: DataFrame, position: str) -> DataFrame:
+    """Candidates whose position occurs on either side of a score row ``p1, p2``."""
+    both = scores.select(F.col("p1").alias(position)).union(scores.select(F.col("p2").alias(position))).distinct()
+    return candidates.join(both, position, "left_semi")
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with a comma between thousands."""
+    return F.format_number(number, 0)
+
+
+def round_nicely(number: Column) -> Column:
+    """To whole thousands above a thousand, otherwise to whole hundreds; halves go away from zero."""
+    return F.when(number > 1000, F.round(number, -3)).otherwise(F.round(number, -2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from junctura.functions.sequence import reverse_complement, wrapped
 
@@ -24,6 +24,25 @@ def index_of(contigs: DataFrame) -> DataFrame:
     return contigs.select("name", F.length("seq").cast("long").alias("length"))
 
 
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """``name, length, offset, line_bases, line_width`` of the contigs of FASTA files, offsets in bytes of each file.
+
+    Lengths count bases, so a blank line at the end doesn't add to them. A file's contigs are summed up in order, one row each.
+    """
+    rows = spark.read.option("lineSep", ">").text(path).select("value", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    w = W.partitionBy("__file").orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__at", F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0))).filter(F.trim("value") != "")
+    head, lines = F.regexp_extract("value", r"^([^\n]*)", 1), F.regexp_replace("value", r"^[^\n]*\n?", "")
+    first = F.octet_length(F.regexp_extract(lines, r"^([^\n]*)", 1)).cast("int")
+    return rows.select(
+        F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.length(F.regexp_replace(lines, r"\s", "")).cast("long").alias("length"), (F.col("__at") + F.octet_length(head) + 1).cast("long").alias("offset"), first.alias("line_bases"), (first + 1).alias("line_width")
+    )
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    index.select(*[c.split()[0] for c in INDEX.split(", ")]).write.csv(path, sep="\t")
+
+
 def subsequence(seq: Column, start: Column, end: Column, reverse: Column) -> Column:
     """Bases [start, end) from 0, reverse-complemented where asked; an end beyond the contig is an error."""
     inside = F.when(end <= F.length(seq), F.substr(seq, (start + 1).cast("int"), (end - start).cast("int"))).otherwise(F.raise_error(F.lit("range beyond the contig")).cast("string"))
@@ -40,7 +59,12 @@ def write_fasta(df: DataFrame, name: str, seq: str, path: str, width: int = 80)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq, qual``. Each file is one text, cut into records of four lines."""
-    lines = F.split(F.rtrim(F.col("value")), "\n")
-    records = spark.read.text(path, wholetext=True).select(lines.alias("l")).select(F.explode(F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("l"), F.lit(4)) - 1), lambda i: F.slice(F.col("l"), (i * 4 + 1).cast("int"), F.lit(4)))).alias("r"))
-    return records.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("name"), F.col("r")[1].alias("seq"), F.col("r")[3].alias("qual"))
+    """``name, seq, qual`` of records of four lines. Files are split: lines are numbered by the sizes of the blocks before their own."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = lines.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("__file", "__block", (before - F.col("__first")).alias("__start"))
+    numbered = lines.join(F.broadcast(starts), ["__file", "__block"]).withColumn("__at", F.col("__id") + F.col("__start"))
+    of = lambda k: F.max(F.when(F.col("__at") % 4 == k, F.col("value")))
+    records = numbered.groupBy("__file", F.call_function("div", F.col("__at"), F.lit(4).cast("long")).alias("__record")).agg(of(0).alias("h"), of(1).alias("seq"), of(3).alias("qual"), F.count("*").alias("__n"))
+    return records.filter("__n = 4").select(F.regexp_replace("h", "^@", "").alias("name"), "seq", "qual")

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.functions import cigar, sequence
-from junctura.operators import anneal, chain, clusters, intervals, junctions, primers, templates
+from junctura.functions import cigar, sequence, thermo
+from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
 from junctura.operators.graph import connected_components
 
 
@@ -27,18 +27,20 @@ def test_range_join_finds_each_pair_once(spark):
 
 def test_merge_similar_is_a_fold(spark):
     draw = random.Random(5)
-    rows = [(k, a, a + draw.randrange(0, 60)) for k in range(4) for a in (draw.randrange(100) for _ in range(30))]
+    rows = [(k, a, a + draw.randrange(1, 60)) for k in range(4) for a in (draw.randrange(100) for _ in range(30))] + [(9, 0, 100), (9, 5, 20), (10, 0, 10), (10, 3, 13)]
     got = sorted(map(tuple, intervals.merge_similar(spark.createDataFrame(rows, "k int, lo int, hi int"), "k", "lo", "hi").collect()))
     want = []
-    for k in range(4):
+    for k in (0, 1, 2, 3, 9, 10):
         out = []
         for lo, hi in sorted((a, b) for q, a, b in rows if q == k):
-            if out and max(out[-1][1] - out[-1][0], hi - lo) > 0 and min(out[-1][1], hi) - lo > 0.8 * max(out[-1][1] - out[-1][0], hi - lo):
+            if out and (out[-1][1] - lo) / max(out[-1][1] - out[-1][0], hi - lo) > 0.8:
                 out[-1] = (out[-1][0], max(out[-1][1], hi), out[-1][2] + 1)
             else:
                 out.append((lo, hi, 1))
         want += [(k, *x) for x in out]
-    assert got == sorted(want)
+    assert got == sorted(want) and (9, 0, 100, 2) in got and (10, 0, 10, 1) in got
+    named = spark.createDataFrame([(1, 0, 100, ["b", "a"]), (1, 5, 20, ["a", "c"]), (1, 90, 200, None)], "k int, lo int, hi int, s array<string>")
+    assert [tuple(r) for r in intervals.merge_similar(named, "k", "lo", "hi", samples="s").orderBy("lo").collect()] == [(1, 0, 100, 2, ["a", "b", "c"]), (1, 90, 200, 1, [])]
 
 
 def test_longest_run(spark):
@@ -159,6 +161,101 @@ def test_chain_trims_overlap_from_both():
     assert chain.best_chain([]) == (-1, [])
 
 
+def every_chain(segments):
+    """Best score over all paths through the states, by plain search from the start."""
+    places = sorted({p for a, b, _ in segments for p in (a, b + 1)})
+    gain = lambda j, p, q: sum({"M": 0.92, "I": -0.2}[op] for op in bases(j)[p - segments[j][0] : q - segments[j][0]]) + sum(extra(j, p, q))
+
+    def bases(j):
+        return [op for n, op in segments[j][2] if op in "MI" for _ in range(n)]
+
+    def extra(j, p, q):
+        at = segments[j][0]
+        for n, op in segments[j][2]:
+            if op == "I" and min(q, at + n) > max(p, at):
+                yield -1.0
+            if op == "D" and p < at <= q:
+                yield -1.0 - 0.2 * n
+            at += n if op in "MI" else 0
+
+    states = {(p, j) for j, (a, b, _) in enumerate(segments) for p in places if a <= p <= b + 1}
+    into = {s: [] for s in states}
+    for p, j in states:
+        if p > segments[j][0]:
+            before = places[places.index(p) - 1]
+            into[p, j].append(((before, j), gain(j, before, p)))
+    for j, (a, b, _) in enumerate(segments):
+        ended = [o for o in range(j) if segments[o][1] + 1 <= a]
+        if ended:
+            into[a, j].append(((segments[ended[-1]][1] + 1, ended[-1]), chain.JUMP))
+        for o in range(j):
+            end = segments[o][1] + 1
+            if end > a:
+                last = places[places.index(end) - 1]
+                into[end, j].append(((a, o), chain.JUMP + (gain(o, last, end) + gain(j, last, end)) / 2))
+    memo = {}
+
+    def best(s):
+        if s not in memo:
+            memo[s] = int(max([best(t) + w for t, w in into[s]], default=0.0))
+        return memo[s]
+
+    return max(best((b + 1, j)) for j, (_, b, _) in enumerate(segments))
+
+
+def test_chain_against_every_path():
+    """Mixed operations, overlaps and gaps: the score is that of the best path."""
+    draw = random.Random(21)
+    for _ in range(60):
+        segments, at = [], 1
+        for _ in range(draw.randrange(2, 6)):
+            ops = [(draw.randrange(5, 90), "M"), (draw.randrange(1, 6), draw.choice("ID")), (draw.randrange(5, 90), "M")]
+            n = sum(k for k, op in ops if op != "D")
+            if not segments or (at > segments[-1][0] and at + n - 1 > segments[-1][1]):
+                segments.append((at, at + n - 1, ops))
+            at = max(segments[-1][0] + 1, segments[-1][1] + draw.randrange(-40, 30))
+        total, pieces = chain.best_chain(segments)
+        assert total == every_chain(segments)
+        assert all(a <= b for _, a, b, _ in pieces) and all(p[2] < q[1] for p, q in zip(pieces, pieces[1:]))
+
+
+def test_chain_tells_segments_of_both_strands(spark):
+    """Reference ends and operations of trimmed pieces, against a walk base by base."""
+    draw = random.Random(22)
+    rows, want = [], {}
+    for k in range(30):
+        at = 0
+        for j in range(3):
+            ops = [(draw.randrange(60, 200), "M"), (draw.randrange(1, 5), draw.choice("ID")), (draw.randrange(60, 200), "M")]
+            n, reverse, start = sum(m for m, op in ops if op != "D"), draw.random() < 0.5, draw.randrange(1000, 9000)
+            first = max(1, at + draw.randrange(-20, 20))
+            raw = [(first - 1 + 3, "H"), *(ops[::-1] if reverse else ops), (7, "S")]
+            end = start + sum(m for m, op in ops if op in "MD")
+            rows.append((k, 10 * k + j, first, first + n - 1, raw, start, end, reverse))
+            at = first + n - 1
+    df = spark.createDataFrame(rows, "q int, row int, a int, b int, ops array<struct<n:int,op:string>>, f int, t int, r boolean")
+    got = chain.chain_segments(df, "q", "row", "a", "b", "ops", "f", "t", "r").collect()
+    by_row = {r[1]: r for r in rows}
+    alone = {k for k in {r.q for r in got} if sum(x.q == k for x in got) == 1}
+    assert got and len({r.q for r in got}) == 30
+    for r in got:
+        _, _, first, last, raw, start, end, reverse = by_row[r.row]
+        inner = raw[1:-1][::-1] if reverse else raw[1:-1]
+        at, place, walked = first, end if reverse else start, []
+        for n, op in inner:
+            for _ in range(n):
+                walked.append((at, op, place))
+                place += (-1 if reverse else 1) * (op in "MD")
+                at += op in "MI"
+        own = [w for w in walked if (r.a <= w[0] <= r.b if w[1] != "D" else r.a < w[0] <= r.b + 1)]
+        if r.q in alone and (r.a, r.b) == (first, last):
+            continue
+        assert r.ref_start == own[0][2] and r.ref_end == own[-1][2] + (-1 if reverse else 1) * (own[-1][1] in "MD")
+        told = "".join(f"{len(list(g))}{op}" for op, g in itertools.groupby(w[1] for w in own))
+        assert r.align_str == told
+        assert abs(sum(0.92 * n if op == "M" else -1 - 0.2 * n for op, n in ((op, len(list(g))) for op, g in itertools.groupby(w[1] for w in own))) - r.score) < 1e-6 or "I" in told
+
+
 def test_anneal_is_seeded_and_compatible(spark):
     draw = random.Random(8)
     df = spark.createDataFrame([(k, draw.randrange(2000)) for k in range(3) for _ in range(40)], "k int, x int")
@@ -226,3 +323,168 @@ def test_search_labels(spark):
 
     depth, path = primers.search_labels(F.col("id"), 4)
     assert [tuple(r) for r in spark.range(1, 16).select(depth, path).orderBy("id").collect()] == walk(15)
+
+
+def test_links_and_products(spark):
+    regions = spark.createDataFrame([(0, "c", 100, 50, True), (1, "c", 200, 60, False), (2, "c", 400, 70, True)], "region int, contig string, start long, length long, forward boolean")
+    rows = [(1, 0, "c", 110, True, 1, "a"), (1, 0, "c", 120, True, 2, "b"), (1, 1, "c", 230, False, 3, "c"), (2, 0, "c", 130, True, 1, "d"), (2, 1, "c", 240, False, 2, "e"), (2, 1, "c", 210, False, 3, "f"), (2, 2, "c", 405, True, 4, "g"), (3, 0, "x", 130, True, 1, "h"), (3, 1, "c", 210, False, 2, "i"), (3, 2, "c", 405, True, 3, "j")]
+    primers_ = spark.createDataFrame(rows, "sln int, region int, contig string, position long, forward boolean, seq int, name string")
+    checked = links.verified_solutions(primers_, regions, "sln", "seq")
+    assert {(r.sln, r.region): (r.position, r.valid, r.complete) for r in checked.collect()} == {
+        (1, 0): (120, True, False), (1, 1): (230, True, False), (2, 0): (130, True, True), (2, 1): (210, True, True), (2, 2): (405, True, True), (3, 0): (130, False, False), (3, 1): (210, True, False), (3, 2): (405, True, False)
+    }
+    first = links.first_complete(checked, "sln")
+    assert {r.sln for r in first.collect()} == {2}
+    pairs = spark.createDataFrame([(0, 1, "snp_inner"), (0, 2, "snp_outer"), (1, 2, "del")], "region_i int, region_j int, name string")
+    products = links.link_products(first, regions, pairs, 5)
+    assert {r.name: r["product"] for r in products.collect()} == {"snp_inner": 20 + 15, "snp_outer": 20 + 65, "del": 15 + 65}
+    phased = links.phased_products(products, regions)
+    assert {r.name: (r["product"], r.snp_distance) for r in phased.collect()} == {"snp_inner": (85, 50), "snp_outer": (135, 50), "del": (80, 50)}
+    none = links.phased_products(products.filter("name = 'del'"), regions)
+    assert [(r["product"], r.snp_distance) for r in none.collect()] == [(80, None)]
+
+
+def test_solution_reports(spark):
+    regions = spark.createDataFrame([(0, "c", 1000, 50, True, 0), (1, "c", 3000, 60, False, 50)], "region int, contig string, start long, length long, forward boolean, offset long")
+    candidates = spark.createDataFrame([(7, "AC", 0.25), (70, "GT", 1.0)], "pos long, sequence string, penalty double")
+    rows = spark.createDataFrame([(0, 12, 0, 7), (0, 12, 1, 70)], "rank int, cost long, region int, position long")
+    chosen = links.solution_primers(rows, candidates, regions)
+    assert sorted((r.region, r["at"], r.sequence) for r in chosen.collect()) == [(0, 1007, "AC"), (1, 3020, "GT")]
+    solutions = spark.createDataFrame([(0, 12, 1.5, "m,b,0")], "rank int, cost long, seconds double, params string")
+    assert links.solution_text(chosen, solutions).first().value == "12\t1.5\tm,b,0\nc\t1007\tTrue\tAC\t0.2500\nc\t3020\tFalse\tGT\t1.0000\n="
+    assert sorted(r.value for r in links.solution_fasta(chosen).collect()) == [">sln-00-00_c_1007_True\t0.2500\nAC", ">sln-00-01_c_3020_False\t1.0000\nGT"]
+    designs = spark.createDataFrame([(3, [7], [104070, 1])], "sln int, left array<long>, right array<long>")
+    got = links.printed_designs(designs, candidates, candidates, "sln")
+    assert sorted((r.side, r.pos) for r in got.collect()) == [("LEFT", 7), ("RIGHT", 70)]
+    assert sorted(r.value for r in links.designer_check_lines(got).collect()) == ["SEQUENCE_PRIMER=AC", "SEQUENCE_PRIMER_REVCOMP=GT"]
+    assert [tuple(r) for r in links.penalty_sums(got, "sln", "penalty").collect()] == [(3, 2, 1.25)]
+    lines = links.well_lines(spark.createDataFrame([("inner", ">sln-00-01_c_7_True", "AC"), ("no", "x", "y")], "label string, name string, sequence string"), ["outer", "inner"], "A", "set")
+    assert [r.value for r in lines.collect()] == ["A2\t00-01_c_7_Tr\tAC\tset"]
+
+
+def test_marked_products(spark):
+    seq = "TTACGGTTTTGCATTT"
+    rows = [("ACG", 2, 0, 10, True), ("TGC", 10, 4, 16, False), ("CCC", 2, 0, 10, True)]
+    df = spark.createDataFrame(rows, "p string, x int, a int, b int, f boolean").withColumn("s", F.lit(seq))
+    got = [r[0] for r in df.select(links.marked_product(*[F.col(c) for c in "spxabf"])).collect()]
+    assert got == [">ACG>GTTTT", "GGTTTT<GCA<", None]
+    verdict = links.primer_validity(F.col("x"), F.length("p"), F.col("a"), F.col("b"), F.col("f"))
+    assert [tuple(r) for r in df.select(*verdict).collect()] == [("valid", 8, 5), ("valid", 6, 9), ("valid", 8, 5)]
+    late = spark.createDataFrame([("ACG", 20, 0, 10, True), ("ACG", 2, 5, 10, False)], "p string, x int, a int, b int, f boolean")
+    assert [r[0] for r in late.select(*verdict).collect()] == ["forward past exon", "reverse before exon"]
+
+
+def test_deletion_report(spark):
+    draw = random.Random(31)
+    points = [(s, draw.randrange(900), draw.random() < 0.5) for s in "abcd" for _ in range(6)] + [("e", 5, True)]
+    found = [(draw.randrange(900), draw.random() < 0.5) for _ in range(25)]
+    got = deletions.primer_distances(spark.createDataFrame(points, "s string, x int, f boolean"), spark.createDataFrame(found, "p int, f boolean"), [], "x", "p", "f", 40)
+    rows = got.collect()
+    near = lambda x, f: min([y for y in ((x - p if f else p - x) for p, g in found if g == f) if 0 < y < 80], default=80)
+    assert sorted(map(tuple, rows)) == sorted((s, x, f, near(x, f), near(x, f) < 40) for s, x, f in points)
+    for r in deletions.sample_report(got, "s", "f").collect():
+        own = [(f, near(x, f)) for s, x, f in points if s == r.s]
+        sides = [[v for f, v in own if f == side] for side in (True, False)]
+        assert (r.covered, r.total) == (sum(v < 40 for _, v in own), len(own))
+        assert (r.least, r.greatest) == ((min(sides[0]) + min(sides[1]), max(sides[0]) + max(sides[1])) if all(sides) else (0, 0))
+    for r in deletions.strand_coverage(spark.createDataFrame(found, "p int, f boolean"), [], "p", "f", 40).collect():
+        own = [p if r.f else p - 40 for p, f in found if f == r.f]
+        assert r.covered == len({y for p in own for y in range(p, p + 40)}) and r.total == max(own) - min(own) + 41 and r.uncovered == r.total - r.covered
+
+
+def test_costs_and_edges(spark):
+    scores = spark.createDataFrame([(1, 2, 0, -4.0, 0.0, 0.0), (2, 1, 1, 0.0, 0.0, 0.0), (3, 4, 0, 0.0, 0.0, -8.5), (5, 5, 0, 0.0, -9.0, 0.0)], "p1 int, p2 int, seq int, s1 double, s2 double, s3 double")
+    assert sorted(map(tuple, primers.edges_from_scores(scores).collect())) == [(3, 4), (5, 5)]
+    counts = primers.primers_per_region(spark.createDataFrame([(1,), (1,)], "r int"), spark.createDataFrame([(1,), (2,)], "r int"), "r")
+    assert sorted(map(tuple, counts.collect())) == [(1, 2), (2, 0)]
+    with pytest.raises(Exception, match="no primers to choose from in region 2"):
+        primers.require_primers(counts, "r").collect()
+    nodes, edges = spark.createDataFrame([(1,), (2,)], "p int"), spark.createDataFrame([(1, 3), (2, 2)], "a int, b int")
+    assert not primers.is_independent(nodes, "p", edges, "a", "b") and primers.is_independent(nodes.filter("p = 1"), "p", edges, "a", "b")
+    assert anneal.iterations(anneal.CAP, -0.001, 10**6) == anneal.CAP and anneal.iterations(anneal.CAP, -1.0, 10**6) == 3 * 10**6
+
+
+def test_cigar_details(spark):
+    df = cigar.with_ops(spark.createDataFrame([("2H3M2I2M4D1M3S", 100, False), ("2H3M2I2M4D1M3S", 100, True), ("*", 1, False), ("2M3D", 5, False)], "c string, at long, r boolean"), F.col("c"), "o")
+    assert [len(r.e) for r in df.select(cigar.expanded(F.col("o")).alias("e")).collect()] == [8, 8, 0, 2]
+    e = df.select(cigar.expanded(F.col("o")).alias("e")).collect()
+    assert "".join(x.base for x in e[0].e) == "MMM--MMM" and [x.deleted for x in e[0].e] == [0, 0, 0, 0, 0, 0, 4, 0] and [x["op"] for x in e[0].e] == [1, 1, 1, 2, 2, 3, 3, 5]
+    assert [x.deleted for x in e[3].e] == [0, 0]
+    ops = cigar.in_fragment_order(F.col("o"), F.col("r"))
+    at = [r[0] for r in df.select(cigar.reference_at(ops, F.lit(7).cast("long"), F.col("at"), F.col("r"))).collect()]
+    assert at[:2] == [100 + 5 + 4, 100 - (1 + 4 + 2 + 2)]
+    assert [r[0] for r in df.limit(1).select(F.round(cigar.score_with(F.col("o")) - cigar.score(F.col("o")), 9)).collect()] == [0.0]
+    assert df.limit(1).select(cigar.score_with(F.col("o"), cigar.SCORES | {"M": lambda n: n * 0.0})).first()[0] == -1.4 - 1.8
+
+
+def test_region_and_name_functions(spark):
+    row = spark.range(1).select(*sequence.parse_region(F.lit("chr9:218-221")), sequence.segment(F.lit("ACGTT"), F.lit(2), F.lit(4)), sequence.fusion(F.lit("ACGTTGCA"), F.lit(1), F.lit(2), F.lit(6), F.lit(8))).first()
+    assert tuple(row) == ("chr9", 218, 221, "CGT", "ACGCA")
+    corner = spark.range(1).select(clusters.vertices(F.lit(10), F.lit(20), F.lit(3)).alias("v"), clusters.intersection(*[F.lit(x) for x in (10, 20, 6, 8, 19, 5)]).alias("i"), clusters.intersection(*[F.lit(x) for x in (10, 20, 1, 80, 19, 1)]).alias("n")).first()
+    assert [tuple(v) for v in corner.v] == [(10, 20), (7, 20), (10, 17)] and tuple(corner.i) == (8, 19, 3) and corner.n is None
+    exons = spark.createDataFrame([(52, [10, 50, 90], [20, 55, 99])], "x int, s array<int>, e array<int>")
+    assert tuple(intervals.nearest_exon(exons, "x", "s", "e").first())[3:] == (1, 1)
+    assert tuple(spark.range(1).select(primers.ends_apart(*[F.lit(v) for v in (0, 10, 25, 40)])).first()) == (15,)
+    assert [r[0] for r in spark.range(1).select(primers.incompatible(F.lit(-3.3), F.lit(0.0), F.lit(0.0)))
+            .union(spark.range(1).select(primers.incompatible(F.lit(-3.2), F.lit(-8.0), F.lit(-8.0)))).collect()] == [True, False]
+    both = clusters.members(spark.createDataFrame([(1, 5), (1, 3), (2, 4)], "a int, row int"), "a", row="row")
+    assert sorted((r.a, r.n, r.members) for r in both.collect()) == [(1, 2, [3, 5]), (2, 1, [4])]
+    bound = spark.range(1).select(thermo.report(F.lit("ACGT"), F.lit(1e-6)).alias("r")).first().r
+    assert abs(bound.gibbs - (1.96 - 1.44 - 2.17 - 1.44 + 2 * 0.05)) < 1e-9 and abs(bound.bound - 1e-6 / (1e-6 + bound.dissociation)) < 1e-12
+
+
+def test_chained_templates(spark):
+    seq = "".join(random.Random(5).choice("ACGT") for _ in range(400))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    df = spark.createDataFrame([("x_1", -100, 200, 0), ("x_2", -260, -300, 1)], "name string, a int, b int, d int").withColumn("s", F.lit(seq))
+    got = templates.chained_templates(df, "name", "a", "b", "d", "s", 30, 2).collect()
+    assert [(r.name, r.template) for r in got] == [("x", seq[69:100] + "NN" + seq[199:260] + "NNN" + turn(seq[269:300]))]
+
+
+def test_analyze_end_to_end(spark):
+    """Reads over three breakpoints, some with bases that both sides align: clusters, modes and templates come out."""
+    from junctura.plans import analyze
+
+    draw = random.Random(17)
+    seq = "".join(draw.choice("ACGT") for _ in range(60_000))
+    rows = []
+    breaks = {"p": (10_000, 30_000), "q": (45_000, 20_000), "r": (5_000, 55_000)}
+    for name, (left, right) in breaks.items():
+        for k in range(40):
+            n, m, both = draw.randrange(800, 1500), draw.randrange(800, 1500), draw.choice([0, 0, 0, 3, 5])
+            rows.append((f"{name}{k}", 0, "c", left - n, 60, f"{n}M{m - both}H", "*", 0, n, "*", "*"))
+            rows.append((f"{name}{k}", 0, "c", right - both, 60, f"{n - both}H{m}M", "*", 0, m, "*", "*"))
+    rows.append(("alone", 0, "c", 1, 60, "500M", "*", 0, 500, "*", "*"))
+    sam = spark.createDataFrame(rows, "qname string, flags int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string")
+    contigs = spark.createDataFrame([("c", seq), ("d", "ACGT")], "name string, seq string")
+    segments, modes, made = analyze.analyze(sam, contigs, "c", k=1000, offset=0)
+    assert segments.count() == 241 and analyze.score_of(segments.filter("qname <> 'alone'")).filter("abs(again - ascore) > 1e-6").count() == 0
+    assert sorted((r.left, r.right, r.d) for r in modes.collect()) == sorted((-a, b, 0.0) for a, b in breaks.values())
+    got = {r.header: r.template.replace("\n", "") for r in made.collect()}
+    assert set(got) == {f">name,{-a},{b},0" for a, b in breaks.values()}
+    assert got[">name,-10000,30000,0"] == seq[8999:10_000] + seq[29_999:31_000]
+
+
+def test_design_end_to_end(spark):
+    from junctura.plans import designs
+
+    draw = random.Random(18)
+    at = sorted(draw.sample(range(4000), 60))
+    candidates = spark.createDataFrame([(x, "ACGT", round(draw.random() * 1.3, 3)) for x in at] + [(9000, "A", 0.1)], "pos long, sequence string, penalty double")
+    regions = spark.createDataFrame([(0, "c", 5000, 2000, True, 0), (1, "c", 9000, 2000, False, 2000)], "region int, contig string, start long, length long, forward boolean, offset long")
+    joined = regions.select("region", F.col("offset").alias("start"), "length", "forward")
+    scores = spark.createDataFrame([(a, b, -4.0, 0.0, 0.0) for a, b in zip(at, at[1:])], "p1 long, p2 long, s1 double, s2 double, s3 double")
+    hits = spark.createDataFrame([("x", 50, True, at[0]), ("x", 90, False, at[5])], "contig string, pos long, forward boolean, primer long")
+    edges = designs.incompatible_pairs(scores, hits)
+    assert {tuple(r) for r in edges.collect()} == {*zip(at, at[1:]), (at[0], at[5])}
+    psl = spark.createDataFrame([(f"{'LEFT' if x < 2000 else 'RIGHT'}:{x}", "c", x, x + 20, "+" if x < 2000 else "-", 20, 0, 20) for x in at], "qseqid string, sseqid string, sstart long, send long, strand string, qlen long, qstart long, qend long")
+    able = designs.usable_candidates(candidates, psl)
+    assert {r.pos for r in able.collect()} == {r.pos for r in candidates.collect() if r.penalty <= 1.2 and r.pos < 4000}
+    sets = designs.designed_sets(able, joined, edges, 300.0, 0.1, [(-1.0, 100.0, 1), (-1.0, 100.0, 2)], floor=5000)
+    best = designs.best_sets(sets, able, regions, 1).collect()
+    rows = sets.collect()
+    assert len(rows) == 2 and all(len(r.primers) == 2 for r in rows)
+    assert {r.position for r in best} == {p for q in min(rows, key=lambda r: (r.cost, r.params)).primers for p in q}
+    assert all(r["at"] == r.position + (5000 if r.region == 0 else 7000) for r in best)
+    bad = {*zip(at, at[1:]), (at[0], at[5])}
+    assert not [1 for r in rows for p in sum(r.primers, []) for q in sum(r.primers, []) if (p, q) in bad]

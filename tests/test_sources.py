@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from junctura.operators import anneal, deletions
 from junctura.sources import alignments, clusters, design, sequences
 
 
@@ -73,5 +74,100 @@ def test_deletions_and_variants(spark):
     assert sorted((r.side, r.breakpoint) for r in design.deletion_breakpoints(df).collect()) == [("left", 1), ("left", 5), ("right", 10)]
     lines = spark.createDataFrame([("#h",), ("1\t77\t.\t" + "A" * 600 + "\tA\t.\t.\tX=1;SAMPLES=a,b",)], "value string")
     carriers = design.variant_samples(lines)
+    assert [tuple(r) for r in carriers.orderBy("sample").collect()] == [(77, 600, "a"), (77, 600, "b")]
     panel = spark.createDataFrame([("a", "P"), ("c", "P")], "sample string, population string")
-    assert {(r.population, r.n, r.ratio) for r in design.population_ratios(carriers, panel).collect()} == {("P", 1, 0.5), (None, 1, None)}
+    merged = deletions.merged_deletions(carriers.withColumn("contig", F.lit("1")), "contig", "pos", "length", "sample")
+    assert {(r.lo, r.hi, r.population, r.n, r.ratio) for r in design.population_ratios(merged, panel).collect()} == {(77, 677, "P", 1, 0.5), (77, 677, None, 1, None)}
+
+
+def test_sam_of_text(spark):
+    line = "r{}\t0\tc\t10\t60\t4M\t*\t0\t4\tACGT\t*"
+    df = spark.createDataFrame([("@HD\n" + line.format(1) + "\n" + line.format(2),), ("",)], "text string")
+    assert [r.qname for r in alignments.sam_of_text(df, "text").collect()] == ["r1"]
+
+
+def test_fasta_index(spark, tmp_path):
+    path = put(tmp_path, "a.fa", ">c1 note\nACGT\nAC\n>c2\nGGGGG\nGG\n\n")
+    got = sorted(map(tuple, sequences.fasta_index(spark, path).collect()))
+    assert got == [("c1", 6, 9, 4, 5), ("c2", 7, 21, 5, 6)]
+    assert open(path).read()[21:26] == "GGGGG"
+    sequences.write_index(sequences.fasta_index(spark, path), str(tmp_path / "fai"))
+    assert sorted(map(tuple, sequences.read_index(spark, str(tmp_path / "fai")).collect())) == got
+    assert sorted(map(tuple, sequences.index_of(sequences.read_fasta(spark, path)).collect())) == [("c1", 6), ("c2", 7)]
+
+
+def test_fastq_of_many_blocks(spark, tmp_path):
+    """Records are found in every block of a split file; quality lines that look like names are no names."""
+    path = put(tmp_path, "a.fq", "".join(f"@r{i}\nACGT{'A' * (i % 7)}\n+\n@r{i}x{'!' * (i % 7)}\n" for i in range(500)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {r.name: (r.seq, r.qual) for r in sequences.read_fastq(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"r{i}": ("ACGT" + "A" * (i % 7), f"@r{i}x" + "!" * (i % 7)) for i in range(500)}
+
+
+def test_segments_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "c", 5, 9, 1, 5, 30, "5M", 4.6)], alignments.SEGMENTS)
+    alignments.write_segments(rows, str(tmp_path / "t"))
+    assert [tuple(r) for r in alignments.read_segments(spark, str(tmp_path / "t")).collect()] == [("r", "c", 5, 9, 1, 5, 30, "5M", 4.6)]
+
+
+def test_psl_file(spark, tmp_path):
+    line = "20\t0\t0\t0\t0\t0\t0\t{gap}\t+\tLEFT:5\t20\t0\t20\tchr4\t900\t{at}\t{to}\t1\t20,\t0,\t100,"
+    path = put(tmp_path, "a.psl", "\n".join([line.format(gap=0, at=100, to=120), line.format(gap=3, at=10, to=30), "a bad line"]) + "\n")
+    psl = alignments.read_psl(spark, path)
+    assert psl.count() == 2
+    assert [tuple(r) for r in design.alignments_as_regions(psl, ["chr4", "chr7"]).collect()] == [("chr4", 101, 121, "LEFT:5")]
+
+
+def test_design_files(spark, tmp_path):
+    regions = design.read_regions(spark, put(tmp_path, "r.tsv", "#contig\nc\t10\t200\tforward\nc\t400\t100\tbackward\n"))
+    assert [tuple(r) for r in regions.orderBy("start").collect()] == [("c", 10, 200, True), ("c", 400, 100, False)]
+    seq = "ACGTACGTAC" * 60
+    text = [r.value for r in design.designer_input(regions.withColumn("seq", F.lit(seq)).orderBy("start"), "seq", "start", "length", "forward", 50).collect()]
+    assert text[0] == f"PRIMER_NUM_RETURN=10\nSEQUENCE_ID=pamp_workflow\nSEQUENCE_TEMPLATE={seq[10:210]}\nSEQUENCE_PRIMER_PAIR_OK_REGION_LIST=,,195,5\n="
+    assert text[1].endswith("\nSEQUENCE_PRIMER_PAIR_OK_REGION_LIST=0,5,,\n=") and text[1].startswith("PRIMER_NUM_RETURN=5\n")
+    c = spark.createDataFrame([("LEFT", 12, "ACGT")], "side string, pos long, sequence string")
+    assert design.candidate_fasta(c).first().value == ">LEFT:12\nACGT" and design.pair_score_input(c).first().value == "12\tACGT\tN"
+    scores = design.read_pair_scores(spark, put(tmp_path, "s.txt", "Name1\tName2\ta\tb\tc\n1\t2\t-4\t0\t0\n3\t4\t0\t0\t-7.5\n"))
+    bad = spark.createDataFrame([(3, 4)], "p long, q long")
+    both = design.with_cross_amplification(scores, bad)
+    assert sorted(map(tuple, both.collect())) == [(1, 2, -4.0, 0.0, 0.0), (3, 4, -100.0, -100.0, -100.0), (3, 4, 0.0, 0.0, -7.5)]
+    assert [tuple(r) for r in design.read_links(spark, put(tmp_path, "l.tsv", "0\t1\tinner\n")).collect()] == [(0, 1, "inner")]
+    found = design.read_primers(spark, put(tmp_path, "p.tsv", "contig\tpos\torient\tseq\tpenalty\nc\t7\tTrue\tACGT\t0.5\nc\t9\tFalse\tGG\t1\n"))
+    assert [tuple(r) for r in found.orderBy("pos").collect()] == [("c", 7, True, "ACGT", 0.5), ("c", 9, False, "GG", 1.0)]
+    assert [r.qName for r in design.read_transcripts(spark, put(tmp_path, "t.tsv", "qName\ttStart\nm1\t5\n")).collect()] == ["m1"]
+    assert design.overlaid({"parameters": {"d": "1", "e": "2"}}, {"parameters": {"d": "3"}}) == {"parameters": {"d": "3", "e": "2"}}
+
+
+def test_solution_files(spark, tmp_path):
+    s = spark.createDataFrame([("m,b,0", 20, 1.5, [[1, 3], []]), ("m,b,1", 10, 1.0, [[4], [8]])], "params string, cost long, seconds double, primers array<array<long>>")
+    design.write_solutions(s, str(tmp_path / "s"))
+    assert sorted(map(str, design.read_solutions(spark, str(tmp_path / "s")).collect())) == sorted(map(str, s.collect()))
+    for run in (0, 1):
+        put(tmp_path, f"x.m1.b4.{run}", f"Iterations\t5000\t1.0\t{90 + run}\t95\nIterations\t10000\t1.0\t80\t85\nTerminationClock:2.00\n")
+    trace = design.read_trace(spark, str(tmp_path / "x.*"))
+    assert {(r.m, r.b, r.run, r.iteration, r.min_cost) for r in trace.collect()} == {("m1", "b4", str(k), i, c) for k in (0, 1) for i, c in ((5000, 90.0 + k), (10000, 80.0))}
+    assert {(r.iteration, r.min_cost) for r in anneal.average_traces(trace).collect()} == {(5000, 90.5), (10000, 80.0)}
+    names = spark.createDataFrame([("sln-01-02_chr_9_77_True",)], "name string")
+    assert tuple(design.solution_names(names, "name").first())[1:] == (1, 2, "chr_9", 77, True)
+
+
+def test_exons(spark):
+    df = spark.createDataFrame([("10,50,", "5,20,", True), ("10,50,", "5,20,", False)], "s string, n string, f boolean")
+    got = sorted((r.f, r.exon, r.start, r.end) for r in design.exon_regions(df, "s", "n", "f", 8).collect())
+    assert got == [(False, 0, 62, 70), (False, 1, 10, 15), (True, 0, 10, 15), (True, 1, 62, 70)]
+
+
+def test_shared_tables(spark):
+    from junctura.functions import checkpoints
+
+    held = checkpoints.shared_table(spark.range(5))
+    assert held.count() == 5
+    path = checkpoints._WRITTEN[-1]
+    checkpoints.remove_tables(spark)
+    assert not checkpoints._WRITTEN and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
