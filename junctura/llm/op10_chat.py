@@ -66,10 +66,11 @@ def flattened(parts: Column) -> tuple[Column, Column]:
 
 
 def format_chats(df: DataFrame, conversation: str, turn: str, role: str, parts: Column) -> DataFrame:
-    """A row per conversation: ``conversation, formatted, loss_spans, attachments, expanded_tokens``.
+    """A row per conversation: ``conversation, formatted, loss_spans, attachments, expanded_tokens, blocks``.
 
     ``loss_spans`` is an array of ``struct<start, length>`` in code points of
-    ``formatted``: the contents of assistant turns.
+    ``formatted``: the contents of assistant turns. ``blocks`` is the same text in pieces of ``BLOCK`` turns, each with its
+    spans counted from its own start: a span of a long conversation is cut out of a piece, not looked for from the start of all.
     """
     flat, attached = flattened(parts)
     rows = df.select(
@@ -99,6 +100,7 @@ def format_chats(df: DataFrame, conversation: str, turn: str, role: str, parts:
         F.array_join(F.transform("blocks", lambda b: b["chunk"]), "").alias("formatted"),
         F.aggregate("blocks", zero, shift, lambda acc: acc["spans"]).alias("loss_spans"),
         F.flatten(F.transform("blocks", lambda b: b["attached"])).alias("attachments"),
+        F.transform("blocks", lambda b: F.struct(b["chunk"].alias("formatted"), b["mask"]["spans"].alias("loss_spans"))).alias("blocks"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
@@ -113,3 +115,14 @@ def read_back(formatted: Column) -> Column:
         return F.struct(unescaped_role(F.substr(body, F.lit(1), cut - 1)).alias("role"), unescaped(F.substr(body, cut + 1)).alias("text"))
 
     return F.transform(turns, parse)
+
+
+def masked_text(blocks: Column) -> Column:
+    """All text under the loss mask, unescaped, from the ``blocks`` of a conversation."""
+    own = lambda b: F.transform(b["loss_spans"], lambda s: unescaped(F.substr(b["formatted"], (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    return F.array_join(F.flatten(F.transform(blocks, own)), "")
+
+
+def turns_of(blocks: Column) -> Column:
+    """The turns of a conversation, read back from its ``blocks``: ``array<struct<role, text>>``, unescaped."""
+    return F.flatten(F.transform(blocks, lambda b: read_back(b["formatted"])))

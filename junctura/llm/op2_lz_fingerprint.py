@@ -12,6 +12,9 @@ set, alike only to itself; texts of any length are parsed whole; equal texts hav
 equal fingerprints by construction. In ``edit_likeness`` null ids come last, rows with equal
 ids follow each other by their text's hash, a single row is its own successor,
 and an empty table gives no rows. Extra columns are not carried.
+
+The phrase that a text's end leaves unfinished is always one that the text has already, so it adds nothing to the set: ``a``
+and ``aa`` have one fingerprint. Rows with one id, or without one, follow each other in one block, whatever their number.
 """
 
 from __future__ import annotations

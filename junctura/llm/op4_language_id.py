@@ -165,8 +165,8 @@ def fit(df: DataFrame, key: str, text: str, language: str) -> Network | None:
     """Trains on rows that aren't held out and have a language and a text.
 
     Counts by language come first, then rows are drawn by a hash of the text at a
-    rate that gives each language its part of ``SAMPLE_ROWS``. Of each drawn text two
-    windows from anywhere in it reach the driver.
+    rate that gives each language its part of ``SAMPLE_ROWS``, the least hashes first, however the rows are partitioned. Of each drawn text two
+    windows from anywhere in it reach the driver. The sample can hold ``SAMPLE_ROWS`` languages; of more, the most frequent are learned.
     """
     learn = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language")).filter(F.col("language").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
     counts = {r["language"]: r["count"] for r in learn.groupBy("language").count().orderBy(F.desc("count"), "language").limit(SAMPLE_ROWS).collect()}
@@ -177,8 +177,8 @@ def fit(df: DataFrame, key: str, text: str, language: str) -> Network | None:
     luck = F.pmod(F.xxhash64(F.lit(5), "text", F.col("key").cast("string")), F.lit(1_000_000)) / 1_000_000
     place = lambda salt: (1 + F.pmod(F.xxhash64(F.lit(salt), "text"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))).cast("int")
     drawn = learn.filter(luck < F.try_element_at(rates, F.col("language")))
-    rows = drawn.select("language", "text", luck.alias("luck")).limit(2 * SAMPLE_ROWS).select("language", "luck", *[F.substr("text", place(s), F.lit(WINDOW)).alias(f"w{s}") for s in (1, 2)]).collect()
-    rows = sorted(((r["luck"], r["language"], r["w1"], r["w2"]) for r in rows))[: SAMPLE_ROWS]
+    rows = drawn.select("language", "text", luck.alias("luck")).orderBy("luck", "language", F.xxhash64("text")).limit(SAMPLE_ROWS).select("language", "luck", *[F.substr("text", place(s), F.lit(WINDOW)).alias(f"w{s}") for s in (1, 2)]).collect()
+    rows = sorted((r["luck"], r["language"], r["w1"], r["w2"]) for r in rows)
     texts = [t for r in rows for t in r[2:]]
     return train(texts, [r[1] for r in rows for _ in (1, 2)])
 

@@ -62,8 +62,7 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = op10_chat.format_chats(turns, "conv_id", "turn", "role", op10_chat.text_parts(F.col("text")))
-    spans = F.transform("loss_spans", lambda s: op10_chat.unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    back = chats.select("conv_id", "formatted", op10_chat.read_back(F.col("formatted")).alias("turns"), F.array_join(spans, "").alias("loss"))
+    back = chats.select("conv_id", "formatted", op10_chat.turns_of(F.col("blocks")).alias("turns"), op10_chat.masked_text(F.col("blocks")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm import op5_embedding_dedup, op8_mixing, op9_sharding, op10_chat
+from junctura.llm import batches, op5_embedding_dedup, op8_mixing, op9_sharding, op10_chat
 from junctura.llm.queries import ORACLES, QUERIES
 
 
@@ -38,6 +38,22 @@ def test_mixing(spark, docs, texts, empty):
     assert op8_mixing.mix_sources(empty, "doc_id", "text", "source").count() == 0
 
 
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    """A third of all rows are one row: it is taken by number, broadcast or not, and reruns agree."""
+    rows = [(1, "five words of a text", "s", "x")] * 400 + [(1, "five words of a text", "s", "y")] * 30 + [(k, "w " * (k % 9), "st"[k % 2], "x") for k in range(2, 800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cell string")
+    for most in (500_000, 0):
+        monkeypatch.setattr(batches, "BROADCAST_ROWS", most)
+        got = op8_mixing.mix_sources(df, "doc_id", "text", "source", share=0.7).collect()
+        assert len(got) == len(rows) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+        of_source = {s: sum(r.taken for r in got if r.source == s) for s in "st"}
+        assert all(abs(of_source[r.source] - r.target) <= 3 for r in got)
+        mixed = op8_mixing.mixed_documents(df, "doc_id", "text", "source", share=0.7)
+        counts = sorted(map(tuple, mixed.groupBy(*df.columns).count().collect()))
+        assert sum(n * len(t.split()) for _, t, _, _, n in counts) == sum(of_source.values())
+        assert counts == sorted(map(tuple, op8_mixing.mixed_documents(df.repartition(5), "doc_id", "text", "source", share=0.7).groupBy(*df.columns).count().collect()))
+
+
 def test_fit_counts_reaches_the_budget():
     draw = np.random.default_rng(1)
     for _ in range(60):
@@ -75,6 +91,29 @@ def test_permutation(spark, n):
         assert got != sorted(got) and abs(np.corrcoef(got, range(n))[0, 1]) < 0.05
 
 
+def test_permutation_against_plain_integers(spark):
+    """The network and the walk, step by step with Python's own integers."""
+    for n, seed in ((1, 3), (7, 3), (1000, 9), (4097, 20_240_601)):
+        a, b = op9_sharding.halves(n)
+        assert a * b >= n and a * b - n < a
+
+        def walk(x):
+            left, right = x % a, x // a
+            for i, (p, q, s) in enumerate(op9_sharding.round_keys(seed)):
+                y = (right % 2_147_483_647 * p + q) % 2_147_483_647
+                y = y * y % 2_147_483_647 * s % 2_147_483_647
+                left, right = right, (left + y) % (a if i % 2 == 0 else b)
+            return left + right * a
+
+        want = []
+        for x in range(n):
+            x = walk(x)
+            while x >= n:
+                x = walk(x)
+            want.append(x)
+        assert [r[0] for r in spark.range(n).select(op9_sharding.permuted(F.col("id"), n, seed)).collect()] == want
+
+
 def test_written_shards(spark, docs, tmp_path):
     rows = op9_sharding.shard_rows(docs, "doc_id", "text", 3)
     op9_sharding.write_shards(rows, str(tmp_path / "shards"))
@@ -94,6 +133,18 @@ def test_chat_round_trip(spark):
     spans = back[2].loss_spans
     assert [back[2].formatted[s.start : s.start + s.length] for s in spans] == [said.replace("<|", "<\\|")] * 2
     assert got.limit(0).count() == 0
+    pieces = {r.conv_id: r for r in got.select("conv_id", op10_chat.turns_of(F.col("blocks")).alias("turns"), op10_chat.masked_text(F.col("blocks")).alias("loss")).collect()}
+    assert all(pieces[k].turns == back[k].turns for k in back) and pieces[2].loss == said * 2 and pieces[1].loss == "\\\\<\\|x"
+
+
+def test_chat_of_many_turns(spark):
+    """A conversation over several blocks, with clashing names, reads back in order from its pieces and from the whole."""
+    turns = [(1, k, "assistant" if k % 2 else "user", f"t{k} <|im_end|>\\") for k in range(1000)]
+    df = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id long, turn long, role string, text string, block string, formatted string")
+    row = op10_chat.format_chats(df, "conv_id", "turn", "role", op10_chat.text_parts(F.col("text"))).withColumns({"turns": op10_chat.turns_of(F.col("blocks")), "loss": op10_chat.masked_text(F.col("blocks"))}).first()
+    assert len(row.blocks) == 4 and "".join(b.formatted for b in row.blocks) == row.formatted
+    assert [(t.role, t.text) for t in row.turns] == [t[2:] for t in turns] and row.loss == "".join(t[3] for t in turns if t[2] == "assistant")
+    assert [row.formatted[s.start : s.start + s.length] for s in row.loss_spans] == [t[3].replace("\\", "\\\\").replace("<|", "<\\|") for t in turns if t[2] == "assistant"]
 
 
 def test_chat_parts(spark):

@@ -2,13 +2,15 @@ import hashlib
 import itertools
 import os
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm import op1_quality, op2_lz_fingerprint, op3_jaccard_join, op4_language_id, op6_sentencepiece, op7_pii
+from junctura.llm import batches, op1_quality, op2_lz_fingerprint, op3_jaccard_join, op4_language_id, op6_sentencepiece, op7_pii
 
 
 def shingle_set(text):
@@ -60,13 +62,28 @@ def test_jaccard_of_a_large_loose_group(spark, monkeypatch):
             if labels[i] != labels[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
     assert 1 < len(set(labels)) < 120
-    for large in (20_000, 50):
-        monkeypatch.setattr(op3_jaccard_join, "LARGE", large)
+    # as it is; with room for four heavy classes and a full filter; and with shuffles in place of broadcasts
+    for changes in ({}, {"HEAVY_TABLE": 4, "MOST_BITS": 11}, {"PIVOTS": 1}):
         monkeypatch.setattr(op3_jaccard_join, "BLOCK", 32)
+        for name, value in changes.items():
+            monkeypatch.setattr(op3_jaccard_join, name, value)
+        if "PIVOTS" in changes:
+            monkeypatch.setattr(batches, "BROADCAST_ROWS", 0)
         got = {r.doc_id: r.component_id for r in op3_jaccard_join.jaccard_components(df, "doc_id", "text").collect()}
         assert got == dict(enumerate(labels))
 
 
+def test_first_of_each(spark, docs, texts):
+    """One row of each group stays; different texts under one id, texts without words and rows without an id are left alone."""
+    kept = op3_jaccard_join.first_of_each(docs.unionByName(docs.filter("doc_id = 3")), "doc_id", "text")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    by_id = {r.doc_id: r.component_id for r in op3_jaccard_join.jaccard_components(docs.filter("doc_id IS NOT NULL AND doc_id != 7"), "doc_id", "text").collect()}
+    assert {r.doc_id for r in rows if r.doc_id not in (None, 7)} == {k for k, c in by_id.items() if k == c}
+    assert sum(r.doc_id == 3 for r in rows) == 1 and sum(r.doc_id == 7 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 2
+    assert {190, 191, 192} <= {r.doc_id for r in rows}
+
+
 def test_pii_against_regular_expressions(spark, docs, texts, empty):
     def luhn(s):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
@@ -87,7 +104,17 @@ def test_pii_against_regular_expressions(spark, docs, texts, empty):
     assert row.startswith("email:5:14,ip:27:36,card:38:57,phone:59:77")
     masked = op7_pii.redact_pii(docs, "text")
     assert masked.columns == docs.columns and masked.filter("doc_id = 196").first().text == "mail [EMAIL], 10.0.0.256 [IP], [CARD], [PHONE] ok"
-    assert op7_pii.spans_of("IBAN GB82 WEST 1234 5698 7654 32")[0][0] == "account"
+    account = lambda t: [t[a:b] for kind, a, b in op7_pii.spans_of(t) if kind == "account"]
+    assert account("IBAN GB82 WEST 1234 5698 7654 32 AND MORE WORDS") == account("IBAN GB82 WEST 1234 5698 7654 32") == ["GB82 WEST 1234 5698 7654 32"]
+    assert account("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"] and account("iban:GB82WEST12345698765432x") == account("IBAN GB83 WEST 1234 5698 7654 32") == []
+    assert op7_pii.spans_of("x" * 50 + "://user@host")[0] == ("url", 0, 62)
+
+
+def test_pii_takes_time_in_proportion():
+    for text in ("1" * 10**6, "1." * 500_000, "a@" * 300_000, "+1" * 300_000, "http://" * 100_000, "1-" * 300_000, "x" * 10**6 + "://u@h"):
+        began = time.perf_counter()
+        op7_pii.spans_of(text)
+        assert time.perf_counter() - began < 20
 
 
 def test_fingerprints(spark, docs, texts, empty):
@@ -122,6 +149,32 @@ def test_fingerprints(spark, docs, texts, empty):
     assert abs(op2_lz_fingerprint.likeness(op2_lz_fingerprint.signature(a), op2_lz_fingerprint.signature(b)) - exact) < 0.25
 
 
+def test_likeness_is_that_of_the_phrase_sets():
+    """64 minima estimate the share of common phrases: exact sets of plain strings say what it should be."""
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+
+    def phrases(t):
+        seen, w = set(), ""
+        for c in t:
+            w += c
+            if w not in seen:
+                seen.add(w)
+                w = ""
+        return seen
+
+    wrong = []
+    for share in np.linspace(0, 1, 40):
+        a = draw.choice(words, 300).tolist()
+        b = a[: int(share * 300)] + draw.choice(words, 300 - int(share * 300)).tolist()
+        a, b = " ".join(a), " ".join(b)
+        exact = len(phrases(a) & phrases(b)) / len(phrases(a) | phrases(b))
+        wrong.append(abs(exact - op2_lz_fingerprint.likeness(op2_lz_fingerprint.signature(a), op2_lz_fingerprint.signature(b))))
+    assert np.mean(wrong) < 0.06 and max(wrong) < 0.2
+    text = " ".join(draw.choice(words, 200_000))
+    assert op2_lz_fingerprint.as_hex(op2_lz_fingerprint.signature(text)) == op2_lz_fingerprint.as_hex(op2_lz_fingerprint.signature(text + text[:0]))
+
+
 def test_language(spark, docs, texts, empty):
     net = op4_language_id.fit(docs, "doc_id", "text", "lang")
     got = op4_language_id.predict_languages(docs, "doc_id", "text", net).collect()
@@ -160,6 +213,70 @@ def test_quality(spark, docs, texts, empty):
     assert op1_quality.score_quality(empty, "doc_id", "text", none).count() == 0
 
 
+def test_word_vectors_against_plain_loops(spark):
+    """Sums of the neighbours' index vectors, word by word, and their weights."""
+    texts = ["the river of the house", "House THE 42 ... of", None, "", "a", "b b b b"]
+    got = op1_quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    memo, sums, counts = op1_quality._Buckets(), {}, {}
+    for t in texts:
+        ids = [memo[w] for w in op1_quality.TOKENS.findall(t or "")]
+        for i, one in enumerate(ids):
+            counts[one] = counts.get(one, 0) + 1
+            vector = sums.setdefault(one, np.zeros(op1_quality.DIMENSIONS))
+            for j in range(max(0, i - op1_quality.REACH), min(len(ids), i + op1_quality.REACH + 1)):
+                if i != j:
+                    for place, sign in zip(op1_quality.PLACES[ids[j]], op1_quality.SIGNS[ids[j]]):
+                        vector[place] += sign
+    for one, vector in sums.items():
+        weight = 1e-3 / (1e-3 + counts[one] / sum(counts.values()))
+        assert np.allclose(got.vectors[one], vector / max(np.linalg.norm(vector), 1e-9) * weight, atol=1e-6)
+    pooled = got.pool(np.array([memo["the"], memo["of"]]))
+    assert np.allclose(pooled[: op1_quality.DIMENSIONS], (got.vectors[memo["the"]] + got.vectors[memo["of"]]) / 2, atol=1e-6)
+
+
+def test_very_long_texts(spark):
+    """A text of a million signs among short ones is taken whole by each operator of texts."""
+    long = " ".join(f"word{i % 977} house" for i in range(100_000))
+    rows = [(1, long, "en"), (2, long + " end", "en"), (3, "the house", "en"), (4, None, None)] + [(k, f"le {k} maison", "fr") for k in range(5, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = op4_language_id.fit(df, "doc_id", "text", "lang")
+    assert op4_language_id.predict_languages(df, "doc_id", "text", net).count() == len(rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    scored = op1_quality.score_quality(df, "doc_id", "text", op1_quality.fit(df, "doc_id", "text", labels, "doc_id", "quality")).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    told = {r.doc_id: r for r in op2_lz_fingerprint.edit_likeness(df, "doc_id", "text").collect()}
+    assert told[1].n_chars == len(long) and told[1].near_next > 0.9
+    linked = {r.doc_id: r for r in op3_jaccard_join.jaccard_components(df, "doc_id", "text").collect()}
+    assert linked[2].component_id == 1 and linked[1].n_shingles == len(shingle_set(long))
+    assert op7_pii.find_pii(df, "doc_id", "text").filter("size(spans) > 0").count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_pii_query_against_regular_expressions(spark):
+    """Counts and digest of the base kinds over the whole table."""
+    from junctura.llm.queries import QUERIES
+
+    def luhn(s):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    got = {r.doc_id: r for r in QUERIES["op7_pii"](spark, FOLDER).collect()}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for k, t in docs:
+        t = t or ""
+        of = [[m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]]
+        of += [[m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]]
+        of += [[m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]]
+        of += [[m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]]
+        told = ",".join(f"{kind}:{a}:{b}" for kind, spans in zip(op7_pii.BASE_KINDS, of) for a, b in spans)
+        assert (got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone) == tuple(map(len, of))
+        assert got[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
 MODEL = op6_sentencepiece.MODEL
 
 
@@ -169,17 +286,22 @@ def test_sentencepiece(spark, docs, texts, empty):
         lattice = op6_sentencepiece.Lattice(file.read())
 
     def all_paths(chunk):
-        into = lattice.edges(chunk)
+        """Every segmentation, from the pieces alone."""
+        text = chunk.replace(" ", "▁") if chunk != "▁" else "▁"
+        pieces = {} if chunk == "▁" else lattice.pieces
         paths = {0: [(0.0, ())]}
-        for j in range(1, len(into)):
-            paths[j] = [(s + w, p + (x,)) for i, w, x in into[j] for s, p in paths[i]]
-        return sorted(((s, lattice.ids(list(p))) for s, p in paths[len(into) - 1]), key=lambda x: -x[0])
+        for j in range(1, len(text) + 1):
+            paths[j] = [(s + pieces[text[i:j]][1], p + (pieces[text[i:j]][0],)) for i in range(j) if text[i:j] in pieces for s, p in paths[i]]
+            if text[j - 1] not in pieces:
+                paths[j] += [(s + lattice.worst, p + (text[j - 1],)) for s, p in paths[j - 1]]
+        return sorted(((s, lattice.ids(list(p))) for s, p in paths[len(text)]), key=lambda x: -x[0])
 
-    for chunk in (" hello", " there", "  x", "ñandú", " a", "▁", "\n", "!!", "日本"):
+    for chunk in (" hello", " there", "  x", "ñandú", " a", "▁", "\n", "!!", "日本", "aaaaaaaa", "        "):
         want = all_paths(chunk)
-        assert [s for s, _ in want[:4]] == [s for s, _ in lattice.search(chunk, 4)]
+        got = lattice.search(chunk, 4)
+        assert [s for s, _ in want[:4]] == [s for s, _ in got] and len({i for _, i in got}) == len(got) and set(got) <= set(want)
         ids, best, gap = lattice.chunk(chunk)
-        assert best == want[0][0] and gap == (want[0][0] - want[1][0] if len(want) > 1 else float("inf"))
+        assert best == want[0][0] and ids == got[0][1] and gap == pytest.approx(want[0][0] - want[1][0] if len(want) > 1 else float("inf"))
     text = "the house▁ of\n\n été  x"
     best = lattice.n_best_ids(text)
     assert len({tuple(i) for _, i in best}) == len(best) and all(lattice.decode(i) == text for _, i in best)
@@ -189,6 +311,27 @@ def test_sentencepiece(spark, docs, texts, empty):
     coded = op6_sentencepiece.encode_texts(docs, "doc_id", "text")
     rows = coded.collect()
     assert len(rows) == len(texts) and all(r.round_trip in (None, True) for r in rows)
+    for r in rows:
+        if r.ids is not None:
+            every = [op6_sentencepiece.changed(r.ids, c) for c in r.n_best_changes]
+            assert every[0] == r.ids and len({tuple(x) for x in every}) == len(every) == len(r.n_best_scores)
+            assert len({lattice.decode(x) for x in every}) == 1 and r.n_best_scores == sorted(r.n_best_scores, reverse=True)
     back = op6_sentencepiece.decode_ids(coded, "doc_id", "ids")
     assert sorted(str(r.text) for r in back.collect()) == sorted(str(t) for _, t, *_ in texts)
     assert op6_sentencepiece.encode_texts(empty, "doc_id", "text").count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files here")
+@pytest.mark.parametrize("sign", ["a", " ", "=", "é"])
+def test_sentencepiece_of_one_long_run(sign):
+    """Equally good segmentations by the million cost time and memory in proportion to the text."""
+    with open(MODEL, "rb") as file:
+        lattice = op6_sentencepiece.Lattice(file.read())
+    text = sign * 10**5
+    tracemalloc.start()
+    ids, _, told = lattice.encode(text)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert lattice.decode(ids) == text and len(told) >= 2
+    began = time.perf_counter()
+    assert lattice.decode(lattice.encode(text * 4)[0]) == text * 4 and time.perf_counter() - began < 60
