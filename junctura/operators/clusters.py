@@ -6,9 +6,11 @@ x + y >= a + b - d. Triangles that meet are linked; components of links are clus
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from junctura.functions.checkpoints import shared_table
 from junctura.operators.graph import connected_components
+from junctura.operators.junctions import dense_ids
 
 
 def unique_points(df: DataFrame, *columns: str) -> DataFrame:
@@ -63,7 +65,16 @@ def triangle_edges(df: DataFrame, node: str, a: str, b: str, d: str, mode: str =
 
 def triangle_clusters(points: DataFrame, node: str, a: str, b: str, d: str, mode: str = "exact", keep_isolated: bool = False) -> DataFrame:
     """``node, component``; triangles that meet no other are dropped unless ``keep_isolated``."""
-    found = connected_components(triangle_edges(points, node, a, b, d, mode), "src", "dst")
+    edges = triangle_edges(points, node, a, b, d, mode)
+    if isinstance(points.schema[node].dataType, (T.LongType, T.IntegerType)):
+        found = connected_components(edges, "src", "dst")
+    else:
+        # rounds join and compare nodes over and over: they get numbers in their own order first
+        numbers = shared_table(dense_ids(points.select(F.col(node).alias("node")).distinct(), "node", "id"))
+        side = lambda c: numbers.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+        labels = connected_components(edges.join(side("src"), "src").join(side("dst"), "dst"), "src_id", "dst_id")
+        names = lambda c: numbers.select(F.col("id").alias(c), F.col("node").alias(f"{c}_name"))
+        found = labels.join(names("node"), "node").join(names("component"), "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
     if not keep_isolated:
         return found
     return points.select(F.col(node).alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

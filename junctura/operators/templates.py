@@ -60,7 +60,7 @@ def chained_templates(df: DataFrame, name: str, a: str, b: str, d: str, sequence
     """Templates over several breaks: rows whose names share the part before ``_`` follow each other by name.
 
     Between two breaks stands the segment from the end of one to the start of the next, forward
-    if the end is greater; the first and last break have a flank of k bases outside.
+    if the end is greater; the first and last break have a flank of k bases outside. The start of a segment and its end must have opposite signs, otherwise the strands contradict each other and the query fails.
     """
     rows = df.withColumn("__group", F.split(F.col(name), "_")[0])
     w = W.partitionBy("__group").orderBy(name)
@@ -70,6 +70,8 @@ def chained_templates(df: DataFrame, name: str, a: str, b: str, d: str, sequence
     plain = F.substr(F.col(sequence), F.least(segment_start, segment_end).cast("int"), (F.abs(segment_end - segment_start) + 1).cast("int"))
     middle = F.when(lead.isNull(), flank(F.col(sequence), F.col(b), k, False)).otherwise(F.when(forward, plain).otherwise(reverse_complement(plain)))
     first = F.when(F.row_number().over(w) == 1, flank(F.col(sequence), F.col(a), k, True)).otherwise("")
+    bad = F.lit("strands of consecutive breaks contradict each other")
+    middle = F.when(F.signum(lead) == F.signum(F.col(b)), F.raise_error(bad).cast("string")).otherwise(middle)
     parts = rows.select("__group", name, F.concat(first, spacer(F.col(d), offset), middle).alias("__part"))
     joined = parts.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct(name, "__part"))).alias("p"))
     return joined.select(F.col("__group").alias("name"), F.array_join(F.transform("p", lambda x: x["__part"]), "").alias("template"))

@@ -438,6 +438,9 @@ def test_chained_templates(spark):
     turn = lambda s: s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
     df = spark.createDataFrame([("x_1", -100, 200, 0), ("x_2", -260, -300, 1)], "name string, a int, b int, d int").withColumn("s", F.lit(seq))
     got = templates.chained_templates(df, "name", "a", "b", "d", "s", 30, 2).collect()
+    wrong = df.withColumn("a", F.abs("a"))
+    with pytest.raises(Exception, match="contradict"):
+        templates.chained_templates(wrong, "name", "a", "b", "d", "s", 30, 2).collect()
     assert [(r.name, r.template) for r in got] == [("x", seq[69:100] + "NN" + seq[199:260] + "NNN" + turn(seq[269:300]))]
 
 
