@@ -27,6 +27,11 @@ def iterations(cap: int, slope: float, intercept: float, floor: int = FLOOR) ->
     return int(max(min(cap, 2 * intercept + abs(round(intercept / slope))), floor))
 
 
+def temperature(step: Column, slope: Column | float, intercept: Column | float) -> Column:
+    """Linear schedule: slope * step + intercept, 1 at least."""
+    return F.greatest(F.lit(slope) * step + F.lit(intercept), F.lit(1.0))
+
+
 Region = tuple[float, float, bool]
 
 

@@ -277,3 +277,12 @@ def read_pairs(df: DataFrame, order: str, position: str, reverse: str) -> DataFr
 def length_mismatches(transcripts: DataFrame, contigs: DataFrame, name: str, length: str) -> DataFrame:
     """Transcripts whose contig is missing or has another length: ``name, length, found``."""
     return transcripts.select(name, length).distinct().join(contigs.select(F.col("name").alias(name), F.col("length").alias("found")), name, "left").filter(~F.col(length).eqNullSafe(F.col("found")))
+
+
+def labelled_targets(pairs: DataFrame, keys: list[str], midpoint: str, length: Column, depth: int) -> DataFrame:
+    """``even_spaced`` for the 2^depth - 1 targets of a binary search over the sequence, with ``depth`` and ``path`` of each."""
+    n = 2**depth - 1
+    found = even_spaced(pairs, keys, midpoint, length, n)
+    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("target")).cast("long")
+    level, path = search_labels(F.col("__number"), depth)
+    return found.withColumn("__number", number).withColumns({"depth": level, "path": path}).drop("__number")

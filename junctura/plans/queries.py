@@ -410,11 +410,11 @@ def q37(spark, d):
     return primers.last_wins(edges.unionByName(bad), ["p", "q"], "seq")
 
 
-@query("q38_pivot_records", """SELECT user_id, max(CASE WHEN event_type = 'view' THEN v END) AS "view", max(CASE WHEN event_type = 'click' THEN v END) AS click, max(CASE WHEN event_type = 'purchase' THEN v END) AS purchase
+@query("q38_pivot_records", """SELECT user_id, max(CASE WHEN event_type = 'view' THEN v END) AS "view", max(CASE WHEN event_type = 'click' THEN v END) AS click, max(CASE WHEN event_type = 'purchase' THEN v END) AS purchase, max(CASE WHEN event_type = 'signup' THEN v END) AS signup, max(CASE WHEN event_type = 'error' THEN v END) AS error
   FROM (SELECT user_id, event_type, max(regexp_extract(props, '"k": (\\d+)', 1)) AS v FROM events GROUP BY 1, 2) GROUP BY 1""")
 def q38(spark, d):
     records = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.regexp_extract("props", r'"k": (\d+)', 1)).alias("v"))
-    return design.pivot_records(records, ["user_id"], "event_type", "v", ["view", "click", "purchase"])
+    return design.pivot_records(records, ["user_id"], "event_type", "v", ["view", "click", "purchase", "signup", "error"])
 
 
 @query("q39_product_length", """WITH o AS (SELECT l_partkey AS i, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS j FROM lineitem), k AS (SELECT DISTINCT i, j FROM o WHERE j IS NOT NULL),
@@ -710,3 +710,13 @@ def q73(spark, d):
 def q74(spark, d):
     contigs = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").cast("long").alias("length"))
     return primers.length_mismatches(table(spark, d, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_custkey") % 25).alias("length")), contigs, "name", "length")
+
+
+@query("q75_labelled_targets", f"""WITH {OD}, p AS (SELECT DISTINCT o_custkey, day FROM od), k AS (SELECT DISTINCT o_custkey FROM od),
+  c AS (SELECT o_custkey, day FROM p UNION SELECT o_custkey, 0 FROM k UNION SELECT o_custkey, 2500 FROM k),
+  l(i, depth, path) AS (VALUES (1, 3, 'LL'), (2, 2, 'L'), (3, 3, 'LR'), (4, 1, ''), (5, 3, 'RL'), (6, 2, 'R'), (7, 3, 'RR')),
+  t AS (SELECT o_custkey, i * (2500 // 8) AS target, depth, path FROM k, l)
+  SELECT o_custkey, target, CASE WHEN m > 0 AND m < 2500 THEN m ELSE -1 END AS midpoint, CAST(depth AS BIGINT) AS depth, path
+  FROM (SELECT t.o_custkey, t.target, t.depth, t.path, arg_min(c.day, {{'far': abs(c.day - t.target), 'side': -c.day}}) AS m FROM t JOIN c USING (o_custkey) GROUP BY 1, 2, 3, 4)""")
+def q75(spark, d):
+    return primers.labelled_targets(ordered(spark, d).select("o_custkey", "day"), ["o_custkey"], "day", F.lit(2500), 3).withColumn("midpoint", F.coalesce("midpoint", F.lit(-1).cast("long")))

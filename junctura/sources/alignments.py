@@ -82,3 +82,15 @@ def read_psl(spark: SparkSession, path: str) -> DataFrame:
     fields = [c.split() for c in PSL.split(", ")]
     typed = spark.read.text(path).filter(F.size(part) == len(fields)).select(*[F.get(part, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
     return typed.dropna(subset=[name for name, kind in fields if kind != "string"])
+
+
+#: Readers of an aligner's output by the end of its program's name.
+READERS = {"blat": read_psl}
+
+
+def read_hits(spark: SparkSession, path: str, program: str) -> DataFrame:
+    """The output of an aligner, told by its program's name; another one is an error."""
+    for name, reader in READERS.items():
+        if program.endswith(name):
+            return reader(spark, path)
+    raise ValueError(f"no reader for the output of {program}")

@@ -29,20 +29,25 @@ def settings(rows: list[tuple[str, str]]) -> dict[str, dict[str, str]]:
 
 
 def candidate_records(lines: DataFrame) -> DataFrame:
-    """``side, idx, key, value`` of output lines ``PRIMER_LEFT_0_KEY=value``; the bare key is named POSITION."""
+    """``side, idx, key, value`` of output lines ``PRIMER_LEFT_0_KEY=value``, after the other columns; the bare key is named POSITION."""
     pattern = r"^PRIMER_(LEFT|RIGHT)_(\d+)(?:_([^=]+))?=(.*)$"
     rows = lines.filter(F.col("value").rlike(pattern) & ~F.col("value").contains("RETURNED"))
     key = F.regexp_extract("value", pattern, 3)
-    return rows.select(F.regexp_extract("value", pattern, 1).alias("side"), F.regexp_extract("value", pattern, 2).try_cast("int").alias("idx"), F.when(key == "", "POSITION").otherwise(key).alias("key"), F.regexp_extract("value", pattern, 4).alias("value"))
+    others = [c for c in lines.columns if c != "value"]
+    return rows.select(*others, F.regexp_extract("value", pattern, 1).alias("side"), F.regexp_extract("value", pattern, 2).try_cast("int").alias("idx"), F.when(key == "", "POSITION").otherwise(key).alias("key"), F.regexp_extract("value", pattern, 4).alias("value"))
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row per candidate: ``side, idx, pos, len, penalty, sequence`` and the other numbers as a map."""
-    records = candidate_records(spark.read.text(path))
-    wide = records.groupBy("side", "idx").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    """A row per candidate: ``region, side, idx, pos, len, penalty, sequence`` and all values as a map.
+
+    Files count their candidates each from 0, so rows are kept apart by file. ``region`` is the number in names like ``tag.0001.primer3.out``, null in others.
+    """
+    records = candidate_records(spark.read.text(path).withColumn("file", F.input_file_name()))
+    wide = records.groupBy("file", "side", "idx").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     get = lambda k: F.col("m")[k]
     at = F.split(get("POSITION"), ",")
-    return wide.select("side", "idx", F.get(at, F.lit(0)).try_cast("long").alias("pos"), F.get(at, F.lit(1)).try_cast("int").alias("len"), get("PENALTY").try_cast("double").alias("penalty"), get("SEQUENCE").alias("sequence"), F.col("m").alias("values"))
+    region = F.regexp_extract("file", r"\.(\d+)\.primer3\.out$", 1).try_cast("int")
+    return wide.select(region.alias("region"), "side", "idx", F.get(at, F.lit(0)).try_cast("long").alias("pos"), F.get(at, F.lit(1)).try_cast("int").alias("len"), get("PENALTY").try_cast("double").alias("penalty"), get("SEQUENCE").alias("sequence"), F.col("m").alias("values"))
 
 
 def pivot_records(records: DataFrame, by: list[str], key: str, value: str, keys: list[str]) -> DataFrame:

@@ -401,6 +401,7 @@ def test_costs_and_edges(spark):
         primers.require_primers(counts, "r").collect()
     nodes, edges = spark.createDataFrame([(1,), (2,)], "p int"), spark.createDataFrame([(1, 3), (2, 2)], "a int, b int")
     assert not primers.is_independent(nodes, "p", edges, "a", "b") and primers.is_independent(nodes.filter("p = 1"), "p", edges, "a", "b")
+    assert [r[0] for r in spark.range(3).select(anneal.temperature(F.col("id"), -2.0, 4.0)).collect()] == [4.0, 2.0, 1.0]
     assert anneal.iterations(anneal.CAP, -0.001, 10**6) == anneal.CAP and anneal.iterations(anneal.CAP, -1.0, 10**6) == 3 * 10**6
 
 

@@ -1,5 +1,6 @@
 """Readers and writers on small files made here."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from junctura.operators import anneal, deletions
@@ -50,6 +51,10 @@ def test_candidates(spark, tmp_path):
     rows = {r.side: (r.pos, r.len, r.penalty) for r in got.collect()}
     assert rows == {"LEFT": (12, 4, 0.5), "RIGHT": (30, 5, 1.4)}
     assert [r.side for r in design.within_penalty(got).collect()] == ["LEFT"]
+    for region, at in ((0, 5), (1, 9)):
+        put(tmp_path, f"tag.000{region}.primer3.out", f"PRIMER_LEFT_0={at},4\nPRIMER_LEFT_0_PENALTY=1\n=\n")
+    both = design.read_candidates(spark, str(tmp_path / "tag.*.primer3.out"))
+    assert sorted((r.region, r.side, r.idx, r.pos) for r in both.collect()) == [(0, "LEFT", 0, 5), (1, "LEFT", 0, 9)]
 
 
 def test_psl_filter(spark):
@@ -120,7 +125,9 @@ def test_psl_file(spark, tmp_path):
     line = "20\t0\t0\t0\t0\t0\t0\t{gap}\t+\tLEFT:5\t20\t0\t20\tchr4\t900\t{at}\t{to}\t1\t20,\t0,\t100,"
     path = put(tmp_path, "a.psl", "\n".join([line.format(gap=0, at=100, to=120), line.format(gap=3, at=10, to=30), "a bad line"]) + "\n")
     psl = alignments.read_psl(spark, path)
-    assert psl.count() == 2
+    assert psl.count() == 2 and alignments.read_hits(spark, path, "/bin/blat").count() == 2
+    with pytest.raises(ValueError, match="no reader"):
+        alignments.read_hits(spark, path, "other")
     assert [tuple(r) for r in design.alignments_as_regions(psl, ["chr4", "chr7"]).collect()] == [("chr4", 101, 121, "LEFT:5")]
 
 
