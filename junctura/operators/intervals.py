@@ -12,15 +12,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Pieces that the places of all rows are cut into, so that a key with many rows is sorted in as many tasks.
+PIECES = 16
+BROADCAST_ROWS = 500_000
+
+
+def _carried(rows: DataFrame, keys: list[str], at: str, value: Column) -> DataFrame:
+    """Adds ``__piece``, the piece that a row's place ``at`` is in, ``__before``, the greatest ``value`` of its key in earlier pieces, and ``__after``, the least in later ones.
+
+    Pieces end at quantiles of all places. What is carried between pieces is a row for each key and piece; it is broadcast
+    if it is ``BROADCAST_ROWS`` rows at most by a count.
+    """
+    bounds = sorted(set(rows.approxQuantile(at, [k / PIECES for k in range(1, PIECES)], 0.02)))
+    piece = F.lit(0)
+    for bound in bounds:
+        piece = piece + F.coalesce(F.col(at) >= F.lit(bound), F.lit(False)).cast("int")
+    rows = rows.withColumn("__piece", piece)
+    totals = rows.groupBy(*keys, "__piece").agg(F.max(value).alias("__m"), F.min(value).alias("__n"))
+    w = W.partitionBy(*keys).orderBy("__piece")
+    carry = totals.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__piece").alias("__at_piece"), F.max("__m").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.min("__n").over(w.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    if carry.count() <= BROADCAST_ROWS:
+        carry = F.broadcast(carry)
+    same = F.col("__piece") == F.col("__at_piece")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return rows.join(carry, same).drop("__at_piece", *[f"__of_{k}" for k in keys])
+
+
 def drop_contained(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """Keeps intervals that lie in no other interval of their key (closed comparison, no tie-break).
 
-    Of identical intervals none stays. One sort by key and start replaces the self join: an
-    interval lies in another if it is repeated, or if an earlier one reaches as far.
+    Of identical intervals none stays. One sort by key, piece and start replaces the self join: an
+    interval lies in another if its neighbour in the sort is the same, or if an earlier one reaches as far. A key is
+    cut into pieces by start, and the farthest reach of earlier pieces is carried on, so no task sorts a whole key.
     """
-    order = W.partitionBy(key).orderBy(F.col(lo).asc(), F.col(hi).desc()).rowsBetween(W.unboundedPreceding, -1)
-    ranked = df.withColumn("__reach", F.max(hi).over(order)).withColumn("__same", F.count("*").over(W.partitionBy(key, lo, hi)))
-    return ranked.filter((F.col("__same") == 1) & (F.col("__reach").isNull() | (F.col("__reach") < F.col(hi)))).drop("__reach", "__same")
+    w = W.partitionBy(key, "__piece").orderBy(F.col(lo).asc(), F.col(hi).desc())
+    same = lambda move: F.coalesce((move(lo).over(w) == F.col(lo)) & (move(hi).over(w) == F.col(hi)), F.lit(False))
+    reach = F.greatest("__before", F.max(hi).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    ranked = _carried(df, [key], lo, F.col(hi)).withColumn("__reach", reach).withColumn("__same", same(F.lag) | same(F.lead))
+    return ranked.filter(~F.col("__same") & (F.col("__reach").isNull() | (F.col("__reach") < F.col(hi)))).select(*df.columns)
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_lo: str, left_hi: str, right_lo: str, right_hi: str, width: int, condition: Column | None = None) -> DataFrame:
@@ -47,19 +77,20 @@ def overlap_pairs(df: DataFrame, key: str, lo: str, hi: str, row: str, width: in
 def previous_before(df: DataFrame, key: str, lo: str, hi: str, out: str) -> DataFrame:
     """As-of predecessor: the greatest end of the key's intervals that end at or before each start; null if none.
 
-    Ends and starts are sorted together once; the last end seen is the answer.
+    Ends and starts are sorted together once, in pieces; the last end seen is the answer.
     """
     starts = df.select(F.col(key), F.col(lo).alias("__at"), F.lit(1).alias("__kind"), F.struct("*").alias("__row"))
     ends = df.select(F.col(key), F.col(hi).alias("__at"), F.lit(0).alias("__kind")).withColumn("__row", F.lit(None).cast(starts.schema["__row"].dataType))
-    order = W.partitionBy(key).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    both = ends.unionByName(starts).withColumn("__last", F.max(F.when(F.col("__kind") == 0, F.col("__at"))).over(order))
+    own = F.when(F.col("__kind") == 0, F.col("__at"))
+    order = W.partitionBy(key, "__piece").orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    both = _carried(ends.unionByName(starts), [key], "__at", own).withColumn("__last", F.greatest("__before", F.max(own).over(order)))
     return both.filter("__kind = 1").select("__row.*", F.col("__last").alias(out))
 
 
 def union_coverage(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """``key, covered, islands``: length of the union of half-open intervals, and the number of its pieces. Gaps and islands, no per-base rows."""
-    before = W.partitionBy(key).orderBy(lo, hi).rowsBetween(W.unboundedPreceding, -1)
-    steps = df.select(key, lo, hi, F.max(hi).over(before).alias("__reach"))
+    before = W.partitionBy(key, "__piece").orderBy(lo, hi).rowsBetween(W.unboundedPreceding, -1)
+    steps = _carried(df.select(key, lo, hi), [key], lo, F.col(hi)).withColumn("__reach", F.greatest("__before", F.max(hi).over(before)))
     fresh = F.when(F.col("__reach").isNull() | (F.col(lo) > F.col("__reach")), 1).otherwise(0)
     gain = F.greatest(F.lit(0), F.col(hi) - F.greatest(F.col(lo), F.coalesce("__reach", lo)))
     return steps.groupBy(key).agg(F.sum(gain).cast("long").alias("covered"), F.sum(fresh).cast("long").alias("islands"))
@@ -68,14 +99,15 @@ def union_coverage(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 def nearest_point(targets: DataFrame, points: DataFrame, keys: list[str], target: str, point: str, out: str) -> DataFrame:
     """The point nearest to each target within the keys; a tie takes the right one; null if the key has no point.
 
-    Targets and points are sorted together: the last point at or before and the first point at or after are the only candidates.
+    Targets and points are sorted together, in pieces: the last point at or before and the first point at or after are the only candidates.
     """
     a = targets.select(*keys, F.col(target).alias("__at"), F.lit(1).alias("__kind"), F.struct(*[F.col(f"`{c}`") for c in targets.columns]).alias("__row"))
     b = points.select(*keys, F.col(point).alias("__at"), F.lit(0).alias("__kind")).withColumn("__row", F.lit(None).cast(a.schema["__row"].dataType))
     own = F.when(F.col("__kind") == 0, F.col("__at"))
-    left = F.max(own).over(W.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0))
-    right = F.min(own).over(W.partitionBy(*keys).orderBy(F.col("__at").desc(), "__kind").rowsBetween(W.unboundedPreceding, 0))
-    near = a.unionByName(b).withColumn("__left", left).withColumn("__right", right).filter("__kind = 1")
+    w = W.partitionBy(*keys, "__piece")
+    left = F.greatest("__before", F.max(own).over(w.orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)))
+    right = F.least("__after", F.min(own).over(w.orderBy(F.col("__at").desc(), "__kind").rowsBetween(W.unboundedPreceding, 0)))
+    near = _carried(a.unionByName(b), keys, "__at", own).withColumn("__left", left).withColumn("__right", right).filter("__kind = 1")
     pick = F.when(F.col("__left").isNull(), F.col("__right")).when(F.col("__right").isNull(), F.col("__left"))
     pick = pick.when(F.col("__at") - F.col("__left") < F.col("__right") - F.col("__at"), F.col("__left")).otherwise(F.col("__right"))
     return near.select("__row.*", pick.alias(out))

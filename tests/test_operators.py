@@ -16,6 +16,24 @@ def test_identical_intervals_both_go(spark):
     assert sorted(map(tuple, intervals.drop_contained(df, "k", "lo", "hi").collect())) == [(2, 1, 9), (3, 1, 5), (3, 6, 9)]
 
 
+def test_a_key_is_sorted_in_pieces(spark):
+    """One key with all rows, a null key and null places: containment, predecessors, coverage and nearest points against plain loops."""
+    draw = random.Random(41)
+    rows = [(1 if i % 10 else None, a, a + draw.randrange(1, 60), i) for i, a in ((i, draw.randrange(3000)) for i in range(400))] + [(1, 5, 9, 900), (1, 5, 9, 901)]
+    df = spark.createDataFrame(rows, "k int, lo int, hi int, row int")
+    inside = lambda s, o: s[0] == o[0] and s[3] != o[3] and o[1] <= s[1] and s[2] <= o[2]
+    assert sorted(r.row for r in intervals.drop_contained(df, "k", "lo", "hi").collect()) == sorted(s[3] for s in rows if not any(inside(s, o) for o in rows))
+    before = {r.row: r.b for r in intervals.previous_before(df, "k", "lo", "hi", "b").collect()}
+    assert before == {s[3]: max((o[2] for o in rows if o[0] == s[0] and o[2] <= s[1]), default=None) for s in rows}
+    covered = {r.k: r.covered for r in intervals.union_coverage(df, "k", "lo", "hi").collect()}
+    assert covered == {k: len({y for s in rows if s[0] == k for y in range(s[1], s[2])}) for k in (1, None)}
+    targets = spark.createDataFrame([(1, x) for x in range(0, 3100, 7)], "k int, x int")
+    got = {r.x: r.near for r in intervals.nearest_point(targets, df.filter("k = 1"), ["k"], "x", "lo", "near").collect()}
+    assert got == {x: min((s[1] for s in rows if s[0] == 1), key=lambda y: (abs(y - x), -y)) for x in range(0, 3100, 7)}
+    assert intervals.drop_contained(df.limit(0), "k", "lo", "hi").count() == 0
+    assert intervals.union_coverage(spark.createDataFrame([(1, None, None), (1, 2, 4)], "k int, lo int, hi int"), "k", "lo", "hi").first().covered == 2
+
+
 def test_range_join_finds_each_pair_once(spark):
     draw = random.Random(3)
     rows = [(i, i % 3, a, a + draw.randrange(1, 90)) for i, a in ((i, draw.randrange(500)) for i in range(120))]
