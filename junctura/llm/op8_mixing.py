@@ -4,13 +4,19 @@ Documents are counted by exact token length within each source. A source's
 target is met by whole rounds over all its documents, then a share of each
 length's count, then the rest of the budget: a bounded-knapsack dynamic
 program over the lengths picks the counts whose sum comes nearest. Documents are
-then selected by seeded order within their length. Only counts by length reach
+then selected by seeded order within their length: each length has one place in that order up to which
+documents are taken. Only counts by length reach
 the program, one group per source; documents never leave Spark.
 
+Words are counted once into narrow rows (source, size, order), from which everything is decided. A row for each source and length is
+then joined to the documents: broadcast after a count while there are ``BROADCAST_ROWS`` at most, so that no text moves and no
+hot source or length meets in a task; beyond that by one shuffle.
+
 Edge cases: a null text has size 0, is never taken and adds nothing; a null
 source is a source of its own, last in order; null and repeated ids are rows
-of their own (equal rows are told apart arbitrarily, which no figure shows);
-an empty table gives an empty result. Extra columns of the input are not carried.
+of their own. Rows with one id and text share a place in the order; where it is the last one, they are told
+apart by their other columns, and equal rows by number. An empty table gives an empty result. Extra columns of the input are not
+carried by ``mix_sources``.
 """
 
 from __future__ import annotations
@@ -18,10 +24,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from junctura.functions.checkpoints import shared_table
+from junctura.llm.batches import small
+
 WORD = r"[^ \t-\r]+"
 WEIGHTS = (3, 1, 2)
-#: Hash cells of a length's documents: whole cells are taken by count, only one cell is ranked.
-CELLS = 1024
+#: Bits of the order that name a cell: a length's cells are taken whole by count, only one of them is ranked.
+CELL_BITS = 10
 
 
 def word_count(text: Column) -> Column:
@@ -111,35 +120,46 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return group[["absent", "source", "size", "rounds", "more"]]
 
 
-def _decided(df: DataFrame, key: str, text: str, source: str, share: float, cap: float, weights: tuple[int, ...], seed: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Every row with ``absent, source, size, copies``, and ``row``, a struct of the columns to carry; and the sources' targets.
+def _narrow(key: str, text: str, source: str, seed: int) -> list[Column]:
+    """``absent, source, size, luck`` of a document; luck is its place in the seeded order."""
+    luck = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))
+    return [F.col(source).isNull().alias("absent"), F.coalesce(F.col(source), F.lit("")).alias("source"), word_count(F.col(text)).alias("size"), luck.alias("luck")]
+
+
+def _cuts(narrow: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
+    """``absent, source, size, source_size, target, rounds, cut, take, same``: a row per source and length.
 
-    Within a source and length the documents are cut into hash cells; cells are
-    taken whole in order as long as their counts fit, and documents are
-    ranked in the one cell that is cut.
+    Every document is taken ``rounds`` times, those up to luck ``cut`` once more; of the ``same`` documents just there only ``take``.
     """
-    base = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-        F.col(source).isNull().alias("absent"),
-        F.coalesce(F.col(source), F.lit("")).alias("source"),
-        word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)).alias("luck"),
-    ).withColumn("cell", F.pmod("luck", F.lit(CELLS)))
-    cells = base.groupBy("absent", "source", "size", "cell").agg(F.count("*").alias("n"))
-    counts = cells.groupBy("absent", "source", "size").agg(F.sum("n").alias("docs"))
+    of = ["absent", "source", "size"]
+    cells = shared_table(narrow.withColumn("cell", F.shiftright("luck", 64 - CELL_BITS)).groupBy(*of, "cell").agg(F.count("*").alias("n")))
+    counts = cells.groupBy(*of).agg(F.sum("n").alias("docs"))
     sizes = counts.groupBy("absent", "source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
-    targets = water_level(sizes, share, cap, weights)
-    positive = counts.filter(F.col("size") > 0).join(targets, ["absent", "source"])
-    plan = positive.groupBy("absent", "source").applyInPandas(_fit, "absent boolean, source string, size long, rounds long, more long")
-    by_cell = W.partitionBy("absent", "source", "size").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cuts = cells.withColumn("before", F.coalesce(F.sum("n").over(by_cell), F.lit(0))).join(plan, ["absent", "source", "size"])
-    cuts = cuts.select("absent", "source", "size", "cell", "rounds", (F.col("more") - F.col("before")).alias("room"), "n")
-    rows = base.join(cuts, ["absent", "source", "size", "cell"], "left")
-    # ranks matter in the cells that are cut only, but one window over all cells keeps to one exchange of the rows
-    rank = F.row_number().over(W.partitionBy("absent", "source", "size", "cell").orderBy("luck"))
-    extra = F.when(F.col("room") >= F.col("n"), 1).when(F.col("rank") <= F.col("room"), 1).otherwise(0)
-    rows = rows.withColumn("rank", rank).withColumn("copies", F.coalesce("rounds", F.lit(0)) + extra)
-    return rows.select("row", "absent", "source", "size", "copies"), targets
+    lengths = shared_table(counts.join(water_level(sizes, share, cap, weights), ["absent", "source"]))
+    plan = lengths.filter("size > 0").groupBy("absent", "source").applyInPandas(_fit, "absent boolean, source string, size long, rounds long, more long")
+    plan = shared_table(lengths.drop("docs").join(plan, of, "left").withColumn("rounds", F.coalesce("rounds", F.lit(0))).withColumn("more", F.coalesce("more", F.lit(0))))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*of).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = cells.withColumn("before", before).join(plan, of).filter("more > before AND more <= before + n").select(*of, "cell", (F.col("more") - F.col("before")).alias("room"))
+    held = narrow.withColumn("cell", F.shiftright("luck", 64 - CELL_BITS)).join(small(cut), [*of, "cell"])
+    ranked = held.select(*of, "luck", "room", F.row_number().over(W.partitionBy(*of).orderBy("luck")).alias("rank"), F.rank().over(W.partitionBy(*of).orderBy("luck")).alias("first"))
+    last = ranked.groupBy(*of, "luck", "room", "first").agg(F.count("*").alias("same")).filter("room >= first AND room < first + same")
+    last = last.select(*of, F.col("luck").alias("cut"), (F.col("room") - F.col("first") + 1).alias("take"), "same")
+    return shared_table(plan.drop("more").join(last, of, "left"))
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``row`` (a struct), the columns of ``cuts`` and ``copies`` of every one of ``rows`` (``row, absent, source, size, luck``)."""
+    of = ["absent", "source", "size"]
+    rows = rows.join(small(cuts), of).withColumn("copies", F.col("rounds") + F.when(F.col("luck") <= F.col("cut"), 1).otherwise(0))
+    if cuts.filter("take < same").isEmpty():
+        return rows
+    # rows that share the last place: equal ones are counted, and told apart by number
+    split = F.coalesce((F.col("luck") == F.col("cut")) & (F.col("take") < F.col("same")), F.lit(False))
+    tied = rows.filter(split).groupBy(*[c for c in rows.columns if c not in ("copies", "luck")]).agg(F.count("*").alias("equal"))
+    before = F.sum("equal").over(W.partitionBy(*of).orderBy(F.col("row").cast("string")).rowsBetween(W.unboundedPreceding, -1))
+    tied = tied.withColumn("of_these", F.least("equal", F.greatest(F.lit(0), F.col("take") - F.coalesce(before, F.lit(0)))))
+    tied = tied.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal")))).withColumn("copies", F.col("rounds") + (F.col("number") <= F.col("of_these")).cast("int"))
+    return rows.filter(~split).drop("luck").unionByName(tied.drop("equal", "of_these", "number"))
 
 
 def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
@@ -148,11 +168,14 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, share: float =
     ``taken`` is the number of the document's words in the mix: a multiple of its
     size, at most ``ceil(cap)`` times.
     """
-    rows, targets = _decided(df, key, text, source, share, cap, weights, seed, [key])
-    return rows.join(targets, ["absent", "source"]).select(F.col(f"row.`{key}`").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows = shared_table(df.select(F.struct(F.col(f"`{key}`").alias(key)).alias("row"), *_narrow(key, text, source, seed)))
+    taken = _taken(rows, _cuts(rows.drop("row"), share, cap, weights))
+    return taken.select(F.col(f"row.`{key}`").alias(key), F.when(~F.col("absent"), F.col("source")).alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, key: str, text: str, source: str, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mix itself: the columns of ``df``, each row as often as it is taken."""
-    rows, _ = _decided(df, key, text, source, share, cap, weights, seed, df.columns)
-    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    cuts = _cuts(shared_table(df.select(*_narrow(key, text, source, seed))), share, cap, weights)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_narrow(key, text, source, seed))
+    taken = _taken(rows, cuts).filter("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
