@@ -9,7 +9,7 @@ kept and is written as Parquet before the next. All but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from junctura.functions.checkpoints import shared_table
 from junctura.llm import op3_jaccard_join, op4_language_id, op6_sentencepiece, op7_pii, op8_mixing
@@ -23,19 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; documents without an id are kept."""
-    found = op3_jaccard_join.jaccard_components(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull())
-    verdicts = shared_table(found.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("first"), F.count("*").alias("times")))
-    dropped = verdicts.filter(F.col("first") < F.col("doc_id")).select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = verdicts.filter(F.col("times") > 1).select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    # rows that share an id: one of them stays
-    alone = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1").select(*docs.columns)
-    return alone.unionByName(one)
+    """Keeps the document with the smallest id of each group; documents without an id or without words are kept."""
+    return op3_jaccard_join.first_of_each(docs, "doc_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
