@@ -57,17 +57,16 @@ def test_jaccard_of_a_large_loose_group(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = [shingle_set(t) for _, t in rows]
     labels = list(range(120))
-    for _ in range(120):
-        for i, j in itertools.combinations(range(120), 2):
-            if labels[i] != labels[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
+    for i, j in itertools.combinations(range(120), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and labels[i] != labels[j]:
+            labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
     assert 1 < len(set(labels)) < 120
-    # as it is; with room for four heavy classes and a full filter; and with shuffles in place of broadcasts
-    for changes in ({}, {"HEAVY_TABLE": 4, "MOST_BITS": 11}, {"PIVOTS": 1}):
-        monkeypatch.setattr(op3_jaccard_join, "BLOCK", 32)
+    # as it is; with room for four heavy classes, a full filter, one pivot, and shuffles in place of broadcasts
+    monkeypatch.setattr(op3_jaccard_join, "BLOCK", 32)
+    for changes in ({}, {"HEAVY_TABLE": 4, "MOST_BITS": 11, "PIVOTS": 1}):
         for name, value in changes.items():
             monkeypatch.setattr(op3_jaccard_join, name, value)
-        if "PIVOTS" in changes:
+        if changes:
             monkeypatch.setattr(batches, "BROADCAST_ROWS", 0)
         got = {r.doc_id: r.component_id for r in op3_jaccard_join.jaccard_components(df, "doc_id", "text").collect()}
         assert got == dict(enumerate(labels))
@@ -322,7 +321,7 @@ def test_sentencepiece(spark, docs, texts, empty):
 
 
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files here")
-@pytest.mark.parametrize("sign", ["a", " ", "=", "é"])
+@pytest.mark.parametrize("sign", ["a", " ", "="])
 def test_sentencepiece_of_one_long_run(sign):
     """Equally good segmentations by the million cost time and memory in proportion to the text."""
     with open(MODEL, "rb") as file:
@@ -332,6 +331,6 @@ def test_sentencepiece_of_one_long_run(sign):
     ids, _, told = lattice.encode(text)
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
-    assert lattice.decode(ids) == text and len(told) >= 2
+    assert lattice.decode(ids) == text and len(told) == 4
     began = time.perf_counter()
     assert lattice.decode(lattice.encode(text * 4)[0]) == text * 4 and time.perf_counter() - began < 60
