@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import op1_quality, op2_lz_fingerprint, op3_jaccard_join, op4_language_id, op5_embedding_dedup, op6_sentencepiece, op7_pii, op8_mixing, op9_sharding, op10_chat
+from junctura.llm import op1_quality, op2_lz_fingerprint, op3_jaccard_join, op4_language_id, op5_embedding_dedup, op6_sentencepiece, op7_pii, op8_mixing, op9_sharding, op10_chat, op11_toxicity, op12_lexical_search, op13_collocations
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,21 @@ def op10_chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op11_toxicity.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    return op11_toxicity.score_toxicity(docs, "doc_id", "text", model)
+
+
+def op12_lexical_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = op12_lexical_search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return op12_lexical_search.search(index, table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def op13_collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_collocations.collocations(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality_query,
     "op2_lz_fingerprint": op2_lz_fingerprint_query,
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing_query,
     "op9_sharding": op9_sharding_query,
     "op10_chat": op10_chat_query,
+    "op11_toxicity": op11_toxicity_query,
+    "op12_lexical_search": op12_lexical_search_query,
+    "op13_collocations": op13_collocations_query,
 }
 
 OP10_SQL = r"""
@@ -144,4 +162,57 @@ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, v.vec_id = m.compo
 FROM v JOIN m ON m.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op10_chat": OP10_SQL}
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+), tf AS (SELECT r, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM terms GROUP BY r, t),
+doc AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS HUGEINT) AS len FROM doc),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), w AS (
+  SELECT item_id, t, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM item JOIN df USING (t), total
+), scored AS (
+  SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * CAST(n AS HUGEINT) * docs) // len AS BIGINT))))) AS BIGINT) AS score
+  FROM w JOIN tf USING (t) JOIN doc USING (r), total GROUP BY item_id, doc_id, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), spot AS (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k AS size, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spot GROUP BY ALL HAVING count(*) >= 100
+), cand AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2
+), held AS (
+  SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, k, unnest(range(1, size - k + 2)) AS i FROM cand, (SELECT unnest(range(2, 5)) AS k) WHERE k < size) GROUP BY 1, 2
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, c.k, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op10_chat": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_collocations": OP13_SQL}
