@@ -14,7 +14,7 @@ so that a pair just at the threshold is expected to be met with a chance of ``RE
 Recall against brute force is measured in the tests.
 
 Edge cases: a null label or vector, a zero vector, one with null or non-finite components
-is linked with nothing and is its own component; vectors of different lengths aren't compared; a
+is linked with nothing and is its own component; any other length counts, down to the least number above 0; vectors of different lengths aren't compared; a
 null id has a null component and isn't kept; repeated ids are rows of their own, and all rows
 with the component's id are kept; an empty table gives no rows. Extra columns are not carried.
 """
@@ -47,9 +47,10 @@ def usable(vector: Column, label: Column) -> Column:
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
-    """Unit vectors, in double precision, of lists of one length."""
+    """Unit vectors, in double precision, of lists of one length. The greatest component is made 1 first, so no square leaves the range of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0.0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
