@@ -17,12 +17,13 @@ independent; an empty table gives no rows. ``predict_languages`` carries only th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from junctura.llm.batches import bounded
 
@@ -30,6 +31,8 @@ WINDOW = 256
 WIDTH = 8  # of the byte embedding
 FILTERS = 16  # of each width
 SAMPLE_ROWS = 4000
+#: Most languages that are learned; each has a row in the sample at least.
+LANGUAGES = 4000
 CHUNK = 64
 UNKNOWN = "und"
 
@@ -161,24 +164,43 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(df: DataFrame, key: str, text: str, language: str) -> Network | None:
-    """Trains on rows that aren't held out and have a language and a text.
+def quota_of(counts: list[int], rows: int) -> int:
+    """The greatest number of rows of each language, 1 at least, with which all languages give ``rows`` at most."""
+    left, level = rows, 1
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(level, left // (len(counts) - k))
+        left, level = left - n, n
+    return level
+
 
-    Counts by language come first, then rows are drawn by a hash of the text at a
-    rate that gives each language its part of ``SAMPLE_ROWS``, the least hashes first, however the rows are partitioned. Of each drawn text two
-    windows from anywhere in it reach the driver. The sample can hold ``SAMPLE_ROWS`` languages; of more, the most frequent are learned.
+def sample(df: DataFrame, key: str, text: str, language: str, rows: int = SAMPLE_ROWS, salt: int = 5) -> list[tuple[float, str, str, str]]:
+    """``luck, language, w1, w2`` of the rows to learn from: some of those that aren't held out and have a language and a text.
+
+    Counts by language come first. Each language has a quota, as even as the counts allow, of ``rows`` in all and 1 at least; a language with no more rows
+    than its quota is taken whole. Rows are drawn by a hash of the text at a rate a little above the quota, and of these the least hashes stay, each language by
+    itself, so no language's rows are cut for another's, however the rows are partitioned. Of each drawn text two
+    windows from anywhere in it reach the driver. Of more than ``LANGUAGES`` languages the most frequent are learned.
     """
     learn = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language")).filter(F.col("language").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    counts = {r["language"]: r["count"] for r in learn.groupBy("language").count().orderBy(F.desc("count"), "language").limit(SAMPLE_ROWS).collect()}
+    counts = {r["language"]: r["count"] for r in learn.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()}
     if not counts:
-        return None
-    part = SAMPLE_ROWS / len(counts)
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, part / n))])
-    luck = F.pmod(F.xxhash64(F.lit(5), "text", F.col("key").cast("string")), F.lit(1_000_000)) / 1_000_000
+        return []
+    quota = quota_of(list(counts.values()), rows)
+    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 1.0 if n <= quota else min(1.0, (quota + 6 * math.sqrt(quota) + 6) / n))])
+    luck = (F.shiftrightunsigned(F.xxhash64(F.lit(salt), "text", F.col("key").cast("string")), 11) / float(1 << 53)).alias("luck")
     place = lambda salt: (1 + F.pmod(F.xxhash64(F.lit(salt), "text"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))).cast("int")
-    drawn = learn.filter(luck < F.try_element_at(rates, F.col("language")))
-    rows = drawn.select("language", "text", luck.alias("luck")).orderBy("luck", "language", F.xxhash64("text")).limit(SAMPLE_ROWS).select("language", "luck", *[F.substr("text", place(s), F.lit(WINDOW)).alias(f"w{s}") for s in (1, 2)]).collect()
-    rows = sorted((r["luck"], r["language"], r["w1"], r["w2"]) for r in rows)
+    windows = [F.substr("text", place(s), F.lit(WINDOW)).alias(f"w{s}") for s in (1, 2)]
+    drawn = learn.withColumn("luck", luck).filter(F.col("luck") < F.try_element_at(rates, F.col("language"))).select("language", "luck", *windows)
+    rank = F.row_number().over(W.partitionBy("language").orderBy("luck", "w1", "w2"))
+    return sorted(tuple(r) for r in drawn.withColumn("rank", rank).filter(F.col("rank") <= quota).select("luck", "language", "w1", "w2").collect())
+
+
+def fit(df: DataFrame, key: str, text: str, language: str) -> Network | None:
+    """Trains on two windows of each row of the ``sample``; None if there is none."""
+    rows = sample(df, key, text, language)
+    if not rows:
+        return None
     texts = [t for r in rows for t in r[2:]]
     return train(texts, [r[1] for r in rows for _ in (1, 2)])
 
