@@ -34,7 +34,6 @@ from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 from operator import itemgetter
 
 import ahocorasick
@@ -263,12 +262,15 @@ class Lattice:
                 if len(single) > 64:
                     single = heapq.nsmallest(self.n_best - 1, single)
         single = heapq.nsmallest(self.n_best - 1, single)
-        options = [(0.0, ())]
-        for size in range(1, len(single) + 1):
-            for some in combinations(single, size):
-                if len({k for _, k, _ in some}) == size:
-                    options.append((sum(lost for lost, _, _ in some), tuple((k, rank) for _, k, rank in some)))
-        return heapq.nsmallest(self.n_best, options)
+        by_chunk: dict[int, list[tuple[float, int]]] = {}
+        for lost, k, rank in single:
+            by_chunk.setdefault(k, []).append((lost, rank))
+        # chunk by chunk: of sums of two ascending lists, the N least are among those whose places multiply to N at most
+        options: list[tuple[float, tuple]] = [(0.0, ())]
+        for k, found in by_chunk.items():
+            more = [(a + lost, (*changes, (k, rank))) for j, (lost, rank) in enumerate(found, 2) for a, changes in options[: self.n_best // j]]
+            options = heapq.nsmallest(self.n_best, options + more)
+        return options
 
     def n_best_ids(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a text, best first."""

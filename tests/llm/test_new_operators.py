@@ -1,15 +1,18 @@
-"""Toxicity, lexical search and collocations against brute force."""
+"""Toxicity, lexical search and collocations, and rare cases of other operators, against brute force."""
 
 import collections
 import math
+import os
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm import op11_toxicity, op12_lexical_search, op13_collocations
+from junctura.llm import op4_language_id, op5_embedding_dedup, op6_sentencepiece, op11_toxicity, op12_lexical_search, op13_collocations
 
 
 def maximal(scores, start=0):
@@ -213,3 +216,52 @@ def test_map_of_frequent_hashes(spark):
     at = op13_collocations.slots(hashes)
     assert len(bits) * 8 == op13_collocations.MAP_BITS and ((bits[at >> 3] >> (at & 7)) & 1).all()
     assert int(np.unpackbits(bits).sum()) == len(set(at.tolist()))
+
+
+def test_embeddings_of_any_length(spark):
+    """Tiny, huge and subnormal vectors link by their cosine alone."""
+    tiny, huge, least = 1e-200, 1e200, 5e-324
+    vectors = [[1.0, 2.0], [2.0, 1.0], [tiny, 2 * tiny], [2 * tiny, tiny], [huge, 2 * huge], [-huge, 2 * huge], [least, 2 * least], [2 * least, least], [1.7e308, 1.7e308], [least, 0.0], [0.0, 1e-310], [1e-310, 1.0], [huge, tiny]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in op5_embedding_dedup.near_duplicates(df, "vec_id", "embedding", "label").collect()}
+    exact = [[x / max(map(abs, v)) for x in v] for v in vectors]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    want = {i: sum(cosine(a, b) >= 0.93 for j, b in enumerate(exact) if i != j) for i, a in enumerate(exact)}
+    assert got == want
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    rows = [(i, f"text {i} of a common language", f"l{i % 99}") for i in range(99 * 60)]
+    rare = [i for i in range(10**6, 10**6 + 40) if zlib.crc32(str(i).encode()) % 5][:8]
+    df = spark.createDataFrame(rows + [(i, f"text {i} of a rare one", "rare") for i in rare], "doc_id long, text string, lang string").cache()
+    for salt in range(20):
+        drawn = op4_language_id.sample(df, "doc_id", "text", "lang", rows=1000, salt=salt)
+        counts = collections.Counter(r[1] for r in drawn)
+        assert counts["rare"] == 8 and len(drawn) <= 1000 and min(counts.values()) >= 8 and len(counts) == 100
+    assert op4_language_id.quota_of([5, 5, 5], 9) == 3 and op4_language_id.quota_of([2, 100, 100], 22) == 10 and op4_language_id.quota_of([7] * 50, 10) == 1
+    for counts in ([3, 8, 20, 500], [1], [4, 4], [1000] * 7):
+        for rows in (1, 10, 50, 600, 10_000):
+            quota = op4_language_id.quota_of(counts, rows)
+            assert quota == 1 or sum(min(n, quota) for n in counts) <= rows
+            assert quota >= max(counts) or sum(min(n, quota + 1) for n in counts) > rows
+
+
+@pytest.mark.skipif(not os.path.exists(op6_sentencepiece.MODEL), reason="no tokenizer files here")
+def test_many_best_segmentations():
+    """Combinations of the chunks' lists, for any N, in time that grows with N about linearly."""
+    with open(op6_sentencepiece.MODEL, "rb") as file:
+        proto = file.read()
+    text = "the quick brown fox jumped over"
+    for n in (1, 2, 5, 16):
+        lattice = op6_sentencepiece.Lattice(proto, n)
+        lists = [[s for s, _ in lattice.search(c, n)] for c in op6_sentencepiece.CHUNKS.findall(" " + text)]
+        sums = [0.0]
+        for scores in lists:
+            sums = sorted((a + b for a in sums for b in scores), reverse=True)[:n]
+        assert [s for s, _ in lattice.n_best_ids(text)] == pytest.approx(sums)
+    lattice = op6_sentencepiece.Lattice(proto, 64)
+    got = lattice.n_best_ids(text)
+    assert len({tuple(i) for _, i in got}) == len(got) == 64 and {lattice.decode(i) for _, i in got} == {text}
+    began = time.perf_counter()
+    lattice.n_best_ids(text)
+    assert time.perf_counter() - began < 0.1
