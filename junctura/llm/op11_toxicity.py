@@ -202,10 +202,10 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, l
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key").select("label", "text", "spared")
     learn = rows.filter(~F.col("spared")).select("text", "label")
     sums = learn.mapInArrow(_count, "place long, toxic long, clean long").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = sums.toPandas()
-    counts = np.zeros((2, BUCKETS))
-    counts[0, table["place"].to_numpy(int)], counts[1, table["place"].to_numpy(int)] = table["toxic"].to_numpy(float), table["clean"].to_numpy(float)
-    toxic, clean = counts
+    table = sums.select(F.col("place").cast("int"), F.col("toxic").cast("int"), F.col("clean").cast("int")).toArrow()
+    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    place = table.column("place").to_numpy()
+    toxic[place], clean[place] = table.column("toxic").to_numpy(), table.column("clean").to_numpy()
     if not toxic.sum() or not clean.sum():
         return _constant(seen)
     model = Model(toxic.astype(np.float32), (clean * (toxic.sum() / clean.sum())).astype(np.float32))
