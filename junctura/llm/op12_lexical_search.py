@@ -19,14 +19,14 @@ others of equal score; an empty table gives no rows. Keys are whole numbers. Ext
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from junctura.functions.checkpoints import shared_table
@@ -47,95 +47,79 @@ def terms_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """``blocks`` has a row for each block: ``m``; ``docs``, the documents' keys; ``terms`` with the end of each one's ``tfs``; ``tfs`` with the end of each one's ``places``; ``places`` in ``docs``."""
+    """``blocks`` has a row for each block. ``m`` is the stratum, ``docs`` the documents' keys, ``terms`` the block's terms, joined by spaces.
+
+    ``groups`` is the number of different tf of each term; ``tfs``, ascending for each term, and ``sizes``, how many documents have that tf, are of
+    each group; ``places`` of each posting in ``docs``. Numbers are packed: 8 bytes for keys, 2 for places, 4 for others.
+    """
 
     blocks: DataFrame
     documents: int  # N
     terms: int  # L
 
 
-_BLOCK = "m long, docs array<bigint>, terms array<string>, term_ends array<int>, tfs array<int>, tf_ends array<int>, places array<int>"
+_BLOCK = "m long, docs binary, terms string, groups binary, tfs binary, sizes binary, places binary"
+#: Documents of a block, so that two bytes hold a place.
+DOCUMENTS = 1 << 16
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms and their numbers of ``key, text`` rows that have terms."""
+    """Terms, joined by spaces, and their packed numbers of ``key, text`` rows that have terms."""
     for batch in batches:
         texts = batch.column(1)
-        rows, sizes, ends, terms, tfs = [], [], [0], [], []
+        rows, sizes, terms, tfs = [], [], [], []
         for i in range(batch.num_rows):
             found = terms_of(texts[i].as_py())
             if found:
                 counts = Counter(found)
                 rows.append(i)
                 sizes.append(len(found))
-                terms += counts.keys()
-                tfs += counts.values()
-                ends.append(len(terms))
-        offsets = pa.array(ends, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(tfs, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), *lists], names=["doc", "n", "terms", "tfs"])
-
-
-def _list(values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
-
-
-def _inverted(m: int, docs: np.ndarray, lengths: np.ndarray, terms: pa.Array, tfs: np.ndarray) -> pa.RecordBatch:
-    """A block of documents of one stratum, their postings grouped by term and tf."""
-    coded = terms.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                terms.append(b" ".join(counts))
+                tfs.append(np.fromiter(counts.values(), np.uint32, len(counts)).tobytes())
+        columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "terms", "tfs"])
+
+
+def _inverted(m: int, rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    """A block of documents ``key, terms, tfs`` of one stratum, their postings grouped by term and tf."""
+    ids: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    found = [terms.split(" ") for _, terms, _ in rows]
+    codes = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(found)), np.int64, sum(map(len, found)))
+    tfs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).astype(np.int64)
     key = codes * (int(tfs.max()) + 1) + tfs
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-    of_group = codes[order[ends - 1]]
-    term_ends = np.append(np.flatnonzero(of_group[1:] != of_group[:-1]) + 1, len(ends))
-    places = np.repeat(np.arange(len(docs)), lengths)[order]
-    columns = [pa.array([m], pa.int64()), _list(docs, pa.int64()), _list(coded.dictionary, pa.string())]
-    columns += [_list(x, pa.int32()) for x in (term_ends, tfs[order[ends - 1]], ends, places)]
-    return pa.RecordBatch.from_arrays(columns, names=["m", "docs", "terms", "term_ends", "tfs", "tf_ends", "places"])
+    firsts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    places = np.repeat(np.arange(len(rows), dtype=np.uint16), list(map(len, found)))[order]
+    groups = np.bincount(codes[order[firsts]], minlength=len(ids))
+    packed = [groups.astype(np.uint32), tfs[order[firsts]].astype(np.uint32), np.diff(firsts, append=len(key)).astype(np.uint32), places]
+    values = [m, np.array([r[0] for r in rows], np.int64).tobytes(), " ".join(ids), *[x.tobytes() for x in packed]]
+    kinds = [pa.int64(), pa.binary(), pa.string(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["m", "docs", "terms", "groups", "tfs", "sizes", "places"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows ``m, doc, terms, tfs`` that come sorted by ``m``."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def told() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        terms, tfs = rows.column(2), rows.column(3)
-        lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
-        return _inverted(rows.column(0)[0].as_py(), rows.column(1).to_numpy(), lengths, terms.flatten(), tfs.flatten().to_numpy().astype(np.int64))
-
+    held: list[tuple[int, str, bytes]] = []
+    size, at = 0, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        m, lengths = batch.column(0).to_numpy(), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        columns = [batch.column(k) for k in range(4)]
         for i in range(batch.num_rows):
-            begins = i == 0 or m[i] != m[i - 1]
-            if begins:
-                start = i
-                if held and (held[0].column(0)[0].as_py() != m[i]):
-                    yield told()
-                    held, size = [], 0
-            if size and size + lengths[i] > postings:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                yield told()
-                held, size, start = [], 0, i
-            size += int(lengths[i])
-            if i + 1 == batch.num_rows or m[i + 1] != m[i]:
-                held.append(batch.slice(start, i + 1 - start))
-                start = i + 1
+            m, *row = (c[i].as_py() for c in columns)
+            n = len(row[2]) // 4
+            if held and (m != at or size + n > postings or len(held) == DOCUMENTS):
+                yield _inverted(at, held)
+                held, size = [], 0
+            at, size = m, size + n
+            held.append(tuple(row))
     if held:
-        yield told()
+        yield _inverted(at, held)
 
 
 def build_index(df: DataFrame, key: str, text: str, postings: int = POSTINGS) -> Index:
     """The index of all rows, written in the shared folder."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded(df).select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    counted = shared_table(rows.mapInArrow(_counted, "doc long, n long, terms array<string>, tfs array<int>"))
+    counted = shared_table(rows.mapInArrow(_counted, "doc long, n long, terms string, tfs binary"))
     told = counted.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     if not told["documents"]:
         return Index(counted.sparkSession.createDataFrame([], _BLOCK), 0, 0)
@@ -164,30 +148,52 @@ class _Items:
         return _Items([t.decode("utf-8", "surrogatepass") for t in ids], both[:, 0], both[:, 1], len(found))
 
 
+class _Block:
+    """A block with the postings of wanted terms found."""
+
+    def __init__(self, row: dict, wanted: dict[str, int]):
+        self.m = row["m"]
+        ends = np.cumsum(np.frombuffer(row["groups"], np.uint32), dtype=np.int64)
+        self.tfs = np.frombuffer(row["tfs"], np.uint32).astype(np.int64)
+        self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        # groups of each wanted term
+        self.found = {wanted[t]: (int(ends[k - 1]) if k else 0, int(ends[k])) for k, t in enumerate(row["terms"].split(" ")) if t in wanted}
+        self.row = row
+
+    def frequency(self, low: int, high: int) -> int:
+        """Documents in groups from ``low`` to ``high``."""
+        return int(self.ends[high - 1] - (self.ends[low - 1] if low else 0))
+
+    def impacts(self, weight: int, low: int, high: int) -> np.ndarray:
+        """What a term of this weight adds, for each of its tf."""
+        tf = self.tfs[low:high]
+        return weight * ((10**9 * tf) // (1000 * tf + 8 * self.m))
+
+    def scores(self, terms: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and scores of the block's documents for an item of these terms."""
+        docs, places = np.frombuffer(self.row["docs"], np.int64), np.frombuffer(self.row["places"], np.uint16)
+        spots, gains = [], []
+        for t in terms:
+            if t in self.found:
+                low, high = self.found[t]
+                spots.append(places[self.ends[low] - self.sizes[low] : self.ends[high - 1]])
+                gains.append(np.repeat(self.impacts(int(weights[t]), low, high), self.sizes[low:high]))
+        return docs, np.bincount(np.concatenate(spots), np.concatenate(gains), minlength=len(docs)).astype(np.int64)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    """How many documents of a task's blocks (``terms, term_ends, tf_ends``) hold each of the terms."""
-    wanted, total = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64)
+    """How many documents of a task's blocks hold each of the terms."""
+    wanted, total = {t: k for k, t in enumerate(terms)}, np.zeros(len(terms), np.int64)
     for batch in batches:
-        names, term_ends, tf_ends = (batch.column(k) for k in range(3))
-        at = pc.fill_null(pc.index_in(names.flatten(), wanted), -1).to_numpy()
-        # ends count from a block's start; the blocks' ends in the flat column carry them on
-        groups = np.repeat(_offsets(tf_ends), term_ends.value_lengths().to_numpy()) + term_ends.flatten().to_numpy() - 1
-        ends = tf_ends.flatten().to_numpy()[groups] if len(groups) else groups
-        sizes = np.diff(ends, prepend=0)
-        firsts = _offsets(names)[names.value_lengths().to_numpy() > 0]
-        sizes[firsts] = ends[firsts]
-        hit = at >= 0
-        total += np.bincount(at[hit], sizes[hit], minlength=len(terms)).astype(np.int64)
+        for row in batch.to_pylist():
+            block = _Block(row, wanted)
+            for t, (low, high) in block.found.items():
+                total[t] += block.frequency(low, high)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "df"])
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    """Where each list begins in the flat values."""
-    lengths = lists.value_lengths().to_numpy().astype(np.int64)
-    return np.cumsum(lengths) - lengths
-
-
 class _Best:
     """The best documents of each item so far."""
 
@@ -206,60 +212,28 @@ class _Best:
             self.least[item] = scores[order[-1]]
 
 
-def _visit(blocks: pa.RecordBatch, items: _Items, weights: np.ndarray, wanted: pa.Array, best: _Best) -> None:
+def _visit(blocks: list[_Block], items: _Items, weights: np.ndarray, best: _Best) -> None:
     """Holds all items against some blocks, those of the highest bound first."""
-    m = blocks.column(0).to_numpy()
-    lists = [blocks.column(k) for k in range(1, 7)]
-    flat = [c.flatten() for c in lists]
-    begins = [_offsets(c) for c in lists]
-    at = pc.fill_null(pc.index_in(flat[1], wanted), -1).to_numpy()
-    hits = np.flatnonzero(at >= 0)
-    if not len(hits):
-        return
-    of_block = np.repeat(np.arange(len(m)), lists[1].value_lengths().to_numpy())[hits]
-    docs, (term_ends, tfs, tf_ends, places) = flat[0].to_numpy(), (c.to_numpy().astype(np.int64) for c in flat[2:])
-    begin_of = lambda ends, at, first: np.where(first, 0, ends[at - 1])
-    # groups of the hit terms, and each one's impact
-    high = begins[3][of_block] + term_ends[hits]
-    low = begins[3][of_block] + begin_of(term_ends, hits, hits == begins[1][of_block])
-    sizes = high - low
-    group = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    term, block = np.repeat(at[hits], sizes), np.repeat(of_block, sizes)
-    impact = weights[term] * ((10**9 * tfs[group]) // (1000 * tfs[group] + 8 * m[block]))
-    postings_high = begins[5][block] + tf_ends[group]
-    postings_low = begins[5][block] + begin_of(tf_ends, group, group == begins[4][block])
-    # bounds: the last group of a term has the highest tf
-    bounds = np.zeros((items.size, len(m)), np.int64)
-    ends = np.cumsum(sizes)
-    found: list[dict[int, tuple[int, int]]] = [{} for _ in m]
-    for k, (b, t) in enumerate(zip(of_block.tolist(), at[hits].tolist())):
-        found[b][t] = (int(ends[k] - sizes[k]), int(ends[k]))
-    for b in range(len(m)):
+    bounds = np.zeros((items.size, len(blocks)), np.int64)
+    for b, block in enumerate(blocks):
         most = np.zeros(len(weights), np.int64)
-        for t, (_, e) in found[b].items():
-            most[t] = impact[e - 1]
+        for t, (_, high) in block.found.items():  # the last group has the highest tf
+            most[t] = block.impacts(int(weights[t]), high - 1, high)[0]
         bounds[:, b] = np.bincount(items.item, most[items.term], minlength=items.size)
     starts = np.searchsorted(items.item, np.arange(items.size + 1))
-    # a term's postings lie together, so a block's are taken in one piece for each term
-    counts = postings_high - postings_low
     for item in range(items.size):
         terms = items.term[starts[item] : starts[item + 1]].tolist()
         for b in np.argsort(-bounds[item], kind="stable").tolist():
             if bounds[item, b] < best.least[item]:
                 break
-            held = [found[b][t] for t in terms if t in found[b]]
-            spots = np.concatenate([places[postings_low[s] : postings_high[e - 1]] for s, e in held])
-            gains = np.concatenate([np.repeat(impact[s:e], counts[s:e]) for s, e in held])
-            n = int(lists[0].value_lengths()[b].as_py())
-            scores = np.bincount(spots, gains, minlength=n).astype(np.int64)
-            best.add(item, docs[begins[0][b] : begins[0][b] + n], scores)
+            best.add(item, *blocks[b].scores(terms, weights))
 
 
 def _search_block(index: Index, items: _Items, top: int) -> DataFrame:
     """``item, doc, score``: the best documents of each item of a block."""
     spark = index.blocks.sparkSession
     shared = spark.sparkContext.broadcast(items)
-    df_rows = index.blocks.select("terms", "term_ends", "tf_ends").mapInArrow(lambda b: _frequencies(b, shared.value.terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df_rows = index.blocks.select("m", "terms", "groups", "tfs", "sizes").mapInArrow(lambda b: _frequencies(b, shared.value.terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     weights = np.zeros(len(items.terms), np.int64)
     for r in df_rows:
         weights[r["term"]] = math.floor(1000 * math.log((2 * index.documents + 2) / (2 * r["df"] + 1)))
@@ -267,9 +241,9 @@ def _search_block(index: Index, items: _Items, top: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        wanted, best = pa.array(items.terms, pa.string()), _Best(items.size, top)
+        wanted, best = {t: k for k, t in enumerate(items.terms)}, _Best(items.size, top)
         for batch in batches:
-            _visit(batch, items, told.value, wanted, best)
+            _visit([_Block(row, wanted) for row in batch.to_pylist()], items, told.value, best)
         item = np.repeat(np.arange(items.size), [len(d) for d in best.docs])
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.concatenate(best.docs)), pa.array(np.concatenate(best.scores))], names=["item", "doc", "score"])
 
