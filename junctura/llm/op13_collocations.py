@@ -30,7 +30,7 @@ from junctura.functions.checkpoints import shared_table
 from junctura.llm.batches import bounded, small
 
 LONGEST = 5
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 MAP_BITS = 1 << 26
 TOP = 2000
 _MAP_BYTES = 4096  # of one bucket of Spark's bitmap functions
