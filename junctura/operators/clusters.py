@@ -63,18 +63,86 @@ def triangle_edges(df: DataFrame, node: str, a: str, b: str, d: str, mode: str =
     return pairs.filter(meets).select(F.least("node_1", "node_2").alias("src"), F.greatest("node_1", "node_2").alias("dst"))
 
 
+def _steps(d: str) -> Column:
+    """The tier of a side: the least power of two that isn't below it."""
+    return F.when(F.col(d) > 0, F.ceil(F.log2(d))).otherwise(0).cast("int")
+
+
+def triangle_stars(t: DataFrame, tiers: list[int]) -> DataFrame:
+    """Links ``src, dst`` that keep most components of meeting triangles, at most some 45 a triangle and one a tier, however many meet.
+
+    ``t`` has ``node, a, b, d, tier``. A triangle of tier k covers cells of a grid with step 2 ** (k - 3), 1 at least, wholly: one at least and 45 at most. All that
+    cover one cell meet in it, and so does with each of them whatever has its corner (a, b) in the cell. They are linked to the least of those that cover it, the cell's hub. Steps of 1
+    leave nothing out: two triangles of at most 8 a side share the point (least a, least b) if they meet.
+    """
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.col("tier") - 3, F.lit(0)))
+    top = lambda c: F.floor((F.col(c) + 1) / F.col("g")).cast("long") - 1
+    cells = t.select("node", "a", "b", "d", step.alias("g")).withColumns({"i": top("a"), "j": top("b"), "s": F.ceil((F.col("a") + F.col("b") - F.col("d")) / F.col("g")).cast("long")})
+    cells = cells.filter(F.col("s") - F.col("j") <= F.col("i")).select("node", "g", "j", "s", F.explode(F.sequence(F.col("s") - F.col("j"), F.col("i"))).alias("x"))
+    covering = cells.select("node", "g", "x", F.explode(F.sequence(F.col("s") - F.col("x"), F.col("j"))).alias("y"))
+    hubs = covering.groupBy("g", "x", "y").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+    links = covering.join(hubs.filter("n > 1"), ["g", "x", "y"]).select("hub", "node")
+    coarse = [k for k in tiers if k > 3]
+    if coarse:
+        grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1 << (k - 3)).cast("long").alias("g")) for k in coarse]))
+        at = lambda c: F.floor(F.col(c) / F.col("g")).cast("long")
+        corners = t.select("node", "a", "b", "tier", grid.alias("grid")).filter(F.col("tier") <= F.col("grid.k")).select("node", "a", "b", "grid.g").withColumns({"x": at("a"), "y": at("b")})
+        links = links.unionByName(corners.join(hubs, ["g", "x", "y"]).select("hub", "node"))
+    return links.filter("hub != node").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+
+
+def _rest(t: DataFrame, coarse: list[int]) -> DataFrame:
+    """Pairs ``src, dst`` of labels of which a triangle of more than 8 a side meets another.
+
+    As in ``triangle_edges``, a pair is looked for in the tier of its larger side; but only cells that hold more than one label are joined, and what comes out are pairs of labels.
+    """
+    side = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    at = lambda c, k: F.floor(F.col(c) / side(k)).cast("long")
+    big = t.filter(F.col("tier") > 3).select(*[F.col(c).alias(f"{c}_1") for c in ("node", "label", "a", "b", "d", "tier")], F.col("tier").alias("grid"), at("a", F.col("tier")).alias("x"), at("b", F.col("tier")).alias("y"))
+    small = t.withColumn("grid", F.explode(F.array(*[F.lit(k) for k in coarse]))).filter(F.col("tier") <= F.col("grid"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    small = small.select(*[F.col(c).alias(f"{c}_2") for c in ("node", "label", "a", "b", "d", "tier")], "grid", at("a", F.col("grid")).alias("x0"), at("b", F.col("grid")).alias("y0"), F.explode(around).alias("o"))
+    small = small.withColumn("x", F.col("x0") + F.col("o.i")).withColumn("y", F.col("y0") + F.col("o.j")).drop("x0", "y0", "o")
+    where = ["grid", "x", "y"]
+    range_of = lambda df, c: df.groupBy(*where).agg(F.min(c).alias("low"), F.max(c).alias("high"))
+    ours, theirs = range_of(big, "label_1"), range_of(small, "label_2")
+    contested = ours.join(theirs.withColumnsRenamed({"low": "low_2", "high": "high_2"}), where).filter((F.least("low", "low_2") < F.greatest("high", "high_2"))).select(*where)
+    pairs = big.join(contested, where).join(small, where).filter(F.col("label_1") != F.col("label_2"))
+    c1, c2 = (F.col(f"a_{i}") + F.col(f"b_{i}") - F.col(f"d_{i}") for i in (1, 2))
+    meets = pairs.filter(F.least("a_1", "a_2") + F.least("b_1", "b_2") >= F.greatest(c1, c2))
+    return meets.select(F.least("label_1", "label_2").alias("src"), F.greatest("label_1", "label_2").alias("dst")).distinct()
+
+
+def _merged(t: DataFrame) -> DataFrame:
+    """``node, component`` of triangles ``node, a, b, d`` that meet another: first by stars, then by what these leave out."""
+    t = t.withColumn("tier", _steps("d"))
+    tiers = sorted(r["tier"] for r in t.select("tier").distinct().collect())  # at most the bits of a side
+    found = connected_components(triangle_stars(t, tiers), "src", "dst")
+    coarse = [k for k in tiers if k > 3]
+    if not coarse:
+        return found
+    labelled = shared_table(t.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")))
+    joined = connected_components(_rest(labelled, coarse), "src", "dst").select(F.col("node").alias("label"), F.col("component").alias("further"))
+    both = labelled.join(joined, "label", "left")
+    return both.filter(F.col("component").isNotNull() | F.col("further").isNotNull()).select("node", F.coalesce("further", "component").alias("component"))
+
+
 def triangle_clusters(points: DataFrame, node: str, a: str, b: str, d: str, mode: str = "exact", keep_isolated: bool = False) -> DataFrame:
-    """``node, component``; triangles that meet no other are dropped unless ``keep_isolated``."""
-    edges = triangle_edges(points, node, a, b, d, mode)
-    if isinstance(points.schema[node].dataType, (T.LongType, T.IntegerType)):
-        found = connected_components(edges, "src", "dst")
-    else:
-        # rounds join and compare nodes over and over: they get numbers in their own order first
+    """``node, component``; triangles that meet no other are dropped unless ``keep_isolated``.
+
+    ``exact`` components don't take all links: many triangles that share a point are linked to one of them (``triangle_stars``), and pairs are compared only where components
+    meet. ``compat`` has other links, see ``triangle_edges``, and takes them all. Nodes are numbers or get them first, in their own order.
+    """
+    numbers = None
+    t = points.select(F.col(node).alias("node"), *[F.col(c).cast("long").alias(n) for c, n in ((a, "a"), (b, "b"), (d, "d"))])
+    if not isinstance(points.schema[node].dataType, (T.LongType, T.IntegerType)):
+        # rounds join and compare nodes over and over
         numbers = shared_table(dense_ids(points.select(F.col(node).alias("node")).distinct(), "node", "id"))
-        side = lambda c: numbers.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
-        labels = connected_components(edges.join(side("src"), "src").join(side("dst"), "dst"), "src_id", "dst_id")
+        t = shared_table(t.join(numbers, "node").select(F.col("id").alias("node"), "a", "b", "d"))
+    found = _merged(t) if mode == "exact" else connected_components(triangle_edges(t, "node", "a", "b", "d", mode), "src", "dst")
+    if numbers is not None:
         names = lambda c: numbers.select(F.col("id").alias(c), F.col("node").alias(f"{c}_name"))
-        found = labels.join(names("node"), "node").join(names("component"), "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
+        found = found.join(names("node"), "node").join(names("component"), "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
     if not keep_isolated:
         return found
     return points.select(F.col(node).alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

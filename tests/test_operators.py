@@ -510,3 +510,38 @@ def test_design_end_to_end(spark):
     assert all(r["at"] == r.position + (5000 if r.region == 0 else 7000) for r in best)
     bad = {*zip(at, at[1:]), (at[0], at[5])}
     assert not [1 for r in rows for p in sum(r.primers, []) for q in sum(r.primers, []) if (p, q) in bad]
+
+
+def test_clusters_without_all_links(spark):
+    """Stars and contested cells give the components of all links, over sides of all sizes; links stay in proportion to the triangles."""
+    draw = random.Random(6)
+    rows = {}
+    for k in range(900):
+        d = draw.choice([0, 1, 2, 5, 8, 9, 16, 17, 40, 100, 300])
+        rows[k] = (draw.randrange(-400, 3000), draw.randrange(-400, 3000), d)
+    rows |= {900 + k: (5000 + k // 4, 5000, 30) for k in range(300)}
+    df = spark.createDataFrame([(k, *v) for k, v in rows.items()], "k long, a long, b long, d long")
+    parent = {k: k for k in rows}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    linked = set()
+    for p, q in itertools.combinations(rows, 2):
+        (a1, b1, d1), (a2, b2, d2) = rows[p], rows[q]
+        if min(a1, a2) + min(b1, b2) >= max(a1 + b1 - d1, a2 + b2 - d2):
+            parent[max(top(p), top(q))] = min(top(p), top(q))
+            linked |= {p, q}
+    want = {k: top(k) for k in linked}
+    assert 1 < len(set(want.values())) < len(want) < len(rows)
+    got = {r.node: r.component for r in clusters.triangle_clusters(df, "k", "a", "b", "d").collect()}
+    assert got == want
+    named = df.withColumn("k", F.struct((-F.col("k")).alias("v")))
+    for r in clusters.triangle_clusters(named, "k", "a", "b", "d").collect():
+        assert want[-r.node.v] == want[-r.component.v]
+    assert clusters.triangle_clusters(df, "k", "a", "b", "d", keep_isolated=True).count() == len(rows)
+    dense = spark.range(100_000).select(F.col("id").alias("node"), F.col("id").alias("a"), F.lit(7).cast("long").alias("b"), F.lit(1000).cast("long").alias("d"), F.lit(10).alias("tier"))
+    assert clusters.triangle_stars(dense, [10]).count() < 20 * 100_000
+    assert clusters.triangle_clusters(dense, "node", "a", "b", "d").agg(F.countDistinct("component").alias("c"), F.count("*").alias("n")).first() == (1, 100_000)
