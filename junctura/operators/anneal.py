@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,72 @@ CAP = 100_000_000
 FLOOR = 1_000_000
 
 
-def tiling(points: np.ndarray, start: float, end: float, forward: bool, d: float, rho: float) -> float:
-    """Cost of one region; see ``primers.tiling_cost``."""
-    gaps = np.diff(np.concatenate([[start], np.sort(points), [end]])) - d
-    gaps[0 if forward else -1] += d
-    return float(gaps[gaps > 0].sum() + np.maximum(0, -gaps[gaps <= 0] - d * rho).sum())
+Region = tuple[float, float, bool]
+
+
+class Cost:
+    """Cost of a set, a sum over its regions. One of your own needs ``of`` alone; changes by one point are worked out from it unless they are given too."""
+
+    def of(self, points: list[float], region: Region) -> float:
+        """Cost of a region with these points, in ascending order."""
+        raise NotImplementedError
+
+    def inserted(self, points: list[float], i: int, x: float, region: Region) -> float:
+        """What putting ``x`` before the ``i``-th point adds."""
+        return self.of([*points[:i], x, *points[i:]], region) - self.of(points, region)
+
+    def removed(self, points: list[float], i: int, region: Region) -> float:
+        """What taking the ``i``-th point out adds."""
+        return self.of([*points[:i], *points[i + 1 :]], region) - self.of(points, region)
+
+
+class Tiling(Cost):
+    """Bases further than ``d`` from the next point count, and overlaps beyond the share ``rho`` of ``d``; see ``primers.tiling_cost``. A point changes the gaps on its two sides."""
+
+    def __init__(self, d: float, rho: float):
+        self.d, self.rho = d, rho
+
+    def _gap(self, width: float, outer: bool) -> float:
+        gap = width if outer else width - self.d
+        return gap if gap > 0 else max(0.0, -gap - self.d * self.rho)
+
+    def of(self, points: list[float], region: Region) -> float:
+        start, end, forward = region
+        ends = [start, *points, end]
+        last = len(points)
+        return sum(self._gap(ends[k + 1] - ends[k], k == 0 if forward else k == last) for k in range(last + 1))
+
+    def _split(self, points: list[float], i: int, after: int, x: float, region: Region) -> tuple[float, float]:
+        """The cost of the gap between the points before ``i`` and from ``after`` on, and that of its two parts with ``x`` in it."""
+        start, end, forward = region
+        low, high = points[i - 1] if i else start, points[after] if after < len(points) else end
+        first, last = i == 0, after == len(points)
+        whole = self._gap(high - low, first if forward else last)
+        return whole, self._gap(x - low, forward and first) + self._gap(high - x, not forward and last)
+
+    def inserted(self, points: list[float], i: int, x: float, region: Region) -> float:
+        whole, parts = self._split(points, i, i, x, region)
+        return parts - whole
+
+    def removed(self, points: list[float], i: int, region: Region) -> float:
+        whole, parts = self._split(points, i, i + 1, points[i], region)
+        return whole - parts
+
+
+class MultiTarget(Cost):
+    """A region's length while it has no point; otherwise the sum of all points' distances from its inner end, which is the end of a forward region and the start of another."""
+
+    def _far(self, x: float, region: Region) -> float:
+        return region[1] - x if region[2] else x - region[0]
+
+    def of(self, points: list[float], region: Region) -> float:
+        return sum(self._far(x, region) for x in points) if points else region[1] - region[0]
+
+    def inserted(self, points: list[float], i: int, x: float, region: Region) -> float:
+        return self._far(x, region) - (0.0 if points else region[1] - region[0])
+
+    def removed(self, points: list[float], i: int, region: Region) -> float:
+        return (region[1] - region[0] if len(points) == 1 else 0.0) - self._far(points[i], region)
 
 
 def iterations(cap: int, slope: float, intercept: float, floor: int = FLOOR) -> int:
@@ -32,10 +95,101 @@ def temperature(step: Column, slope: Column | float, intercept: Column | float)
     return F.greatest(F.lit(slope) * step + F.lit(intercept), F.lit(1.0))
 
 
-Region = tuple[float, float, bool]
-
-
-def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, d: float, rho: float, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000) -> tuple[float, float, list[int]]:
+class _Set:
+    """The set at hand: each region's points in order, and what each move would add to the cost, worked out when it is first tried."""
+
+    def __init__(self, spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, cost: Cost):
+        self.spots, self.regions, self.near, self.apart, self.rule = spots, regions, near, apart, cost
+        self.points: list[list[float]] = [[] for _ in regions]
+        self.members: list[list[int]] = [[] for _ in regions]
+        self.inside = bytearray(len(spots))
+        self.cost = 0.0
+        self.gains: dict[int, float] = {}
+
+    def become(self, chosen: tuple[int, ...]) -> None:
+        """Starts over with another set; its cost is summed up anew."""
+        self.inside = bytearray(len(self.spots))
+        for r in range(len(self.regions)):
+            self.members[r] = [u for u in chosen if self.spots[u][0] == r]
+            self.points[r] = [self.spots[u][1] for u in self.members[r]]
+        for u in chosen:
+            self.inside[u] = 1
+        self.cost = self.whole()
+        self.gains = {}
+
+    def whole(self) -> float:
+        return sum(self.rule.of(p, r) for p, r in zip(self.points, self.regions))
+
+    def chosen(self) -> tuple[int, ...]:
+        return tuple(u for m in self.members for u in m)
+
+    def driven_out(self, u: int) -> list[int]:
+        """Members that don't go with ``u``: its incompatible ones, and those of its region at another place less than ``apart`` away."""
+        out = [v for v in self.near.get(u, ()) if self.inside[v]]
+        if self.apart > 0:
+            r, x = self.spots[u]
+            at, members = self.points[r], self.members[r]
+            for k in range(bisect_right(at, x - self.apart), bisect_left(at, x + self.apart)):
+                if at[k] != x and members[k] not in out:
+                    out.append(members[k])
+        return out
+
+    def _place(self, u: int) -> int:
+        r, x = self.spots[u]
+        k = bisect_left(self.points[r], x)
+        members = self.members[r]
+        while k < len(members) and self.points[r][k] == x and members[k] < u:
+            k += 1
+        return k
+
+    def gain(self, u: int) -> float:
+        """What the move of ``u`` adds: its own change, after those of the members it drives out."""
+        known = self.gains.get(u)
+        if known is None:
+            r, x = self.spots[u]
+            if self.inside[u]:
+                known = self.rule.removed(self.points[r], self._place(u), self.regions[r])
+            else:
+                out = self.driven_out(u)
+                if out:
+                    held = [(list(p), list(m)) for p, m in zip(self.points, self.members)]
+                    known = sum(self._take(v) for v in out)
+                    known += self.rule.inserted(self.points[r], self._place(u), x, self.regions[r])
+                    for k, (p, m) in enumerate(held):
+                        self.points[k], self.members[k] = p, m
+                else:
+                    known = self.rule.inserted(self.points[r], self._place(u), x, self.regions[r])
+            self.gains[u] = known
+        return known
+
+    def _take(self, v: int) -> float:
+        r, k = self.spots[v][0], self._place(v)
+        change = self.rule.removed(self.points[r], k, self.regions[r])
+        del self.points[r][k], self.members[r][k]
+        return change
+
+    def move(self, u: int) -> None:
+        self.cost += self.gain(u)
+        if self.inside[u]:
+            self._take(u)
+            self.inside[u] = 0
+        else:
+            for v in self.driven_out(u):
+                self._take(v)
+                self.inside[v] = 0
+            r, x = self.spots[u]
+            k = self._place(u)
+            self.points[r].insert(k, x)
+            self.members[r].insert(k, u)
+            self.inside[u] = 1
+        self.gains = {}
+
+
+#: Moves without a change after which moves are looked at together, and most of them at a time.
+SETTLED, TOGETHER = 64, 1 << 14
+
+
+def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, cost: Cost, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000, every: int = 0, trace: list[tuple[int, float, float, float]] | None = None) -> tuple[float, float, list[int]]:
     """Initial cost, best cost and best set of ``spots``, (region, position) pairs in order.
 
     Starts from a random primer in each region, in six of them at most, drawn again until they are compatible.
@@ -44,7 +198,9 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
     or equal sets are taken, worse ones with a chance by temperature max(slope * i + intercept, 1).
     After ``patience`` steps without a better set the search goes back to the best.
 
-    A set's cost and the sets its moves lead to are kept while the set is in a bounded memory: a cooled run tries the same moves over and over.
+    A move's cost is a change at the places it touches. Once a set has stayed for ``SETTLED`` moves, all moves' changes are worked out, and
+    the following moves are held against the temperature together, up to the first that is taken: a cooled run refuses nearly all.
+    With ``every``, ``(step, seconds, best cost, cost)`` are added to ``trace`` each so many steps.
     """
     draw = np.random.default_rng(seed)
     none: set[int] = set()
@@ -52,19 +208,6 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
     def clash(u: int, v: int) -> bool:
         return v in near.get(u, none) or spots[u][0] == spots[v][0] and 0 < abs(spots[u][1] - spots[v][1]) < apart
 
-    def cost_of(chosen: tuple[int, ...]) -> float:
-        total, k = 0.0, 0
-        for r, (start, end, forward) in enumerate(regions):
-            before, outer = start, forward
-            while k < len(chosen) and spots[chosen[k]][0] == r:
-                at = spots[chosen[k]][1]
-                gap = at - before if outer else at - before - d
-                total += gap if gap > 0 else max(0.0, -gap - d * rho)
-                before, outer, k = at, False, k + 1
-            gap = end - before if outer or not forward else end - before - d
-            total += gap if gap > 0 else max(0.0, -gap - d * rho)
-        return total
-
     within: dict[int, list[int]] = {}
     for u, (r, _) in enumerate(spots):
         within.setdefault(r, []).append(u)
@@ -77,43 +220,51 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
     else:  # hardly any compatible ones: what goes with those before it
         first = [u for k, u in enumerate(first) if not any(clash(u, v) for v in first[:k])]
 
-    known: dict[tuple[int, ...], list] = {}
-    room = 0
-
-    def state(chosen: tuple[int, ...]) -> list:
-        nonlocal room
-        if chosen not in known:
-            known[chosen] = [cost_of(chosen), chosen, {}]
-            room += len(chosen) + 16
-        return known[chosen]
+    began = time.perf_counter()
+    held = _Set(spots, regions, near, apart, cost)
+    held.become(tuple(sorted(first)))
+    begun, best = held.cost, (held.cost, held.chosen())
+    age, still, i, block = 0, 0, 0, 1 << 16
+
+    def settle(taken: bool) -> None:
+        """After a move: the best set, and the way back to it."""
+        nonlocal best, age, still
+        still = 0 if taken else still
+        if taken and held.cost < best[0]:
+            best, age = (held.cost, held.chosen()), 0
+        if age > patience:
+            held.become(best[1])
+            age, still = 0, 0
 
-    held = best = state(tuple(sorted(first)))
-    begun = cost = held[0]
-    age, i, block = 0, 0, 1 << 16
     while i < steps:
         n = min(block, steps - i)
-        for u, chance in zip(draw.integers(len(spots), size=n).tolist(), draw.random(n).tolist()):
-            fresh = held[2].get(u)
-            if fresh is None:
-                if room > 1_000_000:
-                    for kept in (held, best):
-                        kept[2].clear()
-                    known.clear()
-                    room = 0
-                chosen = held[1]
-                moved = [v for v in chosen if v != u] if u in chosen else sorted([v for v in chosen if not clash(u, v)] + [u])
-                fresh = state(tuple(moved))
-                held[2][u] = fresh
-                room += 2
-            worse = fresh[0] - cost
-            if worse <= 0 or chance < math.exp(-worse / max(slope * i + intercept, 1.0)):
-                held, cost = fresh, fresh[0]
-            age += 1
-            if cost < best[0]:
-                best, age = held, 0
-            if age > patience:
-                held, cost, age = best, best[0], 0
-            i += 1
+        moves, chances = draw.integers(len(spots), size=n), draw.random(n)
+        k = 0
+        while k < n:
+            if still < SETTLED:
+                u, worse = int(moves[k]), held.gain(int(moves[k]))
+                taken = bool(worse <= 0 or chances[k] < math.exp(-worse / max(slope * i + intercept, 1.0)))
+                if taken:
+                    held.move(u)
+                age, still, k, i = age + 1, still + 1, k + 1, i + 1
+            else:
+                if still == SETTLED:
+                    gains = np.array([held.gain(u) for u in range(len(spots))])
+                    look = 4 * SETTLED
+                m = min(look, n - k, patience + 1 - age, every - i % every if every else n)
+                worse = gains[moves[k : k + m]]
+                heat = np.maximum(slope * np.arange(i, i + m) + intercept, 1.0)
+                good = (worse <= 0) | (chances[k : k + m] < np.exp(-np.maximum(worse, 0) / heat))
+                at = int(good.argmax())
+                taken = bool(good[at])
+                m = at + 1 if taken else m
+                if taken:
+                    held.move(int(moves[k + at]))
+                age, still, k, i = age + m, still + m, k + m, i + m
+                look = min(2 * look, TOGETHER)
+            settle(taken)
+            if every and i % every == 0 and trace is not None:
+                trace.append((i, time.perf_counter() - began, best[0], held.cost))
     return begun, best[0], list(best[1])
 
 
@@ -142,7 +293,7 @@ def anneal_designs(primers: DataFrame, design: str, position: str, start: float,
             for name, at, slope, intercept, seed in zip(*[batch[c] for c in (design, "__at", "slope", "intercept", "seed")]):
                 x = np.unique(np.asarray(at, float)).tolist()
                 moves = iterations(CAP, slope, intercept) if steps is None else steps
-                first, cost, held = anneal([(0, v) for v in x], [(start, end, forward)], {}, min_apart, d, rho, slope, intercept, moves, int(seed))
+                first, cost, held = anneal([(0, v) for v in x], [(start, end, forward)], {}, min_apart, Tiling(d, rho), slope, intercept, moves, int(seed))
                 out.append((name, slope, intercept, seed, first, cost, [x[k] for k in held]))
             yield pd.DataFrame(out, columns=names)
 
@@ -151,17 +302,22 @@ def anneal_designs(primers: DataFrame, design: str, position: str, start: float,
     return _spread(runs, design).mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
 
 
-def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000) -> DataFrame:
+def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000, cost: Cost | None = None, every: int = 0) -> DataFrame:
     """One annealing run per design and member of ``grid`` (slope, intercept, seed), over its regions and its incompatible pairs.
 
+    The cost is ``Tiling(d, rho)`` unless another ``cost`` is given.
+
     ``primers`` has a design's primers, each once, with region and position; ``regions`` its regions; ``edges`` pairs of
     primers that no set may hold together, for all designs alike. A primer that is incompatible with itself is no candidate. A run
     has ``iterations(cap, slope, intercept, floor)`` moves; the reference's ``floor`` is a million. A design
     is the unit of work: its primers, and its pairs out of ``edges``, meet in one task.
-    Returns ``design, slope, intercept, seed, steps, first_cost, cost, chosen``; ``chosen`` are primers.
+    Returns ``design, slope, intercept, seed, steps, first_cost, cost, chosen``; ``chosen`` are primers. With ``every``, rows of the trace come in the same stream: they have
+    ``iteration, seconds, min_cost, curr_cost`` instead, each so many moves. ``results_of`` and ``traces_of`` tell them apart.
     """
+    rule = cost or Tiling(d, rho)
     kinds = {f.name: f.dataType.simpleString() for f in primers.schema}
     names = [design, "slope", "intercept", "seed", "steps", "first_cost", "cost", "chosen"]
+    more = ["iteration", "seconds", "min_cost", "curr_cost"] if every else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,8 +332,12 @@ def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, desi
                         near.setdefault(index[e["q"]], set()).add(index[e["p"]])
                 if found:
                     steps = iterations(cap, slope, intercept, floor)
-                    first, cost, held = anneal([f[:2] for f in found], [(r["a"], r["b"], bool(r["f"])) for r in of], near, 0.0, d, rho, slope, intercept, steps, int(seed), patience)
-                    yield pd.DataFrame([(name, slope, intercept, seed, steps, first, cost, [found[k][2] for k in held])], columns=names)
+                    trace: list = []
+                    first, least, held = anneal([f[:2] for f in found], [(r["a"], r["b"], bool(r["f"])) for r in of], near, 0.0, rule, slope, intercept, steps, int(seed), patience, every, trace)
+                    rows = [(name, slope, intercept, seed, steps, first, least, [found[k][2] for k in held], *[None] * len(more))]
+                    rows += [(name, slope, intercept, seed, None, None, None, None, *t) for t in trace]
+                    out = pd.DataFrame(rows, columns=names + more)
+                    yield out.astype({c: "Int64" for c in ("steps", "iteration") if c in out})
 
     alone = edges.filter(F.col(src) == F.col(dst)).select(F.col(src).alias(primer)).distinct()
     able = primers.join(alone, primer, "left_anti").select(design, primer, region, F.col(position).cast("double").alias("__x"))
@@ -188,7 +348,17 @@ def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, desi
     designs = able.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col("__x").alias("x"), F.col(primer).alias("p")))).alias("__primers"))
     designs = designs.join(of, design).join(pairs, design, "left")
     runs = designs.select("*", _schedules(grid).alias("g")).select(design, "__regions", "__primers", "__pairs", "g.*")
-    return _spread(runs, design).mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>")
+    return _spread(runs, design).mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>" + (", iteration long, seconds double, min_cost double, curr_cost double" if every else ""))
+
+
+def results_of(runs: DataFrame) -> DataFrame:
+    """The results in a stream of results and traces."""
+    return runs.filter(F.col("iteration").isNull()).drop("iteration", "seconds", "min_cost", "curr_cost")
+
+
+def traces_of(runs: DataFrame, design: str) -> DataFrame:
+    """The traces: ``design, m, b, run, iteration, seconds, min_cost, curr_cost``."""
+    return runs.filter(F.col("iteration").isNotNull()).select(design, F.col("slope").alias("m"), F.col("intercept").alias("b"), F.col("seed").alias("run"), "iteration", "seconds", "min_cost", "curr_cost")
 
 
 def average_traces(traces: DataFrame) -> DataFrame:

@@ -391,16 +391,26 @@ def q35(spark, d):
     return chain.chain_segments(rows, "l_orderkey", "row", "lo", "last", "ops", "from", "to", "reverse")
 
 
-@query("q36_anneal")
-def q36(spark, d):
-    """Suppliers are designs, their parts primers at their first hit, each strand a region over all of the supplier's days; q13 has the incompatible parts."""
+def annealed(spark, d, cost=None):
+    """Runs over designs: suppliers are designs, their parts primers at their first hit, each strand a region over all of the supplier's days; q13 has the incompatible parts."""
     found = hits(spark, d)
     parts = found.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("pos", "f")).alias("m")).select("l_suppkey", "l_partkey", "m.pos", "m.f")
     regions = found.groupBy("l_suppkey").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("f")).withColumn("forward", F.col("f"))
-    runs = anneal.anneal_graphs(parts, regions, q13(spark, d), "l_suppkey", "l_partkey", "f", "pos", "a", "b", "forward", "p", "q", 300.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)])
+    runs = anneal.anneal_graphs(parts, regions, q13(spark, d), "l_suppkey", "l_partkey", "f", "pos", "a", "b", "forward", "p", "q", 300.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], cost=cost)
     return runs.drop("chosen")
 
 
+@query("q36_anneal")
+def q36(spark, d):
+    return annealed(spark, d)
+
+
+@query("q36_anneal_targets")
+def q36_targets(spark, d):
+    """The same designs by the distances from the regions' inner ends."""
+    return annealed(spark, d, anneal.MultiTarget())
+
+
 @query("q37_last_wins_edges", """WITH u AS (SELECT l_partkey AS p, l_suppkey AS q, 2 * l_orderkey AS seq, l_quantity AS v FROM lineitem UNION ALL SELECT l_partkey, l_suppkey, 2 * l_orderkey + 1, -100.0 FROM lineitem WHERE l_returnflag = 'R')
   SELECT p, q, max({'s': seq, 'v': v}).s AS seq, max({'s': seq, 'v': v}).v AS v FROM u GROUP BY 1, 2""")
 def q37(spark, d):

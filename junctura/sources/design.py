@@ -120,15 +120,24 @@ def write_solutions(solutions: DataFrame, path: str) -> None:
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """``m, b, run, iteration, seconds, min_cost, curr_cost``; schedule and run come from the file name ``*.m.b.run``."""
+    """``m, b, run, iteration, seconds, min_cost, curr_cost``; schedule and run come from the file name ``*.m.b.run``, or from the folder that ``write_trace`` gives a run."""
     part = F.split("value", "\t")
-    name = F.split(F.input_file_name(), r"\.")
-    rows = spark.read.text(path).filter(F.col("value").startswith("Iterations"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/[^/]+$", 1)
+    name = F.when(folder != "", F.split(folder, "_")).otherwise(F.split(F.col("_metadata.file_path"), r"\."))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).filter(F.col("value").startswith("Iterations"))
     return rows.select(
         F.element_at(name, -3).alias("m"), F.element_at(name, -2).alias("b"), F.element_at(name, -1).alias("run"), F.get(part, F.lit(1)).try_cast("long").alias("iteration"), F.get(part, F.lit(2)).try_cast("double").alias("seconds"), F.get(part, F.lit(3)).try_cast("double").alias("min_cost"), F.get(part, F.lit(4)).try_cast("double").alias("curr_cost")
     )
 
 
+def write_trace(traces: DataFrame, path: str) -> None:
+    """Lines of ``m, b, run, iteration, seconds, min_cost, curr_cost`` in order, a folder for each run, and last the time that it took."""
+    named = traces.withColumn("run", F.concat_ws("_", "m", "b", "run"))
+    lines = named.select("run", "iteration", F.concat_ws("\t", F.lit("Iterations"), "iteration", "seconds", "min_cost", "curr_cost").alias("value"))
+    ends = named.groupBy("run").agg(F.concat(F.lit("TerminationClock:"), F.max("seconds").cast("string")).alias("value")).select("run", F.lit(2**62).alias("iteration"), "value")
+    lines.unionByName(ends).repartition("run").sortWithinPartitions("run", "iteration").select("run", "value").write.partitionBy("run").text(path)
+
+
 def solution_names(df: DataFrame, name: str) -> DataFrame:
     """Adds ``solution, row, contig, position, forward`` from names like ``sln-01-02_contig_pos_True``."""
     pattern = r"^>?sln-(\d+)-(\d+)_(.+)_(\d+)_(True|False)$"
