@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from junctura.functions.sequence import reverse_complement, wrapped
+from junctura.sources import sequences
 
 
 def noise_filter(a: Column, b: Column, d: Column, max_d: int = 100, min_distance: int = 10) -> Column:
@@ -44,6 +45,16 @@ def flank(sequence: Column, position: Column, k: int, left: bool) -> Column:
     return F.when(position > 0, starting).otherwise(reverse_complement(ending))
 
 
+def flank_range(position: Column, k: int, left: bool) -> tuple[Column, Column, Column]:
+    """Where ``flank`` reads: start and end from 0, end exclusive, and whether the other strand is meant."""
+    at = F.abs(position).cast("long")
+    forward = position < 0 if left else position > 0
+    ends = forward if left else ~forward
+    nothing = F.when(ends, at - k < 1).otherwise(at < 1)
+    zero = F.lit(0).cast("long")
+    return F.when(nothing, zero).when(ends, at - k - 1).otherwise(at - 1), F.when(nothing, zero).when(ends, at).otherwise(at + k), ~forward
+
+
 def spacer(d: Column, offset: int | None) -> Column:
     """Ns between the flanks: d + offset of them, none without an offset."""
     return F.lit("") if offset is None else F.repeat(F.lit("N"), F.greatest(d + offset, F.lit(0)).cast("int"))
@@ -56,6 +67,18 @@ def templates(df: DataFrame, name: str, a: str, b: str, d: str, sequence: str, k
     return df.select(header.alias("header"), wrapped(bases).alias("template"))
 
 
+def templates_of_chunks(df: DataFrame, key: str, name: str, a: str, b: str, d: str, contig: str, chunks: DataFrame, k: int = 6500, offset: int | None = None, size: int = sequences.CHUNK) -> DataFrame:
+    """``key, header, template`` as ``templates`` makes them, from contigs in chunks (see ``sequences.fasta_chunks``): each flank fetches the chunks it touches. ``key`` tells rows apart."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), *[c.alias(n) for c, n in zip(flank_range(F.col(p), k, i == 0), ("start", "end", "turned"))]) for i, p in enumerate((a, b))])
+    ranges = df.select(F.col(key).alias("__key"), F.col(contig).alias("__contig"), F.explode(sides).alias("s")).select("__key", "__contig", "s.*").withColumn("__side", F.struct("__key", "side"))
+    got = sequences.fetch(ranges, chunks, "__side", "__contig", "start", "end", "bases", size)
+    got = got.withColumn("bases", F.when(F.col("turned"), reverse_complement(F.col("bases"))).otherwise(F.col("bases")))
+    both = got.groupBy("__key").agg(*[F.max(F.when(F.col("side") == i, F.col("bases"))).alias(f"__flank_{i}") for i in (0, 1)])
+    rows = df.join(both, F.col(key) == F.col("__key"))
+    header = F.concat_ws(",", F.concat(F.lit(">"), F.col(name).cast("string")), F.col(a).cast("string"), F.col(b).cast("string"), F.col(d).cast("string"))
+    return rows.select(key, header.alias("header"), wrapped(F.concat("__flank_0", spacer(F.col(d), offset), "__flank_1")).alias("template"))
+
+
 def chained_templates(df: DataFrame, name: str, a: str, b: str, d: str, sequence: str, k: int = 6500, offset: int | None = None) -> DataFrame:
     """Templates over several breaks: rows whose names share the part before ``_`` follow each other by name.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from junctura.functions import cigar
 from junctura.functions.checkpoints import shared_table
 from junctura.operators import chain, clusters, junctions, templates
-from junctura.sources import alignments
+from junctura.sources import alignments, sequences
 
 
 def chained_alignments(sam: DataFrame) -> DataFrame:
@@ -45,13 +45,15 @@ def cluster_modes(supports: DataFrame, min_size: int = 25) -> DataFrame:
 def junction_templates(modes: DataFrame, contigs: DataFrame, contig: str, k: int = 6500, offset: int | None = None, max_d: int = 100, min_distance: int = 10) -> DataFrame:
     """``rank, header, template`` of the junctions that stay after reciprocal ones are merged and noise is dropped.
 
-    ``contigs`` has ``name, seq``; the one named ``contig`` is broadcast to the few junctions, as all lie on it.
+    ``contigs`` has ``name, seq``, or ``name, chunk, bases`` (see ``sequences.fasta_chunks``); flanks fetch the chunks they touch of the one named ``contig``, and it is an error if there is none.
     """
+    chunks = contigs if "chunk" in contigs.columns else sequences.chunked(contigs.filter(F.col("name") == contig))
+    chunks = chunks.filter(F.col("name") == contig)
+    if chunks.isEmpty():
+        raise ValueError(f"no contig is named {contig}")
     merged = templates.reciprocal_merge(modes.select("rank", F.col("left").alias("a"), F.col("right").alias("b"), F.col("d").cast("long").alias("d")), "rank", "a", "b", "d")
-    kept = merged.filter(templates.noise_filter(F.col("a"), F.col("b"), F.col("d"), max_d, min_distance)).withColumn("name", F.lit("name"))
-    with_bases = kept.join(F.broadcast(contigs.filter(F.col("name") == contig).select("seq")))
-    made = templates.templates(with_bases, "name", "a", "b", "d", "seq", k, offset)
-    return with_bases.select("rank", F.concat_ws(",", F.concat(F.lit(">"), "name"), F.col("a").cast("string"), F.col("b").cast("string"), F.col("d").cast("string")).alias("header")).join(made, "header")
+    kept = merged.filter(templates.noise_filter(F.col("a"), F.col("b"), F.col("d"), max_d, min_distance)).withColumns({"name": F.lit("name"), "contig": F.lit(contig)})
+    return templates.templates_of_chunks(kept, "rank", "name", "a", "b", "d", "contig", chunks, k, offset)
 
 
 def analyze(sam: DataFrame, contigs: DataFrame, contig: str, min_size: int = 25, mode: str = "exact", k: int = 6500, offset: int | None = None, max_distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

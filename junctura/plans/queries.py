@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from junctura.functions import cigar, sequence, thermo
 from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
 from junctura.operators.graph import connected_components
-from junctura.sources import design
+from junctura.sources import design, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,15 +288,28 @@ def q23(spark, d):
     return rows.select("p_partkey", milli(thermo.enthalpy(F.col("q"))).alias("enthalpy"), milli(thermo.entropy(F.col("q"))).alias("entropy"), milli(thermo.gibbs(F.col("q"))).alias("gibbs"))
 
 
-@query("q24_flank_template", f"""WITH s AS (SELECT doc_id, {BASES.format('text', ", 'g'")} AS q FROM documents), p AS (SELECT *, length(q) AS n, length(q) // 2 AS x, length(q) // 3 AS y, doc_id % 5 AS d FROM s),
+Q24 = f"""WITH s AS (SELECT doc_id, {BASES.format('text', ", 'g'")} AS q FROM documents), p AS (SELECT *, length(q) AS n, length(q) // 2 AS x, length(q) // 3 AS y, doc_id % 5 AS d FROM s),
   t AS (SELECT *, CASE WHEN x - 50 >= 1 THEN substr(q, x - 50, 51) ELSE '' END || repeat('N', d + 2) || CASE WHEN y >= 1 THEN substr(q, y, 51) ELSE '' END AS t FROM p)
-  SELECT concat('>', doc_id, ',', -x, ',', y, ',', d) AS header, regexp_replace(t, '(.{{80}})', '\\1' || chr(10), 'g') AS template FROM t""")
+  SELECT concat('>', doc_id, ',', -x, ',', y, ',', d) AS header, regexp_replace(t, '(.{{80}})', '\\1' || chr(10), 'g') AS template FROM t"""
+
+
+@query("q24_flank_template", Q24)
 def q24(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.expr(BASES.format("text", "")).alias("q")).withColumn("n", F.length("q"))
     half = lambda k: F.floor(F.col("n") / k)
     return templates.templates(rows.withColumns({"a": -half(2), "b": half(3), "d": F.col("doc_id") % 5}), "doc_id", "a", "b", "d", "q", 50, 2)
 
 
+@query("q24_chunked_template", Q24)
+def q24_chunked(spark, d):
+    """The same templates from documents in chunks of 1024 bases."""
+    rows = table(spark, d, "documents").select("doc_id", F.expr(BASES.format("text", "")).alias("q")).withColumn("n", F.length("q"))
+    chunks = sequences.chunked(rows.select(F.col("doc_id").alias("name"), F.col("q").alias("seq")), 1024)
+    half = lambda k: F.floor(F.col("n") / k)
+    breaks = rows.select("doc_id", (-half(2)).alias("a"), half(3).alias("b"), (F.col("doc_id") % 5).alias("d"), F.col("doc_id").alias("contig"))
+    return templates.templates_of_chunks(breaks, "doc_id", "doc_id", "a", "b", "d", "contig", chunks, 50, 2, 1024).drop("doc_id")
+
+
 @query("q25_nearest_even_spaced", f"""WITH {OD}, p AS (SELECT DISTINCT o_custkey, day FROM od), k AS (SELECT DISTINCT o_custkey FROM od),
   c AS (SELECT o_custkey, day FROM p UNION SELECT o_custkey, 0 FROM k UNION SELECT o_custkey, 2500 FROM k),
   t AS (SELECT o_custkey, unnest(range(1, 8)) * (2500 // 8) AS target FROM k)

@@ -9,10 +9,82 @@ from junctura.functions.sequence import reverse_complement, wrapped
 INDEX = "name string, length long, offset long, line_bases int, line_width int"
 
 
+#: Bases of a chunk.
+CHUNK = 1 << 16
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of FASTA files: ``__file, __at`` (offset in bytes), ``__bytes, value, __contig`` (how many headers there were so far), ``__base`` (place of its first base in the contig).
+
+    Files are split anywhere. Lines are numbered within the block that they begin in, by sums over it; what comes before a block is a row for each block. So
+    a contig of any length is read by as many tasks as its file has blocks. A header is a line that begins with ``>``; one elsewhere is part of a name.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    head = F.col("value").startswith(">")
+    bases = F.when(~head, F.regexp_replace("value", r"\s", "")).otherwise("")
+    lines = raw.withColumns({"__bytes": (F.octet_length("value") + 1).cast("long"), "__head": head.cast("long"), "__seq": bases}).withColumn("__n", F.length("__seq").cast("long"))
+    sums = {"__bytes": "__at", "__head": "__heads", "__n": "__sum"}
+    blocks = lines.groupBy("__file", "__block").agg(*[F.sum(c).alias(c) for c in sums])
+    before = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("__file", "__block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    inside = W.partitionBy("__file", "__block").orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    for c, name in sums.items():
+        lines = lines.withColumn(name, F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    placed = lines.join(F.broadcast(blocks), ["__file", "__block"])
+    for c, name in sums.items():
+        placed = placed.withColumn(name, F.col(name) + F.col(f"{c}_before"))
+    placed = placed.withColumn("__contig", F.col("__heads") + F.col("__head"))
+    return placed.select("__file", "__at", "__bytes", "__head", "__contig", "__sum", "value", "__seq", "__n").filter("__contig > 0")
+
+
+def _contigs(lines: DataFrame) -> DataFrame:
+    """``__file, __contig, name, __start``: a row for each header, with the bases of its file before it."""
+    return lines.filter("__head = 1").select("__file", "__contig", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name"), F.col("__sum").alias("__start"))
+
+
+def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """``name, chunk, bases``: the contigs of FASTA files in chunks of ``size`` bases, numbered from 0. No row holds more; a contig without bases has no row."""
+    lines = _lines(spark, path)
+    rows = lines.filter("__n > 0").join(_contigs(lines), ["__file", "__contig"]).withColumn("__base", F.col("__sum") - F.col("__start"))
+    return _cut(rows, ["__file", "__contig", "name"], "__base", "__seq", size).select("name", "chunk", "bases")
+
+
+def _cut(rows: DataFrame, contig: list[str], at: str, seq: str, size: int) -> DataFrame:
+    """Chunks from pieces that begin at ``at``: each piece is cut at the chunks' borders, and a chunk's parts are put together in order."""
+    first, last = F.floor(F.col(at) / size), F.floor((F.col(at) + F.length(seq) - 1) / size)
+    parts = rows.filter(F.length(seq) > 0).select(*contig, at, seq, F.explode(F.sequence(first, last)).alias("chunk"))
+    low = F.greatest(F.col("chunk") * size - F.col(at), F.lit(0))
+    part = F.substr(seq, (low + 1).cast("int"), (F.least((F.col("chunk") + 1) * size - F.col(at), F.length(seq)) - low).cast("int"))
+    parts = parts.select(*contig, "chunk", F.struct(F.col(at).alias("at"), part.alias("part")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    return parts.groupBy(*contig, "chunk").agg(whole.alias("bases"))
+
+
+def chunked(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``name, chunk, bases`` of contigs that are whole rows ``name, seq``."""
+    return _cut(contigs.select("name", F.lit(0).cast("long").alias("__base"), "seq"), ["name"], "__base", "seq", size)
+
+
+def fetch(ranges: DataFrame, chunks: DataFrame, key: str, contig: str, start: str, end: str, out: str, size: int = CHUNK) -> DataFrame:
+    """``ranges`` with the bases ``[start, end)`` from 0 of each one's contig as ``out``; what lies beyond a contig isn't there. ``key`` tells ranges apart.
+
+    A range is joined with the chunks that it touches and with no others, and only its part of each is carried on.
+    """
+    size_ = F.lit(size)
+    wanted = ranges.filter(F.col(end) > F.greatest(F.col(start), F.lit(0))).select(F.col(key).alias("__of"), F.col(contig).alias("name"), F.greatest(F.col(start), F.lit(0)).alias("__low"), F.col(end).alias("__high"))
+    wanted = wanted.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__low") / size_), F.floor((F.col("__high") - 1) / size_))))
+    low, high = F.greatest(F.col("__low") - F.col("chunk") * size_, F.lit(0)), F.least(F.col("__high") - F.col("chunk") * size_, size_)
+    parts = wanted.join(chunks, ["name", "chunk"]).select("__of", F.struct("chunk", F.substr("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("part")).alias("p"))
+    whole = parts.groupBy("__of").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("__fetched"))
+    return ranges.join(whole, F.col(key) == F.col("__of"), "left").withColumn(out, F.coalesce("__fetched", F.lit(""))).drop("__of", "__fetched")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq``: a row per contig; the name ends at the first white space."""
-    rows = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    return rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+    """``name, seq``: a row per contig; the name ends at the first white space. For contigs that are too long for a row, see ``fasta_chunks``."""
+    lines = _lines(spark, path)
+    parts = lines.filter("__n > 0").groupBy("__file", "__contig").agg(F.array_sort(F.collect_list(F.struct("__at", "__seq"))).alias("p"))
+    whole = F.coalesce(F.array_join(F.transform("p", lambda p: p["__seq"]), ""), F.lit(""))
+    return _contigs(lines).join(parts, ["__file", "__contig"], "left").select("name", whole.alias("seq"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -27,15 +99,15 @@ def index_of(contigs: DataFrame) -> DataFrame:
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     """``name, length, offset, line_bases, line_width`` of the contigs of FASTA files, offsets in bytes of each file.
 
-    Lengths count bases, so a blank line at the end doesn't add to them. A file's contigs are summed up in order, one row each.
+    Lengths count bases, so a blank line at the end doesn't add to them; the width is that of the contig's first line with its ending, be it one byte or two.
     """
-    rows = spark.read.option("lineSep", ">").text(path).select("value", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__id"))
-    w = W.partitionBy("__file").orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("__at", F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0))).filter(F.trim("value") != "")
-    head, lines = F.regexp_extract("value", r"^([^\n]*)", 1), F.regexp_replace("value", r"^[^\n]*\n?", "")
-    first = F.octet_length(F.regexp_extract(lines, r"^([^\n]*)", 1)).cast("int")
-    return rows.select(
-        F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.length(F.regexp_replace(lines, r"\s", "")).cast("long").alias("length"), (F.col("__at") + F.octet_length(head) + 1).cast("long").alias("offset"), first.alias("line_bases"), (first + 1).alias("line_width")
+    lines = _lines(spark, path)
+    first = F.min_by(F.struct("__n", "__bytes"), "__at")
+    rows = lines.filter("__head = 0").groupBy("__file", "__contig").agg(F.sum("__n").alias("length"), first.alias("f"))
+    heads = _contigs(lines).join(lines.filter("__head = 1").select("__file", "__contig", (F.col("__at") + F.col("__bytes")).alias("offset")), ["__file", "__contig"])
+    zero = F.lit(0)
+    return heads.join(rows, ["__file", "__contig"], "left").select(
+        "name", F.coalesce("length", zero).cast("long").alias("length"), "offset", F.coalesce("f.__n", zero).cast("int").alias("line_bases"), F.coalesce("f.__bytes", F.lit(1)).cast("int").alias("line_width")
     )
 
 

@@ -1,5 +1,7 @@
 """Readers and writers on small files made here."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,52 @@ def test_shared_tables(spark):
     path = checkpoints._WRITTEN[-1]
     checkpoints.remove_tables(spark)
     assert not checkpoints._WRITTEN and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def plain_fasta(data):
+    """Contigs and index entries of a file, line by line."""
+    out, at = [], 0
+    for line in data.split("\n"):
+        if line.startswith(">"):
+            out.append([line[1:].split()[0] if line[1:].split() else "", "", at + len(line) + 1, None])
+        elif out and (line or at < len(data)):
+            out[-1][3] = out[-1][3] or (len("".join(line.split())), len(line) + 1)
+            out[-1][1] += "".join(line.split())
+        at += len(line) + 1
+    return [(n, s, o, *(f or (0, 1))) for n, s, o, f in out]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_fasta_by_record(spark, tmp_path, ending):
+    """Signs inside headers, blank lines, lines before the first header, empty contigs; the same at any split of the file."""
+    draw = random.Random(5)
+    lines = ["ACGT", ">chr1 change A>G here", "ACGTA", "CC>GT", "", "T", ">empty", "> spaced name", "acgtn"]
+    for k in range(40):
+        lines += [f">c{k} x>y"] + ["".join(draw.choice("ACGTN") for _ in range(60)) for _ in range(draw.randrange(0, 30))] + ["AC"]
+    data = ending.join(lines) + ending
+    want = plain_fasta(data)
+    path = put(tmp_path, "x.fa", data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("100m", "5000", "700", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert sorted(map(tuple, sequences.read_fasta(spark, path).collect())) == sorted(w[:2] for w in want)
+        assert sorted(map(tuple, sequences.fasta_index(spark, path).collect())) == sorted((w[0], len(w[1]), *w[2:]) for w in want)
+        chunks = sequences.fasta_chunks(spark, path, 100)
+        assert sorted((r.name, r.chunk, r.bases) for r in chunks.collect()) == sorted((n, i // 100, s[i : i + 100]) for n, s, *_ in want for i in range(0, len(s), 100))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    seqs = {n: s for n, s, *_ in want}
+    ranges = [(k, name, a, a + n) for k, (name, a, n) in enumerate((draw.choice(list(seqs)), draw.randrange(-20, 1900), draw.choice([0, 1, 99, 100, 350])) for _ in range(200))] + [(999, "missing", 0, 10)]
+    got = sequences.fetch(spark.createDataFrame(ranges, "k int, of string, a long, b long"), chunks, "k", "of", "a", "b", "bases", 100)
+    assert {r.k: r.bases for r in got.collect()} == {k: seqs.get(n, "")[max(a, 0) : max(b, 0)] for k, n, a, b in ranges}
+
+
+def test_one_contig_in_several_tasks(spark, tmp_path):
+    bases = "ACGTTGCA" * 40_000
+    path = put(tmp_path, "long.fa", ">long\n" + "\n".join(bases[i : i + 80] for i in range(0, len(bases), 80)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    chunks = sequences.fasta_chunks(spark, path, 1 << 12)
+    assert spark.read.text(path).rdd.getNumPartitions() > 4
+    rows = sorted(map(tuple, chunks.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "".join(r[2] for r in rows) == bases and max(len(r[2]) for r in rows) == 1 << 12
