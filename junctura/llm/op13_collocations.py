@@ -6,9 +6,10 @@ and of their reverse, in the order of the next ``LONGEST - 1`` words. A pattern
 a word on its left through the one transform, and on its right through the other, with the word's rank as the new interval's place. Extension goes
 level by level, both ways in turn, for all intervals of a shard at once, and gives each phrase's count in the shard; counts are summed across shards.
 
-A phrase can't be frequent unless its words, and the shorter phrases in it, are. So phrases of one length are counted over all shards by hash, and those that are
+A phrase can't be frequent unless the shorter phrases in it are. So words and pairs, then phrases of three words, then of four, are counted over all shards by hash, and those that are
 frequent set bits in a map of fixed size (``MAP_BITS``), which the next length's extensions are held against. Hashes and bits may let more phrases
-through, never fewer; the last pass counts what is left by its words, so results are exact.
+through, never fewer; the last pass counts what is left by its words, so results are exact. Hashes go in sorted, packed runs of 4 bytes a phrase, and a task sums up
+its shards before it sends them.
 
 Edge cases: a null text is empty; a null language is ``und``; texts of any length are indexed whole, and a document is never cut, so a shard grows by a long
 one; repeated rows count again; an empty table gives no rows. Ties in score go by count, then by the phrase's bytes. Extra columns are not carried.
@@ -33,8 +34,12 @@ LONGEST = 5
 SHARD_WORDS = 1 << 19
 MAP_BITS = 1 << 26
 TOP = 2000
-_MAP_BYTES = 4096  # of one bucket of Spark's bitmap functions
 _UNUSED = 64 - (MAP_BITS.bit_length() - 1)
+#: A bucket is a part of the map, 4096 bytes; within it phrases are told apart by 24 more bits of their hash.
+_BUCKET_BITS, _KEY_BITS = 15, 24
+_BUCKETS = MAP_BITS >> _BUCKET_BITS
+#: Phrases that a task holds before it sums them up.
+HELD = 1 << 21
 _SALTS = 64
 
 _BREAK = ord(".")
@@ -159,7 +164,7 @@ def _frequent(held: Intervals, index: Index, maps: list[np.ndarray]) -> np.ndarr
 
     if n <= len(maps):
         return marked(held.hash, n)
-    if n == 1:
+    if n == 1 or n - 1 > len(maps):
         return np.ones(len(held.hash), bool)
     last = held.hash - index.hashes[held.words[:, 0]] * _power(n - 1)
     mask = marked(last, n - 1)
@@ -232,44 +237,117 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             yield language, vocabulary, Index(word_hashes(language, vocabulary), before, after)
 
 
-def _map_of(frequent: DataFrame) -> np.ndarray:
-    """The map of the hashes: a bounded number of bitmaps, built on the executors."""
-    slot, bits = F.shiftrightunsigned("hash", _UNUSED), _MAP_BYTES * 8
-    got = frequent.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / bits).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % bits).alias("bits")).collect()
-    out = np.zeros((MAP_BITS // bits, _MAP_BYTES), np.uint8)
-    for r in got:
-        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[firsts], np.add.reduceat(counts[order], firsts) if len(firsts) else counts[:0]
+
+
+def _packed(level: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows ``level, bucket, entries`` of summed codes: an entry is 24 bits of the code and 8 of the count; a larger count takes several."""
+    times = -(-counts // 255)
+    of = np.repeat(np.arange(len(codes)), times)
+    count = np.full(len(of), 255)
+    last = np.cumsum(times) - 1
+    count[last] = counts - 255 * (times - 1)
+    entries = ((codes[of] & ((1 << _KEY_BITS) - 1)) << 8 | count).astype(np.uint32)
+    bucket = codes[of] >> _KEY_BITS
+    firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    offsets = pa.py_buffer((np.append(firsts, len(entries)) * 4).astype(np.int32).tobytes())
+    blobs = pa.Array.from_buffers(pa.binary(), len(firsts), [None, offsets, pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array([level] * len(firsts), pa.int32()), pa.array(bucket[firsts], pa.int32()), blobs], names=["level", "bucket", "entries"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch], levels: list[int], maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of the shards' phrases of some lengths, by hash."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in levels}
+
+    def sums(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*held[n])))
+
+    for _, _, shard in _opened(batches):
+        for n, found in enumerate(enumerate_levels(shard, max(levels), maps), 1):
+            if n in held and len(found.hash):
+                held[n].append(((found.hash >> np.uint64(_UNUSED + _BUCKET_BITS - _KEY_BITS)).astype(np.int64), found.size))
+                if sum(len(c) for c, _ in held[n]) > HELD:
+                    held[n] = [sums(n)]
+                    if len(held[n][0][0]) > HELD // 2:
+                        yield _packed(n, *held[n].pop())
+    for n in levels:
+        if held[n]:
+            yield _packed(n, *sums(n))
+
+
+def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The map's parts, ``level, bucket, bits``, of sorted rows ``level, bucket, entries``: a bit for each code whose counts sum up to ``least``."""
+    at: tuple[int, int] | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def part() -> pa.RecordBatch:
+        codes, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        bits = np.zeros(1 << _BUCKET_BITS, np.uint8)
+        bits[codes[counts >= least] >> (_KEY_BITS - _BUCKET_BITS)] = 1
+        values = [at[0], at[1], np.packbits(bits, bitorder="little").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int32(), pa.binary()))], names=["level", "bucket", "bits"])
+
+    for batch in batches:
+        for level, bucket, entries in zip(*(c.to_pylist() for c in batch.columns)):
+            if at is not None and at != (level, bucket):
+                yield part()
+                held = []
+            at = (level, bucket)
+            entries = np.frombuffer(entries, np.uint32).astype(np.int64)
+            held.append((entries >> 8, entries & 255))
+            if sum(len(c) for c, _ in held) > 2 * HELD:  # at most as many as 24 bits can tell apart
+                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield part()
+
+
+def _maps_of(index: DataFrame, levels: list[int], maps: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """The maps of some lengths: each has a fixed size and comes in parts that are made on the executors."""
+    shared = index.sparkSession.sparkContext.broadcast(maps)
+    entries = index.mapInArrow(lambda b: _tally(b, levels, shared.value), "level int, bucket int, entries binary")
+    sorted_ = entries.repartition("level", "bucket").sortWithinPartitions("level", "bucket")
+    out = {n: np.zeros((_BUCKETS, 1 << (_BUCKET_BITS - 3)), np.uint8) for n in levels}
+    for r in sorted_.mapInArrow(lambda b: _marks(b, least), "level int, bucket int, bits binary").collect():
+        out[r["level"]][r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return [out[n].ravel() for n in levels]
+
+
+def _spelt(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the phrases that may be frequent, by their words."""
+    counts: defaultdict[tuple[str, bytes], int] = defaultdict(int)
+
+    def told() -> pa.RecordBatch:
+        languages, phrases = zip(*counts)
+        rows = pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["language", "phrase", "n"])
+        counts.clear()
+        return rows
+
+    for language, vocabulary, shard in _opened(batches):
+        names = np.array(vocabulary, object)
+        for held in enumerate_levels(shard, LONGEST, maps):
+            phrase = names[held.words[:, 0]]
+            for k in range(1, held.words.shape[1]):
+                phrase = phrase + b" " + names[held.words[:, k]]
+            for p, n in zip(phrase.tolist(), held.size.tolist()):
+                counts[language, p] += n
+        if len(counts) > HELD // 4:
+            yield told()
+    if counts:
+        yield told()
 
 
 def phrase_counts(index: DataFrame, least: int) -> DataFrame:
     """``language, phrase, a``: words and phrases up to ``LONGEST`` words that occur ``least`` times or more, with their counts."""
-    context = index.sparkSession.sparkContext
-    maps: list[np.ndarray] = []
-    for level in range(1, LONGEST):
-        shared = context.broadcast(maps)
-
-        def count(batches: Iterator[pa.RecordBatch], level: int = level, shared=shared) -> Iterator[pa.RecordBatch]:
-            for _, _, shard in _opened(batches):
-                for held in enumerate_levels(shard, level, shared.value):
-                    pass
-                yield pa.RecordBatch.from_arrays([pa.array(held.hash.view(np.int64)), pa.array(held.size)], names=["hash", "n"])
-
-        sums = index.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        maps = [*maps, _map_of(sums.filter(F.col("n") >= least))]
-    shared = context.broadcast(maps)
-
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for language, vocabulary, shard in _opened(batches):
-            names = np.array(vocabulary, object)
-            for held in enumerate_levels(shard, LONGEST, shared.value):
-                phrase = names[held.words[:, 0]]
-                for k in range(1, held.words.shape[1]):
-                    phrase = phrase + b" " + names[held.words[:, k]]
-                phrases = pa.array(phrase.tolist(), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(phrases), pa.string()), phrases, pa.array(held.size)], names=["language", "phrase", "n"])
-
-    counts = index.mapInArrow(spelt, "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("a"))
+    maps = _maps_of(index, [1, 2], [], least)
+    for level in range(3, LONGEST):
+        maps += _maps_of(index, [level], maps, least)
+    shared = index.sparkSession.sparkContext.broadcast(maps)
+    counts = index.mapInArrow(lambda b: _spelt(b, shared.value), "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("a"))
     return shared_table(counts.filter(F.col("a") >= least))
 
 

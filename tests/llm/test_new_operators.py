@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,13 +210,21 @@ def test_intervals_count_both_ways():
             assert {tuple(w): n for w, n in zip(held.words.tolist(), held.size.tolist())} == plain[k]
 
 
-def test_map_of_frequent_hashes(spark):
-    hashes = np.array([0, 1, 2**63, 2**64 - 1, 0x123456789ABCDEF0], np.uint64)
-    rows = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "hash long")
-    bits = op13_collocations._map_of(rows)
-    at = op13_collocations.slots(hashes)
-    assert len(bits) * 8 == op13_collocations.MAP_BITS and ((bits[at >> 3] >> (at & 7)) & 1).all()
-    assert int(np.unpackbits(bits).sum()) == len(set(at.tolist()))
+def test_counts_by_hash():
+    """Packed runs of entries, from several tasks, set the bits of the hashes that reach the least count and no others."""
+    draw = np.random.default_rng(4)
+    hashes = draw.integers(0, 2**64, 3000, np.uint64)
+    counts = draw.choice([1, 3, 254, 255, 256, 600, 70_000], 3000)
+    codes = (hashes >> np.uint64(op13_collocations._UNUSED + op13_collocations._BUCKET_BITS - op13_collocations._KEY_BITS)).astype(np.int64)
+    parts = [op13_collocations._packed(2, *op13_collocations._summed(codes[i::3], counts[i::3])) for i in range(3)] * 2
+    rows = pa.Table.from_batches(parts).sort_by([("level", "ascending"), ("bucket", "ascending")]).combine_chunks().to_batches()[0]
+    bits = np.zeros((op13_collocations._BUCKETS, 4096), np.uint8)
+    for part in op13_collocations._marks(iter([rows.slice(0, 700), rows.slice(700)]), 600):
+        bits[part.column(1)[0].as_py()] = np.frombuffer(part.column(2)[0].as_py(), np.uint8)
+    bits, at = bits.ravel(), op13_collocations.slots(hashes)
+    assert len(bits) * 8 == op13_collocations.MAP_BITS
+    assert ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)[2 * counts >= 600].all()
+    assert int(np.unpackbits(bits).sum()) == len(set(at[2 * counts >= 600].tolist()))
 
 
 def test_embeddings_of_any_length(spark):
