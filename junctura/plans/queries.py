@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from junctura.functions import cigar, sequence, thermo
+from junctura.functions import cigar, runs, sequence, thermo
 from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
 from junctura.operators.graph import connected_components
 from junctura.sources import design, sequences
@@ -264,8 +264,7 @@ def q21(spark, d):
   SELECT l_orderkey, concat(least(a, 10), 'M', CASE WHEN a < 10 THEN concat(least(i, 10 - a), 'I') ELSE '' END, CASE WHEN a + i < 10 THEN concat(least(10 - a - i, a + 3), 'M') ELSE '' END,
     CASE WHEN 2 * a + i + 3 <= 10 THEN concat(dl, 'D') ELSE '' END, CASE WHEN 2 * a + i + 3 < 10 THEN concat(least(4, 10 - 2 * a - i - 3), 'M') ELSE '' END) AS head FROM c""")
 def q21_slice(spark, d):
-    rows = cigar.with_ops(cigars(spark, d), F.col("cigar"), "ops")
-    return rows.select("l_orderkey", cigar.told(cigar.slice_by_query(F.col("ops"), F.lit(0), F.lit(10))).alias("head"))
+    return cigars(spark, d).select("l_orderkey", runs.slice_by_query(F.col("cigar"), F.lit(0), F.lit(10)).alias("head"))
 
 
 @query("q22_reverse_complement", "SELECT doc_id, md5(reverse(translate(text, 'ACGTN', 'TGCAN'))) AS digest, length(text) AS length FROM documents")
@@ -626,10 +625,10 @@ def q59(spark, d):
 @query("q60_cigar_expansion", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_suppkey % 7 + 1 AS dl FROM lineitem)
   SELECT l_orderkey, l_linenumber, CAST(2 * a + 7 + i AS BIGINT) AS bases, CAST(i AS BIGINT) AS inserted, CAST(dl AS BIGINT) AS deleted, CAST(a + 2 * i + 3 * (a + 3) + 5 * 4 AS BIGINT) AS numbers FROM c""")
 def q60(spark, d):
-    rows = cigar.with_ops(table(spark, d, "lineitem"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
-    rows = rows.select("l_orderkey", "l_linenumber", F.explode(F.array(cigar.expanded(F.col("ops")))).alias("e"))
+    """Sums over all bases, from the runs that they lie in."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", runs.run_index(F.expr(CIGAR.replace("BIGINT", "LONG"))).alias("e"))
     add = lambda f: F.aggregate("e", F.lit(0).cast("long"), lambda n, x: n + f(x))
-    return rows.select("l_orderkey", "l_linenumber", F.size("e").cast("long").alias("bases"), add(lambda x: (x["base"] == "-").cast("long")).alias("inserted"), add(lambda x: x["deleted"]).alias("deleted"), add(lambda x: x["op"]).alias("numbers"))
+    return rows.select("l_orderkey", "l_linenumber", add(lambda x: x["n"]).alias("bases"), add(lambda x: F.when(x["op"] == "I", x["n"]).otherwise(0)).alias("inserted"), add(lambda x: x["deleted"]).alias("deleted"), add(lambda x: x["n"] * x["number"]).alias("numbers"))
 
 
 @query("q61_reference_positions", """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS reverse, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_suppkey % 7 + 1 AS dl, CAST(least(10 + l_linenumber, 2 * l_quantity + 7) AS BIGINT) AS o FROM lineitem),
@@ -637,19 +636,17 @@ def q60(spark, d):
     ELSE least(a, o) + greatest(0, least(a + 3, o - a - i)) + CASE WHEN o >= 2 * a + i + 3 THEN dl ELSE 0 END + greatest(0, least(4, o - 2 * a - i - 3)) END AS far FROM c)
   SELECT l_orderkey, l_linenumber, CAST(CASE WHEN reverse THEN l_orderkey - far ELSE l_orderkey + far END AS BIGINT) AS at FROM f""")
 def q61(spark, d):
-    rows = cigar.with_ops(table(spark, d, "lineitem").withColumn("reverse", F.col("l_returnflag") == "R"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
-    ops = cigar.in_fragment_order(F.col("ops"), F.col("reverse"))
     offset = F.least(F.lit(10) + F.col("l_linenumber"), 2 * F.col("l_quantity").cast("long") + 7).cast("long")
-    return rows.select("l_orderkey", "l_linenumber", cigar.reference_at(ops, offset, F.col("l_orderkey"), F.col("reverse")).alias("at"))
+    at = runs.reference_at(F.expr(CIGAR.replace("BIGINT", "LONG")), offset, F.col("l_orderkey"), F.col("l_returnflag") == "R")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", at.alias("at"))
 
 
 @query("q62_sub_interval", """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS reverse, CAST(l_quantity AS BIGINT) AS a, l_partkey % 5 + 1 AS i, l_linenumber AS h, l_linenumber % 3 + 1 AS s FROM lineitem),
   n AS (SELECT *, h + 2 * a + 7 + i + s AS n FROM c)
   SELECT l_orderkey, l_linenumber, CAST(CASE WHEN reverse THEN n - h ELSE h END AS BIGINT) AS first, CAST(CASE WHEN reverse THEN n - h - a - i ELSE h + a + i END AS BIGINT) AS last FROM n""")
 def q62(spark, d):
-    rows = cigar.with_ops(table(spark, d, "lineitem"), F.expr(CIGAR.replace("BIGINT", "LONG")), "ops")
-    first, last = cigar.sub_interval(F.col("ops"), F.lit(1), F.lit(3), F.col("l_returnflag") == "R")
-    return rows.select("l_orderkey", "l_linenumber", first.alias("first"), last.alias("last"))
+    first, last = runs.sub_interval(F.expr(CIGAR.replace("BIGINT", "LONG")), F.lit(1), F.lit(3), F.col("l_returnflag") == "R")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", first.alias("first"), last.alias("last"))
 
 
 @query("q63_population_ratios", f"""WITH {IV}, dl AS (SELECT l_orderkey AS k, min(lo) AS lo, max(hi) AS hi FROM iv GROUP BY 1), c AS (SELECT DISTINCT dl.k, dl.lo, dl.hi, CAST(l_partkey % 50 AS VARCHAR) AS sample FROM iv JOIN dl ON dl.k = iv.l_orderkey),

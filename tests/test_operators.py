@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.functions import cigar, sequence, thermo
+from junctura.functions import cigar, runs, sequence, thermo
 from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
 from junctura.operators.graph import connected_components
 from junctura.sources import design
@@ -617,3 +617,33 @@ def test_traces_of_runs(spark, tmp_path):
     assert {(r.m, r.b, r.run) for r in back.collect()} == {("-0.5", "100.0", "1")}
     targets = of(cost=anneal.MultiTarget()).collect()
     assert all(0 <= r.cost <= r.first_cost for r in targets)
+
+
+def test_run_index_against_operations(spark):
+    """Lookups in the run index are what the functions over arrays of operations say, for odd CIGARs and both strands."""
+    draw = random.Random(9)
+    made = ["".join(f"{draw.randrange(1, 12)}{draw.choice('MMMIDDN' if 0 < k < m - 1 else 'SHM')}" for k in range(m)) for m in (draw.randrange(1, 9) for _ in range(300))]
+    texts = [None, "*", "", "5M", "3H4M2S", "3=4M", "MM3I", "12", "1M" * 3000, *made]
+    rows = [(i, t, draw.randrange(0, 30), draw.randrange(0, 30), draw.random() < 0.5) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, c string, o long, p long, r boolean").repartition(3).withColumns({"a": F.least("o", "p"), "b": F.greatest("o", "p")})
+    ops = cigar.parse(F.col("c"))
+    plain = {
+        "at": cigar.reference_at(cigar.in_fragment_order(ops, F.col("r")), F.col("o"), F.lit(100), F.col("r")),
+        "cut": cigar.told(cigar.slice_by_query(ops, F.col("a"), F.col("b"))),
+        "sides": F.struct(*[c.cast("long").alias(n) for n, c in zip(("first", "last"), cigar.sub_interval(ops, F.lit(1), F.lit(3), F.col("r")))]),
+        "bases": F.transform(cigar.expanded(ops), lambda x, i: F.struct(i.cast("long").alias("place"), x["base"].alias("base"), x["deleted"].cast("long").alias("deleted"), x["op"].alias("number"))),
+    }
+    index = {
+        "at": runs.reference_at(F.col("c"), F.col("o"), F.lit(100), F.col("r")),
+        "cut": runs.slice_by_query(F.col("c"), F.col("a"), F.col("b")),
+        "sides": F.struct(*[c.alias(n) for n, c in zip(("first", "last"), runs.sub_interval(F.col("c"), F.lit(1), F.lit(3), F.col("r")))]),
+    }
+    for name, column in index.items():
+        both = df.filter("c IS NOT NULL").select("k", "c", column.alias("got"), plain[name].alias("want")).collect()
+        assert [(r.k, r.c[:60]) for r in both if r.got != r.want] == []
+    got = {}
+    for r in runs.expanded_bases(df, "c", "k").collect():
+        got.setdefault(r.k, []).append((r.place, r.base, r.deleted, r.number))
+    want = {r.k: [tuple(x) for x in r.b] for r in df.filter("c IS NOT NULL").select("k", plain["bases"].alias("b")).collect() if r.b}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert df.filter("c IS NULL").select(runs.run_index(F.col("c")).alias("x"), index["at"].alias("y"), index["cut"].alias("z")).first() == (None, None, None)
