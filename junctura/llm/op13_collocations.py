@@ -38,8 +38,9 @@ _UNUSED = 64 - (MAP_BITS.bit_length() - 1)
 #: A bucket is a part of the map, 4096 bytes; within it phrases are told apart by 24 more bits of their hash.
 _BUCKET_BITS, _KEY_BITS = 15, 24
 _BUCKETS = MAP_BITS >> _BUCKET_BITS
+_COUNT_BITS = 28
 #: Phrases that a task holds before it sums them up.
-HELD = 1 << 21
+HELD = 1 << 20
 _SALTS = 64
 
 _BREAK = ord(".")
@@ -237,16 +238,21 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             yield language, vocabulary, Index(word_hashes(language, vocabulary), before, after)
 
 
-def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, with the sums of their counts."""
-    order = np.argsort(codes)
-    codes = codes[order]
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Coded counts, ``code << 28 | count``, as one for each code, in order. Sorted in place: only a few arrays of the parts' size are held."""
+    coded = np.concatenate(parts)
+    parts.clear()
+    coded.sort()
+    codes, counts = coded >> _COUNT_BITS, coded & ((1 << _COUNT_BITS) - 1)
     firsts = np.flatnonzero(np.diff(codes, prepend=-1))
-    return codes[firsts], np.add.reduceat(counts[order], firsts) if len(firsts) else counts[:0]
+    if not len(firsts):
+        return coded
+    return codes[firsts] << _COUNT_BITS | np.minimum(np.add.reduceat(counts, firsts), (1 << _COUNT_BITS) - 1)
 
 
-def _packed(level: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _packed(level: int, coded: np.ndarray) -> pa.RecordBatch:
     """Rows ``level, bucket, entries`` of summed codes: an entry is 24 bits of the code and 8 of the count; a larger count takes several."""
+    codes, counts = coded >> _COUNT_BITS, coded & ((1 << _COUNT_BITS) - 1)
     times = -(-counts // 255)
     of = np.repeat(np.arange(len(codes)), times)
     count = np.full(len(of), 255)
@@ -262,46 +268,43 @@ def _packed(level: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch
 
 def _tally(batches: Iterator[pa.RecordBatch], levels: list[int], maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A task's sums of the shards' phrases of some lengths, by hash."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in levels}
-
-    def sums(n: int) -> tuple[np.ndarray, np.ndarray]:
-        return _summed(*(np.concatenate(x) for x in zip(*held[n])))
-
+    held: dict[int, list[np.ndarray]] = {n: [] for n in levels}
     for _, _, shard in _opened(batches):
         for n, found in enumerate(enumerate_levels(shard, max(levels), maps), 1):
             if n in held and len(found.hash):
-                held[n].append(((found.hash >> np.uint64(_UNUSED + _BUCKET_BITS - _KEY_BITS)).astype(np.int64), found.size))
-                if sum(len(c) for c, _ in held[n]) > HELD:
-                    held[n] = [sums(n)]
-                    if len(held[n][0][0]) > HELD // 2:
-                        yield _packed(n, *held[n].pop())
+                codes = (found.hash >> np.uint64(_UNUSED + _BUCKET_BITS - _KEY_BITS)).astype(np.int64)
+                held[n].append(codes << _COUNT_BITS | found.size)
+                if sum(map(len, held[n])) > HELD:
+                    held[n] = [_summed(held[n])]
+                    if len(held[n][0]) > HELD // 2:
+                        yield _packed(n, held[n].pop())
     for n in levels:
         if held[n]:
-            yield _packed(n, *sums(n))
+            yield _packed(n, _summed(held[n]))
 
 
 def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The map's parts, ``level, bucket, bits``, of sorted rows ``level, bucket, entries``: a bit for each code whose counts sum up to ``least``."""
     at: tuple[int, int] | None = None
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
 
     def part() -> pa.RecordBatch:
-        codes, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        coded = _summed(held)
+        codes, counts = coded >> _COUNT_BITS, coded & ((1 << _COUNT_BITS) - 1)
         bits = np.zeros(1 << _BUCKET_BITS, np.uint8)
         bits[codes[counts >= least] >> (_KEY_BITS - _BUCKET_BITS)] = 1
         values = [at[0], at[1], np.packbits(bits, bitorder="little").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int32(), pa.binary()))], names=["level", "bucket", "bits"])
 
     for batch in batches:
-        for level, bucket, entries in zip(*(c.to_pylist() for c in batch.columns)):
-            if at is not None and at != (level, bucket):
+        for level, bucket, entries in zip(*batch.columns):
+            if at is not None and at != (level.as_py(), bucket.as_py()):
                 yield part()
-                held = []
-            at = (level, bucket)
-            entries = np.frombuffer(entries, np.uint32).astype(np.int64)
-            held.append((entries >> 8, entries & 255))
-            if sum(len(c) for c, _ in held) > 2 * HELD:  # at most as many as 24 bits can tell apart
-                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+            at = (level.as_py(), bucket.as_py())
+            entries = np.frombuffer(entries.as_buffer(), np.uint32).astype(np.int64)
+            held.append(entries >> 8 << _COUNT_BITS | entries & 255)
+            if sum(map(len, held)) > HELD:  # at most as many as 24 bits can tell apart
+                held = [_summed(held)]
     if held:
         yield part()
 

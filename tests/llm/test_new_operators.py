@@ -216,7 +216,7 @@ def test_counts_by_hash():
     hashes = draw.integers(0, 2**64, 3000, np.uint64)
     counts = draw.choice([1, 3, 254, 255, 256, 600, 70_000], 3000)
     codes = (hashes >> np.uint64(op13_collocations._UNUSED + op13_collocations._BUCKET_BITS - op13_collocations._KEY_BITS)).astype(np.int64)
-    parts = [op13_collocations._packed(2, *op13_collocations._summed(codes[i::3], counts[i::3])) for i in range(3)] * 2
+    parts = [op13_collocations._packed(2, op13_collocations._summed([codes[i::3] << 28 | counts[i::3]])) for i in range(3)] * 2
     rows = pa.Table.from_batches(parts).sort_by([("level", "ascending"), ("bucket", "ascending")]).combine_chunks().to_batches()[0]
     bits = np.zeros((op13_collocations._BUCKETS, 4096), np.uint8)
     for part in op13_collocations._marks(iter([rows.slice(0, 700), rows.slice(700)]), 600):
