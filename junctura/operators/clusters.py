@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from junctura.functions.checkpoints import shared_table
 from junctura.operators.graph import connected_components
-from junctura.operators.junctions import dense_ids
+from junctura.operators.junctions import dense_ids, running_sum
 
 
 def unique_points(df: DataFrame, *columns: str) -> DataFrame:
@@ -175,9 +175,9 @@ def cluster_stats(df: DataFrame, cluster: str, values: list[str], min_size: int
 
 
 def largest_first(df: DataFrame, cluster: str) -> DataFrame:
-    """``cluster, n, rank`` from 0: by size, of equal ones by the cluster's own order. A row per cluster is sorted, not its members."""
+    """``cluster, n, rank`` from 0: by size, of equal ones by the cluster's own order. A row per cluster is sorted, not its members, in ranges."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
-    return sizes.withColumn("rank", (F.row_number().over(W.orderBy(F.desc("n"), F.col(cluster))) - 1).cast("long"))
+    return running_sum(sizes, [F.desc("n"), F.col(cluster)], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
 def lowest_scores(df: DataFrame, fragment: str, score: str, order: list[str], top: int) -> DataFrame:

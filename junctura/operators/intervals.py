@@ -12,25 +12,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-#: Pieces that the places of all rows are cut into, so that a key with many rows is sorted in as many tasks.
-PIECES = 16
+#: Most rows of a key that are sorted in one piece.
+PIECE_ROWS = 2_000_000
 BROADCAST_ROWS = 500_000
 
 
+def _cut(rows: DataFrame, keys: list[str], at: str) -> tuple[DataFrame, int]:
+    """Adds ``__piece``, the piece that a row's place ``at`` is in, and returns how many pieces there are.
+
+    Rows are counted by key first. While no key has more than ``PIECE_ROWS`` there is one piece; otherwise pieces end at quantiles of the
+    places of the keys that have more, as many as the largest needs. A key with a third of all rows so is as many tasks as it has parts of that size.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    most = counts.agg(F.max("__rows")).first()[0] or 0
+    if most <= PIECE_ROWS:
+        return rows.withColumn("__piece", F.lit(0)), 1
+    pieces = -(-most // PIECE_ROWS)
+    large = counts.filter(F.col("__rows") > PIECE_ROWS).select(*[F.col(k).alias(f"__of_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    # a large key has more than PIECE_ROWS rows, so there are few
+    places = rows.join(F.broadcast(large), same, "left_semi")
+    bounds = sorted(set(places.approxQuantile(at, [k / pieces for k in range(1, pieces)], min(0.02, 0.25 / pieces))))
+    inside = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    piece = F.coalesce(F.size(F.filter(inside, lambda b: F.col(at) >= b)), F.lit(0))
+    return rows.withColumn("__piece", F.when(F.col(at).isNull(), 0).otherwise(piece)), len(bounds) + 1
+
+
 def _carried(rows: DataFrame, keys: list[str], at: str, value: Column) -> DataFrame:
-    """Adds ``__piece``, the piece that a row's place ``at`` is in, ``__before``, the greatest ``value`` of its key in earlier pieces, and ``__after``, the least in later ones.
+    """Adds ``__piece`` (see ``_cut``), ``__before``, the greatest ``value`` of a row's key in earlier pieces, and ``__after``, the least in later ones.
 
-    Pieces end at quantiles of all places. What is carried between pieces is a row for each key and piece; it is broadcast
-    if it is ``BROADCAST_ROWS`` rows at most by a count.
+    What is carried between pieces is a row for each key and piece; it is broadcast
+    if it is ``BROADCAST_ROWS`` rows at most by a count. With one piece nothing is carried.
     """
-    bounds = sorted(set(rows.approxQuantile(at, [k / PIECES for k in range(1, PIECES)], 0.02)))
-    piece = F.lit(0)
-    for bound in bounds:
-        piece = piece + F.coalesce(F.col(at) >= F.lit(bound), F.lit(False)).cast("int")
-    rows = rows.withColumn("__piece", piece)
+    rows, pieces = _cut(rows, keys, at)
+    if pieces == 1:
+        kind = rows.select(value.alias("v")).schema["v"].dataType
+        return rows.withColumns({"__before": F.lit(None).cast(kind), "__after": F.lit(None).cast(kind)})
     totals = rows.groupBy(*keys, "__piece").agg(F.max(value).alias("__m"), F.min(value).alias("__n"))
     w = W.partitionBy(*keys).orderBy("__piece")
     carry = totals.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__piece").alias("__at_piece"), F.max("__m").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.min("__n").over(w.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    return _joined(rows, carry, keys)
+
+
+def _joined(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what is carried to their key and piece."""
     if carry.count() <= BROADCAST_ROWS:
         carry = F.broadcast(carry)
     same = F.col("__piece") == F.col("__at_piece")
@@ -39,6 +66,21 @@ def _carried(rows: DataFrame, keys: list[str], at: str, value: Column) -> DataFr
     return rows.join(carry, same).drop("__at_piece", *[f"__of_{k}" for k in keys])
 
 
+def islands(df: DataFrame, key: str, lo: str, hi: str, out: str) -> DataFrame:
+    """``df`` with the start of each interval's island: an island begins where no earlier interval of the key reaches. Intervals without a place have none."""
+    reach = F.greatest("__before", F.max(hi).over(W.partitionBy(key, "__piece").orderBy(lo, hi).rowsBetween(W.unboundedPreceding, -1)))
+    rows = _carried(df, [key], lo, F.col(hi)).withColumn("__reach", reach)
+    fresh = F.when(F.col(lo).isNotNull() & (F.col("__reach").isNull() | (F.col(lo) >= F.col("__reach"))), F.col(lo))
+    rows = rows.withColumn("__fresh", fresh).drop("__before", "__after")
+    totals = rows.groupBy(key, "__piece").agg(F.max("__fresh").alias("__m"))
+    w = W.partitionBy(key).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.select(F.col(key).alias(f"__of_{key}"), F.col("__piece").alias("__at_piece"), F.max("__m").over(w).alias("__since"))
+    inside = F.max("__fresh").over(W.partitionBy(key, "__piece").orderBy(lo, hi).rowsBetween(W.unboundedPreceding, 0))
+    # the last island that began within the piece, or else in a piece before
+    placed = _joined(rows, carry, [key]).withColumn(out, F.when(F.col(lo).isNotNull(), F.coalesce(inside, F.col("__since"))))
+    return placed.select(*df.columns, out)
+
+
 def drop_contained(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """Keeps intervals that lie in no other interval of their key (closed comparison, no tie-break).
 
@@ -127,8 +169,11 @@ def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8,
 
     The end before isn't cut at the new one, so an interval nested in the one before is measured by what is left of that one. The merged
     end feeds the next test, so a key is one fold in order: ``key, lo, hi, members``, and with ``samples``, a column of arrays of strings,
-    their union over the members, sorted. Rows stream sorted through it, and only the last interval is held; a key is still folded by one task.
+    their union over the members, sorted. No interval joins one that begins where nothing before it reaches, so a key is cut into ``islands``, which are folded apart; rows
+    of an island stream sorted through one task, and only the last interval is held.
     """
+    if ratio < 0:
+        raise ValueError("a ratio below 0 would merge over gaps")
     rows = df.select(F.col(key), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), (F.col(samples) if samples else F.lit(None)).cast("array<string>").alias("samples"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +194,8 @@ def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8,
         if last is not None:
             yield _pieces([last], kind, key)
 
-    sorted_ = rows.repartition(F.col(key)).sortWithinPartitions(key, "lo", "hi")
-    merged = sorted_.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long, samples array<string>")
+    apart = islands(rows, key, "lo", "hi", "__island").repartition(F.col(key), F.col("__island")).sortWithinPartitions(key, "__island", "lo", "hi").drop("__island")
+    merged = apart.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long, samples array<string>")
     return merged if samples else merged.drop("samples")
 
 

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from junctura.functions.checkpoints import shared_table
 
-def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
-    """0-based rank of each key among the sorted distinct keys.
 
-    The distinct keys alone are ranked: ranges are sorted apart, and offsets come from
-    one row per range, so no task sorts all keys.
+def running_sum(df: DataFrame, order: list[str | Column], value: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each in ``order``, which must tell rows apart; 0 for the first.
+
+    Ranges of the order are summed up apart, and what comes before a range is the sum of one row for each: no task sees all rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from junctura.functions.checkpoints import shared_table
-
-    held = shared_table(df.select(key).distinct().repartitionByRange(parts, key).sortWithinPartitions(key).withColumns({"__part": F.spark_partition_id(), "__local": F.monotonically_increasing_id()}))
-    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__local").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", (before - F.col("__first")).alias("__start"))
-    ranks = held.join(F.broadcast(offsets), "__part").select(key, (F.col("__local") + F.col("__start")).alias(out))
-    return df.join(ranks, key)
+    held = df.withColumn("__value", value).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = shared_table(held.withColumns({"__part": F.spark_partition_id(), "__local": F.monotonically_increasing_id()}))
+    before = lambda w: F.coalesce(F.sum("__value").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range, and there are as many as shuffle partitions
+    totals = held.groupBy("__part").agg(F.sum("__value").alias("__value"))
+    offsets = totals.select("__part", before(W.orderBy("__part")).alias("__start"))
+    inside = held.withColumn("__inside", before(W.partitionBy("__part").orderBy("__local")))
+    return inside.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__start") + F.col("__inside")).select(*df.columns, out)
+
+
+def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """0-based rank of each key among the sorted distinct keys, by ``running_sum`` over the keys alone."""
+    return df.join(running_sum(df.select(key).distinct(), [key], F.lit(1), out).withColumn(out, F.col(out).cast("long")), key)
 
 
 def signed(position: Column, forward: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from junctura.operators.intervals import range_join
+from junctura.operators.junctions import running_sum
 
 #: Fixed limits of the three pair scores below which two primers are incompatible.
 PAIR_SCORE_LIMITS = (-3.2, -8.0, -8.0)
@@ -77,8 +78,8 @@ def is_independent(chosen: DataFrame, node: str, edges: DataFrame, src: str, dst
 
 
 def region_offsets(df: DataFrame, order: str, length: str, out: str) -> DataFrame:
-    """Start of each region on the concatenation of all: the running sum of the lengths before it. A row per region."""
-    return df.withColumn(out, F.coalesce(F.sum(length).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    """Start of each region on the concatenation of all: the running sum of the lengths before it. A row per region; ``order`` tells them apart."""
+    return running_sum(df, [order], F.col(length), out).withColumn(out, F.col(out).cast("long"))
 
 
 def in_region(points: DataFrame, regions: DataFrame, keys: list[str], position: str, start: str, length: str, width: int) -> DataFrame:

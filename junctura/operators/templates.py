@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from junctura.functions.sequence import reverse_complement, wrapped
@@ -31,6 +34,48 @@ def reciprocal_merge(df: DataFrame, order: str, a: str, b: str, d: str) -> DataF
     return merged.select(order, F.when(both, F.col("__lo")).otherwise(F.col("__own.a")).alias(a), F.when(both, F.col("__hi")).otherwise(F.col("__own.b")).alias(b), d, "merged")
 
 
+def reciprocal_fold(df: DataFrame, order: str, a: str, b: str, d: str, max_d: int = 100, min_distance: int = 10) -> DataFrame:
+    """``order, a, b, d, merged``: the junctions that are left after all were taken in ``order``, with the noise filter inside.
+
+    A junction whose reverse is held takes the reverse's d if that is less, is told with the smaller |.| first (a tie as it stands), and takes the reverse's place. One that the
+    noise filter refuses isn't held, and its reverse is gone all the same. The same junction again replaces the one held. Only junctions of one unordered pair bear on each other, and one of them is held at a
+    time: each pair is a machine of one state, through which its rows stream in order; ``merged`` counts the junctions that the state stands for.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (order, a, b, d)}
+    names = [order, a, b, d, "merged"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, state, schema, out = None, None, None, []
+        for batch in batches:
+            schema = schema or batch.schema
+            for o, x, y, far, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != pair:
+                    if state is not None:
+                        out.append(state)
+                    pair, state = own, None
+                count = 1
+                back = state is not None and (state[1], state[2]) == (y, x)
+                if back:
+                    count, far = state[4] + 1, min(far, state[3])
+                    x, y = (y, x) if abs(y) < abs(x) else (x, y)
+                    state = None
+                if far <= max_d and abs(abs(x) - abs(y)) >= min_distance:
+                    state = (o, x, y, far, count)
+            if out:
+                yield told(out, schema)
+                out = []
+        if state is not None:
+            yield told([state], schema)
+
+    def told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        types = [*[schema.field(k).type for k in range(4)], pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    rows = df.select(order, a, b, d, F.least(a, b).alias("__lo"), F.greatest(a, b).alias("__hi")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(d).isNotNull())
+    sorted_ = rows.repartition("__lo", "__hi").sortWithinPartitions("__lo", "__hi", order, a, b, d)
+    return sorted_.mapInArrow(fold, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", merged long")
+
+
 def flank(sequence: Column, position: Column, k: int, left: bool) -> Column:
     """k + 1 bases that end (left) or start (right) at a signed position.
 

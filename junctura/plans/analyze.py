@@ -51,8 +51,8 @@ def junction_templates(modes: DataFrame, contigs: DataFrame, contig: str, k: int
     chunks = chunks.filter(F.col("name") == contig)
     if chunks.isEmpty():
         raise ValueError(f"no contig is named {contig}")
-    merged = templates.reciprocal_merge(modes.select("rank", F.col("left").alias("a"), F.col("right").alias("b"), F.col("d").cast("long").alias("d")), "rank", "a", "b", "d")
-    kept = merged.filter(templates.noise_filter(F.col("a"), F.col("b"), F.col("d"), max_d, min_distance)).withColumns({"name": F.lit("name"), "contig": F.lit(contig)})
+    merged = templates.reciprocal_fold(modes.select("rank", F.col("left").alias("a"), F.col("right").alias("b"), F.col("d").cast("long").alias("d")), "rank", "a", "b", "d", max_d, min_distance)
+    kept = merged.withColumns({"name": F.lit("name"), "contig": F.lit(contig)})
     return templates.templates_of_chunks(kept, "rank", "name", "a", "b", "d", "contig", chunks, k, offset)
 
 

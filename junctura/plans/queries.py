@@ -161,6 +161,26 @@ def q11(spark, d):
     return templates.reciprocal_merge(nation_pairs(spark, d), "ord", "a", "b", "d")
 
 
+YEARS = """t AS (SELECT CAST(s_nationkey AS BIGINT) AS a, CAST(c_nationkey AS BIGINT) AS b, count(*) % 97 AS d, year(CAST(l_shipdate AS DATE)) * 10000 + s_nationkey * 100 + c_nationkey AS ord FROM lineitem
+  JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, ord)"""
+
+
+@query("q11_reciprocal_fold", f"""WITH RECURSIVE {YEARS}, s AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY ord) AS k FROM t),
+  f AS (SELECT DISTINCT lo, hi, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS sa, CAST(NULL AS BIGINT) AS sb, CAST(NULL AS BIGINT) AS sd, CAST(NULL AS BIGINT) AS so, CAST(NULL AS BIGINT) AS sm FROM s
+    UNION ALL SELECT lo, hi, k, CASE WHEN noisy THEN CASE WHEN NOT back THEN sa END ELSE na END, CASE WHEN noisy THEN CASE WHEN NOT back THEN sb END ELSE nb END, CASE WHEN noisy THEN CASE WHEN NOT back THEN sd END ELSE nd END,
+      CASE WHEN noisy THEN CASE WHEN NOT back THEN so END ELSE ord END, CASE WHEN noisy THEN CASE WHEN NOT back THEN sm END WHEN back THEN sm + 1 ELSE 1 END
+    FROM (SELECT *, nd > 80 OR abs(abs(na) - abs(nb)) < 2 AS noisy FROM (SELECT *, CASE WHEN back THEN least(d, sd) ELSE d END AS nd, CASE WHEN back AND abs(b) < abs(a) THEN b ELSE a END AS na, CASE WHEN back AND abs(b) < abs(a) THEN a ELSE b END AS nb
+      FROM (SELECT s.*, f.sa, f.sb, f.sd, f.so, f.sm, coalesce(f.sa = s.b AND f.sb = s.a, false) AS back FROM f JOIN s ON s.lo = f.lo AND s.hi = f.hi AND s.k = f.k + 1))))
+  SELECT CAST(so AS BIGINT) AS ord, sa AS a, sb AS b, sd AS d, sm AS merged FROM f WHERE sa IS NOT NULL AND k = (SELECT max(s.k) FROM s WHERE s.lo = f.lo AND s.hi = f.hi)""")
+def q11_fold(spark, d):
+    """Pairs of nations by year: both orientations repeat."""
+    joined = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.year(F.col("l_shipdate").cast("date")).alias("y")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = joined.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = joined.groupBy(F.col("s_nationkey").cast("long").alias("a"), F.col("c_nationkey").cast("long").alias("b"), "y").agg((F.count("*") % 97).alias("d"))
+    rows = rows.select((F.col("y") * 10000 + F.col("a") * 100 + F.col("b")).cast("long").alias("ord"), "a", "b", "d")
+    return templates.reciprocal_fold(rows, "ord", "a", "b", "d", 80, 2)
+
+
 @query("q12_noise_filter", f"""SELECT l_orderkey AS a, {DAY} AS b, CAST(l_quantity AS BIGINT) AS d FROM lineitem WHERE l_quantity <= 30 AND abs(abs(l_orderkey) - abs({DAY})) >= 10""")
 def q12(spark, d):
     rows = shipped(spark, d).select(F.col("l_orderkey").alias("a"), F.col("lo").alias("b"), F.col("l_quantity").cast("long").alias("d"))

@@ -647,3 +647,86 @@ def test_run_index_against_operations(spark):
     want = {r.k: [tuple(x) for x in r.b] for r in df.filter("c IS NOT NULL").select("k", plain["bases"].alias("b")).collect() if r.b}
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert df.filter("c IS NULL").select(runs.run_index(F.col("c")).alias("x"), index["at"].alias("y"), index["cut"].alias("z")).first() == (None, None, None)
+
+
+def fold_of(rows, max_d, min_distance):
+    """Junctions ``(order, a, b, d)`` taken one by one into a dictionary."""
+    held = {}
+    for o, a, b, d in sorted(rows):
+        n = 1
+        if (b, a) in held:
+            _, far, m = held.pop((b, a))
+            d, n = min(d, far), m + 1
+            if abs(b) < abs(a):
+                a, b = b, a
+        if d <= max_d and abs(abs(a) - abs(b)) >= min_distance:
+            held[a, b] = (o, d, n)
+    return sorted((o, a, b, d, n) for (a, b), (o, d, n) in held.items())
+
+
+def test_reciprocal_fold_of_repeats(spark):
+    draw = random.Random(21)
+    rows = [(o, draw.choice([-9, -4, 3, 4, 9]), draw.choice([-9, -4, 3, 4, 9]), draw.randrange(120)) for o in range(400)]
+    df = spark.createDataFrame(rows, "o long, a long, b long, d long")
+    for max_d, min_distance in ((100, 0), (60, 2), (10**6, 0)):
+        got = sorted(map(tuple, templates.reciprocal_fold(df, "o", "a", "b", "d", max_d, min_distance).collect()))
+        assert got == fold_of(rows, max_d, min_distance) and got
+    assert templates.reciprocal_fold(df.limit(0), "o", "a", "b", "d").count() == 0
+
+
+def merged_plainly(rows, ratio):
+    out = []
+    for k, lo, hi, names in sorted(rows, key=lambda r: r[:3]):
+        if out and out[-1][0] == k:
+            longer = max(out[-1][2] - out[-1][1], hi - lo)
+            if longer > 0 and (out[-1][2] - lo) / longer > ratio:
+                out[-1] = (k, out[-1][1], max(out[-1][2], hi), out[-1][3] + 1, out[-1][4] | set(names))
+                continue
+        out.append((k, lo, hi, 1, set(names)))
+    return sorted((k, lo, hi, n, sorted(s)) for k, lo, hi, n, s in out)
+
+
+@pytest.mark.parametrize("rows_of_a_piece", [2_000_000, 25])
+def test_large_keys_in_pieces_and_islands(spark, monkeypatch, rows_of_a_piece):
+    """Keys above the limit are cut into as many pieces as they need; islands are folded apart; small tables give the same."""
+    monkeypatch.setattr(intervals, "PIECE_ROWS", rows_of_a_piece)
+    draw = random.Random(33)
+    rows = [(1 if i % 8 else 2, a, a + draw.randrange(0, 12), [f"s{i % 5}"]) for i, a in ((i, draw.randrange(4000)) for i in range(700))]
+    df = spark.createDataFrame(rows, "k int, lo long, hi long, names array<string>")
+    got = intervals.merge_similar(df, "k", "lo", "hi", 0.5, "names")
+    assert sorted((r.k, r.lo, r.hi, r.members, r.samples) for r in got.collect()) == merged_plainly(rows, 0.5)
+    starts = {}
+    for k in (1, 2):
+        reach = since = None
+        for lo, hi in sorted((r[1], r[2]) for r in rows if r[0] == k):
+            since = lo if reach is None or lo >= reach else since
+            reach = hi if reach is None else max(reach, hi)
+            starts.setdefault((k, lo, hi), since)
+    placed = intervals.islands(df, "k", "lo", "hi", "start").collect()
+    assert len(placed) == len(rows) and all(r.start == starts[r.k, r.lo, r.hi] for r in placed)
+    assert len(set(starts.values())) > 50
+    pieces = intervals._cut(df, ["k"], "lo")[1]
+    assert pieces == 1 if rows_of_a_piece > 700 else pieces > 16
+    before = {(r.k, r.lo, r.hi): r.b for r in intervals.previous_before(df.drop("names"), "k", "lo", "hi", "b").collect()}
+    assert before == {s[:3]: max((o[2] for o in rows if o[0] == s[0] and o[2] <= s[1]), default=None) for s in rows}
+    covered = {r.k: r.covered for r in intervals.union_coverage(df, "k", "lo", "hi").collect()}
+    assert covered == {k: len({y for s in rows if s[0] == k for y in range(s[1], s[2])}) for k in (1, 2)}
+    odd = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (3, None, 4), (3, 1, None)], "k int, lo long, hi long")
+    assert sum(r.members for r in intervals.merge_similar(odd, "k", "lo", "hi").collect()) == 4
+
+
+def test_running_sums_over_ranges(spark):
+    draw = random.Random(2)
+    rows = [(i, draw.randrange(-5, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(7)
+    got = {r.i: r.s for r in junctions.running_sum(df, [F.desc("v"), "i"], F.col("v"), "s").collect()}
+    total, want = 0, {}
+    for i, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want[i], total = total, total + v
+    assert got == want
+    assert junctions.running_sum(df.limit(0), ["i"], F.lit(1), "s").count() == 0
+    ranked = sorted((r.rank, r.n, r.v) for r in clusters.largest_first(df, "v").collect())
+    counts = sorted(((-sum(x[1] == v for x in rows), v) for v in {x[1] for x in rows}))
+    assert ranked == [(k, -n, v) for k, (n, v) in enumerate(counts)]
+    offsets = {r.i: r.start for r in primers.region_offsets(df, "i", "v", "start").collect()}
+    assert offsets == {i: sum(v for j, v in rows if j < i) for i, _ in rows}
