@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from junctura.functions.cigar import told
 from junctura.operators.intervals import drop_contained
 
 JUMP = -50.0
+OPERATIONS = re.compile(r"(\d+)(\D)")
 
 
-def _gain(ops: list[tuple[int, str]], lo: int, hi: int) -> float:
-    """Score of the query bases [lo, hi), counted from the segment's start. Deletions belong to the base before."""
-    at, total = 0, 0.0
+def _slices(ops: list[tuple[int, str]], cuts: list[int]) -> list[float]:
+    """Scores of the query bases between consecutive ``cuts``, counted from the segment's start, in one walk over the operations. Deletions belong to the base before."""
+    out = [0.0] * (len(cuts) - 1)
+    at, k = 0, 0
     for n, op in ops:
-        if op == "M":
-            total += 0.92 * max(0, min(hi, at + n) - max(lo, at))
-        elif op == "I":
-            inside = max(0, min(hi, at + n) - max(lo, at))
-            total += (-1.0 - 0.2 * inside) if inside else 0.0
-        elif op == "D" and lo < at <= hi:
-            total += -1.0 - 0.2 * n
-        at += n if op in "MI" else 0
-    return total
+        if op == "D":
+            # the slice that holds the base before: cuts[k] < at <= cuts[k + 1]
+            i = k if at > cuts[k] else k - 1
+            if 0 <= i < len(out) and cuts[i] < at <= cuts[i + 1]:
+                out[i] += -1.0 - 0.2 * n
+        elif op in "MI":
+            low, end = at, at + n
+            while k < len(out) and low < end:
+                inside = min(end, cuts[k + 1]) - max(low, cuts[k])
+                if inside > 0:
+                    out[k] += 0.92 * inside if op == "M" else -1.0 - 0.2 * inside
+                if cuts[k + 1] > end:
+                    break
+                low, k = cuts[k + 1], k + 1
+            at = end
+    return out
 
 
 def best_chain(segments: list[tuple[int, int, list[tuple[int, str]]]]) -> tuple[int, list[tuple[int, int, int, float]]]:
@@ -36,6 +48,9 @@ def best_chain(segments: list[tuple[int, int, list[tuple[int, str]]]]) -> tuple[
     penalty; and it may jump to a segment from the latest one that ends before it. Scores are cut to whole
     numbers at every state, toward zero. Of equal ones the later state wins.
     Returns the score and (segment, first, last, exact score) pieces; -1 for no segment.
+
+    Both ends of such segments ascend, so those over a place are a range of them, at most one ends there, and the latest before a start is found by bisection. The
+    time goes with the number of states.
     """
     if not segments:
         return -1, []
@@ -43,35 +58,37 @@ def best_chain(segments: list[tuple[int, int, list[tuple[int, str]]]]) -> tuple[
     index = {p: k for k, p in enumerate(places)}
     lo = [index[a] for a, _, _ in segments]
     hi = [index[b + 1] for _, b, _ in segments]
-    slice_ = lambda j, k: _gain(segments[j][2], places[k - 1] - segments[j][0], places[k] - segments[j][0])
-    into: dict[tuple[int, int], list[tuple[tuple[int, int], float]]] = {}
-    for j in range(len(segments)):
-        for k in range(lo[j] + 1, hi[j] + 1):
-            into.setdefault((k, j), []).append(((k - 1, j), slice_(j, k)))
-        before = None
-        for o in range(j):
-            if hi[o] <= lo[j]:
-                before = o
-            else:
-                end = hi[o]
-                into.setdefault((end, j), []).append(((lo[j], o), JUMP + (slice_(o, end) + slice_(j, end)) / 2))
-        if before is not None:
-            into.setdefault((lo[j], j), []).append(((hi[before], before), JUMP))
-    score: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], tuple[int, int] | None] = {}
+    gains = [_slices(ops, [p - a for p in places[i : k + 1]]) for (a, _, ops), i, k in zip(segments, lo, hi)]
+    ends = {k: o for o, k in enumerate(hi)}
+    score: list[list[int]] = [[] for _ in segments]
+    back: list[list[tuple[int, int] | None]] = [[] for _ in segments]
+    begun = done = 0
     for k in range(len(places)):
-        for j in range(len(segments)):
-            if lo[j] <= k <= hi[j]:
-                came = [(score[s] + w, s) for s, w in into.get((k, j), ()) if s in score]
-                top = max(came, default=(0.0, None))
-                score[k, j], back[k, j] = int(top[0]), top[1]
-    at = max(((score[hi[j], j], (hi[j], j)) for j in range(len(segments))))[1]
-    total, pieces, stop = score[at], [], at
+        while begun < len(segments) and lo[begun] <= k:
+            begun += 1
+        while hi[done] < k:
+            done += 1
+        o = ends.get(k)
+        for j in range(done, begun):
+            came = []
+            if k > lo[j]:
+                came.append((score[j][-1] + gains[j][k - 1 - lo[j]], (k - 1, j)))
+                if o is not None and o < j:
+                    came.append((score[o][lo[j] - lo[o]] + JUMP + (gains[o][-1] + gains[j][k - 1 - lo[j]]) / 2, (lo[j], o)))
+            else:
+                before = bisect_right(hi, k, 0, j) - 1
+                if before >= 0:
+                    came.append((score[before][-1] + JUMP, (hi[before], before)))
+            top = max(came, default=(0.0, None))
+            score[j].append(int(top[0]))
+            back[j].append(top[1])
+    at = max((score[j][-1], (hi[j], j)) for j in range(len(segments)))[1]
+    total, pieces, stop = score[at[1]][-1], [], at
     while True:
-        previous = back[at]
+        previous = back[at[1]][at[0] - lo[at[1]]]
         if previous is None or previous[1] != at[1]:
             j, k0, k1 = at[1], at[0], stop[0]
-            pieces.append((j, places[k0], places[k1] - 1, sum(slice_(j, k) for k in range(k0 + 1, k1 + 1))))
+            pieces.append((j, places[k0], places[k1] - 1, sum(gains[j][k0 - lo[j] : k1 - lo[j]])))
             stop = previous
         if previous is None:
             return total, pieces[::-1]
@@ -114,7 +131,7 @@ def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str
     of the fragment: its operations in that order, and the reference ends from the first base of it to the last, so they fall on the
     reverse strand. Without ``ref_start`` and ``ref_end`` they count from 0. A fragment with one segment gives it whole, with
     its clips as aligned. Contained segments are dropped by
-    window functions first; what is left of a fragment, a few rows, becomes one array, and many
+    window functions first; what is left of a fragment, a few rows, becomes one array with its operations as text, and many
     fragments go to Python in one batch.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -124,7 +141,7 @@ def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str
         for batch in batches:
             out = []
             for name, items in zip(batch[fragment], batch["__all"]):
-                raw = [[(int(o["n"]), o["op"]) for o in x["ops"]] for x in items]
+                raw = [[(int(n), op) for n, op in OPERATIONS.findall(x["ops"])] for x in items]
                 inner = [_inner(ops, bool(x["reverse"])) for ops, x in zip(raw, items)]
                 total, pieces = best_chain([(int(x["first"]), int(x["last"]), ops) for x, ops in zip(items, inner)])
                 for j, a, b, gain in pieces:
@@ -146,6 +163,6 @@ def chain_segments(df: DataFrame, fragment: str, row: str, first: str, last: str
         (F.col(ref_start).cast("long") if ref_start else zero).alias("__from"), (F.col(ref_end).cast("long") if ref_end else zero).alias("__to"), (F.col(reverse) if reverse else F.lit(False)).alias("__reverse"),
     )
     survivors = drop_contained(rows, fragment, first, last)
-    item = F.struct(F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"), F.col(row).alias("row"), F.col(cigar).alias("ops"), F.col("__from").alias("ref_start"), F.col("__to").alias("ref_end"), F.col("__reverse").alias("reverse"))
+    item = F.struct(F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"), F.col(row).alias("row"), told(F.col(cigar)).alias("ops"), F.col("__from").alias("ref_start"), F.col("__to").alias("ref_end"), F.col("__reverse").alias("reverse"))
     grouped = survivors.groupBy(fragment).agg(F.array_sort(F.collect_list(item)).alias("__all"))
     return grouped.mapInPandas(best, f"`{fragment}` {kinds[fragment]}, `{row}` {kinds[row]}, `{first}` long, `{last}` long, score double, chain_score long, ref_start long, ref_end long, align_str string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from junctura.functions import cigar
 from junctura.functions.checkpoints import shared_table
+from junctura.functions.stages import Stages
 from junctura.operators import chain, clusters, junctions, templates
 from junctura.sources import alignments, sequences
 
@@ -56,11 +57,21 @@ def junction_templates(modes: DataFrame, contigs: DataFrame, contig: str, k: int
     return templates.templates_of_chunks(kept, "rank", "name", "a", "b", "d", "contig", chunks, k, offset)
 
 
-def analyze(sam: DataFrame, contigs: DataFrame, contig: str, min_size: int = 25, mode: str = "exact", k: int = 6500, offset: int | None = None, max_distance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, clusters' modes, and templates of an alignment table; each stage is written in the shared folder before the next."""
-    segments = shared_table(chained_alignments(sam))
-    modes = shared_table(cluster_modes(shared_table(clustered_junctions(segments, mode, max_distance)), min_size))
-    return segments, modes, junction_templates(modes, contigs, contig, k, offset)
+def analyze(sam: DataFrame, contigs: DataFrame, contig: str, min_size: int = 25, mode: str = "exact", k: int = 6500, offset: int | None = None, max_distance: int | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, clusters' modes, and templates of an alignment table; each stage is written in the shared folder before the next.
+
+    With ``folder``, stages are kept there, and those whose inputs and parameters haven't changed are read again (see ``functions.stages``).
+    """
+    if folder is None:
+        segments = shared_table(chained_alignments(sam))
+        modes = shared_table(cluster_modes(shared_table(clustered_junctions(segments, mode, max_distance)), min_size))
+        return segments, modes, junction_templates(modes, contigs, contig, k, offset)
+    kept = Stages(sam.sparkSession, folder)
+    segments = kept.stage("segments", lambda: chained_alignments(sam), [sam])
+    found = kept.stage("junctions", lambda: clustered_junctions(segments, mode, max_distance), [segments], mode=mode, max_distance=max_distance)
+    modes = kept.stage("modes", lambda: cluster_modes(found, min_size), [found], min_size=min_size)
+    made = kept.stage("templates", lambda: junction_templates(modes, contigs, contig, k, offset), [modes, contigs], contig=contig, k=k, offset=offset)
+    return segments, modes, made
 
 
 def score_of(segments: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from junctura.functions import cigar, runs, sequence, thermo
 from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
+from junctura.functions.stages import Stages
 from junctura.operators.graph import connected_components
 from junctura.sources import design
 
@@ -730,3 +732,42 @@ def test_running_sums_over_ranges(spark):
     assert ranked == [(k, -n, v) for k, (n, v) in enumerate(counts)]
     offsets = {r.i: r.start for r in primers.region_offsets(df, "i", "v", "start").collect()}
     assert offsets == {i: sum(v for j, v in rows if j < i) for i, _ in rows}
+
+
+def test_chain_of_many_segments():
+    """Ten thousand overlapping segments take seconds; scores are those of the pieces."""
+    segments = [(i * 10, i * 10 + 120, [(60, "M"), (2, "D"), (61, "M")]) for i in range(10_000)]
+    began = time.perf_counter()
+    total, pieces = chain.best_chain(segments)
+    assert time.perf_counter() - began < 20 and len(pieces) > 1 and total > 0
+    assert all(a[2] < b[1] and a[0] < b[0] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_stages_are_kept(spark, tmp_path):
+    """A second run reads what didn't change without a job; changes of files or parameters, and half-written results, are made again."""
+    data, folder = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.range(100).withColumn("v", F.col("id") % 7).write.parquet(data)
+
+    def run(limit):
+        kept = Stages(spark, folder)
+        rows = spark.read.schema("id long, v long").parquet(data)
+        first = kept.stage("filtered", lambda: rows.filter(F.col("v") < limit), [rows], limit=limit)
+        second = kept.stage("counted", lambda: first.groupBy("v").count(), [first])
+        return kept.made, second
+
+    made, out = run(3)
+    assert made == ["filtered", "counted"] and {r.v: r["count"] for r in out.collect()} == {0: 15, 1: 15, 2: 14}
+    context = spark.sparkContext
+    context.setJobGroup("again", "a second run")
+    made, out = run(3)
+    assert made == [] and not context.statusTracker().getJobIdsForGroup("again")
+    context.setJobGroup("rest", "other runs")
+    assert out.count() == 3 and run(4)[0] == ["filtered", "counted"] and run(3)[0] == []
+    (half,) = [p for p in (tmp_path / "kept" / "counted").iterdir() if spark.read.parquet(str(p)).count() == 3]
+    (half / "_stage.json").unlink()
+    assert run(3)[0] == ["counted"]
+    spark.range(50).withColumn("v", F.col("id") % 7).write.mode("append").parquet(data)
+    made, out = run(3)
+    assert made == ["filtered", "counted"] and out.agg(F.sum("count")).first()[0] == 44 + 22
+    with pytest.raises(ValueError):
+        Stages(spark, folder).stage("x", lambda: None, [spark.range(3)])
