@@ -96,7 +96,10 @@ def temperature(step: Column, slope: Column | float, intercept: Column | float)
 
 
 class _Set:
-    """The set at hand: each region's points in order, and what each move would add to the cost, worked out when it is first tried."""
+    """The set at hand: each region's points in order, and what each move would add to the cost, worked out when it is first tried.
+
+    What was worked out for a set is remembered within a bound: a cooled run comes back to the same few sets.
+    """
 
     def __init__(self, spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, cost: Cost):
         self.spots, self.regions, self.near, self.apart, self.rule = spots, regions, near, apart, cost
@@ -104,7 +107,24 @@ class _Set:
         self.members: list[list[int]] = [[] for _ in regions]
         self.inside = bytearray(len(spots))
         self.cost = 0.0
-        self.gains: dict[int, float] = {}
+        self.memory: dict[tuple[int, ...], tuple[dict[int, float], list[np.ndarray]]] = {}
+        self.worked_out = 0
+        self._recall()
+
+    def _recall(self) -> None:
+        """What is known of the moves from the set that now is."""
+        if self.worked_out > REMEMBERED:
+            self.memory.clear()
+            self.worked_out = 0
+        self.gains, self.all_gains = self.memory.setdefault(self.chosen(), ({}, []))
+        self.worked_out += 16
+
+    def every_gain(self) -> np.ndarray:
+        """What each move adds."""
+        if not self.all_gains:
+            self.all_gains.append(np.array([self.gain(u) for u in range(len(self.spots))]))
+            self.worked_out += len(self.spots)
+        return self.all_gains[0]
 
     def become(self, chosen: tuple[int, ...]) -> None:
         """Starts over with another set; its cost is summed up anew."""
@@ -115,7 +135,7 @@ class _Set:
         for u in chosen:
             self.inside[u] = 1
         self.cost = self.whole()
-        self.gains = {}
+        self._recall()
 
     def whole(self) -> float:
         return sum(self.rule.of(p, r) for p, r in zip(self.points, self.regions))
@@ -160,6 +180,7 @@ class _Set:
                 else:
                     known = self.rule.inserted(self.points[r], self._place(u), x, self.regions[r])
             self.gains[u] = known
+            self.worked_out += 1
         return known
 
     def _take(self, v: int) -> float:
@@ -182,11 +203,13 @@ class _Set:
             self.points[r].insert(k, x)
             self.members[r].insert(k, u)
             self.inside[u] = 1
-        self.gains = {}
+        self._recall()
 
 
 #: Moves without a change after which moves are looked at together, and most of them at a time.
 SETTLED, TOGETHER = 64, 1 << 14
+#: Changes of cost that are remembered.
+REMEMBERED = 1_000_000
 
 
 def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, cost: Cost, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000, every: int = 0, trace: list[tuple[int, float, float, float]] | None = None) -> tuple[float, float, list[int]]:
@@ -241,16 +264,15 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
         moves, chances = draw.integers(len(spots), size=n), draw.random(n)
         k = 0
         while k < n:
-            if still < SETTLED:
+            if still < SETTLED and not held.all_gains:
                 u, worse = int(moves[k]), held.gain(int(moves[k]))
                 taken = bool(worse <= 0 or chances[k] < math.exp(-worse / max(slope * i + intercept, 1.0)))
                 if taken:
                     held.move(u)
                 age, still, k, i = age + 1, still + 1, k + 1, i + 1
             else:
-                if still == SETTLED:
-                    gains = np.array([held.gain(u) for u in range(len(spots))])
-                    look = 4 * SETTLED
+                gains = held.every_gain()
+                look = min(max(4 * SETTLED, 2 * still), TOGETHER)
                 m = min(look, n - k, patience + 1 - age, every - i % every if every else n)
                 worse = gains[moves[k : k + m]]
                 heat = np.maximum(slope * np.arange(i, i + m) + intercept, 1.0)
@@ -261,7 +283,6 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
                 if taken:
                     held.move(int(moves[k + at]))
                 age, still, k, i = age + m, still + m, k + m, i + m
-                look = min(2 * look, TOGETHER)
             settle(taken)
             if every and i % every == 0 and trace is not None:
                 trace.append((i, time.perf_counter() - began, best[0], held.cost))
