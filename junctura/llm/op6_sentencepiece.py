@@ -30,10 +30,12 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from operator import itemgetter
 
 import ahocorasick
@@ -48,7 +50,7 @@ SPACE = "▁"
 #: Spaces with the letters, or with the other signs, after them. The superscript two counts as a sign.
 CHUNKS = re.compile(f" *[^\\W\\d_²]+| *(?:[^ \n{SPACE}\\w]|[\\d_²])+| +|\n|{SPACE}")
 N_BEST = 4
-MEMO = 150_000
+MEMO = 300_000
 #: Signs of the longest chunk that is remembered from text to text.
 SHORT = 64
 PENALTY = 10.0
@@ -70,9 +72,9 @@ class _Memo(dict):
         return got
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def lattice_of(proto: bytes, n_best: int = 4) -> Lattice:
-    """A worker's lattice, kept from task to task without what it remembers of texts."""
+    """A worker's lattice, kept from task to task with the short chunks that it remembers, a bounded number."""
     return Lattice(proto, n_best)
 
 
@@ -230,12 +232,13 @@ class Lattice:
             return array("i"), 0.0, [(0.0, [])]
         self.long.clear()
         chunks = CHUNKS.findall(" " + text)
-        got = list(map(self.memo.__getitem__, chunks))
-        ids = array("i", b"".join([g[0] for g in got]))
-        total = sum([g[1] for g in got])
+        pieces, scores, gaps = zip(*map(self.memo.__getitem__, chunks))
+        ids = array("i", b"".join(pieces))
+        total = sum(scores)
+        ends = list(accumulate(map(len, pieces), initial=0))
         told = []
-        for lost, changes in self._losses(chunks, got):
-            told.append((total - lost, [(sum(len(g[0]) for g in got[:k]) // 4, len(got[k][0]) // 4, self.ranking(chunks[k])[rank][1]) for k, rank in changes]))
+        for lost, changes in self._losses(chunks, gaps):
+            told.append((total - lost, [(ends[k] // 4, len(pieces[k]) // 4, self.ranking(chunks[k])[rank][1]) for k, rank in changes]))
         return ids, total, told
 
     def ranking(self, chunk: str) -> list[tuple[float, bytes]]:
@@ -248,19 +251,18 @@ class Lattice:
                 held[chunk] = found
         return found
 
-    def _losses(self, chunks: list[str], got: list) -> list[tuple[float, tuple]]:
+    def _losses(self, chunks: list[str], gaps: tuple[float, ...]) -> list[tuple[float, tuple]]:
         """The N least losses against the best, each with its changes (chunk place, rank)."""
         if self.n_best < 2:
             return [(0.0, ())]
-        gaps = [g[2] for g in got]
-        limit = heapq.nsmallest(self.n_best - 1, gaps)[-1]
+        # a gap that no second segmentation leaves is infinite
+        limit = min(heapq.nsmallest(self.n_best - 1, gaps)[-1], sys.float_info.max)
         single = []
-        for k, gap in enumerate(gaps):
-            if gap <= limit and gap != float("inf"):
-                found = self.ranking(chunks[k])
-                single += [(found[0][0] - s, k, rank) for rank, (s, _) in enumerate(found[1:], 1)]
-                if len(single) > 64:
-                    single = heapq.nsmallest(self.n_best - 1, single)
+        for k in [k for k, gap in enumerate(gaps) if gap <= limit]:
+            found = self.ranking(chunks[k])
+            single += [(found[0][0] - s, k, rank) for rank, (s, _) in enumerate(found[1:], 1)]
+            if len(single) > 64:
+                single = heapq.nsmallest(self.n_best - 1, single)
         single = heapq.nsmallest(self.n_best - 1, single)
         by_chunk: dict[int, list[tuple[float, int]]] = {}
         for lost, k, rank in single:
@@ -306,7 +308,6 @@ def encode_texts(df: DataFrame, key: str, text: str, model: str = MODEL, n_best:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 yield _coded(batch.slice(at, 1024), lattice, key)
-        lattice.memo.clear()
         lattice.ranked.clear()
         lattice.long.clear()
 
