@@ -10,14 +10,15 @@ _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's rows and bytes per Arrow batch to ``ROWS`` and ``BYTES`` if they are more.
+def bounded(df: DataFrame, lean: bool = False) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch to ``ROWS`` if they are more, and with ``lean`` their bytes to ``BYTES``.
 
     Texts are thousands of characters long and some far longer; at the defaults of 10,000 rows and 64 MB a
     worker, and the executor that feeds it, would hold several copies of tens of megabytes. The settings are read when a query runs, so they stay lowered.
     """
     spark = df.sparkSession
-    spark.conf.set(_BYTES_SETTING, BYTES)
+    if lean:
+        spark.conf.set(_BYTES_SETTING, BYTES)
     if not 0 < int(spark.conf.get(_SETTING)) <= ROWS:
         spark.conf.set(_SETTING, ROWS)
     return df

@@ -191,7 +191,7 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, l
     Keys and labels of the sample are broadcast (``2 * CLASS_ROWS`` rows at most), so texts stay where they are. Sums by
     place, a table of fixed size, and narrow rows of the curve's tenth reach the driver.
     """
-    bounded(df)
+    bounded(df, lean=True)
     marks = labels.select(F.col(label_key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key")))
     seen = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if len(seen) < 2:
@@ -259,7 +259,7 @@ def score_toxicity(df: DataFrame, key: str, text: str, model: Model, threshold:
                 n[i] = sum(x <= math.log(SIGNIFICANT) for x in chances)
             yield pd.DataFrame({"evidence": evidence, "score": model.probability(evidence), "n": n})
 
-    rows = bounded(df).select(F.col(key), judge(F.col(text)).alias("judged"))
+    rows = bounded(df, lean=True).select(F.col(key), judge(F.col(text)).alias("judged"))
     score = F.col("judged.score")
     return rows.select(key, held_out(F.col(key)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("judged.n").alias("n_passages"))
 
@@ -281,4 +281,4 @@ def toxic_passages(df: DataFrame, text: str, model: Model, name: str = "passages
                 out.append([{"start": words[s].start(), "end": words[e - 1].end(), "score": float(score), "expected": math.exp(chance)} for s, e, score, chance in told])
             yield pd.Series(out)
 
-    return bounded(df).withColumn(name, passages(F.col(text)))
+    return bounded(df, lean=True).withColumn(name, passages(F.col(text)))

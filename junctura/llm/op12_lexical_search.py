@@ -118,7 +118,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.Rec
 def build_index(df: DataFrame, key: str, text: str, postings: int = POSTINGS) -> Index:
     """The index of all rows, written in the shared folder."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bounded(df).select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    rows = bounded(df, lean=True).select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
     counted = shared_table(rows.mapInArrow(_counted, "doc long, n long, terms string, tfs binary"))
     told = counted.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     if not told["documents"]:

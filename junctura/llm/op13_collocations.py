@@ -226,7 +226,7 @@ def _build(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.R
 
 def build_index(df: DataFrame, text: str, language: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """An index row for each shard, written in the shared folder. Nothing is shuffled."""
-    rows = bounded(df).select(F.coalesce(F.col(language).cast("string"), F.lit("und")).alias("language"), F.col(text).alias("text"))
+    rows = bounded(df, lean=True).select(F.coalesce(F.col(language).cast("string"), F.lit("und")).alias("language"), F.col(text).alias("text"))
     return shared_table(rows.mapInArrow(lambda b: _build(b, shard_words), INDEX_SCHEMA))
 
 

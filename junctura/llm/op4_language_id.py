@@ -209,7 +209,7 @@ def language_of(df: DataFrame, text: str, net: Network | None) -> Column:
     """A struct ``language, score`` for each text."""
     if net is None:
         return F.struct(F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("score"))
-    shared = bounded(df).sparkSession.sparkContext.broadcast(net)
+    shared = bounded(df, lean=True).sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("language string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
