@@ -113,10 +113,28 @@ def _rest(t: DataFrame, coarse: list[int]) -> DataFrame:
     return meets.select(F.least("label_1", "label_2").alias("src"), F.greatest("label_1", "label_2").alias("dst")).distinct()
 
 
+#: Compared pairs for each triangle, up to which all links are listed.
+SPARSE = 64
+
+
+def _at_most_pairs(t: DataFrame, tiers: list[int]) -> int:
+    """A bound of the pairs that ``triangle_edges`` compares: no more than nine times the sum of the squares of what its cells hold."""
+    side = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("grid"))
+    cells = t.select("a", "b", "tier", F.explode(F.array(*[F.lit(k) for k in tiers])).alias("grid")).filter("tier <= grid")
+    sizes = cells.groupBy("grid", F.floor(F.col("a") / side), F.floor(F.col("b") / side)).agg(F.count("*").cast("double").alias("n"))
+    return 9 * (sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+
+
 def _merged(t: DataFrame) -> DataFrame:
-    """``node, component`` of triangles ``node, a, b, d`` that meet another: first by stars, then by what these leave out."""
+    """``node, component`` of triangles ``node, a, b, d`` that meet another.
+
+    Where few lie together, all links are the shortest way. Otherwise stars come first, and then what these leave out; the components are the same.
+    """
     t = t.withColumn("tier", _steps("d"))
-    tiers = sorted(r["tier"] for r in t.select("tier").distinct().collect())  # at most the bits of a side
+    counts = {r["tier"]: r["count"] for r in t.groupBy("tier").count().collect()}  # a row for each bit of a side at most
+    tiers = sorted(counts)
+    if not tiers or _at_most_pairs(t, tiers) <= SPARSE * sum(counts.values()):
+        return connected_components(triangle_edges(t, "node", "a", "b", "d"), "src", "dst")
     found = connected_components(triangle_stars(t, tiers), "src", "dst")
     coarse = [k for k in tiers if k > 3]
     if not coarse:
