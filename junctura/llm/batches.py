@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ROWS = 2000
@@ -24,6 +29,25 @@ def bounded(df: DataFrame, lean: bool = False) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Gives the memory that this worker no longer uses back to the system, where the system's library can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lighter(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step``, which gives memory back when a task ends. Workers stay for the next stages, and would hold the most that any task has used."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
 #: Most rows of a few longs or short strings that are broadcast; more are joined by shuffles.
 BROADCAST_ROWS = 500_000
 

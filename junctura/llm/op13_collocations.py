@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.functions.checkpoints import shared_table
-from junctura.llm.batches import bounded, small
+from junctura.llm.batches import bounded, lighter, small
 
 LONGEST = 5
 SHARD_WORDS = 1 << 19
@@ -227,7 +227,7 @@ def _build(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.R
 def build_index(df: DataFrame, text: str, language: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """An index row for each shard, written in the shared folder. Nothing is shuffled."""
     rows = bounded(df, lean=True).select(F.coalesce(F.col(language).cast("string"), F.lit("und")).alias("language"), F.col(text).alias("text"))
-    return shared_table(rows.mapInArrow(lambda b: _build(b, shard_words), INDEX_SCHEMA))
+    return shared_table(rows.mapInArrow(lighter(lambda b: _build(b, shard_words)), INDEX_SCHEMA))
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], Index]]:
@@ -312,10 +312,10 @@ def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 def _maps_of(index: DataFrame, levels: list[int], maps: list[np.ndarray], least: int) -> list[np.ndarray]:
     """The maps of some lengths: each has a fixed size and comes in parts that are made on the executors."""
     shared = index.sparkSession.sparkContext.broadcast(maps)
-    entries = index.mapInArrow(lambda b: _tally(b, levels, shared.value), "level int, bucket int, entries binary")
+    entries = index.mapInArrow(lighter(lambda b: _tally(b, levels, shared.value)), "level int, bucket int, entries binary")
     sorted_ = entries.repartition("level", "bucket").sortWithinPartitions("level", "bucket")
     out = {n: np.zeros((_BUCKETS, 1 << (_BUCKET_BITS - 3)), np.uint8) for n in levels}
-    for r in sorted_.mapInArrow(lambda b: _marks(b, least), "level int, bucket int, bits binary").collect():
+    for r in sorted_.mapInArrow(lighter(lambda b: _marks(b, least)), "level int, bucket int, bits binary").collect():
         out[r["level"]][r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return [out[n].ravel() for n in levels]
 
@@ -350,7 +350,7 @@ def phrase_counts(index: DataFrame, least: int) -> DataFrame:
     for level in range(3, LONGEST):
         maps += _maps_of(index, [level], maps, least)
     shared = index.sparkSession.sparkContext.broadcast(maps)
-    counts = index.mapInArrow(lambda b: _spelt(b, shared.value), "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("a"))
+    counts = index.mapInArrow(lighter(lambda b: _spelt(b, shared.value)), "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("a"))
     return shared_table(counts.filter(F.col("a") >= least))
 
 

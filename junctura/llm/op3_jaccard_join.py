@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from junctura.functions.checkpoints import shared_table
-from junctura.llm.batches import bounded, small
+from junctura.llm.batches import bounded, lighter, small
 from junctura.operators.graph import connected_components
 
 WORDS = 5
@@ -159,7 +159,7 @@ def class_table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.nd
         row = {"fragment": int(group["fragment"].iloc[0]), "class": values[starts[many]].astype(np.int64), "n": counts[many].astype(np.int64), "seen": np.packbits(seen, bitorder="little").tobytes()}
         return pd.DataFrame([row])
 
-    blobs = df.select(text).mapInArrow(collect, "fragment int, steps binary")
+    blobs = df.select(text).mapInArrow(lighter(collect), "fragment int, steps binary")
     counts = shared_table(blobs.groupBy("fragment").applyInPandas(count, "fragment int, class array<bigint>, n array<bigint>, seen binary"), files=2)
     pairs = counts.select(F.explode(F.arrays_zip("class", "n")).alias("p")).select("p.class", "p.n")
     table = pairs.orderBy(F.desc("n"), "class").limit(HEAVY_TABLE).toPandas().sort_values("class")
@@ -342,7 +342,7 @@ def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         texts = texts.join(nodes, "node", "left_semi")
     shared = texts.sparkSession.sparkContext.broadcast(mask)
     kind = ", ".join(["node long", *[f"{x} binary" for x in SEGMENTS]])
-    held = shared_table(texts.mapInArrow(lambda batches: _segments(batches, shared.value), kind).repartition(-(-parts // 4), "node").mapInArrow(_once, kind))
+    held = shared_table(texts.mapInArrow(lighter(lambda batches: _segments(batches, shared.value)), kind).repartition(-(-parts // 4), "node").mapInArrow(lighter(_once), kind))
     shared.destroy()
     return held
 
@@ -479,7 +479,7 @@ def _counted_by_block(rows: DataFrame, segments: DataFrame) -> DataFrame:
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
     sent = segments.join(small(texts), "node").withColumn("to", F.explode(F.when(F.col("c") == F.col("main"), home).otherwise(F.concat(home, everywhere))))
     sent = sent.select("head", "to.block", "to.role", "node", "n", "c", *SEGMENTS)
-    return sent.repartition(parts, "head", "block").sortWithinPartitions("head", "block", "role", "node").mapInArrow(_block_links, "a long, b long").distinct()
+    return sent.repartition(parts, "head", "block").sortWithinPartitions("head", "block", "role", "node").mapInArrow(lighter(_block_links), "a long, b long").distinct()
 
 
 def _components(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -492,9 +492,9 @@ def _components(df: DataFrame, key: str, text: str) -> DataFrame:
     texts = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(_text_hash(text).alias("node"), F.col(text).alias("text"))
     classes = spark.sparkContext.broadcast(class_table(df.select(F.col(text).alias("text")), "text"))
     all_texts = df.select(_text_hash(text).alias("node"), F.col(text).alias("text"))
-    firsts = all_texts.mapInArrow(lambda batches: _firsts(batches, classes.value), "key long, salt int, node long, n int, place int, light int")
+    firsts = all_texts.mapInArrow(lighter(lambda batches: _firsts(batches, classes.value)), "key long, salt int, node long, n int, place int, light int")
     firsts = firsts.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
-    lists = shared_table(firsts.mapInArrow(_lists, "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"), files=-(-parts // 8))
+    lists = shared_table(firsts.mapInArrow(lighter(_lists), "kind int, a long, b long, na int, nb int, pa int, pb int, la int, lb int"), files=-(-parts // 8))
     classes.destroy()
     counts = lists.filter("kind = 0").select(F.col("a").alias("node"), F.col("na").alias("n")).distinct()
 

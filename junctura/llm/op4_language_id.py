@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from junctura.llm.batches import bounded
+from junctura.llm.batches import bounded, give_back
 
 WINDOW = 256
 WIDTH = 8  # of the byte embedding
@@ -223,6 +223,7 @@ def language_of(df: DataFrame, text: str, net: Network | None) -> Column:
                 found += names[best].tolist()
                 scores += p[np.arange(len(p)), best].tolist()
             yield pd.DataFrame({"language": found, "score": scores})
+        give_back()
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     said = predict(F.col(text))

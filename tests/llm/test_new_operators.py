@@ -8,12 +8,13 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm import op4_language_id, op5_embedding_dedup, op6_sentencepiece, op11_toxicity, op12_lexical_search, op13_collocations
+from junctura.llm import queries, op4_language_id, op5_embedding_dedup, op6_sentencepiece, op11_toxicity, op12_lexical_search, op13_collocations
 
 
 def maximal(scores, start=0):
@@ -274,3 +275,33 @@ def test_many_best_segmentations():
     began = time.perf_counter()
     lattice.n_best_ids(text)
     assert time.perf_counter() - began < 0.1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_columns_that_sql_can_say(spark):
+    """Sizes and targets of the mix, and sizes of shards, against SQL over the smallest table."""
+    documents = "read_parquet('/root/testdata/sf0.001/documents.parquet')"
+    sql = duckdb.connect()
+    sizes = f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, source FROM {documents}"
+    want = sql.execute(f"SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) FROM ({sizes})").fetchall()
+    mixed = queries.op8_mixing_query(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r["size"], r.source_size) for r in mixed) == sorted(want)
+    sources = dict(sql.execute(f"SELECT source, CAST(sum(size) AS BIGINT) FROM ({sizes}) GROUP BY 1").fetchall())
+    names = sorted((s for s in sources if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sources)
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    # shares stop at twice a source's size, and the rest is shared again by weight until none is above
+    budget, full = 1.5 * sum(sources.values()), set()
+    while True:
+        open_ = [s for s in names if s not in full]
+        rest = budget - sum(2 * sources[s] for s in full)
+        share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sources[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 2.0 * sources[s] if s in full else share[s] for s in names}
+    of = dict(sql.execute(f"SELECT doc_id, source FROM {documents}").fetchall())
+    assert all(r.target == pytest.approx(target[of[r.doc_id]]) for r in mixed)
+    shards = queries.op9_sharding_query(spark, "/root/testdata/sf0.001").collect()
+    want = sql.execute(f"SELECT doc_id, strlen(coalesce(text, '')) + 16 FROM {documents}").fetchall()
+    assert sorted((r.doc_id, r["size"]) for r in shards) == sorted(want)
