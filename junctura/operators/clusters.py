@@ -129,18 +129,19 @@ def _merged(t: DataFrame) -> DataFrame:
     """``node, component`` of triangles ``node, a, b, d`` that meet another.
 
     Where few lie together, all links are the shortest way. Otherwise stars come first, and then what these leave out; the components are the same.
+    Links are written once, as the components read them both ways.
     """
     t = t.withColumn("tier", _steps("d"))
     counts = {r["tier"]: r["count"] for r in t.groupBy("tier").count().collect()}  # a row for each bit of a side at most
     tiers = sorted(counts)
     if not tiers or _at_most_pairs(t, tiers) <= SPARSE * sum(counts.values()):
-        return connected_components(triangle_edges(t, "node", "a", "b", "d"), "src", "dst")
-    found = connected_components(triangle_stars(t, tiers), "src", "dst")
+        return connected_components(shared_table(triangle_edges(t, "node", "a", "b", "d")), "src", "dst")
+    found = connected_components(shared_table(triangle_stars(t, tiers)), "src", "dst")
     coarse = [k for k in tiers if k > 3]
     if not coarse:
         return found
     labelled = shared_table(t.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")))
-    joined = connected_components(_rest(labelled, coarse), "src", "dst").select(F.col("node").alias("label"), F.col("component").alias("further"))
+    joined = connected_components(shared_table(_rest(labelled, coarse)), "src", "dst").select(F.col("node").alias("label"), F.col("component").alias("further"))
     both = labelled.join(joined, "label", "left")
     return both.filter(F.col("component").isNotNull() | F.col("further").isNotNull()).select("node", F.coalesce("further", "component").alias("component"))
 

@@ -229,3 +229,10 @@ def test_one_contig_in_several_tasks(spark, tmp_path):
     rows = sorted(map(tuple, chunks.collect()))
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert "".join(r[2] for r in rows) == bases and max(len(r[2]) for r in rows) == 1 << 12
+
+
+def test_one_primer_of_each_sequence(spark):
+    """Of equal sequences the last position stays; null sequences are one of their own."""
+    df = spark.createDataFrame([("ACGT", 5, "a"), ("ACGT", 9, "b"), ("GG", 1, "c"), ("ACGT", 7, "d"), (None, 3, "e")], "seq string, pos long, name string")
+    got = sorted((str(r.seq), r.pos) for r in design.longest_by_sequence(df, "seq", "pos").select("seq", "pos").collect())
+    assert got == [("ACGT", 9), ("GG", 1), ("None", 3)]
