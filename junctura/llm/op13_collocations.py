@@ -320,15 +320,18 @@ def _maps_of(index: DataFrame, levels: list[int], maps: list[np.ndarray], least:
     return [out[n].ravel() for n in levels]
 
 
-def _spelt(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of the phrases that may be frequent, by their words."""
+def _spelt(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the phrases that may be frequent, by their words: rows ``language, bucket, phrases, counts`` of many phrases each."""
     counts: defaultdict[tuple[str, bytes], int] = defaultdict(int)
 
     def told() -> pa.RecordBatch:
-        languages, phrases = zip(*counts)
-        rows = pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["language", "phrase", "n"])
+        groups: defaultdict[tuple[str, int], list[tuple[bytes, int]]] = defaultdict(list)
+        for (language, phrase), n in counts.items():
+            groups[language, zlib.crc32(phrase) % buckets].append((phrase, n))
         counts.clear()
-        return rows
+        # no word holds a line feed
+        columns = [[k[0] for k in groups], [k[1] for k in groups], [b"\n".join(p for p, _ in g) for g in groups.values()], [np.array([n for _, n in g], np.int64).tobytes() for g in groups.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["language", "bucket", "phrases", "counts"])
 
     for language, vocabulary, shard in _opened(batches):
         names = np.array(vocabulary, object)
@@ -344,14 +347,39 @@ def _spelt(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray]) -> Iterato
         yield told()
 
 
+def _reached(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``language, phrase, a`` of the phrases whose counts sum up to ``least``, of sorted rows ``language, bucket, phrases, counts``."""
+    at: tuple[str, int] | None = None
+    sums: defaultdict[bytes, int] = defaultdict(int)
+
+    def told() -> pa.RecordBatch:
+        good = [(p, n) for p, n in sums.items() if n >= least]
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(good), pa.string()), pa.array([p for p, _ in good], pa.binary()).cast(pa.string()), pa.array([n for _, n in good], pa.int64())], names=["language", "phrase", "a"])
+
+    for batch in batches:
+        for language, bucket, phrases, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if at is not None and at != (language, bucket):
+                yield told()
+            at = (language, bucket)
+            for p, n in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                sums[p] += n
+    if at is not None:
+        yield told()
+
+
 def phrase_counts(index: DataFrame, least: int) -> DataFrame:
     """``language, phrase, a``: words and phrases up to ``LONGEST`` words that occur ``least`` times or more, with their counts."""
     maps = _maps_of(index, [1, 2], [], least)
     for level in range(3, LONGEST):
         maps += _maps_of(index, [level], maps, least)
     shared = index.sparkSession.sparkContext.broadcast(maps)
-    counts = index.mapInArrow(lighter(lambda b: _spelt(b, shared.value)), "language string, phrase string, n long").groupBy("language", "phrase").agg(F.sum("n").alias("a"))
-    return shared_table(counts.filter(F.col("a") >= least))
+    # a bucket of a language has no more phrases than a task holds easily, however many words there are
+    words = index.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(64, words >> 18)
+    spelt = index.mapInArrow(lighter(lambda b: _spelt(b, shared.value, buckets)), "language string, bucket long, phrases binary, counts binary")
+    sorted_ = spelt.repartition("language", "bucket").sortWithinPartitions("language", "bucket")
+    return shared_table(sorted_.mapInArrow(lighter(lambda b: _reached(b, least)), "language string, phrase string, a long"))
 
 
 def _words(phrase: Column) -> Column:
