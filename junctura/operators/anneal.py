@@ -21,7 +21,7 @@ Region = tuple[float, float, bool]
 
 
 class Cost:
-    """Cost of a set, a sum over its regions. One of your own needs ``of`` alone; changes by one point are worked out from it unless they are given too."""
+    """Cost of a set, a sum over its regions. One of your own needs ``of`` alone; changes by one point, and those by each of many, are worked out from it unless they are given too."""
 
     def of(self, points: list[float], region: Region) -> float:
         """Cost of a region with these points, in ascending order."""
@@ -35,6 +35,10 @@ class Cost:
         """What taking the ``i``-th point out adds."""
         return self.of([*points[:i], *points[i + 1 :]], region) - self.of(points, region)
 
+    def inserted_each(self, points: list[float], at: np.ndarray, xs: np.ndarray, region: Region) -> np.ndarray:
+        """What putting each of ``xs`` alone before the point of that number in ``at`` adds."""
+        return np.array([self.inserted(points, int(i), float(x), region) for i, x in zip(at, xs)], float)
+
 
 class Tiling(Cost):
     """Bases further than ``d`` from the next point count, and overlaps beyond the share ``rho`` of ``d``; see ``primers.tiling_cost``. A point changes the gaps on its two sides."""
@@ -68,6 +72,17 @@ class Tiling(Cost):
         whole, parts = self._split(points, i, i + 1, points[i], region)
         return whole - parts
 
+    def _gaps(self, width: np.ndarray, outer: np.ndarray | bool) -> np.ndarray:
+        gap = np.where(outer, width, width - self.d)
+        return np.where(gap > 0, gap, np.maximum(0.0, -gap - self.d * self.rho))
+
+    def inserted_each(self, points: list[float], at: np.ndarray, xs: np.ndarray, region: Region) -> np.ndarray:
+        start, end, forward = region
+        ends = np.array([start, *points, end], float)
+        low, high, first, last = ends[at], ends[at + 1], at == 0, at == len(points)
+        parts = self._gaps(xs - low, first & forward) + self._gaps(high - xs, last & (not forward))
+        return parts - self._gaps(high - low, first if forward else last)
+
 
 class MultiTarget(Cost):
     """A region's length while it has no point; otherwise the sum of all points' distances from its inner end, which is the end of a forward region and the start of another."""
@@ -84,6 +99,9 @@ class MultiTarget(Cost):
     def removed(self, points: list[float], i: int, region: Region) -> float:
         return (region[1] - region[0] if len(points) == 1 else 0.0) - self._far(points[i], region)
 
+    def inserted_each(self, points: list[float], at: np.ndarray, xs: np.ndarray, region: Region) -> np.ndarray:
+        return (region[1] - xs if region[2] else xs - region[0]) - (0.0 if points else region[1] - region[0])
+
 
 def iterations(cap: int, slope: float, intercept: float, floor: int = FLOOR) -> int:
     """Length of a run whose temperature falls from ``intercept`` by ``slope`` a step."""
@@ -95,6 +113,22 @@ def temperature(step: Column, slope: Column | float, intercept: Column | float)
     return F.greatest(F.lit(slope) * step + F.lit(intercept), F.lit(1.0))
 
 
+class _Known:
+    """What was worked out for a set: what moves add, the chances to take them once the temperature is 1, and the sets that they lead to."""
+
+    __slots__ = ("chosen", "gains", "all_gains", "chances", "dead", "alive", "few", "block", "hits", "next")
+
+    def __init__(self, chosen: tuple[int, ...]):
+        self.chosen = chosen
+        self.gains: dict[int, float] = {}
+        self.all_gains: np.ndarray | None = None
+        self.chances: np.ndarray | None = None
+        self.dead = self.few = False
+        self.alive: np.ndarray | None = None
+        self.block, self.hits = -1, []
+        self.next: dict[int, _Known] = {}
+
+
 class _Set:
     """The set at hand: each region's points in order, and what each move would add to the cost, worked out when it is first tried.
 
@@ -107,8 +141,17 @@ class _Set:
         self.members: list[list[int]] = [[] for _ in regions]
         self.inside = bytearray(len(spots))
         self.cost = 0.0
-        self.memory: dict[tuple[int, ...], tuple[dict[int, float], list[np.ndarray]]] = {}
+        self.memory: dict[tuple[int, ...], _Known] = {}
         self.worked_out = 0
+        xs = [x for _, x in spots]
+        self.ranges = []
+        for r in range(len(regions)):
+            own = range(bisect_left(spots, r, key=lambda s: s[0]), bisect_right(spots, r, key=lambda s: s[0]))
+            self.ranges.append((np.arange(own.start, own.stop), np.array(xs[own.start : own.stop], float)))
+        self.driving: dict[int, list[int]] = {}
+        for u, others in near.items():
+            for v in others:
+                self.driving.setdefault(v, []).append(u)
         self._recall()
 
     def _recall(self) -> None:
@@ -116,24 +159,72 @@ class _Set:
         if self.worked_out > REMEMBERED:
             self.memory.clear()
             self.worked_out = 0
-        self.gains, self.all_gains = self.memory.setdefault(self.chosen(), ({}, []))
+        chosen = tuple(u for m in self.members for u in m)
+        self.known = self.memory.get(chosen)
+        if self.known is None:
+            self.known = self.memory[chosen] = _Known(chosen)
         self.worked_out += 16
+        self.behind = False
+
+    def _catch_up(self) -> None:
+        """Points and members of the set at hand, after ``follow`` has only looked it up."""
+        if self.behind:
+            self._fill(self.known.chosen)
+            self.behind = False
 
     def every_gain(self) -> np.ndarray:
-        """What each move adds."""
-        if not self.all_gains:
-            self.all_gains.append(np.array([self.gain(u) for u in range(len(self.spots))]))
+        """What each move adds: those of members and of what drives others out one by one, all others together."""
+        known = self.known
+        if known.all_gains is None:
+            self._catch_up()
+            gains = np.empty(len(self.spots))
+            alone = [*known.chosen, *(u for v in known.chosen for u in self.driving.get(v, ()))]
+            for (own, xs), points, members, region in zip(self.ranges, self.points, self.members, self.regions):
+                gains[own] = self.rule.inserted_each(points, np.searchsorted(members, own) if members else np.zeros(len(own), int), xs, region)
+                if self.apart > 0 and points:
+                    close = np.searchsorted(points, xs + self.apart, "left") > np.searchsorted(points, xs - self.apart, "right")
+                    alone += own[close].tolist()
+            for u in set(alone):
+                gains[u] = self.gain(u)
+            known.all_gains = gains
             self.worked_out += len(self.spots)
-        return self.all_gains[0]
+        return known.all_gains
+
+    def cold_chances(self) -> np.ndarray:
+        """The chance to take each move at a temperature of 1; one that no draw can be below is 0."""
+        known = self.known
+        if known.chances is None:
+            chances = np.where(self.every_gain() <= 0, 1.0, np.exp(-np.maximum(self.every_gain(), 0.0)))
+            known.chances = np.where(chances > LEAST, chances, 0.0)
+            known.alive = known.chances > 0
+            known.dead, known.few = not known.alive.any(), bool(8 * known.alive.sum() <= len(self.spots))
+            self.worked_out += 2 * len(self.spots)
+        return known.chances
+
+    def follow(self, u: int) -> None:
+        """As ``move``, of a set of which every gain is known. Where the move was made before, it is looked up."""
+        known = self.known
+        further = known.next.get(u)
+        if further is None:
+            self._catch_up()
+            self.move(u)
+            if self.memory.get(known.chosen) is known:
+                known.next[u] = self.known
+        else:
+            self.cost += float(known.all_gains[u])
+            self.known, self.behind = further, True
 
-    def become(self, chosen: tuple[int, ...]) -> None:
-        """Starts over with another set; its cost is summed up anew."""
+    def _fill(self, chosen: tuple[int, ...]) -> None:
         self.inside = bytearray(len(self.spots))
         for r in range(len(self.regions)):
             self.members[r] = [u for u in chosen if self.spots[u][0] == r]
             self.points[r] = [self.spots[u][1] for u in self.members[r]]
         for u in chosen:
             self.inside[u] = 1
+
+    def become(self, chosen: tuple[int, ...]) -> None:
+        """Starts over with another set; its cost is summed up anew."""
+        self._fill(chosen)
         self.cost = self.whole()
         self._recall()
 
@@ -141,7 +232,7 @@ class _Set:
         return sum(self.rule.of(p, r) for p, r in zip(self.points, self.regions))
 
     def chosen(self) -> tuple[int, ...]:
-        return tuple(u for m in self.members for u in m)
+        return self.known.chosen
 
     def driven_out(self, u: int) -> list[int]:
         """Members that don't go with ``u``: its incompatible ones, and those of its region at another place less than ``apart`` away."""
@@ -164,8 +255,9 @@ class _Set:
 
     def gain(self, u: int) -> float:
         """What the move of ``u`` adds: its own change, after those of the members it drives out."""
-        known = self.gains.get(u)
+        known = self.known.gains.get(u)
         if known is None:
+            self._catch_up()
             r, x = self.spots[u]
             if self.inside[u]:
                 known = self.rule.removed(self.points[r], self._place(u), self.regions[r])
@@ -179,7 +271,7 @@ class _Set:
                         self.points[k], self.members[k] = p, m
                 else:
                     known = self.rule.inserted(self.points[r], self._place(u), x, self.regions[r])
-            self.gains[u] = known
+            self.known.gains[u] = known
             self.worked_out += 1
         return known
 
@@ -190,6 +282,7 @@ class _Set:
         return change
 
     def move(self, u: int) -> None:
+        self._catch_up()
         self.cost += self.gain(u)
         if self.inside[u]:
             self._take(u)
@@ -206,10 +299,61 @@ class _Set:
         self._recall()
 
 
+#: Moves that are drawn at a time, and how many such blocks are kept.
+BLOCK, KEPT_BLOCKS = 1 << 16, 32
+
+
+class _Block:
+    """Drawn moves and chances; on its second use also where each move is, as runs of equal seed and as many spots share their draws."""
+
+    def __init__(self, moves: np.ndarray, chances: np.ndarray, spots: int):
+        self.moves, self.chances, self.spots, self.uses = moves, chances, spots, 0
+        self.order: np.ndarray | None = None
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where the draws of the moves are that ``wanted`` holds true."""
+        if self.order is None and self.uses > 1:
+            kind = np.int16 if self.spots < 1 << 15 else np.int32
+            self.order = np.argsort(self.moves.astype(kind), kind="stable").astype(np.int32)
+            self.starts = np.searchsorted(self.moves[self.order], np.arange(self.spots + 1))
+        if self.order is None:
+            return np.flatnonzero(wanted.take(self.moves))
+        return np.sort(np.concatenate([self.order[self.starts[u] : self.starts[u + 1]] for u in np.flatnonzero(wanted)]))
+
+
+#: What the last run of this process has drawn: its key, the blocks, and the generator's state after them.
+_DRAWN: list = [None, [], None]
+
+
+def _blocks(draw: np.random.Generator, spots: int, steps: int) -> Iterator[_Block]:
+    """The draws of a run. The first blocks are kept for the next run, which has the same ones if its generator is in the same state."""
+    state = draw.bit_generator.state
+    key = (spots, steps, repr(state))
+    if _DRAWN[0] != key:
+        _DRAWN[:] = [key, [], state]
+    kept, at = _DRAWN[1], 0
+    while at * BLOCK < steps:
+        if at < len(kept):
+            found = kept[at]
+        else:
+            if at == len(kept):
+                draw.bit_generator.state = _DRAWN[2]
+            n = min(BLOCK, steps - at * BLOCK)
+            found = _Block(draw.integers(spots, size=n, dtype=np.int32), draw.random(n), spots)
+            if at < KEPT_BLOCKS:
+                kept.append(found)
+                _DRAWN[2] = draw.bit_generator.state
+        found.uses += 1
+        at += 1
+        yield found
+
+
 #: Moves without a change after which moves are looked at together, and most of them at a time.
 SETTLED, TOGETHER = 64, 1 << 14
 #: Changes of cost that are remembered.
 REMEMBERED = 1_000_000
+#: The step between chances that are drawn: at a temperature of 1, a move with no better chance is never taken.
+LEAST = 2.0**-53
 
 
 def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int, set[int]], apart: float, cost: Cost, slope: float, intercept: float, steps: int, seed: int, patience: int = 300_000, every: int = 0, trace: list[tuple[int, float, float, float]] | None = None) -> tuple[float, float, list[int]]:
@@ -222,7 +366,9 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
     After ``patience`` steps without a better set the search goes back to the best.
 
     A move's cost is a change at the places it touches. Once a set has stayed for ``SETTLED`` moves, all moves' changes are worked out, and
-    the following moves are held against the temperature together, up to the first that is taken: a cooled run refuses nearly all.
+    the following moves are held against the temperature together, up to the first that is taken: a cooled run refuses nearly all. While
+    the temperature stays at 1, a set's chances stay the same and are kept, and where only few moves have any, a block's draws are searched for those alone. A best set
+    that no move can leave any more ends the run: what is left of its moves is refused.
     With ``every``, ``(step, seconds, best cost, cost)`` are added to ``trace`` each so many steps.
     """
     draw = np.random.default_rng(seed)
@@ -247,7 +393,7 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
     held = _Set(spots, regions, near, apart, cost)
     held.become(tuple(sorted(first)))
     begun, best = held.cost, (held.cost, held.chosen())
-    age, still, i, block = 0, 0, 0, 1 << 16
+    age, still, i = 0, 0, 0
 
     def settle(taken: bool) -> None:
         """After a move: the best set, and the way back to it."""
@@ -259,33 +405,57 @@ def anneal(spots: list[tuple[int, float]], regions: list[Region], near: dict[int
             held.become(best[1])
             age, still = 0, 0
 
-    while i < steps:
-        n = min(block, steps - i)
-        moves, chances = draw.integers(len(spots), size=n), draw.random(n)
-        k = 0
+    blocks, likelier = 0, np.zeros(len(spots), bool)
+    for drawn in _blocks(draw, len(spots), steps):
+        moves, chances, n = drawn.moves, drawn.chances, len(drawn.moves)
+        blocks, k = blocks + 1, 0
+        likelier[:] = False
         while k < n:
-            if still < SETTLED and not held.all_gains:
+            known = held.known
+            if still < SETTLED and known.all_gains is None:
                 u, worse = int(moves[k]), held.gain(int(moves[k]))
                 taken = bool(worse <= 0 or chances[k] < math.exp(-worse / max(slope * i + intercept, 1.0)))
                 if taken:
                     held.move(u)
                 age, still, k, i = age + 1, still + 1, k + 1, i + 1
             else:
-                gains = held.every_gain()
-                look = min(max(4 * SETTLED, 2 * still), TOGETHER)
-                m = min(look, n - k, patience + 1 - age, every - i % every if every else n)
-                worse = gains[moves[k : k + m]]
-                heat = np.maximum(slope * np.arange(i, i + m) + intercept, 1.0)
-                good = (worse <= 0) | (chances[k : k + m] < np.exp(-np.maximum(worse, 0) / heat))
-                at = int(good.argmax())
-                taken = bool(good[at])
-                m = at + 1 if taken else m
+                cold = slope <= 0 and slope * i + intercept <= 1
+                m = min(n - k, patience + 1 - age, every - i % every if every else n)
+                if cold and known.chances is None:
+                    held.cold_chances()
+                if cold and known.dead:
+                    if not every and known.chosen == best[1]:
+                        break
+                    taken = False
+                elif cold and known.few:
+                    if known.block != blocks:
+                        if (known.alive & ~likelier).any():
+                            likelier |= known.alive
+                            places = drawn.places(likelier)
+                            their_moves, their_chances = moves[places], chances[places]
+                        known.block, known.hits = blocks, places[their_chances < known.chances[their_moves]].tolist()
+                    at = bisect_left(known.hits, k)
+                    taken = at < len(known.hits) and known.hits[at] < k + m
+                    m = known.hits[at] - k + 1 if taken else m
+                else:
+                    m = min(m, max(4 * SETTLED, 2 * still), TOGETHER)
+                    if cold:
+                        good = chances[k : k + m] < known.chances[moves[k : k + m]]
+                    else:
+                        worse = held.every_gain()[moves[k : k + m]]
+                        heat = np.maximum(slope * np.arange(i, i + m) + intercept, 1.0)
+                        good = (worse <= 0) | (chances[k : k + m] < np.exp(-np.maximum(worse, 0) / heat))
+                    at = int(good.argmax())
+                    taken = bool(good[at])
+                    m = at + 1 if taken else m
                 if taken:
-                    held.move(int(moves[k + at]))
+                    held.follow(int(moves[k + m - 1]))
                 age, still, k, i = age + m, still + m, k + m, i + m
             settle(taken)
             if every and i % every == 0 and trace is not None:
                 trace.append((i, time.perf_counter() - began, best[0], held.cost))
+        if k < n:
+            break
     return begun, best[0], list(best[1])
 
 
@@ -293,9 +463,10 @@ def _schedules(grid: list[tuple[float, float, int]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(float(m)).alias("slope"), F.lit(float(b)).alias("intercept"), F.lit(seed).cast("long").alias("seed")) for m, b, seed in grid]))
 
 
-def _spread(runs: DataFrame, design: str) -> DataFrame:
-    """Runs are long and their rows small: spread them evenly."""
-    return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), design, "seed", "slope", "intercept")
+def _spread(runs: DataFrame, design: str, candidates: str) -> DataFrame:
+    """Runs are long and their rows small: spread them evenly, in ranges, so that runs of one seed and as many candidates, which have the same draws, follow each other."""
+    order = ["seed", "slope", "intercept", F.size(candidates), design]
+    return runs.repartitionByRange(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
 
 def anneal_designs(primers: DataFrame, design: str, position: str, start: float, end: float, forward: bool, d: float, rho: float, min_apart: float, grid: list[tuple[float, float, int]], steps: int | None = None) -> DataFrame:
@@ -320,7 +491,7 @@ def anneal_designs(primers: DataFrame, design: str, position: str, start: float,
 
     designs = primers.groupBy(design).agg(F.collect_set(F.col(position).cast("double")).alias("__at"))
     runs = designs.select(design, "__at", _schedules(grid).alias("g")).select(design, "__at", "g.*")
-    return _spread(runs, design).mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
+    return _spread(runs, design, "__at").mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
 
 
 def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000, cost: Cost | None = None, every: int = 0) -> DataFrame:
@@ -369,7 +540,7 @@ def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, desi
     designs = able.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col("__x").alias("x"), F.col(primer).alias("p")))).alias("__primers"))
     designs = designs.join(of, design).join(pairs, design, "left")
     runs = designs.select("*", _schedules(grid).alias("g")).select(design, "__regions", "__primers", "__pairs", "g.*")
-    return _spread(runs, design).mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>" + (", iteration long, seconds double, min_cost double, curr_cost double" if every else ""))
+    return _spread(runs, design, "__primers").mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>" + (", iteration long, seconds double, min_cost double, curr_cost double" if every else ""))
 
 
 def results_of(runs: DataFrame) -> DataFrame:

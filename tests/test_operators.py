@@ -1,6 +1,7 @@
 """Operators against brute force and hand-made traps."""
 
 import itertools
+import math
 import random
 import time
 
@@ -601,6 +602,58 @@ def test_costs_change_where_a_move_touches():
         assert same == runs[0]
 
 
+def test_cold_runs_are_those_of_single_moves(monkeypatch):
+    """Whole runs are those of a loop over single moves; runs of one seed share draws, and a set that no move can leave draws no more."""
+    made = np.random.default_rng
+    asked = []
+
+    class Counted:
+        def __init__(self, seed):
+            self._of = made(seed)
+
+        def integers(self, *a, **k):
+            asked.append(k.get("size"))
+            return self._of.integers(*a, **k)
+
+        def __getattr__(self, name):
+            return getattr(self._of, name)
+
+    draw = random.Random(5)
+    spots = sorted((draw.randrange(2), float(draw.randrange(2000))) for _ in range(200))
+    regions = [(0.0, 2001.0, False), (0.0, 2001.0, True)]
+    near = {1: {150}, 150: {1}}
+    steps = 3 * (1 << 16) + 100
+    for cost in (anneal.MultiTarget(), anneal.Tiling(300.0, 0.1)):
+        told = anneal.anneal(spots, regions, near, 0.0, cost, -2.0, 400.0, steps, 3, patience=5000)
+        one = made(3)
+        within = [[u for u in range(200) if spots[u][0] == r] for r in (0, 1)]
+        while True:
+            first = [w[int(one.integers(len(w)))] for w in within]
+            if first[1] not in near.get(first[0], ()):
+                break
+        held = anneal._Set(spots, regions, near, 0.0, cost)
+        held.become(tuple(first))
+        best, age = (held.cost, held.chosen()), 0
+        for begin in range(0, steps, 1 << 16):
+            n = min(1 << 16, steps - begin)
+            for i, u, chance in zip(range(begin, begin + n), one.integers(200, size=n).tolist(), one.random(n).tolist()):
+                worse, age = held.gain(u), age + 1
+                if worse <= 0 or chance < math.exp(-worse / max(-2.0 * i + 400.0, 1.0)):
+                    held.move(u)
+                    if held.cost < best[0]:
+                        best, age = (held.cost, held.chosen()), 0
+                if age > 5000:
+                    held.become(best[1])
+                    age = 0
+        assert told[1:] == (best[0], list(best[1]))
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    far = [(0, float(x)) for x in range(0, 2000, 400)]
+    for k in (1, 2):
+        asked.clear()
+        anneal.anneal(far, [(0.0, 2000.0, True)], {}, 0.0, anneal.Tiling(100.0, 0.1), -2.0, 400.0, 10 * (1 << 16), 4)
+        assert len([n for n in asked if n]) == 2 - k
+
+
 def test_traces_of_runs(spark, tmp_path):
     """Results and traces in one stream; what is written is read again."""
     draw = random.Random(3)
