@@ -107,12 +107,12 @@ def q05(spark, d):
 
 @query("q06_triangle_edges", f"WITH {POINTS}, {EDGES.format(rule=EXACT)} SELECT * FROM e")
 def q06(spark, d):
-    return _flat(clusters.triangle_edges(points(spark, d), "node", "a", "b", "d"))
+    return _flat(clusters.triangle_edges(points(spark, d), None, "a", "b", "d"))
 
 
 @query("q06_triangle_edges_compat", f"WITH {POINTS}, {EDGES.format(rule=COMPAT)} SELECT * FROM e")
 def q06_compat(spark, d):
-    return _flat(clusters.triangle_edges(points(spark, d), "node", "a", "b", "d", "compat"))
+    return _flat(clusters.triangle_edges(points(spark, d), None, "a", "b", "d", "compat"))
 
 
 @query("q07_components", f"""WITH RECURSIVE {POINTS}, {EDGES.format(rule=EXACT)},

@@ -517,6 +517,36 @@ def test_design_end_to_end(spark):
     assert not [1 for r in rows for p in sum(r.primers, []) for q in sum(r.primers, []) if (p, q) in bad]
 
 
+@pytest.mark.parametrize("roomy", [0, 16, 10**9])
+@pytest.mark.parametrize("mode", ["exact", "compat"])
+def test_links_in_large_cells(spark, monkeypatch, roomy, mode):
+    """Links by cells of the triangles' size, by large ones and by both are those of all pairs, each once; a triangle of its own size is sent to few large cells."""
+    monkeypatch.setattr(clusters, "ROOMY", roomy)
+    draw = random.Random(8)
+    rows = {(draw.randrange(-300, 300), draw.randrange(-300, 300), draw.choice([0, 1, 2, 3, 7, 8, 40, 120])) for _ in range(500)}
+    rows |= {(0, 0, 1), (0, 0, 2), (-64, 64, 8), (-64, 56, 8), (-56, 64, 8)}
+    df = spark.createDataFrame(sorted(rows), "a long, b long, d long")
+
+    def one_way(p, q):
+        c, e = p[0] + p[1] - p[2], q[0] + q[1] - q[2]
+        return c < e and e - c <= p[2] and q[1] - q[2] <= p[1] <= q[1]
+
+    def meets(p, q):
+        return one_way(p, q) or one_way(q, p) if mode == "compat" else min(p[0], q[0]) + min(p[1], q[1]) >= max(p[0] + p[1] - p[2], q[0] + q[1] - q[2])
+
+    got = sorted((tuple(r.src), tuple(r.dst)) for r in clusters.triangle_edges(df, None, "a", "b", "d", mode).collect())
+    assert got == [(p, q) for p, q in itertools.combinations(sorted(rows), 2) if meets(p, q)]
+    t = df.withColumn("tier", clusters._steps("d"))
+    picked = clusters._roomy_tier(t, [0, 1, 2, 3, 6, 7])
+    assert picked == {0: None, 10**9: 7}.get(roomy, picked)
+    sparse = spark.range(2000).select((F.col("id") * 37).alias("a"), (F.col("id") * 11 % 2500).alias("b"), (F.col("id") % 7 + 1).alias("d"))
+    monkeypatch.setattr(clusters, "ROOMY", 16)
+    sent = []
+    monkeypatch.setattr(clusters, "_roomy_edges", lambda t, k, meets: sent.append(k) or t)
+    clusters.triangle_edges(sparse, None, "a", "b", "d", mode)
+    assert sent == [3]
+
+
 @pytest.mark.parametrize("sparse", [64, 0, 10**9])
 def test_clusters_without_all_links(spark, monkeypatch, sparse):
     """Both ways, as counted and each by itself: stars and contested cells give the components of all links, over sides of all sizes; links stay in proportion to the triangles."""
