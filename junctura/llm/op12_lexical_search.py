@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from junctura.functions.checkpoints import shared_table
-from junctura.llm.batches import bounded
+from junctura.llm.batches import bounded, lighter
 
 POSTINGS = 1 << 18
 ITEM_TERMS = 100_000
 TOP = 10
+#: Row groups of written tables: an executor holds one for each task that writes or reads.
+GROUP_BYTES = 8 << 20
 _SALTS = 64
 _LAST = (1 << 63) - 1  # stands for a null id
 
@@ -119,7 +121,7 @@ def build_index(df: DataFrame, key: str, text: str, postings: int = POSTINGS) ->
     """The index of all rows, written in the shared folder."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded(df, lean=True).select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    counted = shared_table(rows.mapInArrow(_counted, "doc long, n long, terms string, tfs binary"))
+    counted = shared_table(rows.mapInArrow(lighter(_counted), "doc long, n long, terms string, tfs binary"), group_bytes=GROUP_BYTES)
     told = counted.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     if not told["documents"]:
         return Index(counted.sparkSession.createDataFrame([], _BLOCK), 0, 0)
@@ -127,8 +129,8 @@ def build_index(df: DataFrame, key: str, text: str, postings: int = POSTINGS) ->
     shaped = counted.withColumn("up", wide).withColumn("m", 10 + F.expr(f"up div {told['terms']}"))
     # documents of one length can be a third of all: their rows are dealt by document too
     dealt = shaped.select("m", "doc", "terms", "tfs").repartitionByRange(parts, "m", F.xxhash64("doc")).sortWithinPartitions("m", "doc")
-    blocks = dealt.mapInArrow(lambda b: _blocks(b, postings), _BLOCK)
-    return Index(shared_table(blocks), told["documents"], told["terms"])
+    blocks = dealt.mapInArrow(lighter(lambda b: _blocks(b, postings)), _BLOCK)
+    return Index(shared_table(blocks, group_bytes=GROUP_BYTES), told["documents"], told["terms"])
 
 
 @dataclass
@@ -233,7 +235,7 @@ def _search_block(index: Index, items: _Items, top: int) -> DataFrame:
     """``item, doc, score``: the best documents of each item of a block."""
     spark = index.blocks.sparkSession
     shared = spark.sparkContext.broadcast(items)
-    df_rows = index.blocks.select("m", "terms", "groups", "tfs", "sizes").mapInArrow(lambda b: _frequencies(b, shared.value.terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df_rows = index.blocks.select("m", "terms", "groups", "tfs", "sizes").mapInArrow(lighter(lambda b: _frequencies(b, shared.value.terms)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     weights = np.zeros(len(items.terms), np.int64)
     for r in df_rows:
         weights[r["term"]] = math.floor(1000 * math.log((2 * index.documents + 2) / (2 * r["df"] + 1)))
@@ -247,7 +249,7 @@ def _search_block(index: Index, items: _Items, top: int) -> DataFrame:
         item = np.repeat(np.arange(items.size), [len(d) for d in best.docs])
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(np.concatenate(best.docs)), pa.array(np.concatenate(best.scores))], names=["item", "doc", "score"])
 
-    found = index.blocks.mapInArrow(search, "item long, doc long, score long")
+    found = index.blocks.mapInArrow(lighter(search), "item long, doc long, score long")
     order = [F.desc("score"), "doc"]
     some = found.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(_SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("item", "salt").orderBy(*order))).filter(F.col("rank") <= top)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).filter(F.col("rank") <= top).select("item", "doc", "score", "rank")

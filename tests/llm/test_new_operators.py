@@ -305,3 +305,16 @@ def test_columns_that_sql_can_say(spark):
     shards = queries.op9_sharding_query(spark, "/root/testdata/sf0.001").collect()
     want = sql.execute(f"SELECT doc_id, strlen(coalesce(text, '')) + 16 FROM {documents}").fetchall()
     assert sorted((r.doc_id, r["size"]) for r in shards) == sorted(want)
+
+
+def test_index_is_written_in_small_row_groups(spark, tmp_path):
+    """Tables of large rows have row groups of a bounded size, as each task holds one when it writes or reads."""
+    import pyarrow.parquet as pq
+
+    from junctura.functions.checkpoints import shared_table
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "concat_ws(' ', transform(sequence(1, 40), k -> sha2(concat(id, '-', k), 256))) AS terms")
+    held = shared_table(rows, group_bytes=1 << 20)
+    assert held.count() == 3000
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in held.inputFiles()]
+    assert max(groups) > 3
