@@ -194,9 +194,35 @@ def merge_similar(df: DataFrame, key: str, lo: str, hi: str, ratio: float = 0.8,
         if last is not None:
             yield _pieces([last], kind, key)
 
+    def fold_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = a = b = n = kind = None
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for k, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                if n is not None and k == at and x is not None and y is not None and a is not None and b is not None:
+                    longer = max(b - a, y - x)
+                    if longer > 0 and (b - x) / longer > ratio:
+                        b, n = max(b, y), n + 1
+                        continue
+                if n is not None:
+                    out.append((at, a, b, n))
+                at, a, b, n = k, x, y, 1
+            if out:
+                yield _plain(out, kind, key)
+        if n is not None:
+            yield _plain([(at, a, b, n)], kind, key)
+
+    if samples is None:
+        # without sets to unite, three numbers a row are all that goes to Python and comes back
+        apart = islands(rows.drop("samples"), key, "lo", "hi", "__island").repartition(F.col(key), F.col("__island")).sortWithinPartitions(key, "__island", "lo", "hi").drop("__island")
+        return apart.mapInArrow(fold_plain, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long")
     apart = islands(rows, key, "lo", "hi", "__island").repartition(F.col(key), F.col("__island")).sortWithinPartitions(key, "__island", "lo", "hi").drop("__island")
-    merged = apart.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long, samples array<string>")
-    return merged if samples else merged.drop("samples")
+    return apart.mapInArrow(fold, f"`{key}` {rows.schema[key].dataType.simpleString()}, lo long, hi long, members long, samples array<string>")
+
+
+def _plain(rows: list[tuple], kind: pa.DataType, key: str) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, "lo", "hi", "members"])
 
 
 def _pieces(rows: list[tuple], kind: pa.DataType, key: str) -> pa.RecordBatch:

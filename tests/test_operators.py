@@ -859,3 +859,15 @@ def test_stages_are_kept(spark, tmp_path):
     assert made == ["filtered", "counted"] and out.agg(F.sum("count")).first()[0] == 44 + 22
     with pytest.raises(ValueError):
         Stages(spark, folder).stage("x", lambda: None, [spark.range(3)])
+
+
+def test_merging_without_samples_sends_numbers_only(spark):
+    """No array of samples goes to Python where none is asked for; the pieces are those of a merge with samples."""
+    draw = random.Random(21)
+    rows = [(k % 3, lo, lo + draw.randrange(0, 60)) for k in range(400) for lo in [draw.randrange(2000)]] + [(1, None, 5), (2, 7, None), (None, 3, 9), (None, 3, 9)]
+    df = spark.createDataFrame(rows, "k int, lo long, hi long").withColumn("s", F.array(F.lit("x")))
+    plain = intervals.merge_similar(df.drop("s"), "k", "lo", "hi")
+    assert "array<string>" not in plain._jdf.queryExecution().optimizedPlan().toString() and plain.columns == ["k", "lo", "hi", "members"]
+    assert "samples" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    sampled = intervals.merge_similar(df, "k", "lo", "hi", samples="s").drop("samples")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, sampled.collect()))
