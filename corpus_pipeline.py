@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
+        docs = shared_table(stage(spark, docs, sf_dir), group_bytes=8 << 20)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,7 +43,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from junctura.llm.batches import bounded
+from junctura.llm.batches import bounded, lighter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -312,7 +312,7 @@ def encode_texts(df: DataFrame, key: str, text: str, model: str = MODEL, n_best:
         lattice.long.clear()
 
     changes = "array<array<struct<at:int,drop:int,ids:array<int>>>>"
-    return bounded(df, lean=True).select(key, text).mapInArrow(run, f"`{key}` {field}, ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_changes {changes}, round_trip boolean")
+    return bounded(df, lean=True).select(key, text).mapInArrow(lighter(run), f"`{key}` {field}, ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_changes {changes}, round_trip boolean")
 
 
 def _coded(part: pa.RecordBatch, lattice: Lattice, key: str) -> pa.RecordBatch:
