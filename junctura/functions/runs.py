@@ -80,7 +80,8 @@ def _lists(starts: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values, mask=like.is_null())
 
 
-def _letters(op: np.ndarray) -> pa.Array:
+def letters(op: np.ndarray) -> pa.Array:
+    """Codes as one-letter strings."""
     return pa.DictionaryArray.from_arrays(pa.array(op.astype(np.int16)), pa.array([chr(k) for k in range(128)])).cast(pa.string())
 
 
@@ -103,7 +104,7 @@ def run_index(cigar: Column) -> Column:
         follows = (runs.op[1:-1] == _D) & bases[2:] & (row[2:] == row[:-2])
         deleted[:-2][follows] = runs.n[1:-1][follows]
         starts = np.concatenate([[0], np.cumsum(bases)])[runs.starts]
-        fields = [pa.array(number[bases], pa.int32()), _letters(runs.op[bases]), *[pa.array(x[bases], pa.int64()) for x in (runs.n, query, reference, deleted)]]
+        fields = [pa.array(number[bases], pa.int32()), letters(runs.op[bases]), *[pa.array(x[bases], pa.int64()) for x in (runs.n, query, reference, deleted)]]
         return _lists(starts, pa.StructArray.from_arrays(fields, names=["number", "op", "n", "query", "reference", "deleted"]), cigars)
 
     return index(cigar)

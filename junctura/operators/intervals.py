@@ -46,7 +46,11 @@ def _carried(rows: DataFrame, keys: list[str], at: str, value: Column) -> DataFr
     What is carried between pieces is a row for each key and piece; it is broadcast
     if it is ``BROADCAST_ROWS`` rows at most by a count. With one piece nothing is carried.
     """
-    rows, pieces = _cut(rows, keys, at)
+    return _between(*_cut(rows, keys, at), keys, value)
+
+
+def _between(rows: DataFrame, pieces: int, keys: list[str], value: Column) -> DataFrame:
+    """Rows that are cut, with what is carried."""
     if pieces == 1:
         kind = rows.select(value.alias("v")).schema["v"].dataType
         return rows.withColumns({"__before": F.lit(None).cast(kind), "__after": F.lit(None).cast(kind)})
@@ -81,18 +85,23 @@ def islands(df: DataFrame, key: str, lo: str, hi: str, out: str) -> DataFrame:
     return placed.select(*df.columns, out)
 
 
-def drop_contained(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+def drop_contained(df: DataFrame, key: str, lo: str, hi: str, together: bool = False) -> DataFrame:
     """Keeps intervals that lie in no other interval of their key (closed comparison, no tie-break).
 
     Of identical intervals none stays. One sort by key, piece and start replaces the self join: an
     interval lies in another if its neighbour in the sort is the same, or if an earlier one reaches as far. A key is
-    cut into pieces by start, and the farthest reach of earlier pieces is carried on, so no task sorts a whole key.
+    cut into pieces by start, and the farthest reach of earlier pieces is carried on, so no task sorts a whole key. With
+    ``together``, what stays of a key is in one task, in order; it is only sent again if keys were cut, as a window has a whole key otherwise.
     """
     w = W.partitionBy(key, "__piece").orderBy(F.col(lo).asc(), F.col(hi).desc())
     same = lambda move: F.coalesce((move(lo).over(w) == F.col(lo)) & (move(hi).over(w) == F.col(hi)), F.lit(False))
     reach = F.greatest("__before", F.max(hi).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    ranked = _carried(df, [key], lo, F.col(hi)).withColumn("__reach", reach).withColumn("__same", same(F.lag) | same(F.lead))
-    return ranked.filter(~F.col("__same") & (F.col("__reach").isNull() | (F.col("__reach") < F.col(hi)))).select(*df.columns)
+    rows, pieces = _cut(df, [key], lo)
+    ranked = _between(rows, pieces, [key], F.col(hi)).withColumn("__reach", reach).withColumn("__same", same(F.lag) | same(F.lead))
+    stay = ranked.filter(~F.col("__same") & (F.col("__reach").isNull() | (F.col("__reach") < F.col(hi)))).select(*df.columns)
+    if not together:
+        return stay
+    return (stay if pieces == 1 else stay.repartition(F.col(key))).sortWithinPartitions(F.col(key).asc(), F.col(lo).asc(), F.col(hi).desc())
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_lo: str, left_hi: str, right_lo: str, right_hi: str, width: int, condition: Column | None = None) -> DataFrame:

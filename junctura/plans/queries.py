@@ -418,9 +418,8 @@ def q34(spark, d):
 def q35(spark, d):
     """Lines are segments of their order with clips, an insertion and a deletion, on both strands."""
     rows = shipped(spark, d).withColumn("row", F.xxhash64("*")).withColumn("hi", F.col("lo") + 2 * F.col("l_quantity").cast("long") + F.col("l_partkey") % 5 + 8).withColumn("last", F.col("hi") - 1)
-    rows = cigar.with_ops(rows, F.expr(CIGAR.replace("BIGINT", "LONG")), "ops").withColumn("from", F.col("l_partkey") * 100).withColumn("reverse", F.col("l_returnflag") == "R")
-    rows = rows.withColumn("to", F.col("from") + cigar.reference_span(F.col("ops")))
-    return chain.chain_segments(rows, "l_orderkey", "row", "lo", "last", "ops", "from", "to", "reverse")
+    rows = rows.withColumn("cigar", F.expr(CIGAR.replace("BIGINT", "LONG"))).withColumn("from", F.col("l_partkey") * 100).withColumn("reverse", F.col("l_returnflag") == "R")
+    return chain.chain_segments(rows, "l_orderkey", "row", "lo", "last", "cigar", "from", reverse="reverse")
 
 
 def annealed(spark, d, cost=None):

@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -871,3 +872,78 @@ def test_merging_without_samples_sends_numbers_only(spark):
     assert "samples" not in plain._jdf.queryExecution().optimizedPlan().toString()
     sampled = intervals.merge_similar(df, "k", "lo", "hi", samples="s").drop("samples")
     assert sorted(map(str, plain.collect())) == sorted(map(str, sampled.collect()))
+
+
+def odd_fragments(draw, fragments):
+    """Rows ``q, row, a, b, cigar, f, r`` of segments of which none lies in another, a few with clips inside, other operations or none, as texts of many kinds."""
+    rows = []
+    for k in range(fragments):
+        at, before = draw.randrange(-50, 200), None
+        for _ in range(draw.choice([1, 1, 2, 3, 5, 9, 40])):
+            ops = [(draw.randrange(0, 90), draw.choice("MMMID")) for _ in range(draw.randrange(1, 6))]
+            n = max(1, sum(m for m, op in ops if op != "D") + draw.choice([0, 0, 0, -3, 4]))
+            if before and (at <= before[0] or at + n - 1 <= before[1]):
+                n, at = max(n, before[1] - before[0] + 1), before[0] + 1
+            text = "".join(f"{m}{op}" for m, op in ops)
+            text = draw.choice(["", "3H", "4S"] * 20 + ["2H5S"]) + text + draw.choice(["", "3H", "4S"] * 20 + ["6N2S"])
+            rows.append((None if k == 3 else k, len(rows), at, at + n - 1, draw.choice([text] * 200 + ["*"]), draw.randrange(10_000), draw.choice([True, False, None])))
+            before = (at, at + n - 1)
+            at = before[1] + draw.choice([1, 2, draw.randrange(-60, 30)])
+    return rows
+
+
+def test_chains_of_many_fragments_at_once(spark, monkeypatch):
+    """Fragments that are chained together give to the last bit what they give one by one, in batches of any size, and with keys that are cut."""
+    rows = odd_fragments(random.Random(35), 300)
+    df = spark.createDataFrame(rows, "q int, row int, a int, b int, cigar string, f int, r boolean").repartition(3)
+    told = lambda: sorted(map(str, chain.chain_segments(df, "q", "row", "a", "b", "cigar", "f", reverse="r").collect()))
+    got = told()
+    want = []
+    for name in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == name]
+        raw = [[(int(n), op) for n, op in chain.KNOWN.findall(r[4])] for r in own]
+        inner = [chain._inner(ops, bool(r[6])) for ops, r in zip(raw, own)]
+        total, pieces = chain.best_chain([(r[2], r[3], ops) for r, ops in zip(own, inner)])
+        want += [(name, own[j][1], a, b, gain, total) for j, a, b, gain in pieces]
+    assert sorted(x.split(", ref_start")[0] for x in got) == sorted("Row(" + ", ".join(f"{c}={v!r}" for c, v in zip(["q", "row", "a", "b", "score", "chain_score"], (*w[:4], float(w[4]), w[5]))) for w in want)
+    monkeypatch.setattr(intervals, "PIECE_ROWS", 20)
+    assert told() == got
+    monkeypatch.undo()
+    parsed = df.withColumn("cigar", cigar.parse(F.col("cigar"))).withColumn("t", F.col("f") + cigar.reference_span(F.col("cigar")))
+    assert sorted(map(str, chain.chain_segments(parsed, "q", "row", "a", "b", "cigar", "f", "t", "r").collect())) == got
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert told() == got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    names = ["q", "row", "a", "b", "cigar", "f", "t", "r"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(*r[:6], 0, r[6]) for r in rows])], names=names)
+    parts = list(chain._parts(batch))
+    assert [plain for _, _, plain in parts] == [True, False] and parts[0][0].num_rows > 500
+    for span in (True, False):
+        together, alone = chain._told_together(*parts[0][:2], span), chain._told_alone(*parts[0][:2], span, chain.KNOWN)
+        assert [c.to_pylist() for c in together] == [c.to_pylist() for c in alone]
+
+
+def test_whole_fragments_across_batches(monkeypatch):
+    monkeypatch.setattr(chain, "ROWS", 10)
+    names = [None] * 3 + [1] * 25 + [2, 3, 3] + [4] * 12 + [5]
+    table = pa.RecordBatch.from_arrays([pa.array(names), pa.array(range(len(names)))], names=["q", "i"])
+    out = list(chain._whole_fragments(iter([table.slice(k, 4) for k in range(0, len(names), 4)] + [table.slice(0, 0)])))
+    assert [x for b in out for x in b.column(1).to_pylist()] == list(range(len(names))) and len(out) > 2
+    assert all(a.column(0)[-1].as_py() != b.column(0)[0].as_py() for a, b in zip(out, out[1:]))
+
+
+def test_chains_of_lines_parse_no_cigar(spark):
+    """Lines go as text, and only those that stay; a hundred thousand fragments through arrays take seconds."""
+    from junctura.plans import queries
+
+    plan = queries.QUERIES["q35_chain_dp"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "collect_list" not in plan and "Generate" not in plan
+    n = 100_000
+    first = [x for k in range(n) for x in (k % 50, k % 50 + 70, k % 50 + 100)]
+    columns = [pa.array([k for k in range(n) for _ in range(3)]), pa.array(range(3 * n)), pa.array(first), pa.array([x + 90 for x in first]), pa.array(["2H40M3I48M2D3S"] * (3 * n)), pa.array([0] * (3 * n)), pa.array([0] * (3 * n)), pa.array([False] * (3 * n))]
+    began = time.perf_counter()
+    out = chain._told_together(pa.RecordBatch.from_arrays(columns, names=list("abcdefgh")), np.arange(n) * 3, True)
+    assert time.perf_counter() - began < 15 and len(out[0]) >= n
