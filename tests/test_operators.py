@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from junctura.functions import cigar, runs, sequence, thermo
-from junctura.operators import anneal, chain, clusters, deletions, intervals, junctions, links, primers, templates
+from junctura.operators import anneal, chain, clusters, deletions, graph, intervals, junctions, links, primers, templates
 from junctura.functions.stages import Stages
 from junctura.operators.graph import connected_components
 from junctura.sources import design
@@ -947,3 +947,46 @@ def test_chains_of_lines_parse_no_cigar(spark):
     began = time.perf_counter()
     out = chain._told_together(pa.RecordBatch.from_arrays(columns, names=list("abcdefgh")), np.arange(n) * 3, True)
     assert time.perf_counter() - began < 15 and len(out[0]) >= n
+
+
+@pytest.mark.parametrize("most, told", [(1_000_000, 1_000_000), (100, 0), (100, 40)])
+def test_components_hold_no_more_in_a_task_as_edges_grow(spark, monkeypatch, most, told):
+    """Paths, a star, repeats and loops: edges go to as many tasks as they fill, and labels of many nodes or many labels are looked up by each way."""
+    draw = random.Random(44)
+    ids = list(range(1200))
+    draw.shuffle(ids)
+    edges = [(a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if i % 40 != 39]
+    edges += [(9000 + draw.randrange(2), k) for k in range(9002, 9900)] + [(20_000 + k % 900, 21_000 + k % 900) for k in range(1800)] + [(7, 7), (None, 3), (30_000, 30_000)]
+    root = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    files, write = [], graph.shared_table
+    monkeypatch.setattr(graph, "MOST_ROWS", most)
+    monkeypatch.setattr(graph, "ROWS_PER_TASK", min(most, 100_000))
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", told)
+    monkeypatch.setattr(graph, "shared_table", lambda *a, **k: (lambda df: files.append(len(df.inputFiles())) or df)(write(*a, **k)))
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for x in root}
+    # of the distinct pairs
+    assert files[1] > 25 if most == 100 else files[1] <= 4
+    assert graph.tasks_of(spark, 0) == 1
+
+
+def test_lines_join_orders_in_tasks_by_their_number(spark, monkeypatch):
+    from junctura.plans import queries
+
+    plans = []
+    monkeypatch.setattr(graph, "MOST_ROWS", 500)
+    monkeypatch.setattr(graph, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(queries, "connected_components", lambda edges, *ends: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()))
+    queries.q44_all(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert plans[0].count("RepartitionByExpression [l_orderkey") == plans[0].count(f", {-(-lines // 500)}") == 2
