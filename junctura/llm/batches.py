@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -38,10 +39,34 @@ def give_back() -> None:
         trim(0)
 
 
-def lighter(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``step``, which gives memory back when a task ends. Workers stay for the next stages, and would hold the most that any task has used."""
+#: The results that workers keep from task to task.
+_KEPT: list[Callable] = []
+
+
+def kept(make: Callable) -> Callable:
+    """``make``, whose last result a worker keeps from task to task, until a task that doesn't use it begins (see ``forget``)."""
+    held = lru_cache(maxsize=1)(make)
+    _KEPT.append(held)
+    return held
+
+
+def forget(but: Callable | None = None) -> None:
+    """Lets go of what this worker keeps for other tasks than those that use ``but``. Workers serve the stages of all operators, and would hold it through all of them."""
+    others = [held for held in _KEPT if held is not but and held.cache_info().currsize]
+    for held in others:
+        held.cache_clear()
+    if others:
+        give_back()
+
+
+def lighter(step: Callable[[Iterator], Iterator], keeps: Callable | None = None) -> Callable[[Iterator], Iterator]:
+    """``step``, which keeps nothing but ``keeps`` of what other tasks have left, and gives memory back when a task ends.
+
+    Workers stay for the next stages, and would hold the most that any task has used.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        forget(keeps)
         yield from step(batches)
         give_back()
 

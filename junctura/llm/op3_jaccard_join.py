@@ -319,12 +319,15 @@ def _unpacked(segment: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-@F.pandas_udf(T.LongType())
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two segments."""
     return pd.Series([(len(x) + len(y)) // WIDTH - len(np.unique(np.concatenate([_unpacked(x), _unpacked(y)]))) for x, y in zip(a, b)], dtype="int64")
 
 
+# a filter on what it gives would else be pushed below it, and all be counted twice, by two workers of each task
+_overlap = F.pandas_udf(_shared, T.LongType()).asNondeterministic()
+
+
 def segments_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Segments of the sets of ``nodes`` (column ``node``), from ``texts`` (``node, text``)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

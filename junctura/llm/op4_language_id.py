@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from junctura.llm.batches import bounded, give_back
+from junctura.llm.batches import bounded, forget, give_back
 
 WINDOW = 256
 WIDTH = 8  # of the byte embedding
@@ -213,6 +213,7 @@ def language_of(df: DataFrame, text: str, net: Network | None) -> Column:
 
     @F.pandas_udf("language string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         scorer = Scorer(shared.value)
         names = np.array(shared.value.languages, object)
         for texts in batches:

@@ -34,7 +34,6 @@ import sys
 from array import array
 from bisect import insort
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 from operator import itemgetter
 
@@ -43,7 +42,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from junctura.llm.batches import bounded, lighter
+from junctura.llm.batches import bounded, kept, lighter
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -72,9 +71,9 @@ class _Memo(dict):
         return got
 
 
-@lru_cache(maxsize=1)
+@kept
 def lattice_of(proto: bytes, n_best: int = 4) -> Lattice:
-    """A worker's lattice, kept from task to task with the short chunks that it remembers, a bounded number."""
+    """A worker's lattice, kept from task to task with the short chunks that it remembers, a bounded number. Tasks of other operators let it go."""
     return Lattice(proto, n_best)
 
 
@@ -312,7 +311,7 @@ def encode_texts(df: DataFrame, key: str, text: str, model: str = MODEL, n_best:
         lattice.long.clear()
 
     changes = "array<array<struct<at:int,drop:int,ids:array<int>>>>"
-    return bounded(df, lean=True).select(key, text).mapInArrow(lighter(run), f"`{key}` {field}, ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_changes {changes}, round_trip boolean")
+    return bounded(df, lean=True).select(key, text).mapInArrow(lighter(run, keeps=lattice_of), f"`{key}` {field}, ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_changes {changes}, round_trip boolean")
 
 
 def _coded(part: pa.RecordBatch, lattice: Lattice, key: str) -> pa.RecordBatch:

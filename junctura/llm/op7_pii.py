@@ -20,15 +20,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from junctura.llm.batches import bounded
+from junctura.llm.batches import bounded, lighter
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("account", "secret", "url")
 KINDS = BASE_KINDS + MORE_KINDS
+#: Texts that are replaced together; a worker holds these and their batch.
+TOGETHER = 256
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 CUES = {"account": ("iban",), "secret": ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey")}
@@ -155,7 +156,7 @@ def find_pii(df: DataFrame, key: str, text: str) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], fields=list(struct))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[key, "spans"])
 
-    return bounded(df).select(key, text).mapInArrow(scan, f"`{key}` {field.dataType.simpleString()}, spans {SPANS}")
+    return bounded(df, lean=True).select(key, text).mapInArrow(lighter(scan), f"`{key}` {field.dataType.simpleString()}, spans {SPANS}")
 
 
 def told(spans: Column) -> Column:
@@ -180,11 +181,17 @@ def redacted(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for at in range(0, len(texts), TOGETHER):
+            yield pa.array([redacted(t) for t in texts.slice(at, TOGETHER).to_pylist()], pa.string())
+
+
 def redact_pii(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the personal data of ``text`` replaced; other columns and all rows stay."""
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted, na_action="ignore")
+    @F.arrow_udf("string")
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lighter(_masked)(batches)
 
-    return bounded(df).withColumn(text, mask(F.col(text)))
+    return bounded(df, lean=True).withColumn(text, mask(F.col(text)))

@@ -3,11 +3,12 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from junctura.llm import op7_pii
+from junctura.llm import batches, op3_jaccard_join, op6_sentencepiece, op7_pii
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -42,3 +43,34 @@ def test_stages(spark, tmp_path):
     assert set(times) <= {1, 2}
     coded = frames["encoding"]
     assert coded.count() == frames["mixing"].count() and coded.filter(~F.col("round_trip")).count() == 0
+
+
+def test_workers_let_go_of_what_others_keep():
+    lattice = op6_sentencepiece.lattice_of(open(op6_sentencepiece.MODEL, "rb").read(), 4)
+    lattice.encode("some words to remember")
+    held = op6_sentencepiece.lattice_of.cache_info
+    list(batches.lighter(iter, keeps=op6_sentencepiece.lattice_of)(iter([1])))
+    assert held().currsize == 1
+    assert list(batches.lighter(iter)(iter([1, 2]))) == [1, 2]
+    assert held().currsize == 0
+
+
+def test_overlaps_are_counted_once(spark, tmp_path):
+    """A filter on an overlap isn't pushed below it: two rounds of Python in a stage would count twice, in twice as many workers."""
+    spark.createDataFrame([(1, 2, 10, 10)], "a long, b long, na long, nb long").write.parquet(f"{tmp_path}/pairs")
+    spark.createDataFrame([(i, *[bytes(range(10))] * op3_jaccard_join.FRAGMENTS) for i in (1, 2)], ", ".join(["node long", *[f"{x} binary" for x in op3_jaccard_join.SEGMENTS]])).write.parquet(f"{tmp_path}/segments")
+    counted = op3_jaccard_join._counted(spark.read.parquet(f"{tmp_path}/pairs"), spark.read.parquet(f"{tmp_path}/segments"), op3_jaccard_join.SEGMENTS[:2])
+    out = counted.filter("9 * o >= na").select("a", "b", "o")
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 4)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_texts_are_replaced_in_parts(spark):
+    texts = [None, "", "mail a.b@c.org now"] * 300
+    parts = list(op7_pii._masked(iter([pa.array(texts, pa.string()), pa.array([], pa.string())])))
+    assert max(map(len, parts)) <= op7_pii.TOGETHER
+    assert [t for p in parts for t in p.to_pylist()] == [None, "", "mail [EMAIL] now"] * 300
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "text long, body string, n long").repartition(2)
+    out = op7_pii.redact_pii(df, "body")
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(i, op7_pii.redacted(t), i) for i, t in enumerate(texts)]
