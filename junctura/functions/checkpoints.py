@@ -41,12 +41,13 @@ def remove_tables(spark: SparkSession) -> None:
     _WRITTEN.clear()
 
 
-def shared_table(df: DataFrame, files: int | None = None, group_bytes: int | None = None) -> DataFrame:
+def shared_table(df: DataFrame, files: int | None = None, group_bytes: int | None = None, huge_rows: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     ``files`` gathers a table that is small against the work that made it, which many tasks
     have a bit of, into so many files by a last exchange. ``group_bytes`` bounds the row groups of a table with large
     rows: Parquet's default of 128 MB is held in memory by each task that writes, and decoded by each that reads.
+    The writer looks at sizes after a hundred rows only; with ``huge_rows``, of which a few fill a row group or a page, it looks after each.
 
     Blocks on the write, so later jobs all see the same rows even if executors are lost meanwhile. A written
     table is used rather than ``checkpoint()`` for two reasons: it is columnar and compressed, and it
@@ -57,5 +58,6 @@ def shared_table(df: DataFrame, files: int | None = None, group_bytes: int | Non
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     writer = (df if files is None else df.repartition(files)).write
-    (writer if group_bytes is None else writer.option("parquet.block.size", group_bytes)).parquet(path)
+    writer = writer if group_bytes is None else writer.option("parquet.block.size", group_bytes)
+    (writer.option("parquet.page.size.row.check.min", 1) if huge_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

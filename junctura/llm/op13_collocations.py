@@ -41,6 +41,8 @@ _BUCKETS = MAP_BITS >> _BUCKET_BITS
 _COUNT_BITS = 28
 #: Phrases that a task holds before it sums them up.
 HELD = 1 << 20
+#: A row group of the index: a shard or two.
+GROUP_BYTES = 4 << 20
 _SALTS = 64
 
 _BREAK = ord(".")
@@ -227,7 +229,7 @@ def _build(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.R
 def build_index(df: DataFrame, text: str, language: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """An index row for each shard, written in the shared folder. Nothing is shuffled."""
     rows = bounded(df, lean=True).select(F.coalesce(F.col(language).cast("string"), F.lit("und")).alias("language"), F.col(text).alias("text"))
-    return shared_table(rows.mapInArrow(lighter(lambda b: _build(b, shard_words)), INDEX_SCHEMA))
+    return shared_table(rows.mapInArrow(lighter(lambda b: _build(b, shard_words)), INDEX_SCHEMA), group_bytes=GROUP_BYTES, huge_rows=True)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], Index]]:
@@ -336,13 +338,16 @@ def _spelt(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray], buckets: i
     for language, vocabulary, shard in _opened(batches):
         names = np.array(vocabulary, object)
         for held in enumerate_levels(shard, LONGEST, maps):
-            phrase = names[held.words[:, 0]]
-            for k in range(1, held.words.shape[1]):
-                phrase = phrase + b" " + names[held.words[:, k]]
-            for p, n in zip(phrase.tolist(), held.size.tolist()):
-                counts[language, p] += n
-        if len(counts) > HELD // 4:
-            yield told()
+            # in a large table most phrases of a shard may be frequent: only some are spelt at a time
+            for at in range(0, len(held.size), HELD // 16):
+                words = held.words[at : at + HELD // 16]
+                phrase = names[words[:, 0]]
+                for k in range(1, words.shape[1]):
+                    phrase = phrase + b" " + names[words[:, k]]
+                for p, n in zip(phrase.tolist(), held.size[at : at + HELD // 16].tolist()):
+                    counts[language, p] += n
+                if len(counts) > HELD // 4:
+                    yield told()
     if counts:
         yield told()
 

@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,26 @@ def test_collocations_against_brute_force(spark, empty):
     assert op13_collocations.collocations(empty, "text", "lang").count() == 0
 
 
+def test_shards_are_held_one_at_a_time(spark, monkeypatch):
+    """Row groups of the index have a shard or two, and a shard's phrases are spelt in parts that add up."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(draw.choice([5, 80]))) for _ in range(400)]
+    monkeypatch.setattr(op13_collocations, "GROUP_BYTES", 4000, raising=False)
+    index = op13_collocations.build_index(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(2), "text", "lang", 500)
+    groups = [m.row_group(k).num_rows for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for k in range(m.num_row_groups)]
+    assert index.count() > 20 and max(groups) <= 2
+    monkeypatch.setattr(op13_collocations, "HELD", 1 << 10)
+    rows = pa.RecordBatch.from_pydict({"language": ["en"] * len(texts), "text": texts})
+    shards = list(op13_collocations._build(iter([rows]), 1 << 19))
+    counts: collections.Counter = collections.Counter()
+    for batch in op13_collocations._spelt(iter(shards), [], 7):
+        phrases = [p for b in batch.column("phrases").to_pylist() for p in b.decode().split("\n")]
+        assert len(phrases) <= 5 << 6
+        counts.update(dict(zip(phrases, (n for b in batch.column("counts").to_pylist() for n in np.frombuffer(b, np.int64).tolist()))) if len(set(phrases)) == len(phrases) else {})
+    words = [t.split() for t in texts]
+    assert len(shards) == 1 and counts == collections.Counter(" ".join(w[i : i + n]) for w in words for n in range(1, 6) for i in range(len(w) - n + 1))
+
+
 def test_intervals_count_both_ways():
     """Extensions on either side give the same counts as a scan, whatever the order of the extensions."""
     draw = np.random.default_rng(2)
