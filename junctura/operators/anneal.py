@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 #: Most moves of a run, and least, as the reference has them.
@@ -466,7 +466,44 @@ def _schedules(grid: list[tuple[float, float, int]]) -> Column:
 def _spread(runs: DataFrame, design: str, candidates: str) -> DataFrame:
     """Runs are long and their rows small: spread them evenly, in ranges, so that runs of one seed and as many candidates, which have the same draws, follow each other."""
     order = ["seed", "slope", "intercept", F.size(candidates), design]
-    return runs.repartitionByRange(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return runs.repartitionByRange(_partitions(runs.sparkSession), *order).sortWithinPartitions(*order)
+
+
+#: From so many designs a partition on, runs of a design may stay together: tasks take about as long, and have designs of one size, whose draws are shared.
+MANY = 512
+#: Rows that a worker tells at a time.
+TOLD = 64
+#: Bytes of designs that a worker is given at a time: as Python objects they take ten times as much.
+BATCH_BYTES = 8 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Designs of a primer that are sent as they are, if there are more, and the values that stand for designs otherwise.
+_SENT_WHOLE, _MARKS = 1000, 1 << 16
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def many(spark: SparkSession, designs: int) -> bool:
+    """Whether so many designs may be dealt to tasks as wholes."""
+    return designs >= MANY * _partitions(spark)
+
+
+def _pairs_within(members: DataFrame, design: str, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """``design, __p, __q`` of rows ``design, __p``, which may repeat: the edges, the lesser end first, that a design holds both ends of, and some that it holds ``__q`` of alone, to be dropped where its primers are known.
+
+    An edge meets the designs of one end, then those of the other. The first ones go along as marks of 16 bits, a row for each edge; a row for each edge
+    and design would be as many times more as a primer has designs. Marks let one design in 2^16 / (designs of a primer) too many through.
+    """
+    held = members.repartition("__p").groupBy("__p").agg(F.collect_set(design).alias("__held"))
+    mark = lambda d: (F.pmod(F.xxhash64(d), F.lit(_MARKS)) - _MARKS // 2).cast("smallint")
+    few = F.size("__held") <= _SENT_WHOLE
+    first = held.select("__p", F.when(few, F.transform("__held", mark)).alias("__marks"), F.when(~few, F.col("__held")).alias("__all"))
+    second = held.select(F.col("__p").alias("__q"), "__held")
+    ends = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("__p"), F.greatest(src, dst).alias("__q"))
+    met = ends.repartition("__p").distinct().join(first, "__p").join(second, "__q")
+    both = F.when(F.col("__all").isNull(), F.filter("__held", lambda d: F.array_contains("__marks", mark(d)))).otherwise(F.array_intersect("__held", "__all"))
+    return met.select(F.explode(both).alias(design), "__p", "__q")
 
 
 def anneal_designs(primers: DataFrame, design: str, position: str, start: float, end: float, forward: bool, d: float, rho: float, min_apart: float, grid: list[tuple[float, float, int]], steps: int | None = None) -> DataFrame:
@@ -494,10 +531,12 @@ def anneal_designs(primers: DataFrame, design: str, position: str, start: float,
     return _spread(runs, design, "__at").mapInPandas(run, f"`{design}` {kind}, slope double, intercept double, seed long, first_cost double, cost double, chosen array<double>")
 
 
-def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000, cost: Cost | None = None, every: int = 0) -> DataFrame:
+def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, design: str, primer: str, region: str, position: str, start: str, end: str, forward: str, src: str, dst: str, d: float, rho: float, grid: list[tuple[float, float, int]], cap: int = CAP, floor: int = FLOOR, patience: int = 300_000, cost: Cost | None = None, every: int = 0, dealt: bool = False, members: DataFrame | None = None) -> DataFrame:
     """One annealing run per design and member of ``grid`` (slope, intercept, seed), over its regions and its incompatible pairs.
 
-    The cost is ``Tiling(d, rho)`` unless another ``cost`` is given.
+    The cost is ``Tiling(d, rho)`` unless another ``cost`` is given. With ``dealt``, designs are many (see ``many``), and ``primers`` and ``regions`` already are in as many
+    partitions as the session shuffles into, by design: they stay there, and all runs of a design are its task's. Otherwise a design goes once for each run, and runs are spread evenly.
+    ``members`` may give the designs and primers of ``primers`` alone, repeated ones too, if they are to be had at less cost.
 
     ``primers`` has a design's primers, each once, with region and position; ``regions`` its regions; ``edges`` pairs of
     primers that no set may hold together, for all designs alike. A primer that is incompatible with itself is no candidate. A run
@@ -511,36 +550,60 @@ def anneal_graphs(primers: DataFrame, regions: DataFrame, edges: DataFrame, desi
     names = [design, "slope", "intercept", "seed", "steps", "first_cost", "cost", "chosen"]
     more = ["iteration", "seconds", "min_cost", "curr_cost"] if every else []
 
+    def rows_of(name, of, at, ps, qs, slope: float, intercept: float, seed: int) -> list[tuple]:
+        place = {r["r"]: k for k, r in enumerate(of)}
+        pairs = [] if ps is None else sorted(zip(np.asarray(ps).tolist(), np.asarray(qs).tolist()))
+        alone = {p for p, q in pairs if p == q}
+        found = sorted(((place[p["r"]], p["x"], p["p"]) for p in at if p["r"] in place and p["p"] not in alone))
+        index = {p: k for k, (_, _, p) in enumerate(found)}
+        near: dict[int, set[int]] = {}
+        for p, q in pairs:
+            if p in index and q in index:
+                near.setdefault(index[p], set()).add(index[q])
+                near.setdefault(index[q], set()).add(index[p])
+        if not found:
+            return []
+        steps = iterations(cap, slope, intercept, floor)
+        trace: list = []
+        first, least, held = anneal([f[:2] for f in found], [(r["a"], r["b"], bool(r["f"])) for r in of], near, 0.0, rule, slope, intercept, steps, int(seed), patience, every, trace)
+        result = (name, slope, intercept, seed, steps, first, least, [found[k][2] for k in held], *[None] * len(more))
+        return [result, *((name, slope, intercept, seed, None, None, None, None, *t) for t in trace)]
+
+    def told(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names + more)
+        return out.astype({c: "Int64" for c in ("steps", "iteration") if c in out})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
-            for name, of, at, pairs, slope, intercept, seed in zip(*[batch[c] for c in (design, "__regions", "__primers", "__pairs", "slope", "intercept", "seed")]):
-                place = {r["r"]: k for k, r in enumerate(of)}
-                found = sorted(((place[p["r"]], p["x"], p["p"]) for p in at if p["r"] in place))
-                index = {p: k for k, (_, _, p) in enumerate(found)}
-                near: dict[int, set[int]] = {}
-                for e in [] if pairs is None else pairs:
-                    if e["p"] in index and e["q"] in index:
-                        near.setdefault(index[e["p"]], set()).add(index[e["q"]])
-                        near.setdefault(index[e["q"]], set()).add(index[e["p"]])
-                if found:
-                    steps = iterations(cap, slope, intercept, floor)
-                    trace: list = []
-                    first, least, held = anneal([f[:2] for f in found], [(r["a"], r["b"], bool(r["f"])) for r in of], near, 0.0, rule, slope, intercept, steps, int(seed), patience, every, trace)
-                    rows = [(name, slope, intercept, seed, steps, first, least, [found[k][2] for k in held], *[None] * len(more))]
-                    rows += [(name, slope, intercept, seed, None, None, None, None, *t) for t in trace]
-                    out = pd.DataFrame(rows, columns=names + more)
-                    yield out.astype({c: "Int64" for c in ("steps", "iteration") if c in out})
-
-    alone = edges.filter(F.col(src) == F.col(dst)).select(F.col(src).alias(primer)).distinct()
-    able = primers.join(alone, primer, "left_anti").select(design, primer, region, F.col(position).cast("double").alias("__x"))
-    side = lambda c: able.select(design, F.col(primer).alias(c))
-    pairs = edges.select(F.least(src, dst).alias("p"), F.greatest(src, dst).alias("q")).filter("p < q").distinct().join(side("p"), "p").join(side("q"), [design, "q"])
-    pairs = pairs.groupBy(design).agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("__pairs"))
+            # runs of one seed follow each other, as they share draws
+            for schedule in grid if dealt else [()]:
+                for row in zip(*[batch[c] for c in inputs]):
+                    rows += rows_of(*row, *schedule)
+                    if len(rows) >= TOLD:
+                        yield told(rows)
+                        rows = []
+        if rows:
+            yield told(rows)
+
+    spark = primers.sparkSession
+    own = primers.select(design, F.struct(F.col(region).alias("r"), F.col(position).cast("double").alias("x"), F.col(primer).alias("p")).alias("__primer"))
+    designs = own.groupBy(design).agg(F.collect_list("__primer").alias("__primers"))
     of = regions.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"), F.col(forward).alias("f")))).alias("__regions"))
-    designs = able.groupBy(design).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col("__x").alias("x"), F.col(primer).alias("p")))).alias("__primers"))
+    pairs = _pairs_within((primers if members is None else members).select(design, F.col(primer).alias("__p")), design, edges, src, dst)
+    # each design's pairs lie together before they are gathered, so rows are packed in memory alone
+    pairs = (pairs.repartition(_partitions(spark), design) if dealt else pairs.repartition(design)).groupBy(design).agg(F.collect_list("__p").alias("__ps"), F.collect_list("__q").alias("__qs"))
     designs = designs.join(of, design).join(pairs, design, "left")
-    runs = designs.select("*", _schedules(grid).alias("g")).select(design, "__regions", "__primers", "__pairs", "g.*")
-    return _spread(runs, design, "__primers").mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>" + (", iteration long, seconds double, min_cost double, curr_cost double" if every else ""))
+    inputs = [design, "__regions", "__primers", "__ps", "__qs"]
+    if dealt:
+        if int(spark.conf.get(_BYTES_SETTING).removesuffix("B").removesuffix("b")) > BATCH_BYTES:
+            spark.conf.set(_BYTES_SETTING, BATCH_BYTES)
+        runs = designs.select(*inputs).sortWithinPartitions(F.size("__primers"), design)
+    else:
+        runs = designs.select("*", _schedules(grid).alias("g")).select(*inputs, "g.*")
+        inputs += ["slope", "intercept", "seed"]
+        runs = _spread(runs, design, "__primers")
+    return runs.mapInPandas(run, f"`{design}` {kinds[design]}, slope double, intercept double, seed long, steps long, first_cost double, cost double, chosen array<{kinds[primer]}>" + (", iteration long, seconds double, min_cost double, curr_cost double" if every else ""))
 
 
 def results_of(runs: DataFrame) -> DataFrame:

@@ -424,10 +424,14 @@ def q35(spark, d):
 
 def annealed(spark, d, cost=None):
     """Runs over designs: suppliers are designs, their parts primers at their first hit, each strand a region over all of the supplier's days; q13 has the incompatible parts."""
-    found = hits(spark, d)
-    parts = found.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("pos", "f")).alias("m")).select("l_suppkey", "l_partkey", "m.pos", "m.f")
-    regions = found.groupBy("l_suppkey").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("f")).withColumn("forward", F.col("f"))
-    runs = anneal.anneal_graphs(parts, regions, q13(spark, d), "l_suppkey", "l_partkey", "f", "pos", "a", "b", "forward", "p", "q", 300.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], cost=cost)
+    found = members = hits(spark, d)
+    dealt = anneal.many(spark, found.agg(F.approx_count_distinct("l_suppkey")).first()[0])
+    if dealt:
+        found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_suppkey")
+    parts = found.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("pos", "f")).alias("m"), F.max("pos").alias("last"))
+    regions = parts.groupBy("l_suppkey").agg(F.min("m.pos").alias("a"), (F.max("last") + 1).alias("b")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("f")).withColumn("forward", F.col("f"))
+    parts = parts.select("l_suppkey", "l_partkey", "m.pos", "m.f")
+    runs = anneal.anneal_graphs(parts, regions, q13(spark, d), "l_suppkey", "l_partkey", "f", "pos", "a", "b", "forward", "p", "q", 300.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], cost=cost, dealt=dealt, members=members)
     return runs.drop("chosen")
 
 

@@ -320,6 +320,36 @@ def test_anneal_query_has_the_reference_budget(spark, monkeypatch):
     assert (anneal.FLOOR, anneal.CAP) == (1_000_000, 100_000_000) and anneal.iterations(anneal.CAP, -0.5, 100.0) == 1_000_000
 
 
+def test_designs_that_stay_where_they_are(spark):
+    """Many designs: an edge goes once, whatever designs its ends are in, and a design once, whatever the grid has; the same runs."""
+    draw = random.Random(4)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = sorted({(k, p) for k in range(12) for p in draw.sample(range(40), 25)})
+    primers_ = spark.createDataFrame([(k, p, (k + p) % 2 == 0, draw.randrange(2000)) for k, p in held], "k int, p int, r boolean, x int")
+    regions = spark.createDataFrame([(k, f, 0.0, 2000.0, f) for k in range(12) for f in (True, False)], "k int, r boolean, a double, b double, f boolean")
+    bad = [(draw.randrange(45), draw.randrange(45)) for _ in range(60)] + [(3, 3), (7, 9), (9, 7)]
+    edges = spark.createDataFrame([*bad, (None, 5), (6, None), (None, None)], "s int, t int")
+    of = lambda p, r, **more: anneal.anneal_graphs(p, r, edges, "k", "p", "r", "x", "a", "b", "f", "s", "t", 200.0, 0.1, [(-0.5, 100.0, 1), (-2.0, 400.0, 2)], cap=2000, floor=2000, **more)
+    dealt = of(primers_.repartition(n, "k"), regions.repartition(n, "k"), dealt=True, members=primers_.select("k", "p").union(primers_.select("k", "p")))
+    spread = of(primers_, regions)
+    told = sorted(map(tuple, dealt.collect()))
+    assert told == sorted(map(tuple, spread.collect())) and len(told) == 24
+    assert not [1 for r in told for a, b in bad if {a, b} <= set(r[-1])]
+    assert {5, 6} & {p for r in told for p in r[-1]}  # an edge without an end binds nobody
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "MapInPandas" in plan
+    # the same pairs by a join over designs; a pair too many has its second end in the design
+    links = {(min(e), max(e)) for e in bad}
+    for whole, marks in ((1000, 1 << 16), (0, 1 << 16), (1000, 8)):
+        before = anneal._SENT_WHOLE, anneal._MARKS
+        anneal._SENT_WHOLE, anneal._MARKS = whole, marks
+        got = [tuple(r) for r in anneal._pairs_within(primers_.select("k", F.col("p").alias("__p")), "k", edges, "s", "t").collect()]
+        anneal._SENT_WHOLE, anneal._MARKS = before
+        want = {(k, p, q) for k in range(12) for p, q in links if {(k, p), (k, q)} <= set(held)}
+        assert len(got) == len(set(got)) and want <= set(got) and all((k, q) in held and (p, q) in links for k, p, q in set(got) - want)
+        assert marks == 8 or set(got) == want
+
+
 def test_components_over_all_links(spark, tmp_path):
     from junctura.plans import queries
 
