@@ -470,7 +470,7 @@ def _spread(runs: DataFrame, design: str, candidates: str) -> DataFrame:
 
 
 #: From so many designs a partition on, runs of a design may stay together: tasks take about as long, and have designs of one size, whose draws are shared.
-MANY = 512
+MANY = 256
 #: Rows that a worker tells at a time.
 TOLD = 64
 #: Bytes of designs that a worker is given at a time: as Python objects they take ten times as much.

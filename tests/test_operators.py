@@ -336,6 +336,8 @@ def test_designs_that_stay_where_they_are(spark):
     assert told == sorted(map(tuple, spread.collect())) and len(told) == 24
     assert not [1 for r in told for a, b in bad if {a, b} <= set(r[-1])]
     assert {5, 6} & {p for r in told for p in r[-1]}  # an edge without an end binds nobody
+    ends = [sorted(map(tuple, of(p, r, cost=anneal.MultiTarget(), **more).collect())) for p, r, more in ((primers_, regions, {}), (primers_.repartition(n, "k"), regions.repartition(n, "k"), {"dealt": True}))]
+    assert ends[0] == ends[1] and len(ends[0]) == 24 and ends[0] != told
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "MapInPandas" in plan
     # the same pairs by a join over designs; a pair too many has its second end in the design
